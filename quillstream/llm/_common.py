@@ -79,7 +79,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYT
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train: Column, most: int) -> list:
     """At most `most` labelled rows (text bytes, 0/1) that satisfy `train`, taken by a hash of the id, equal counts of either label where there are enough.
 
-    The bound makes what the driver collects independent of the corpus. Ids with contradictory labels keep the larger one.
+    The bound makes what the driver collects independent of the corpus. Ids with contradictory labels keep the larger one, repeated ids their first text.
     """
     marked = labels.where(F.col(target).isin(0, 1)).where(train).groupBy("doc_id").agg(F.max(target).cast("int").alias("_y"))
     half = most // 2
@@ -88,5 +88,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train: Colu
     ]
     ids = picked[0].unionByName(picked[1])
     # At most `most` rows of two numbers: a proven bound for the broadcast.
-    rows = docs.select(F.col("doc_id"), utf8("text").alias("_text")).join(F.broadcast(ids), "doc_id")
+    rows = docs.select(F.col("doc_id"), utf8("text").alias("_text")).join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("_text").alias("_text"), F.max("_y").alias("_y"))
     return sorted(((r["doc_id"], bytes(r["_text"]), r["_y"]) for r in rows.select("doc_id", "_text", "_y").toLocalIterator()), key=lambda r: (r[0], r[1]))
