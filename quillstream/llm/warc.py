@@ -5,7 +5,10 @@ revisits; SHA-1 and size are found by Spark's own functions, the largest id per
 the join that carries it back is salted, so one payload on many pages does not meet in one task. A revisit keeps the HTTP
 header block, whose Content-Length is the full payload's.
 
-``spark.read.format("warc")`` plans one partition per file, takes filters on the record header's columns (record_type,
+Files are .warc.gz, a gzip member per record; its header's extra field "sl" holds the member's length, so that a reader which
+has seen the first lines of a record can seek to the next one without inflating or even fetching the rest.
+
+``spark.read.format("warc")`` reads .warc.gz files of any writer and plain .warc. It plans one partition per file, takes filters on the record header's columns (record_type,
 record_id, target_uri, date, payload_digest, refers_to), reads a record's header first, and seeks past the blocks of records
 that the filters reject or whose payload nobody asked for (option ``payload``: bytes, digest or skip).
 
@@ -17,8 +20,10 @@ gives no files and no rows.
 from __future__ import annotations
 
 import hashlib
+import struct
 import uuid
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -66,19 +71,31 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return ["\r\n".join(lines).encode(), b"\r\n\r\n", http, payload, b"\r\n\r\n"]
 
 
+def member(data: bytes, level: int = 1) -> bytes:
+    """A gzip member with its own length and that of the data in the extra field "sl"."""
+    deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = deflate.compress(data) + deflate.flush()
+    total = MEMBER + len(body) + 8
+    return b"\x1f\x8b\x08\x04" + struct.pack("<IBBH2sHII", 0, 4, 255, 12, b"sl", 8, total % (1 << 32), len(data) % (1 << 32)) + body + struct.pack("<II", zlib.crc32(data), len(data) % (1 << 32))
+
+
+#: Bytes of such a member's header.
+MEMBER = 24
+
+
 def write(pages: DataFrame, path: str, least: int = 1000) -> DataFrame:
-    """Writes part-N.warc files; returns file, records and bytes. pages: page_id, url, html."""
+    """Writes part-N.warc.gz files; returns file, records and bytes. pages: page_id, url, html."""
     files, folder = files_of(path)
     files.create_dir(folder, recursive=True)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = files_of(path)
-        name, own = f"part-{TaskContext.get().partitionId():07d}.warc", uuid.uuid4().hex
+        name, own = f"part-{TaskContext.get().partitionId():07d}.warc.gz", uuid.uuid4().hex
         out, n = None, 0
         for batch in batches:
             out = out or files.open_output_stream(f"{folder}/.{name}.{own}")
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out.write(b"".join(record(*row)))
+                out.write(member(b"".join(record(*row))))
                 n += 1
         if out:
             size = out.tell()
@@ -112,7 +129,7 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[WarcFile]:
         files, folder = files_of(self.path)
         found = files.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
-        return [WarcFile(self.path, x.base_name) for x in sorted(found, key=lambda x: x.base_name) if x.base_name.endswith(".warc") and not x.base_name.startswith(".")] or [WarcFile(self.path, "")]
+        return [WarcFile(self.path, x.base_name) for x in sorted(found, key=lambda x: x.base_name) if x.base_name.endswith((".warc", ".warc.gz")) and not x.base_name.startswith(".")] or [WarcFile(self.path, "")]
 
     def accepts(self, head: dict) -> bool:
         for f in self.wanted:
@@ -168,65 +185,117 @@ class Block:
 
 
 class Lines:
-    """A file read in large parts; seeks beyond the part at hand don't read what lies between."""
+    """Lines and runs of bytes from parts that `more(n)` gives, about n bytes each and empty at the end; `jump`, if there is one, goes to a place in the file."""
 
     PART = 1 << 18
 
-    def __init__(self, file: pa.NativeFile):
-        self.file, self.size, self.data, self.base, self.at = file, file.size(), b"", 0, 0
+    def __init__(self, more: Callable[[int], bytes], jump: Callable[[int], None] | None = None, size: int | None = None):
+        self.more, self.jump, self.size, self.data, self.base, self.at = more, jump, size, b"", 0, 0
 
     def tell(self) -> int:
         return self.base + self.at
 
     def seek(self, to: int) -> None:
-        if self.base <= to <= self.base + len(self.data):
+        if to <= self.base + len(self.data):
             self.at = to - self.base
-        else:
+        elif self.jump:
+            self.jump(to)
             self.data, self.base, self.at = b"", to, 0
+        else:
+            while self.base + len(self.data) < to and self._more(self.PART):
+                self.at = min(len(self.data), to - self.base)
+            self.at = min(len(self.data), to - self.base)
 
     def _more(self, n: int) -> bool:
-        begin = self.base + len(self.data)
-        if begin >= self.size:
-            return False
-        self.file.seek(begin)
-        self.data, self.base, self.at = self.data[self.at :] + self.file.read(max(n, self.PART)), self.base + self.at, 0
-        return True
+        part = self.more(n)
+        self.data, self.base, self.at = self.data[self.at :] + part, self.base + self.at, 0
+        return bool(part)
 
     def line(self) -> bytes:
         while (k := self.data.find(b"\n", self.at)) < 0:
-            if not self._more(0):
+            if not self._more(4096):
                 k = len(self.data) - 1
                 break
         out, self.at = self.data[self.at : k + 1], k + 1
         return out
 
     def take(self, n: int) -> bytes:
-        if self.at + n > len(self.data):
-            self._more(n - (len(self.data) - self.at))
-        out, self.at = self.data[self.at : self.at + n], self.at + n
-        return out
+        parts, held = [], 0
+        while held < n:
+            if self.at == len(self.data) and not self._more(max(n - held, self.PART)):
+                break
+            part = self.data[self.at : self.at + n - held]
+            self.at += len(part)
+            held += len(part)
+            parts.append(part)
+        return b"".join(parts)
+
+
+def plain(file: pa.NativeFile) -> Lines:
+    return Lines(lambda n: file.read(max(n, Lines.PART)), file.seek)
+
+
+def inflated(file: pa.NativeFile, end: int | None = None, size: int | None = None) -> Lines:
+    """The members from here on, or up to `end`, as one run of bytes."""
+    state = {"z": zlib.decompressobj(31), "left": b""}
+
+    def more(n: int) -> bytes:
+        while True:
+            room = n if end is None else min(n, end - file.tell())
+            part = state["left"] or (file.read(room) if room > 0 else b"")
+            if state["z"].eof and part:
+                state["z"] = zlib.decompressobj(31)
+            if not part:
+                return b""
+            out = state["z"].decompress(part)
+            state["left"] = state["z"].unused_data if state["z"].eof else b""
+            if out:
+                return out
+
+    return Lines(more, size=size)
+
+
+def sources(file: pa.NativeFile) -> Iterator[Lines]:
+    """Runs of records: each member by itself where its length is told, else all that is left."""
+    at, size = 0, file.size()
+    while at < size:
+        file.seek(at)
+        start = file.read(MEMBER)
+        if start[:2] != b"\x1f\x8b":
+            file.seek(at)
+            lines = plain(file)
+            lines.base = at
+            yield lines
+            return
+        known = len(start) == MEMBER and start[3] & 4 and start[12:14] == b"sl"
+        end = at + struct.unpack_from("<I", start, 16)[0] if known else size
+        file.seek(at)
+        yield inflated(file, end, struct.unpack_from("<I", start, 20)[0]) if known else inflated(file)
+        at = end
 
 
 def records(file: pa.NativeFile) -> Iterator[tuple[dict, int, Block]]:
-    """Header columns, block size and block of each record; the block is skipped when the next one is asked for."""
-    source = Lines(file)
-    while line := source.line():
-        if not line.strip():
-            continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at byte {source.tell() - len(line)}")
-        head: dict = dict.fromkeys(HEADER)
-        size = 0
-        while (line := source.line()).strip():
-            key, _, value = line.decode("utf-8", "replace").partition(":")
-            key, value = key.strip().lower(), value.strip()
-            if key == "content-length":
-                size = int(value)
-            elif key in FIELDS:
-                head[FIELDS[key]] = value.strip("<>") if key in ("warc-record-id", "warc-refers-to") else value.removeprefix("sha1:") if key == "warc-payload-digest" else value
-        block = Block(source, size)
-        yield head, size, block
-        block.skip()
+    """Header columns, block size and block of each record; what is left of a block is skipped when the next one is asked for."""
+    for source in sources(file):
+        while line := source.line():
+            if not line.strip():
+                continue
+            if not line.startswith(b"WARC/"):
+                raise ValueError(f"no WARC record at {line[:40]!r}")
+            head: dict = dict.fromkeys(HEADER)
+            size = 0
+            while (line := source.line()).strip():
+                key, _, value = line.decode("utf-8", "replace").partition(":")
+                key, value = key.strip().lower(), value.strip()
+                if key == "content-length":
+                    size = int(value)
+                elif key in FIELDS:
+                    head[FIELDS[key]] = value.strip("<>") if key in ("warc-record-id", "warc-refers-to") else value.removeprefix("sha1:") if key == "warc-payload-digest" else value
+            block = Block(source, size)
+            yield head, size, block
+            if source.size is not None and block.end + 4 >= source.size:
+                break  # the member's last record: what is left of it needn't be inflated
+            block.skip()
 
 
 def http_header(block: Block) -> dict:

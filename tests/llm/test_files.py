@@ -1,5 +1,6 @@
 """Token files, packing, audio and WARC: exact round trips and brute force."""
 
+import gzip
 import hashlib
 import zlib
 from collections import defaultdict
@@ -142,7 +143,7 @@ def test_audio_round_trip(spark, odd_docs, no_docs):
     assert audio.load(spark, empty).count() == 0
 
 
-def test_warc_round_trip_and_filters(spark):
+def test_warc_round_trip_and_filters(spark, tmp_path):
     big, line = "<p>ü</p>\r\n\r\nWARC/1.1\r\n" * 60, "short"
     rows = [(1, "http://a/1", big), (2, "http://b/2", big), (5, None, big), (5, None, big), (None, "http://a/null", big), (3, "http://a/3", None), (4, "http://a/ 4\n", line), (6, "u", line), (7, "u", "x" * 1000), (8, "u", "")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
@@ -160,6 +161,15 @@ def test_warc_round_trip_and_filters(spark):
     assert frame.where("record_type = 'revisit'").count() == 3
     assert frame.where("target_uri LIKE 'http://a/%' AND record_type IN ('response', 'x')").count() == 2
     assert warc.read(spark, path, "skip").agg({"payload": "count"}).first()[0] == 0
+    # a plain file and one gzip stream over all records, as other writers make them
+    other = tmp_path / "other"
+    other.mkdir()
+    raw = b"".join(b"".join(warc.record(i, f"http://x/{i}", h.encode(), hashlib.sha1(h.encode()).hexdigest(), None)) for i, h in ((70, big * 9000), (71, ""), (72, line)))
+    (other / "a.warc").write_bytes(raw)
+    (other / "b.warc.gz").write_bytes(gzip.compress(raw[: len(raw) // 2]) + gzip.compress(raw[len(raw) // 2 :]))
+    assert gzip.decompress(warc.member(raw)) == raw
+    for kind in ("bytes", "skip"):
+        assert sorted((r["record_id"][-2:], r["payload_bytes"]) for r in warc.read(spark, f"file://{other}", kind).collect()) == sorted([("70", len((big * 9000).encode())), ("71", 0), ("72", 5)] * 2)
     reader = warc.WarcReader({"path": path})
     from pyspark.sql.datasource import EqualTo, GreaterThan
 
