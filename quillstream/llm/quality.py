@@ -126,16 +126,16 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.3, keep: list[str]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages()
-        for batch, texts in slices(batches, "_text"):
+        for batch, texts in slices(batches, "__utf8__"):
             found = forward(shared.value, *passages(texts))[0]
             if keep is not None:
-                yield batch.filter(pa.array(found >= threshold)).drop_columns(["_text"])
+                yield batch.filter(pa.array(found >= threshold)).drop_columns(["__utf8__"])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.astype(np.float64)), pa.array((found >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     if keep is not None:
-        return docs.select(*keep, utf8("text").alias("_text")).mapInArrow(of, docs.select(*keep).schema)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("_text")).mapInArrow(of, "doc_id long, score double, predicted int")
+        return docs.select(*keep, utf8("text").alias("__utf8__")).mapInArrow(of, docs.select(*keep).schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("__utf8__")).mapInArrow(of, "doc_id long, score double, predicted int")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict:

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op9_qgram_decontamination
+from .tool_calls import OP1_SQL, op1_tool_calls
 from .lattice import op6_subword_lattice
 from .quality import op4_passage_quality
 from .toxicity import op3_subword_toxicity
@@ -16,6 +18,6 @@ from .token_files import op2_token_files
 from .warc import OP7_SQL, op7_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_files, op3_subword_toxicity, op4_passage_quality, op6_subword_lattice, op5_telephony_audio, op7_warc, op8_best_two_fit, op10_simhash_pivots)
+    f.__name__: f for f in (op1_tool_calls, op9_qgram_decontamination, op2_token_files, op3_subword_toxicity, op4_passage_quality, op6_subword_lattice, op5_telephony_audio, op7_warc, op8_best_two_fit, op10_simhash_pivots)
 }
-SQL: dict[str, str] = {"op7_warc": OP7_SQL}
+SQL: dict[str, str] = {"op1_tool_calls": OP1_SQL, "op7_warc": OP7_SQL}

@@ -53,14 +53,14 @@ def fingerprint(text: bytes, width: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id and the fingerprint as a long (the same 64 bits)."""
+    """doc_id, the fingerprint as a long (the same 64 bits) and xxhash64 of the text."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in slices(batches, "text"):
             found = np.array([fingerprint(t, width) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), batch.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text")).mapInArrow(of, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"), F.xxhash64(utf8("text")).alias("text_hash")).mapInArrow(of, "doc_id long, fp long, text_hash long")
 
 
 def keys(fp: Column) -> Column:
@@ -190,13 +190,22 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, limit: int = 3) -> DataFrame:
-    """One row per document: doc_id, fp (long), component_id."""
+    """One row per document: doc_id, fp (long), component_id, root (a fingerprint that names the component) and text_hash."""
     prints = staged(fingerprints(docs, width), "fingerprints")
     classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(links(classes.select("fp"), limit))
     grouped = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = grouped.select("fp", "root").join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = grouped.select("fp", "root").join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
+    return prints.join(named, "fp").select("doc_id", "fp", "component_id", "root", "text_hash")
+
+
+def first_of_each(docs: DataFrame, width: int = 3, limit: int = 3) -> DataFrame:
+    """docs without all but one document of each component: the one with the smallest id, a null id last; of rows that repeat id and text, one."""
+    found = near_duplicates(docs, width, limit)
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("_")).select(F.col("_.doc_id").alias("__id__"), F.col("_.text_hash").alias("__hash__"))
+    hashed = docs.withColumn("__text_hash__", F.xxhash64(utf8("text")))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id__")) & (F.col("__text_hash__") == F.col("__hash__"))
+    return hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__text_hash__"]).select(*docs.columns)
 
 
 def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
