@@ -1,15 +1,16 @@
 """Language-model scoring by a subword lattice.
 
 The pieces of a published byte-level vocabulary are the arcs of a word's lattice; their unigram scores come from expectation
-maximisation over the corpus's own word counts. A word's lattice probability is the sum over all its segmentations, by a
-forward recursion in log space. A word that was seen in training has its whole form as one more arc, discounted by DISCOUNT
-occurrences, whose mass goes to the lattice. The same is done once more within up to CLASSES groups of training documents
-(their languages), and a text's probability is the mixture over the groups: the marginal over all segmentations and groups.
+maximisation over the corpus's own distinct words. A word's lattice probability is the sum over all its segmentations, by a
+forward recursion in log space. A word that was seen in training has its whole form as one more arc, whose discounted share
+goes to the lattice (discounts by the counts of words seen once and twice). Training documents form up to CLASSES groups by
+language, each with piece scores and word counts of its own, and a text's probability is the mixture over the groups: the
+marginal over all segmentations and groups. Language names are used on training documents alone.
 
-Jobs: texts are dealt into blocks of about BLOCK_BYTES; each block yields its distinct words with their training counts; these
-are summed by word; each distinct word's lattice is run once; counts and lattice scores go back to the blocks that hold the
-word (by its number there), where each text's sums are taken. What is shuffled grows with the corpus; what reaches the driver
-is a row per piece and per group.
+Jobs: texts are dealt into blocks of about BLOCK_BYTES; each block yields its distinct words with their training counts, which
+are summed by word, along with the places (block, number in it) where the word stands; each distinct word's lattices are run
+once; the scores go back to the places, where each text's sums are taken. What is shuffled grows with the corpus; what reaches
+the driver is a row per piece and group.
 
 Defined cases: null text counts as empty, with the end token alone; repeated rows and null ids stay (all null ids share one
 fold); other columns but lang are ignored; without training documents the counts are zero and N and V too, and words have
@@ -19,41 +20,49 @@ their lattice probability under equal scores; an empty table gives no rows.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cache
 from itertools import chain
+from math import exp, log
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bpe import public_tokenizer
-from ._common import fold, staged, table, utf8
+from ._common import fold, slices, staged, table, utf8
 from ._text import Rows
 
-BLOCK_BYTES, CLASSES, DISCOUNT, ROUNDS = 32_000_000, 6, 0.5, 2
+BLOCK_BYTES, CLASSES = 64_000_000, 6
+#: Share of what a class's seen words give up that goes to words of other classes; the rest goes to its lattice.
+OTHERS = 0.1
+#: Longest piece in bytes.
+PIECE = 16
 #: Bytes of text that a worker turns into words at once; words of which it runs the lattices at once; longest word for which numpy runs along words.
-PART_BYTES, PART_WORDS, LONG = 2_000_000, 20_000, 40
+PART_BYTES, PART_WORDS, LONG = 2_000_000, 50_000, 40
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
 @cache
 def vocabulary(path: str) -> list[bytes]:
-    """The pieces of a byte-level tokenizer file as bytes, without those that hold white space after their first byte."""
+    """The pieces of a byte-level tokenizer file as bytes, of up to PIECE bytes, without those with capitals or with white space after the first byte."""
     kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
     of = {chr(b): b for b in kept} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(kept))}
     with open(path, encoding="utf-8") as f:
         pieces = json.load(f)["model"]["vocab"]
     raw = (bytes(of[c] for c in p) for p in pieces if all(c in of for c in p))
-    return sorted({p for p in raw if p and not set(p[1:]) & set(b" \t\n\r\v\f") and p == p.lower()})
+    return sorted({p for p in raw if 0 < len(p) <= PIECE and not set(p[1:]) & set(b" \t\n\r\v\f") and p == p.lower()})
 
 
 class Lattice:
     """Forward and backward sums over words; each word is read with a leading space."""
 
     def __init__(self, pieces: list[bytes], scores: np.ndarray):
-        self.scores = np.append(scores, -np.inf)  # natural logarithms; the last for what is no piece
+        scores = np.atleast_2d(scores)
+        self.scores = np.column_stack([scores, np.full(len(scores), -np.inf)])  # natural logarithms; the last column for what is no piece
         self.rows = {p: i for i, p in enumerate(pieces)}
         self.longest = max(map(len, pieces))
         size = 1 << 20
@@ -103,49 +112,64 @@ class Lattice:
                 if (found != len(self.codes) - 1).any():
                     yield i, j, found
 
-    def forward(self, words: list[bytes], expected: np.ndarray | None = None, weight: np.ndarray | None = None) -> np.ndarray:
-        """Natural log of each word's probability. With `expected`, adds each piece's expected count (weights: the words' counts) to it."""
-        out = np.zeros(len(words))
+    def forward(self, words: list[bytes], expected: np.ndarray | None = None, of: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Natural log of each word's probability under each row of scores. With `expected` (classes x pieces and one more), instead adds each piece's expected count, by the first scores, for pairs `of` (word, class)."""
+        out = np.zeros((len(words), len(self.scores)))
         size = np.fromiter(map(len, words), np.int64, len(words))
         for n in np.unique(size).tolist():
             own = np.flatnonzero(size == n)
+            if not n:
+                out[own] = -log(len(self.rows) + 1)  # the end token, as likely as a piece
+                continue
             if n > LONG:
                 for i in own.tolist():
-                    out[i] = self._long(words[i], expected, 0 if weight is None else weight[i])
+                    out[i] = self._long(words[i], expected, () if of is None else of[1][of[0] == i])
                 continue
             arcs = list(self._arcs([words[i] for i in own]))
-            ahead = np.full((n + 2, len(own)), -np.inf)
-            ahead[0] = 0
-            for i, j, found in arcs:
-                np.logaddexp(ahead[j], ahead[i] + self.scores[found], out=ahead[j])
-            out[own] = ahead[n + 1]
             if expected is not None:
-                behind = np.full((n + 2, len(own)), -np.inf)
-                behind[n + 1] = 0
-                for i, j, found in sorted(arcs, key=lambda a: -a[0]):
-                    reached = behind[j] + self.scores[found]
-                    share = np.exp(ahead[i] + reached - ahead[n + 1]) * weight[own]
-                    expected += np.bincount(found, share, len(expected) + 1)[:-1]
-                    np.logaddexp(behind[i], reached, out=behind[i])
+                within = np.full(len(words), -1)
+                within[own] = np.arange(len(own))
+                pair = np.flatnonzero(within[of[0]] >= 0)
+                word, row = within[of[0][pair]], of[1][pair] * expected.shape[1]
+            for k, scores in enumerate(self.scores):
+                ahead = np.full((n + 2, len(own)), -np.inf)
+                ahead[0] = 0
+                for i, j, found in arcs:
+                    np.logaddexp(ahead[j], ahead[i] + scores[found], out=ahead[j])
+                out[own, k] = ahead[n + 1]
+                if expected is not None:
+                    behind = np.full((n + 2, len(own)), -np.inf)
+                    behind[n + 1] = 0
+                    for i, j, found in sorted(arcs, key=lambda a: -a[0]):
+                        reached = behind[j] + scores[found]
+                        share = np.exp(ahead[i] + reached - np.where(ahead[n + 1] > -np.inf, ahead[n + 1], np.inf))
+                        np.add.at(expected.reshape(-1), row + found[word], share[word])
+                        np.logaddexp(behind[i], reached, out=behind[i])
+                    break
         return out
 
-    def _long(self, word: bytes, expected: np.ndarray | None, weight: float) -> float:
+    def _long(self, word: bytes, expected: np.ndarray | None, classes: Sequence[int]) -> list[float]:
         word = b" " + word
         n = len(word)
-        ahead, arcs = [0.0] + [-np.inf] * n, []
-        for j in range(1, n + 1):
-            spans = [(i, r) for i in range(max(0, j - self.longest), j) if (r := self.rows.get(word[i:j])) is not None]
-            values = [ahead[i] + self.scores[r] for i, r in spans]
-            ahead[j] = float(np.logaddexp.reduce(values)) if values else -np.inf
-            arcs.append(spans)
-        if expected is not None and weight:
-            behind = [-np.inf] * n + [0.0]
-            for j in range(n, 0, -1):
-                for i, r in arcs[j - 1]:
-                    reached = behind[j] + self.scores[r]
-                    expected[r] += np.exp(ahead[i] + reached - ahead[n]) * weight
-                    behind[i] = float(np.logaddexp(behind[i], reached))
-        return ahead[n]
+        arcs = [[(i, r) for i in range(max(0, j - self.longest), j) if (r := self.rows.get(word[i:j])) is not None] for j in range(1, n + 1)]
+        out = []
+        for scores in self.scores:
+            ahead = [0.0] + [-np.inf] * n
+            for j, spans in enumerate(arcs, 1):
+                values = [ahead[i] + scores[r] for i, r in spans]
+                most = max(values, default=-np.inf)
+                if most > -np.inf:
+                    ahead[j] = most + log(sum(exp(v - most) for v in values))
+            out.append(ahead[n])
+            if expected is not None:
+                behind = [-np.inf] * n + [0.0]
+                for j in range(n, 0, -1):
+                    for i, r in arcs[j - 1]:
+                        reached = behind[j] + scores[r]
+                        expected[classes, r] += exp(ahead[i] + reached - ahead[n])
+                        behind[i] = float(np.logaddexp(behind[i], reached))
+                break
+        return out
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -153,15 +177,6 @@ def tokens(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def _parts(texts: list[bytes]) -> Iterator[tuple[int, int]]:
-    begin = held = 0
-    for i, t in enumerate(texts):
-        held += len(t)
-        if held >= PART_BYTES or i + 1 == len(texts):
-            yield begin, i + 1
-            begin, held = i + 1, 0
-
-
 def _numbered(texts: list[bytes], rows: Rows) -> tuple[np.ndarray, np.ndarray]:
     """Word numbers of the texts, each ended by the end token, and the texts' sizes."""
     own = [[*tokens(t), b""] for t in texts]
@@ -172,121 +187,175 @@ def _numbered(texts: list[bytes], rows: Rows) -> tuple[np.ndarray, np.ndarray]:
 COUNTS = [f"c{k}" for k in range(CLASSES)]
 
 
-def block_words(docs: DataFrame) -> DataFrame:
-    """docs: block, text, class (null: not for training). Returns block, place (of the word among the block's sorted words), word, and its training counts by class."""
+def dealt(docs: DataFrame, blocks: int) -> DataFrame:
+    """docs: doc_id, text, class. Adds the block and packs the text, which is shuffled twice."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(1).compress
+        for batch, texts in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(press, texts), pa.binary()), batch.column(2), batch.column(3)], names=["doc_id", "text", "class", "block"])
+
+    rows = docs.select("doc_id", "text", "class", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
+    return rows.mapInArrow(pack, "doc_id long, text binary, class int, block int")
+
+
+def _parts(packed: list[bytes]) -> Iterator[tuple[int, int, list[bytes]]]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    begin, held, texts = 0, 0, []
+    for i, t in enumerate(packed):
+        texts.append(unpack(t) if t else b"")
+        held += len(texts[-1])
+        if held >= PART_BYTES or i + 1 == len(packed):
+            yield begin, i + 1, texts
+            begin, held, texts = i + 1, 0, []
+
+
+def _ordered(group: pa.Table) -> pa.Table:
+    """A block's rows by id and text: shuffles give no order, and words are numbered as they appear."""
+    rows = list(zip(group.column("doc_id").to_pylist(), group.column("text").to_pylist(), strict=True))
+    return group.take(sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, rows[i][1])))
+
+
+def block_words(rows: DataFrame) -> DataFrame:
+    """Of each block its distinct words: block, place (the word's number in order of appearance), word, and its training counts by class (class null: not for training)."""
 
     def count(group: pa.Table) -> pa.Table:
-        rows, found = Rows(), np.zeros((CLASSES, 1 << 12), np.int64)
-        texts, classes = group.column("text").to_pylist(), group.column("class").fill_null(-1).to_numpy()
-        for a, b in _parts(texts):
-            row, sizes = _numbered(texts[a:b], rows)
-            while len(rows) > found.shape[1]:
+        words, found, group = Rows(), np.zeros((CLASSES, 1 << 12), np.int64), _ordered(group)
+        classes = group.column("class").fill_null(-1).to_numpy()
+        for a, b, texts in _parts(group.column("text").to_pylist()):
+            row, sizes = _numbered(texts, words)
+            while len(words) > found.shape[1]:
                 found = np.concatenate([found, np.zeros_like(found)], axis=1)
             of = np.repeat(classes[a:b], sizes)
             for k in np.unique(of[of >= 0]).tolist():
                 found[k] += np.bincount(row[of == k], minlength=found.shape[1])
-        words = sorted(rows)
-        order = np.fromiter(map(rows.__getitem__, words), np.int64, len(words))
-        block = np.full(len(words), group.column("block")[0].as_py(), np.int32)
-        return pa.Table.from_arrays([pa.array(block), pa.array(np.arange(len(words), dtype=np.int32)), pa.array(words, pa.binary()), *(pa.array(found[k][order]) for k in range(CLASSES))], names=["block", "place", "word", *COUNTS])
+        n = len(words)
+        block = np.full(n, group.column("block")[0].as_py(), np.int32)
+        return pa.Table.from_arrays([pa.array(block), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(words), pa.binary()), *(pa.array(found[k, :n]) for k in range(CLASSES))], names=["block", "place", "word", *COUNTS])
 
-    return docs.groupBy("block").applyInArrow(count, "block int, place int, word binary, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.groupBy("block").applyInArrow(count, "block int, place int, word binary, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
-def train_scores(totals: DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> np.ndarray:
-    """Natural logs of the pieces' probabilities, by expectation maximisation over word counts, from equal scores."""
+def _counts(batch: pa.RecordBatch) -> np.ndarray:
+    return np.stack([batch.column(c).to_numpy() for c in COUNTS], axis=1)
+
+
+def train_scores(totals: DataFrame, pieces: list[bytes], classes: int) -> np.ndarray:
+    """Natural logs of the pieces' probabilities in each class, by expectation maximisation over distinct training words: a round over all of them from equal scores, then one over each class's own."""
     context = totals.sparkSession.sparkContext
-    scores = np.full(len(pieces), -np.log(len(pieces)))
-    for _ in range(rounds):
+    scores = np.full((1, len(pieces)), -np.log(len(pieces)))
+    trained = totals.where((F.octet_length("word") > 0) & F.greatest(*COUNTS).cast("boolean")).select("word", *COUNTS)
+    for n in (1, classes):
         shared = context.broadcast(scores)  # as many numbers as the vocabulary has pieces
 
-        def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lattice, expected = Lattice(pieces, shared.value), np.zeros(len(pieces))
+        def expect(batches: Iterator[pa.RecordBatch], n=n, shared=shared) -> Iterator[pa.RecordBatch]:
+            lattice, expected = Lattice(pieces, shared.value), np.zeros((n, len(pieces) + 1))
             for batch in batches:
-                words, weight = batch.column("word").to_pylist(), batch.column("n").to_numpy().astype(float)
+                words, seen = batch.column("word").to_pylist(), _counts(batch)[:, :n] > 0 if n > 1 else np.ones((batch.num_rows, 1), bool)
                 for at in range(0, len(words), PART_WORDS):
-                    lattice.forward(words[at : at + PART_WORDS], expected, weight[at : at + PART_WORDS])
-            used = np.flatnonzero(expected)
-            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(expected[used])], names=["piece", "n"])
-
-        trained = totals.where((F.col("n") > 0) & (F.octet_length("word") > 0)).select("word", "n")
-        found = trained.mapInArrow(expect, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()  # a row per piece
-        count = np.full(len(pieces), 0.01)
-        count[[r["piece"] for r in found]] += [r["n"] for r in found]
-        scores = np.log(count / count.sum())
+                    lattice.forward(words[at : at + PART_WORDS], expected, np.nonzero(seen[at : at + PART_WORDS]))
+            expected = expected[:, :-1]
+            class_, piece = np.nonzero(expected)
+            yield pa.RecordBatch.from_arrays([pa.array(class_), pa.array(piece), pa.array(expected[class_, piece])], names=["class", "piece", "n"])
+
+        found = trained.mapInArrow(expect, "class long, piece long, n double").groupBy("class", "piece").agg(F.sum("n").alias("n")).collect()  # a row per class and piece
+        count = np.full((n, len(pieces)), 0.01)
+        for r in found:
+            count[r["class"], r["piece"]] += r["n"]
+        scores = np.log(count / count.sum(axis=1, keepdims=True))
     return scores
 
 
-def score(docs: DataFrame, train: str | None = None, tokenizer: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs: doc_id, text, lang and a boolean column `train`. Returns doc_id, n_tokens, n_known, train_tokens, base_score, score."""
+def score(docs: DataFrame, train: str, tokenizer: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs: doc_id, text, lang and a boolean column named by `train`. Returns doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
     pieces = vocabulary(tokenizer or public_tokenizer())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col(train).alias("train"))
-    groups = rows.where("train").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(CLASSES - 1).collect()
-    number = F.create_map(*chain.from_iterable((F.lit(r["lang"]), F.lit(k)) for k, r in enumerate(groups))) if groups else None
-    class_ = F.when(F.col("train"), F.coalesce(number[F.col("lang")], F.lit(CLASSES - 1)) if groups else F.lit(CLASSES - 1))
+    groups = [r["lang"] for r in rows.where("train").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(CLASSES).collect()]
+    class_ = F.lit(min(len(groups), CLASSES) - 1)  # further languages join the last
+    for k, lang in reversed(list(enumerate(groups))):
+        class_ = F.when(F.col("lang") == lang, F.lit(k)).otherwise(class_)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    dealt = rows.select("doc_id", "text", class_.alias("class"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
-    words = staged(block_words(dealt), "block-words")
-    totals = staged(words.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS)).withColumn("n", sum((F.col(c) for c in COUNTS), F.lit(0))), "word-counts")
-    sums = totals.agg(*(F.sum(c).alias(c) for c in COUNTS), *(F.count_if(F.col(c) > 0).alias(f"v{c}") for c in COUNTS), F.count_if(F.col("n") > 0).alias("v"), F.max(F.when(F.octet_length("word") == 0, F.struct(*COUNTS))).alias("ends")).first()
-    known = {"n": np.array([sums[c] or 0 for c in COUNTS], float), "v": np.array([sums[f"v{c}"] for c in COUNTS], float), "V": sums["v"], "docs": np.array([(sums["ends"] or {c: 0 for c in COUNTS})[c] for c in COUNTS], float)}
-    shared = spark.sparkContext.broadcast((pieces, train_scores(totals, pieces)))  # as large as the vocabulary
+    packed = dealt(rows.withColumn("class", F.when(F.col("train"), class_).cast("int")), max(1, -(-size // block_bytes)))
+    words = block_words(packed).groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS), F.collect_list(F.struct("block", "place")).alias("places"))
+    totals = staged(words, "word-counts")
+    n = sum((F.col(c) for c in COUNTS), F.lit(0))
+    per = lambda name, x: (F.count_if(x > 0).alias(f"v{name}"), F.count_if(x == 1).alias(f"once{name}"), F.count_if(x == 2).alias(f"twice{name}"), F.sum(x).alias(f"n{name}"), F.sum(F.when(F.octet_length("word") == 0, x)).alias(f"end{name}"))
+    sums = totals.agg(*(x for name, c in [("", n), *((c, F.col(c)) for c in COUNTS)] for x in per(name, c))).first()
+    known = Known.of([{k: sums[f"{k}{name}"] or 0 for k in ("n", "v", "once", "twice", "end")} for name in ("", *COUNTS[: max(1, len(groups))])])
+    shared = spark.sparkContext.broadcast((pieces, train_scores(totals, pieces, max(1, len(groups)))))  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(*shared.value)
         for batch in batches:
-            own = batch.column("word").to_pylist()
-            found = np.concatenate([np.zeros(0), *(lattice.forward(own[at : at + PART_WORDS]) for at in range(0, len(own), PART_WORDS))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.astype(np.float32))], names=[*batch.schema.names, "lattice"])
+            own, counts = batch.column("word").to_pylist(), _counts(batch)
+            for at in range(0, len(own), PART_WORDS):
+                part = batch.slice(at, PART_WORDS)
+                found = known.by_class(counts[at : at + PART_WORDS, : len(known.n)], lattice.forward(own[at : at + PART_WORDS])).astype("<f4")
+                yield pa.RecordBatch.from_arrays([part.column("places"), pa.array(counts[at : at + PART_WORDS].sum(axis=1)), pa.array([x.tobytes() for x in found], pa.binary())], names=["places", "n", "logs"])
 
-    scored = totals.select("word", *COUNTS).mapInArrow(run, "word binary, " + ", ".join(f"{c} long" for c in COUNTS) + ", lattice float")
-    back = words.select("block", "place", "word").join(scored, "word").select("block", "place", *COUNTS, "lattice")
+    scored = totals.select("word", "places", *COUNTS).mapInArrow(run, "places array<struct<block: int, place: int>>, n long, logs binary")
+    back = scored.select(F.explode("places").alias("_"), "n", "logs").select("_.block", "_.place", "n", "logs")
+    names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def sum_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.Table.from_pylist([], pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]))
-        order = np.argsort(right.column("place").to_numpy())
-        counts = np.stack([right.column(c).to_numpy()[order] for c in COUNTS], axis=1)
-        base, by_class = word_scores(counts, right.column("lattice").to_numpy()[order].astype(float), known)
-        texts = left.column("text").to_pylist()
-        rows = Rows({w: i for i, w in enumerate(sorted({w for t in texts for w in tokens(t)} | {b""}))})
-        total = counts.sum(axis=1)
-        out = []
-        for a, b in _parts(texts):
-            row, sizes = _numbered(texts[a:b], rows)
+        left, order = _ordered(left), np.argsort(right.column("place").to_numpy())
+        total = right.column("n").to_numpy()[order]
+        logs = right.column("logs").combine_chunks()
+        by_class = np.frombuffer(b"".join(logs.to_pylist()), "<f4").reshape(len(order), -1)[order].astype(float)
+        base, words, out = known.base(total), Rows(), [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2]
+        for _, _, texts in _parts(left.column("text").to_pylist()):
+            row, sizes = _numbered(texts, words)  # the same numbers as in block_words
             first = np.cumsum(sizes) - sizes
-            mixed = np.add.reduceat(by_class[row], first, axis=0) + prior(known)
+            mixed = np.add.reduceat(by_class[row], first, axis=0) + known.prior()
             most = mixed.max(axis=1)
             out.append((sizes, np.add.reduceat((total[row] > 0).astype(np.int64), first), np.add.reduceat(base[row], first), (most + np.log(np.exp(mixed - most[:, None]).sum(axis=1))) / np.log(10)))
         sizes, seen, base_score, own = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.Table.from_arrays([left.column("doc_id"), pa.array(sizes), pa.array(seen), pa.array(np.full(len(sizes), int(known["n"].sum()))), pa.array(base_score), pa.array(own)], names=["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(sum_up, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def prior(known: dict) -> np.ndarray:
-    """Natural logs of the classes' shares of the training documents; of those without documents, minus infinity."""
-    docs = known["docs"]
-    with np.errstate(divide="ignore"):
-        return np.log(docs / docs.sum()) if docs.sum() else np.where(np.arange(len(docs)) == 0, 0.0, -np.inf)
-
-
-def word_scores(counts: np.ndarray, lattice: np.ndarray, known: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Of each word: log10 of its add-one probability, and the natural log of its probability in each class."""
-    total, n = counts.sum(axis=1), known["n"].sum()
-    base = np.log10((total + 1) / (n + known["V"] + 1))
-    with np.errstate(divide="ignore", under="ignore"):
-        spelled = np.exp(lattice)
-        if n:
-            whole = np.maximum(total - DISCOUNT, 0) / n + DISCOUNT * known["V"] / n * spelled
-            by_class = np.log((np.maximum(counts - DISCOUNT, 0) + DISCOUNT * known["v"] * whole[:, None]) / np.maximum(known["n"], 1))
-            rare = np.log(DISCOUNT * known["V"] / n) + lattice[:, None] + np.log(DISCOUNT * known["v"] / np.maximum(known["n"], 1))
-            by_class = np.maximum(by_class, rare)  # where exp() was too small
-        else:
-            by_class = np.repeat(lattice[:, None], CLASSES, axis=1)
-    return base, np.maximum(by_class, -1e6)
+        return pa.Table.from_arrays([left.column("doc_id"), pa.array(sizes), pa.array(seen), pa.array(np.full(len(sizes), int(known.total))), pa.array(base_score), pa.array(own)], names=names)
+
+    return packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(sum_up, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+class Known(NamedTuple):
+    """Sums over the training documents: all tokens, distinct tokens, and by class tokens, distinct tokens, documents, discounts."""
+
+    total: int
+    distinct: int
+    discount: float
+    n: np.ndarray
+    v: np.ndarray
+    docs: np.ndarray
+    discounts: np.ndarray
+
+    @staticmethod
+    def of(sums: list[dict]) -> "Known":
+        """First the sums of all, then of each class. An absolute discount of once / (once + 2 twice)."""
+        discount = [min(0.9, max(0.1, s["once"] / (s["once"] + 2 * s["twice"]))) if s["once"] else 0.5 for s in sums]
+        column = lambda k: np.array([s[k] for s in sums[1:]], float)
+        return Known(sums[0]["n"], sums[0]["v"], discount[0], column("n"), column("v"), column("end"), np.array(discount[1:]))
+
+    def base(self, count: np.ndarray) -> np.ndarray:
+        """log10 of the add-one probability of words of these counts."""
+        return np.log10((count + 1) / (self.total + self.distinct + 1))
+
+    def prior(self) -> np.ndarray:
+        """Natural logs of the classes' shares of the training documents."""
+        with np.errstate(divide="ignore"):
+            return np.log(self.docs / self.docs.sum()) if self.docs.sum() else np.where(np.arange(len(self.docs)) == 0, 0.0, -np.inf)
+
+    def by_class(self, counts: np.ndarray, lattice: np.ndarray) -> np.ndarray:
+        """Natural logs of words' probabilities in each class, from their counts there and their lattice's in each class."""
+        if not self.total:
+            return lattice
+        with np.errstate(divide="ignore", under="ignore"):
+            spelled = np.exp(lattice)
+            count = counts.sum(axis=1, keepdims=True)
+            whole = np.maximum(count - self.discount, 0) / self.total + self.discount * self.distinct / self.total * spelled
+            n = np.maximum(self.n, 1)
+            free = np.where(self.n > 0, self.discounts * self.v / n, 1.0)
+            seen = np.maximum(counts - self.discounts, 0) / n + free * (OTHERS * whole + (1 - OTHERS) * spelled)
+            # The lattice alone where exp() would be too small.
+            return np.maximum(np.log(seen), np.log(free * (1 - OTHERS)) + lattice)
 
 
 def op6_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
