@@ -36,7 +36,7 @@ from ._bpe import public_tokenizer
 from ._common import fold, slices, staged, table, utf8
 from ._text import Rows
 
-BLOCK_BYTES, CLASSES = 64_000_000, 6
+BLOCK_BYTES, CLASSES = 24_000_000, 6
 #: Share of what a class's seen words give up that goes to words of other classes; the rest goes to its lattice.
 OTHERS = 0.1
 #: Longest piece in bytes.
