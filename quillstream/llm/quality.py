@@ -95,7 +95,9 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 0) -> dict:
     share = float(np.mean(labels)) if len(labels) else 1.0
     if share in (0.0, 1.0):
         return model | {"c": np.zeros(HIDDEN), "d": np.array([30.0 if share else -30.0])}
-    x, counts = Passages()(texts)
+    passages = Passages()
+    x, counts = (np.concatenate(x) for x in zip(*(passages(texts[k : k + 200]) for k in range(0, len(texts), 200)), strict=True))
+    del passages
     model["mean"], model["scale"] = x.mean(axis=0), x.std(axis=0) + 1e-3
     inputs = (x - model["mean"]) / model["scale"]
     of = np.repeat(np.arange(len(counts)), counts)
