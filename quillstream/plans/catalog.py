@@ -1,4 +1,6 @@
 """All queries of the library by name, with the SQL that says what they return."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import relational, scalars  # noqa: F401
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
