@@ -25,8 +25,8 @@ LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^{_SPACE}{_LETTER}
 _words = regex.compile(PATTERN).findall
 _latin_words = re.compile(LATIN).findall
 _other = re.compile(f"[^\x00-\x7f{_LETTER}]").search
-#: Pre-tokens that a worker remembers (about 200 MB); beyond it starts anew.
-MOST_WORDS = 1_000_000
+#: Pre-tokens that a worker remembers (about 80 MB); beyond it starts anew.
+MOST_WORDS = 400_000
 
 
 def pre_tokens(text: str) -> list[str]:

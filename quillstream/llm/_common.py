@@ -6,7 +6,9 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,13 +69,13 @@ def fold(id_column: str, modulus: int) -> Column:
 def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Runs of rows whose column holds about `size` bytes (one row at least), with that column as a list."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index(column)).to_pylist()
-        begin = held = 0
-        for i, text in enumerate(texts):
-            held += len(text)
-            if held >= size or i + 1 == len(texts):
-                yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
-                begin, held = i + 1, 0
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False), dtype=np.int64)
+        begin = 0
+        while begin < len(ends):
+            end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + size, "right")))
+            part = batch.slice(begin, end - begin)
+            yield part, part.column(column).to_pylist()
+            begin = end
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, train: Column, most: int) -> list:

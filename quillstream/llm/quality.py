@@ -27,7 +27,7 @@ from ._text import Rows, newest, windows
 SAMPLE = 6000
 WIDTH, HIDDEN, GATE, STEPS, RATE = 64, 16, 8, 100, 0.05
 #: Words that a worker remembers; beyond it starts anew.
-MOST_WORDS = 1_000_000
+MOST_WORDS = 400_000
 #: Distances at which a word is compared with earlier ones.
 LAGS = (1, 2, 3, 5, 8)
 _KINDS = np.zeros((256, 8), np.float32)
