@@ -118,7 +118,7 @@ def _(t: Tables) -> DataFrame:
 @query(
     "tc_topic_sections",
     """WITH c AS (SELECT c.*, s.date, s.title, lower(s.house) AS source FROM contribution c JOIN session s ON s.id = c.session_id WHERE s.date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'),
-    d AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN url IS NULL THEN 'id ' || id ELSE concat_ws(' ', url, member_name) END ORDER BY id) AS n FROM c)
+    d AS (SELECT *, row_number() OVER (PARTITION BY CASE WHEN url IS NULL THEN 'id ' || id ELSE concat_ws(' ', url, member_name) END ORDER BY id, member_name NULLS FIRST, date, title, source, word_count, relevance) AS n FROM c)
     SELECT date, title, source, count(*) AS speeches, coalesce(bool_or(lower(trim(member_name)) IN (SELECT 'member ' || id FROM member WHERE id % 5 = 0)), FALSE) AS has_minister, max(word_count) AS longest FROM d WHERE n = 1 GROUP BY ALL""",
 )
 def _(t: Tables) -> DataFrame:

@@ -27,14 +27,25 @@ def files_of(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8 if all files' bytes are, else Windows-1252. The files are tried where they lie."""
+    """UTF-8 if all files' bytes are, else Windows-1252 (read as Latin-1, whose codes it extends). The files are tried where they lie."""
     bad = spark.read.format("binaryFile").load(path).where(~F.is_valid_utf8(F.col("content").cast("string"))).limit(1)
-    return "windows-1252" if not bad.isEmpty() else "UTF-8"
+    return "ISO-8859-1" if not bad.isEmpty() else "UTF-8"
+
+
+def _windows_1252() -> tuple[str, str]:
+    """The characters between U+0080 and U+009F of a text read as Latin-1, and what Windows-1252 means by them."""
+    codes = [b for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore")]
+    return "".join(map(chr, codes)), bytes(codes).decode("cp1252")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """Text columns by header; a byte-order mark is no part of the first name."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding_of(spark, path)).csv(path)
+    encoding = encoding_of(spark, path)
+    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
+    if encoding != "UTF-8":
+        theirs, meant = _windows_1252()
+        names = [c.translate(str.maketrans(theirs, meant)) for c in df.columns]
+        df = df.select(*(F.translate(F.col(f"`{c}`"), theirs, meant).alias(n) for c, n in zip(df.columns, names, strict=True)))
     return df.toDF(*(c.lstrip("﻿").removeprefix("ï»¿").strip() for c in df.columns))
 
 
