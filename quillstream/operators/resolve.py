@@ -1,9 +1,9 @@
 """Entity resolution: names to organisations in tiers of exact, close and new.
 
 Candidates for a close match come from two equality joins that lose no pair of similarity 0.9 or more. A name whose words are
-all among another's meets it by its rarest word. Otherwise at most a tenth of both names' characters are inserted or deleted,
-each of which touches two bigrams, so among the rarest bigrams of either name, as many as that allows and one more, one is
-common. Similarity itself is computed on these pairs alone, in Arrow batches.
+all among another's meets it by its rarest word. Otherwise at most two ninths of one name's characters have no match in the
+other. Each touches two bigrams, so one of the rarest of that name's bigrams, as many as that allows and one more, is the
+other's too, and so are all but that many. Similarity itself is computed on these pairs alone, in Arrow batches.
 """
 
 from __future__ import annotations
@@ -72,10 +72,12 @@ def candidates(names: DataFrame, others: DataFrame) -> DataFrame:
     within = rarest.join(all_, "part").select("key", "other")
     subset = within.union(within.select(F.col("other"), F.col("key")))
     grams = _rare_first(every, bigrams(F.col("key")))
-    longest = F.length("key") * 11 / 9  # of a partner: more would take over a tenth
-    prefix = F.slice("parts", 1, (2 * F.floor((F.length("key") + longest) / 10) + 1).cast("int"))
-    short = grams.select("key", F.explode(prefix).alias("part"))
-    close = short.join(short.withColumnRenamed("key", "other"), "part").select("key", "other")
+    allowed = F.floor(2 * F.length("key") / 9)  # characters in or out, whichever name is compared
+    short = grams.select("key", "parts", F.explode(F.slice("parts", 1, (2 * allowed + 1).cast("int"))).alias("part"))
+    long = grams.select(F.col("key").alias("other"), F.col("parts").alias("theirs"), F.explode("parts").alias("part"))
+    enough = F.size(F.array_intersect("parts", "theirs")) >= F.size("parts") - 2 * allowed
+    one = short.join(long, "part").where((F.col("key") != F.col("other")) & enough).select("key", "other")
+    close = one.union(one.select("other", "key"))
     near = subset.union(close).where("key <> other").distinct()
     return near.join(names.select("key"), "key", "left_semi").join(others.select(F.col("key").alias("other")), "other", "left_semi").select("key", "other")
 
