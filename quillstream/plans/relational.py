@@ -57,10 +57,10 @@ def _(t: Tables) -> DataFrame:
     return t.session.join(hit, "id", "left").where(F.col("hit") | F.col("title").contains("Bill")).groupBy("house").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j08_silent_organisations", "SELECT o.id, o.canonical_name FROM organisation o LEFT JOIN engagement e ON e.organisation_id = o.id GROUP BY ALL HAVING count(e.id) = 0")
+@query("j08_silent_organisations", "SELECT o.id, o.canonical_name FROM organisation o LEFT JOIN (SELECT * FROM engagement WHERE cited_in_outcome AND engagement_date >= DATE '2001-01-01') e ON e.organisation_id = o.id GROUP BY ALL HAVING count(e.id) = 0")
 def _(t: Tables) -> DataFrame:
-    """Organisations without engagements."""
-    return J.not_in(t.organisation.select("id", "canonical_name"), t.engagement, "id", "organisation_id")
+    """Organisations without a cited engagement this year."""
+    return J.not_in(t.organisation.select("id", "canonical_name"), t.engagement.where("cited_in_outcome AND engagement_date >= DATE '2001-01-01'"), "id", "organisation_id")
 
 
 @query("j09_untagged_sessions", "SELECT id, title FROM session s WHERE NOT is_container AND NOT EXISTS (SELECT 1 FROM theme t WHERE t.session_id = s.id) AND debate_type <> 'other'")
@@ -127,7 +127,7 @@ FROM k a JOIN k b ON a.key = b.key AND a.id <> b.id AND abs(date_diff('day', a.d
 NORMAL = "lower(trim(regexp_replace(regexp_replace(regexp_replace(trim(title), '^\\s*draft\\s+', '', 'i'), '\\s*\\[lords\\]\\s*$', '', 'i'), '\\s+', ' ', 'g')))"
 
 
-@query("t01_related_sessions", f"WITH k AS (SELECT id, date, {NORMAL} || house || debate_type AS key FROM session) SELECT id, n, nearest.d AS days, nearest.id AS nearest_id FROM ({RELATED})")
+@query("t01_related_sessions", f"WITH k AS (SELECT id, date, {NORMAL} || house || debate_type AS key FROM session) SELECT id, n, CAST(nearest.d AS INTEGER) AS days, nearest.id AS nearest_id FROM ({RELATED})")
 def _(t: Tables) -> DataFrame:
     """Sessions of an equal normal title near in time: how many, and the nearest."""
     pairs = J.related(t.session, F.concat(T.normal_title(F.col("title")), "house", "debate_type"), 30)
