@@ -52,9 +52,9 @@ def any_word(text: Column, query: str) -> Column:
 
 
 def cascade(df: DataFrame, first: Column, second: Column) -> DataFrame:
-    """Rows of the first condition; if it has none, of the second. One row of flags decides, joined back."""
-    flags = df.agg(F.coalesce(F.bool_or(first), F.lit(False)).alias("_any"))
-    return df.crossJoin(F.broadcast(flags)).where(F.when(F.col("_any"), first).otherwise(second)).drop("_any")  # one row
+    """Rows of the first condition; if it has none, of the second. One scalar decides."""
+    found = df.agg(F.coalesce(F.bool_or(first), F.lit(False))).scalar()
+    return df.where(F.when(found, first).otherwise(second))
 
 
 def whole_word(c: Column, variants: list[str]) -> Column:

@@ -271,9 +271,8 @@ def _(t: Tables) -> DataFrame:
 @query("a12_t09_recent", "SELECT count(*) AS n FROM run WHERE started_at >= (SELECT max(started_at) FROM run) - INTERVAL 24 HOUR")
 def _(t: Tables) -> DataFrame:
     """Rows of the last 24 hours, counted from the newest."""
-    hourly = t.run.groupBy("started_at").agg(F.count(F.lit(1)).alias("n"))
-    newest = t.run.agg(F.max("started_at").alias("newest"))  # one row
-    return hourly.crossJoin(F.broadcast(newest)).where(F.col("started_at") >= F.col("newest") - F.expr("INTERVAL 24 HOURS")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+    newest = t.run.agg(F.max("started_at")).scalar()
+    return t.run.where(F.col("started_at") >= newest - F.expr("INTERVAL 24 HOURS")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("a13_last_per_department", "SELECT department, max(date) AS last FROM session WHERE department IS NOT NULL GROUP BY 1")
@@ -295,8 +294,7 @@ def _(t: Tables) -> DataFrame:
     """Sessions by number of speeches, with shares; the total is over the buckets, a handful of rows."""
     each = t.contribution.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
     buckets = each.groupBy(F.expr(BUCKET).alias("bucket")).agg(F.count(F.lit(1)).alias("sessions"), F.min("n").alias("least"))
-    total = buckets.agg(F.sum("sessions").alias("total"))
-    return buckets.crossJoin(F.broadcast(total)).select("bucket", "sessions", "least", F.round(100.0 * F.col("sessions") / F.col("total"), 2).alias("share"))
+    return buckets.select("bucket", "sessions", "least", F.round(100.0 * F.col("sessions") / buckets.agg(F.sum("sessions")).scalar(), 2).alias("share"))
 
 
 @query("a18_t02_high_water_mark", "WITH m AS (SELECT department, source_type, max(engagement_date) AS d FROM engagement WHERE source_type LIKE '%committee' GROUP BY ALL) SELECT department, CAST(CASE WHEN count(*) < 2 THEN DATE '1990-01-01' ELSE min(d) - INTERVAL 14 DAY END AS DATE) AS since FROM m GROUP BY department")
@@ -455,8 +453,8 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """The third page of 25, ties by id, and the number of pages."""
     rows = t.session.where("house = 'Lords'").select("id", "title", "date")
-    pages = rows.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / 25)).alias("pages"))
-    return rows.orderBy(F.desc_nulls_last("date"), "id").offset(50).limit(25).crossJoin(F.broadcast(pages))
+    pages = rows.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / 25))).scalar()
+    return rows.orderBy(F.desc_nulls_last("date"), "id").offset(50).limit(25).withColumn("pages", pages)
 
 
 @query("o03_top_ranked", "SELECT id, relevance FROM contribution ORDER BY relevance DESC, id LIMIT 20")
