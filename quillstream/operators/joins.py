@@ -59,6 +59,26 @@ def related(sessions: DataFrame, title_key: Column, days: int = 365) -> DataFram
     return joined.select("id", "other_id", F.datediff("other_date", "date").alias("days"))
 
 
+def related_summary(sessions: DataFrame, key: Column, days: int = 365) -> DataFrame:
+    """J21, W10, O09 without pairs: of each session that has related ones, their number and the nearest (the smallest id of equally near ones).
+
+    Sessions are counted by key and date first; a key's window then has a row per date at most, whatever the number of sessions.
+    """
+    from pyspark.sql import Window
+
+    rows = sessions.select("id", "date", key.alias("key")).where("date IS NOT NULL AND key IS NOT NULL")
+    daily = rows.groupBy("key", "date").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    again = rows.join(daily, ["key", "date"]).groupBy("key", "date").agg(F.min("n").alias("n"), F.min("first").alias("first"), F.min(F.when(F.col("id") != F.col("first"), F.col("id"))).alias("second"))
+    day = F.unix_date("date")
+    order = Window.partitionBy("key").orderBy(day)
+    near = order.rangeBetween(-days, days)
+    beside = lambda f: F.struct(F.abs(day - F.unix_date(f("date").over(order))).alias("d"), f("first").over(order).alias("other_id"))
+    spread = again.withColumn("total", F.sum("n").over(near)).withColumn("before", beside(F.lag)).withColumn("after", beside(F.lead))
+    within = lambda c: F.when(F.col(f"{c}.d") <= days, F.col(c))
+    own = F.when(F.col("n") > 1, F.struct(F.lit(0).alias("d"), F.when(F.col("id") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("other_id")))
+    return rows.join(spread, ["key", "date"]).where("total > 1").select("id", (F.col("total") - 1).alias("n"), F.coalesce(own, F.least(within("before"), within("after"))).alias("_")).select("id", "n", F.col("_.d").alias("days"), F.col("_.other_id").alias("nearest_id"))
+
+
 def enriched(left: DataFrame, dimension: DataFrame, key: str, column: str) -> DataFrame:
     """A column filled from a dimension (unique keys) where it is null."""
     there = dimension.select(F.col(key).alias("_k"), F.col(column).alias("_v"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -130,8 +130,7 @@ NORMAL = "lower(trim(regexp_replace(regexp_replace(regexp_replace(trim(title), '
 @query("t01_related_sessions", f"WITH k AS (SELECT id, date, {NORMAL} || house || debate_type AS key FROM session) SELECT id, n, CAST(nearest.d AS INTEGER) AS days, nearest.id AS nearest_id FROM ({RELATED})")
 def _(t: Tables) -> DataFrame:
     """Sessions of an equal normal title near in time: how many, and the nearest."""
-    pairs = J.related(t.session, F.concat(T.normal_title(F.col("title")), "house", "debate_type"), 30)
-    return pairs.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.abs("days").alias("d"), "other_id")).alias("_")).select("id", "n", F.col("_.d").alias("days"), F.col("_.other_id").alias("nearest_id"))
+    return J.related_summary(t.session, F.concat(T.normal_title(F.col("title")), "house", "debate_type"), 30)
 
 
 @query("j22_interval_join", "WITH p AS (SELECT organisation_id, policy_area, date_trunc('month', engagement_date) AS a, CASE WHEN id % 3 > 0 THEN date_trunc('month', engagement_date) + INTERVAL 60 DAY END AS b, id FROM engagement WHERE id % 2 = 0) SELECT e.id, p.id AS span_id FROM engagement e JOIN p ON e.organisation_id = p.organisation_id AND p.a <= e.engagement_date AND (p.b IS NULL OR p.b >= e.engagement_date)")
@@ -185,11 +184,13 @@ def _(t: Tables) -> DataFrame:
 
 @query("j29_same_asker", "SELECT a.id, count(*) AS n FROM question a JOIN question b ON a.member_id = b.member_id AND a.id <> b.id AND a.department = b.department AND a.heading = b.heading AND b.tabled_date BETWEEN a.tabled_date - INTERVAL 90 DAY AND a.tabled_date GROUP BY a.id")
 def _(t: Tables) -> DataFrame:
-    """An asker's other questions of the last 90 days on the same heading."""
-    q = t.question.select("id", "member_id", "department", "heading", "tabled_date")
+    """An asker's other questions of the last 90 days on the same heading: counted by date, then over a range of dates."""
     keys = ["member_id", "department", "heading"]
-    b = q.select(*keys, F.col("id").alias("other"), F.col("tabled_date").alias("then"))
-    return q.join(b, keys).where((F.col("id") != F.col("other")) & F.col("then").between(F.date_sub("tabled_date", 90), F.col("tabled_date"))).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    q = t.question.where("member_id IS NOT NULL AND department IS NOT NULL AND heading IS NOT NULL").select("id", *keys, "tabled_date")
+    daily = q.groupBy(*keys, "tabled_date").agg(F.count(F.lit(1)).alias("n"))
+    recent = Window.partitionBy(*keys).orderBy(F.unix_date("tabled_date")).rangeBetween(-90, 0)
+    totals = daily.withColumn("n", F.sum("n").over(recent) - 1).where("n > 0")
+    return q.join(totals, [*keys, "tabled_date"]).select("id", "n")
 
 
 @query("j30_s40_member_enrichment", "SELECT c.id, coalesce(c.party, m.party, 'Unknown') AS party, coalesce(m.house, 'Commons') AS house FROM contribution c LEFT JOIN member m ON m.id = c.member_id")

@@ -65,6 +65,11 @@ def test_joins_and_windows(spark):
     assert sorted((r["k"] or 0, r["at"], r["asof_v"]) for r in joins.as_of(left, right, "k", "at", "since", ["v"]).collect()) == [(0, 3, None), (1, 1, None), (1, 5, "b"), (2, 7, None)]
     s = spark.createDataFrame([(i, datetime.date(2020, 1, 1) + datetime.timedelta(days=d), k) for i, d, k in [(1, 0, "x"), (2, 364, "x"), (3, 365, "x"), (4, 731, "x"), (5, 0, "y")]], "id int, date date, k string")
     assert {(r["id"], r["other_id"]) for r in joins.related(s, F.col("k")).collect()} == {(1, 2), (2, 1), (1, 3), (3, 1), (2, 3), (3, 2)}
+    more = s.union(spark.createDataFrame([(6, datetime.date(2020, 1, 1), "x"), (7, None, "x"), (8, datetime.date(2020, 1, 1), "x")], "id int, date date, k string"))
+    best = {}
+    for r in joins.related(more, F.col("k")).collect():
+        best.setdefault(r["id"], []).append((abs(r["days"]), r["other_id"]))
+    assert {r["id"]: (r["n"], r["days"], r["nearest_id"]) for r in joins.related_summary(more, F.col("k")).collect()} == {i: (len(x), *min(x)) for i, x in best.items()}
     rows = spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1")], "s string, x string")
     slug = windows.collision_free(rows, F.col("s"), F.concat("s", "x"), F.concat("s", F.lit("-"), "x"))
     assert sorted(r["slug"] for r in slug.collect()) == ["a1", "a2", "b"]
