@@ -163,7 +163,7 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """edges: a, b (longs). Returns node, root: the smallest node of its component. Each round is written to the shared folder."""
+    """edges: a, b (of one type that sorts). Returns node, root: the smallest node of its component. Each round is written to the shared folder."""
 
     def state(df: DataFrame) -> tuple:
         r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 31))).first()
@@ -193,9 +193,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, limit: int = 3) -> DataFram
     """One row per document: doc_id, fp (long), component_id, root (a fingerprint that names the component) and text_hash."""
     prints = staged(fingerprints(docs, width), "fingerprints")
     classes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes.select("fp"), limit))
-    grouped = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = grouped.select("fp", "root").join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id", "root")
+    # A node sorts by its class's smallest id, so a component's smallest node names it and no component is gathered anywhere.
+    node = classes.select("fp", F.struct(F.col("least").isNull().alias("none"), "least", "fp").alias("node"))
+    edges = links(classes.select("fp"), limit)
+    for end in ("a", "b"):
+        edges = edges.join(node.select(F.col("fp").alias(end), F.col("node").alias(f"node_{end}")), end)
+    roots = components(edges.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).select(F.col("node.fp").alias("fp"), F.col("root.least").alias("_l"), F.col("root.fp").alias("_r"))
+    named = classes.join(roots, "fp", "left").select("fp", F.coalesce("_l", "least").alias("component_id"), F.coalesce("_r", "fp").alias("root"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id", "root", "text_hash")
 
 
