@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..storage import kept
+
 CLOSE = 0.90
 
 
@@ -66,17 +68,18 @@ def _rare_first(names: DataFrame, parts: Column) -> DataFrame:
 
 def candidates(names: DataFrame, others: DataFrame) -> DataFrame:
     """Pairs key, other of distinct normal names that may be 0.9 alike. names, others: key."""
-    every = names.select("key").union(others.select("key")).distinct()
+    every = kept(names.select("key").union(others.select("key")).distinct(), "names")
     words = _rare_first(every, F.array_distinct(F.split("key", " ")))
     rarest, all_ = words.select("key", F.element_at("parts", 1).alias("part")), words.select(F.col("key").alias("other"), F.explode("parts").alias("part"))
     within = rarest.join(all_, "part").select("key", "other")
     subset = within.union(within.select(F.col("other"), F.col("key")))
-    grams = _rare_first(every, bigrams(F.col("key")))
+    grams = kept(_rare_first(every, bigrams(F.col("key"))), "bigrams")
     allowed = F.floor(2 * F.length("key") / 9)  # characters in or out, whichever name is compared
     short = grams.select("key", "parts", F.explode(F.slice("parts", 1, (2 * allowed + 1).cast("int"))).alias("part"))
     long = grams.select(F.col("key").alias("other"), F.col("parts").alias("theirs"), F.explode("parts").alias("part"))
     enough = F.size(F.array_intersect("parts", "theirs")) >= F.size("parts") - 2 * allowed
-    one = short.join(long, "part").where((F.col("key") != F.col("other")) & enough).select("key", "other")
+    n = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # kept as it is: few bytes in, many pairs out
+    one = short.repartition(n, "part").join(long.repartition(n, "part"), "part").where((F.col("key") != F.col("other")) & enough).select("key", "other")
     close = one.union(one.select("other", "key"))
     near = subset.union(close).where("key <> other").distinct()
     return near.join(names.select("key"), "key", "left_semi").join(others.select(F.col("key").alias("other")), "other", "left_semi").select("key", "other")
@@ -91,12 +94,12 @@ def resolve(staging: DataFrame, organisations: DataFrame, aliases: DataFrame, di
     first = staging.groupBy("key").agg(F.min("id").alias("first"))
     by_name = organisations.groupBy("key").agg(F.max("id").alias("_o"))
     by_alias = aliases.groupBy("key").agg(F.max("organisation_id").alias("_a"))
-    exact = first.join(by_name, "key", "left").join(by_alias, "key", "left").select("key", "first", F.coalesce("_o", "_a").alias("match"))
+    exact = kept(first.join(by_name, "key", "left").join(by_alias, "key", "left").select("key", "first", F.coalesce("_o", "_a").alias("match")), "exact")
     new = exact.where("match IS NULL").select("key", "first")
     known = by_name.select(F.col("key").alias("other"), F.lit(-1).cast("long").alias("since"), F.col("_o").alias("other_id"))
     earlier = new.select(F.col("key").alias("other"), F.col("first").alias("since"), F.lit(None).cast("long").alias("other_id"))
     pool = known.unionByName(earlier)
-    pairs = candidates(new.select("key"), pool.select(F.col("other").alias("key")).distinct())
+    pairs = candidates(new.select("key"), pool.select(F.col("other").alias("key")).distinct()).repartition(int(staging.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     scored = pairs.join(new, "key").join(pool, "other").where("since < first").withColumn("similarity", similarity("key", "other")).where(F.col("similarity") >= CLOSE)
     best = scored.groupBy("key").agg(F.max(F.struct("similarity", (-F.col("since")).alias("_e"), (-F.coalesce("other_id", F.lit(0))).alias("_i"), "other")).alias("_")).select("key", F.col("_.other").alias("close_to"), F.col("_.similarity").alias("similarity"))
     if distinct_pairs is not None:
@@ -120,8 +123,6 @@ def new_ids(names: DataFrame, order: str, start: int) -> DataFrame:
     """H2: ids after `start` in a stable order: ranks within ranges of the order, after the sums of the ranges before."""
     n = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = names.repartitionByRange(n, order).withColumn("_p", F.spark_partition_id())
-    from ..storage import kept
-
     ranged = kept(ranged, "ranged")
     sizes = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_b"))  # a row per partition
