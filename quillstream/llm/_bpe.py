@@ -25,7 +25,7 @@ LATIN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^{_SPACE}{_LETTER}
 _words = regex.compile(PATTERN).findall
 _latin_words = re.compile(LATIN).findall
 _other = re.compile(f"[^\x00-\x7f{_LETTER}]").search
-#: Pre-tokens that a worker remembers (about 80 MB); beyond it starts anew.
+#: Pre-tokens that a worker remembers (about 80 MB); beyond, it keeps those that came again, half as many at most.
 MOST_WORDS = 400_000
 
 
@@ -53,13 +53,30 @@ class WordEncoder:
 
     def _reset(self) -> None:
         self.rows, self.ids, self.used, self.known = _Rows(), np.empty(1 << 16, np.uint32), 0, 0
-        self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.start, self.size, self.seen = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _trim(self) -> None:
+        """Forgets the pre-tokens that came once since the last time."""
+        n = len(self.rows)
+        again = np.flatnonzero(self.seen[:n] > 1)
+        if len(again) > MOST_WORDS // 2:
+            again = np.sort(again[np.argpartition(-self.seen[again], MOST_WORDS // 2)[: MOST_WORDS // 2]])
+        words, start, size, ids = list(self.rows), self.start[again], self.size[again], self.ids
+        self._reset()
+        for i in again.tolist():
+            self.rows[words[i]]
+        self._room()
+        self._keep(np.arange(len(again)), size, ids[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())])
+        self.known = len(again)
+
+    def _room(self) -> None:
+        while len(self.rows) > len(self.start):
+            self.start, self.size, self.seen = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size, self.seen))
 
     def _learn(self) -> None:
         """Asks the library for the pre-tokens that are new."""
         new = list(islice(reversed(self.rows), len(self.rows) - self.known))[::-1]
-        while len(self.rows) > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.empty_like(x)]) for x in (self.start, self.size))
+        self._room()
         plain = [i for i, w in enumerate(new) if not w[0].isspace() or (w[0] == " " and len(w) > 1 and not w[1].isspace())]
         rest = set(range(len(new))) - set(plain)
         for at in range(0, len(plain), 20_000):  # a line each; the line feed is a pre-token of its own
@@ -90,12 +107,13 @@ class WordEncoder:
             each = [np.asarray([*e.ids, end], np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
             return np.concatenate([np.empty(0, np.uint32), *each]), np.concatenate([[0], np.cumsum([len(x) for x in each], dtype=np.int64)])
         if len(self.rows) > MOST_WORDS:
-            self._reset()
+            self._trim()
         words = [pre_tokens(t) for t in texts]
         counts = np.fromiter(map(len, words), np.int64, len(words))
         row = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
         if len(self.rows) > self.known:
             self._learn()
+        self.seen[: self.known] += np.bincount(row, minlength=self.known)
         size = self.size[row]
         ends = np.cumsum(size)
         of_text = np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum(counts)]])

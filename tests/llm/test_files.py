@@ -178,3 +178,13 @@ def test_warc_round_trip_and_filters(spark, tmp_path):
     empty = shared_path(spark, "test")
     warc.write(pages.limit(0), empty)
     assert warc.read(spark, empty).count() == 0
+
+
+def test_word_encoder_forgets_and_learns_anew(plain, monkeypatch):
+    monkeypatch.setattr(_bpe, "MOST_WORDS", 40)
+    encoder, rng = _bpe.WordEncoder(_bpe.public_tokenizer()), np.random.default_rng(6)
+    for _ in range(60):
+        texts = [" ".join(f"w{int(rng.zipf(1.3)) % 300}x" for _ in range(rng.integers(0, 30))) for _ in range(5)]
+        ids, bounds = encoder.encode(texts, 9)
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [[*plain(t), 9] for t in texts]
+        assert len(encoder.rows) == encoder.known
