@@ -199,7 +199,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, limit: int = 3) -> DataFram
     for end in ("a", "b"):
         edges = edges.join(node.select(F.col("fp").alias(end), F.col("node").alias(f"node_{end}")), end)
     roots = components(edges.select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).select(F.col("node.fp").alias("fp"), F.col("root.least").alias("_l"), F.col("root.fp").alias("_r"))
-    named = classes.join(roots, "fp", "left").select("fp", F.coalesce("_l", "least").alias("component_id"), F.coalesce("_r", "fp").alias("root"))
+    named = staged(classes.join(roots, "fp", "left").select("fp", F.coalesce("_l", "least").alias("component_id"), F.coalesce("_r", "fp").alias("root")), "named")
+    # A join by itself, so that Spark can split the partition of a fingerprint that very many documents have.
     return prints.join(named, "fp").select("doc_id", "fp", "component_id", "root", "text_hash")
 
 
