@@ -3,6 +3,8 @@
 A word's vector is the mean of the vectors of its character 3- to 5-grams (with word bounds) and of the word itself, all
 hashed into one table, so a misspelling shares most of its vectors with the word. A text is cut into windows of WINDOW words;
 the mean vector of a window's words goes through a linear softmax, and the text's score is that of its highest window.
+A word of over LONGEST bytes (scripts without spaces, joined words) is cut into overlapping parts that hold all of its n-grams;
+each part, with the vector of the whole word, is a window of its own, so such a word counts as its highest part.
 Table and softmax are learned together by gradient descent on document labels. The driver trains on at most SAMPLE labelled
 rows, whatever the corpus; tasks score every whole text. As the softmax is linear, a word adds one number per class, which a
 task computes once per distinct word.
@@ -36,7 +38,7 @@ ROUNDS, STEPS, RATE, FLOOR = 10, 25, 0.15, 1e-3
 MOST_WORDS = 400_000
 #: Words whose n-grams are made at once.
 PART = 20_000
-#: Longest part of a word whose n-grams count.
+#: Bytes of the longest word that counts as one, and of the parts of longer ones; parts overlap by half or more.
 LONGEST = 48
 _FOLD = bytes.maketrans(bytes(range(33, 48)) + b":;<=>?@[\\]^_`{|}~", b" " * 32)
 
@@ -52,9 +54,23 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().translate(_FOLD).split()
 
 
+def apart(words: list[bytes]) -> tuple[list[bytes], list[bytes]]:
+    """Words of at most LONGEST bytes, and the parts of the others: a space, LONGEST bytes of the word with its bounds, the whole word's hash."""
+    if max(map(len, words), default=0) <= LONGEST:
+        return words, []
+    parts = []
+    for w in words:
+        if len(w) > LONGEST:
+            held = b"<" + w + b">"
+            whole = xxhash.xxh64_intdigest(held, 3).to_bytes(8, "little")
+            last = len(held) - LONGEST
+            parts += [b" " + held[k : k + LONGEST] + whole for k in chain(range(0, last, LONGEST // 2), (last,))]
+    return [w for w in words if len(w) <= LONGEST], parts
+
+
 def subwords(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket numbers of all words' n-grams, and how many each word has. An n-gram is of UTF-8 bytes."""
-    held = [b"<" + w[:LONGEST] + b">" for w in words]
+    """Bucket numbers of the n-grams of all words and parts of words, and how many each has. An n-gram is of UTF-8 bytes."""
+    held = [w[1:-8] if w.startswith(b" ") else b"<" + w + b">" for w in words]
     size = np.fromiter(map(len, held), np.int64, len(held))
     code = np.frombuffer(b"".join(held), np.uint8).astype(np.uint64)
     ends = np.repeat(np.cumsum(size), size)
@@ -67,7 +83,7 @@ def subwords(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np
             h = (h ^ code[at + k]) * np.uint64(1099511628211)
         found.append(h)
         owner.append(of[at])
-    whole = np.fromiter((xxhash.xxh64_intdigest(w, 3) for w in held), np.uint64, len(held))
+    whole = np.fromiter((int.from_bytes(w[-8:], "little") if w.startswith(b" ") else xxhash.xxh64_intdigest(h, 3) for w, h in zip(words, held, strict=True)), np.uint64, len(held))
     found.append(whole)
     owner.append(np.arange(len(held)))
     grams, owner = np.concatenate(found), np.concatenate(owner)
@@ -76,6 +92,12 @@ def subwords(words: list[bytes], buckets: int = BUCKETS) -> tuple[np.ndarray, np
     return ((grams ^ (grams >> np.uint64(29))) % np.uint64(buckets)).astype(np.int32), np.bincount(owner, minlength=len(held)).astype(np.int32)
 
 
+def windows_of(sizes: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of windows over all texts' words, which all texts' parts follow, and the text of each. A part is a window."""
+    starts, text = windows(sizes, WINDOW)
+    return np.append(starts, sizes.sum() + np.arange(parts.sum())), np.append(text, np.repeat(np.arange(len(parts)), parts))
+
+
 def softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -90,10 +112,10 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 0) -> Model:
         p = min(max(share, 1e-6), 1 - 1e-6)
         return Model(np.zeros_like(model.table), model.weight, np.log(np.array([1 - p, p])))
     rows = Rows()
-    flat = [np.fromiter(map(rows.__getitem__, words_of(t)), np.int32) for t in texts]
-    sizes = np.fromiter(map(len, flat), np.int64, len(flat))
-    word, y, sizes = np.concatenate(flat), labels[sizes > 0].astype(np.int64), sizes[sizes > 0]
-    starts, text = windows(sizes, WINDOW)
+    flat = [[np.fromiter(map(rows.__getitem__, x), np.int32) for x in apart(words_of(t))] for t in texts]
+    sizes = np.array([[len(x) for x in both] for both in flat], np.int64)
+    word, y, sizes = np.concatenate([both[i] for i in range(2) for both in flat]), labels[sizes.any(axis=1)].astype(np.int64), sizes[sizes.any(axis=1)]
+    starts, text = windows_of(*sizes.T)
     length = np.diff(starts, append=len(word))
     del flat
     parts = [subwords(list(islice(rows, k, k + PART))) for k in range(0, len(rows), PART)]  # parts keep what numpy holds at once small
@@ -106,7 +128,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 0) -> Model:
             order = rng.permutation(len(text))
             nth = np.empty(len(text), np.int64)  # of its text, in random order
             by_text = order[np.argsort(text[order], kind="stable")]
-            nth[by_text] = np.arange(len(text)) - np.flatnonzero(np.diff(text, prepend=-1))[text[by_text]]
+            nth[by_text] = np.arange(len(text)) - np.flatnonzero(np.diff(text[by_text], prepend=-1))[text[by_text]]
             chosen = np.flatnonzero(nth < 4)
         else:
             by_bucket = model.table @ (model.weight[:, 1] - model.weight[:, 0])
@@ -161,17 +183,16 @@ class Scorer:
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         if len(self.rows) > MOST_WORDS:
             self.rows, self.known = Rows(), 0
-        own = [words_of(t) for t in texts]
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        row = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(own)), np.int64, int(sizes.sum()))
+        own = [apart(words_of(t)) for t in texts]
+        sizes = np.array([[len(x) for x in both] for both in own], np.int64).reshape(-1, 2)
+        row = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(both[i] for i in range(2) for both in own)), np.int64, int(sizes.sum()))
         if len(self.rows) > self.known:
             self._learn()
-        top = np.full(len(texts), 0.0)
-        starts, text = windows(sizes, WINDOW)
+        top = np.full(len(texts), -np.inf)
+        starts, text = windows_of(*sizes.T)
         if len(starts):
-            length = np.diff(starts, append=len(row))
-            first = np.flatnonzero(np.diff(text, prepend=-1))
-            top[text[first]] = np.maximum.reduceat(np.add.reduceat(self.margin[row], starts) / length, first)
+            np.maximum.at(top, text, np.add.reduceat(self.margin[row], starts) / np.diff(starts, append=len(row)))
+        top[~sizes.any(axis=1)] = 0.0
         return 1 / (1 + np.exp(-np.clip(top + float(self.model.bias[1]) - float(self.model.bias[0]), -500, 500)))
 
 

@@ -41,6 +41,33 @@ def test_toxicity_learns_words_and_their_misspellings(prose):
     assert scorer([long])[0] < 0.7 < scorer([long + b" zwumpkin blorfous quaxhead zwumpkin" * 3])[0]
 
 
+def test_toxicity_reads_long_words_to_their_end(prose):
+    rng, words = prose
+    bad = ["zwumpkin", "blorfous", "quaxhead"]
+
+    def joined(n):
+        texts, labels = [], []
+        for i in range(n):
+            own = "".join(words(int(rng.integers(60, 200))))
+            at = int(rng.integers(60, len(own)))
+            texts.append((own[:at] + str(rng.choice(bad)) * (i % 2) + own[at:]).encode())
+            labels.append(i % 2)
+        return texts, np.array(labels)
+
+    spaced, of_spaced = toxic_set(rng, words, 400, bad)
+    runs, of_runs = joined(400)
+    scorer = toxicity.Scorer(toxicity.train(spaced + runs, np.append(of_spaced, of_runs)))
+    runs, labels = joined(200)
+    assert ((scorer(runs) >= 0.7) == labels).mean() > 0.9
+    spaced, labels = toxic_set(rng, words, 200, bad)
+    assert ((scorer(spaced) >= 0.7) == labels).mean() > 0.95
+    start = b"an" * 30
+    assert scorer([start + b"er"])[0] != scorer([start + b"th"])[0]
+    w = start + b"zwumpkin"
+    parts = toxicity.apart([w, b"an"])
+    assert parts[0] == [b"an"] and all(any(held[k : k + 5] in p[1:-8] for p in parts[1]) for held in [b"<" + w + b">"] for k in range(len(held) - 4))
+
+
 def test_quality_finds_the_bad_passage(prose):
     rng, words = prose
 
