@@ -356,6 +356,12 @@ def _(t: Tables) -> DataFrame:
     return t.organisation.where("id < 200").groupBy("type").agg(F.array_join(F.sort_array(F.collect_set("canonical_name")), "|").alias("names"))
 
 
+@query("a29_a40_all_names_by_type", "SELECT DISTINCT type, canonical_name AS name FROM organisation")
+def _(t: Tables) -> DataFrame:
+    """A29, A40 over all organisations: a row per distinct name of a type, in order."""
+    return t.organisation.select("type", F.col("canonical_name").alias("name")).distinct().orderBy("type", "name")
+
+
 @query("a30_session_text", "SELECT session_id, substr(string_agg(speech_text, ' ' ORDER BY speech_order, id), 1, 200) AS text FROM contribution GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     """A session's speeches in order, cut."""
@@ -390,6 +396,13 @@ def _(t: Tables) -> DataFrame:
     return t.question_theme.where("question_id < 500").groupBy("theme").agg(F.min("question_id").alias("first"), F.array_join(F.sort_array(F.collect_set(F.col("question_id").cast("string"))), ",").alias("ids"))
 
 
+@query("a41_regroup_all", "SELECT DISTINCT theme, min(question_id) OVER (PARTITION BY theme) AS first, question_id FROM question_theme WHERE theme IS NOT NULL")
+def _(t: Tables) -> DataFrame:
+    """A41 over all questions: a row per distinct theme and question, with the theme's first question."""
+    pairs = t.question_theme.select("theme", "question_id").distinct()
+    return pairs.join(t.question_theme.groupBy("theme").agg(F.min("question_id").alias("first")), "theme").select("theme", "first", "question_id")
+
+
 # Windows
 
 
