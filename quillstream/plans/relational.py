@@ -369,6 +369,12 @@ def _(t: Tables) -> DataFrame:
     return t.contribution.groupBy("session_id").agg(F.substring(F.array_join(F.transform(ordered, lambda x: x["speech_text"]), " "), 1, 200).alias("text"))
 
 
+@query("a30_session_text_4000", "SELECT session_id, coalesce(substr(string_agg(speech_text, ' ' ORDER BY speech_order, id) FILTER (speech_text <> ''), 1, 4000), '') AS text FROM contribution WHERE session_id IS NOT NULL GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    """A30 as in the reference: a session's speeches in order, cut at 4,000 characters; only those that begin before are collected."""
+    return W.joined_text(t.contribution.select("session_id", "speech_order", "id", "speech_text"), "session_id", ["speech_order", "id"], "speech_text", 4000)
+
+
 @query("a31_sources_per_organisation", "SELECT organisation_id, count(DISTINCT source_url) AS sources FROM engagement GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     return t.engagement.groupBy("organisation_id").agg(F.countDistinct("source_url").alias("sources"))
@@ -380,6 +386,15 @@ def _(t: Tables) -> DataFrame:
     return t.question.where("member_id IS NOT NULL").groupBy("member_id").agg(F.count(F.lit(1)).alias("n"), uins.alias("uins"))
 
 
+@query("a34_questions_ranked", "SELECT member_id, id, uin, row_number() OVER (PARTITION BY member_id ORDER BY id) AS rank, count(*) OVER (PARTITION BY member_id) AS n FROM question WHERE member_id IS NOT NULL")
+def _(t: Tables) -> DataFrame:
+    """A row per question with its rank among its member's, and their number."""
+    own = t.question.where("member_id IS NOT NULL").select("member_id", "id", "uin")
+    ranked = W.with_total_before(own, "member_id", ["id"], F.lit(1), "_before", width=4096)
+    counts = own.groupBy("member_id").agg(F.count(F.lit(1)).alias("n"))
+    return ranked.join(counts, "member_id").select("member_id", "id", "uin", (F.col("_before") + 1).alias("rank"), "n")
+
+
 @query("a35_distinct_values", "SELECT DISTINCT department, house FROM session WHERE department IS NOT NULL")
 def _(t: Tables) -> DataFrame:
     return t.session.where("department IS NOT NULL").select("department", "house").distinct().orderBy("department", "house")

@@ -76,15 +76,15 @@ def log_run(spark: SparkSession, target: str, name: str, counters: DataFrame) ->
 
 
 def csv_report(df: DataFrame, path: str, preamble: list[tuple[str, str]]) -> None:
-    """One CSV file with a byte-order mark, lines of metadata, an empty line, a header and the rows in order. For reports: the rows are put in one file by one task."""
+    """CSV with a byte-order mark, lines of metadata, an empty line, a header and the rows in order, in part files whose names are in that order (a small report is one)."""
     quote = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(c.cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
     spark = df.sparkSession
     head = [f'"{a}","{b}"' for a, b in preamble] + ["", ",".join(f'"{c}"' for c in df.columns)]
     head[0] = "﻿" + head[0]
     top = spark.createDataFrame([(i, t) for i, t in enumerate(head)], "_n long, value string")
     rows = df.select(F.concat_ws(",", *(quote(F.col(c)) for c in df.columns)).alias("value"))
-    numbered = rows.coalesce(1).select((F.lit(len(head)) + F.monotonically_increasing_id()).alias("_n"), "value")
-    top.unionByName(numbered).coalesce(1).sortWithinPartitions("_n").select("value").write.mode("overwrite").text(path)
+    numbered = rows.select((F.lit(len(head)) + F.monotonically_increasing_id()).alias("_n"), "value")
+    top.unionByName(numbered).repartitionByRange("_n").sortWithinPartitions("_n").select("value").write.mode("overwrite").text(path)
 
 
 def sitemap(urls: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ from quillstream.functions import dates as D
 from quillstream.functions import scoring as S
 from quillstream.functions import text as T
 from quillstream.operators import audit, graph, joins, predicates, search, vectors, windows
+from quillstream.sources import sinks
 from quillstream.streaming import incremental
 
 
@@ -125,3 +126,25 @@ def test_streams_restart_from_their_state(spark, tmp_path):
     assert [r["ts"].day for r in latest.collect()] == [5]
     row = spark.createDataFrame([("1990-01-01",)], "x string")
     assert row.select(incremental.since(spark.createDataFrame([(datetime.date(2024, 2, 1),)], "d date"), "d", 14, "1990-01-01")).first()[0] == datetime.date(2024, 1, 18)
+
+
+def test_joined_text_is_cut_and_ordered_within_and_across_bins(spark):
+    rows = [(1, o, i, f"speech {o} {i} " + "é" * (o % 30)) for o in range(400) for i in range(2)] + [(1, None, 900, "last"), (2, 1, 1, None), (2, 2, 2, ""), (3, 200, 1, "b"), (3, 3, 2, "a"), (3, None, 3, "c"), (4, 1, 1, "x" * 9000)]
+    df = spark.createDataFrame(rows, "k long, o long, i long, t string").repartition(7)
+    found = {r["k"]: r["text"] for r in windows.joined_text(df, "k", ["o", "i"], "t", 4000).collect()}
+    whole = " ".join(t for k, _, _, t in rows if k == 1)
+    assert found == {1: whole[:4000], 2: "", 3: "a b c", 4: "x" * 4000} and len(whole) > 4000
+
+
+def test_csv_report_of_many_rows_is_in_several_ordered_files(spark, tmp_path):
+    sizes = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k"}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        sinks.csv_report(spark.range(20000, numPartitions=6).selectExpr("20000 - id AS n").orderBy("n"), f"file://{tmp_path}/csv", [("Report", "x")])
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)
+    parts = sorted((tmp_path / "csv").glob("part-*"))
+    lines = [x for p in parts for x in p.read_text(encoding="utf-8").splitlines()]
+    assert len(parts) > 1 and lines[:3] == ['\ufeff"Report","x"', "", '"n"'] and lines[3:] == [f'"{n}"' for n in range(1, 20001)]
