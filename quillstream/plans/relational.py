@@ -220,6 +220,16 @@ def _(t: Tables) -> DataFrame:
     return J.first_match(t.organisation.where("id < 300"), variants, t.raw("customer").select(F.col("c_name").alias("k"), F.col("c_custkey").alias("hit")), "k", "hit", "id")
 
 
+@query("j34_first_variant_all", "WITH v AS (SELECT id, unnest([canonical_name, replace(canonical_name, ' Ltd', ''), 'Customer#000000001']) AS v, unnest([0, 1, 2]) AS pos FROM organisation), h AS (SELECT c_name AS k, c_custkey AS hit FROM customer), m AS (SELECT id, min({'pos': pos, 'hit': hit}) AS x FROM v JOIN h ON v.v = h.k GROUP BY id) SELECT id, x.hit AS hit FROM m")
+def _(t: Tables) -> DataFrame:
+    """J34, S41, S42 over all organisations; the constant last variant is looked up once."""
+    variants = F.array("canonical_name", F.replace("canonical_name", F.lit(" Ltd"), F.lit("")))
+    hits = t.raw("customer").select(F.col("c_name").alias("k"), F.col("c_custkey").alias("hit"))
+    found = J.first_match(t.organisation, variants, hits, "k", "hit", "id")
+    last = hits.where("k = 'Customer#000000001'").agg(F.min("hit").alias("_last"))
+    return t.organisation.select("id").distinct().join(found, "id", "left").crossJoin(F.broadcast(last)).select("id", F.coalesce("hit", "_last").alias("hit")).where("hit IS NOT NULL")
+
+
 @query("j35_new_alerts", "SELECT p.id, p.url FROM page p WHERE NOT EXISTS (SELECT 1 FROM page a WHERE a.id % 2 = 0 AND a.url = p.url)")
 def _(t: Tables) -> DataFrame:
     return J.not_in(t.page.select("id", "url"), t.page.where("id % 2 = 0").select("url"), "url", "url")

@@ -57,6 +57,15 @@ def _(t: Tables) -> DataFrame:
     return landed.first_feed(c.select(site.alias("site")).distinct(), ["/feed", "/rss", "/rss.xml"], feeds)
 
 
+@query("s32_first_feed_all", "SELECT site, arg_min(url, i) AS feed FROM (SELECT DISTINCT 'https://x' || (c_custkey % 40) || '.org' AS site, unnest(['/feed', '/rss', '/rss.xml']) AS p, unnest([0, 1, 2]) AS i FROM customer) s JOIN (SELECT DISTINCT 'https://x' || (c_custkey % 40) || '.org' || CASE WHEN c_custkey % 3 = 0 THEN '/rss' ELSE '/rss.xml' END AS url FROM customer) f ON f.url = s.site || s.p GROUP BY site")
+def _(t: Tables) -> DataFrame:
+    """S32 with the feeds of all customers."""
+    site = F.concat(F.lit("https://x"), F.col("c_custkey") % 40, F.lit(".org"))
+    c = t.raw("customer")
+    feeds = c.select(F.concat(site, F.when(F.col("c_custkey") % 3 == 0, "/rss").otherwise("/rss.xml")).alias("url"))
+    return landed.first_feed(c.select(site.alias("site")).distinct(), ["/feed", "/rss", "/rss.xml"], feeds)
+
+
 @query("s34_s36_u10_catalogue", "SELECT * FROM (VALUES ('member', 'added', 'string')) v(name, \"column\", type)")
 def _(t: Tables) -> DataFrame:
     """Expected columns that a table lacks."""
