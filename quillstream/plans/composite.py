@@ -83,6 +83,15 @@ def _(t: Tables) -> DataFrame:
     return first_of_lookups(staged, [(t.organisation.select(key, "id"), "key", "id"), (t.alias.select(F.lower("alias_name").alias("key"), F.col("organisation_id").alias("id")), "key", "id")], "key", "match").select("id", "match")
 
 
+@query("er_exact_tier_all", "WITH o AS (SELECT lower(canonical_name) AS key, max(id) AS id FROM organisation GROUP BY 1), a AS (SELECT lower(alias_name) AS key, max(organisation_id) AS id FROM alias GROUP BY 1) SELECT s.id, coalesce(o.id, a.id) AS match FROM (SELECT id, lower(canonical_name) AS key FROM organisation) s LEFT JOIN o USING (key) LEFT JOIN a USING (key)")
+def _(t: Tables) -> DataFrame:
+    """ER1 over all organisations."""
+    from ..operators.joins import first_of_lookups
+
+    key = F.lower("canonical_name").alias("key")
+    return first_of_lookups(t.organisation.select("id", key), [(t.organisation.select(key, "id"), "key", "id"), (t.alias.select(F.lower("alias_name").alias("key"), F.col("organisation_id").alias("id")), "key", "id")], "key", "match").select("id", "match")
+
+
 @query("er4_corroborated", "WITH o AS (SELECT id, lower(regexp_extract(url, '^[A-Za-z]+://([^/]+)', 1)) AS host, registration_number AS r FROM organisation), p AS (SELECT min(id) OVER (PARTITION BY host) AS a, id AS b FROM o WHERE host IS NOT NULL UNION SELECT min(id) OVER (PARTITION BY r), id FROM o WHERE r IS NOT NULL) SELECT a, b FROM p WHERE a <> b")
 def _(t: Tables) -> DataFrame:
     return resolve.corroborated(t.organisation.select("id", F.lower(F.try_parse_url("url", F.lit("AUTHORITY"))).alias("host"), "registration_number"))

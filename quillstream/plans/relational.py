@@ -141,6 +141,14 @@ def _(t: Tables) -> DataFrame:
     return J.during(t.engagement.select("id", "organisation_id", "engagement_date"), spans, "organisation_id", "engagement_date", "a", "b").select("id", "span_id")
 
 
+@query("j22_interval_join_all", "WITH p AS (SELECT organisation_id, policy_area, date_trunc('month', engagement_date) AS a, CASE WHEN id % 3 > 0 THEN date_trunc('month', engagement_date) + INTERVAL 60 DAY END AS b, id FROM engagement) SELECT e.id, p.id AS span_id FROM engagement e JOIN p ON e.organisation_id = p.organisation_id AND p.a <= e.engagement_date AND (p.b IS NULL OR p.b >= e.engagement_date)")
+def _(t: Tables) -> DataFrame:
+    """J22 with a span of every engagement."""
+    start = F.date_trunc("month", "engagement_date")
+    spans = t.engagement.select("id", "organisation_id", start.alias("a"), F.when(F.col("id") % 3 > 0, start + F.expr("INTERVAL 60 DAY")).alias("b"))
+    return J.during(t.engagement.select("id", "organisation_id", "engagement_date"), spans, "organisation_id", "engagement_date", "a", "b").select("id", "span_id")
+
+
 @query("x01_as_of_join", "WITH v AS (SELECT user_id, max(value) AS value, ts FROM events WHERE event_type = 'view' GROUP BY user_id, ts), p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') SELECT p.event_id, v.value, v.ts AS seen_at FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts")
 def _(t: Tables) -> DataFrame:
     """An extension of J22: the last view before each purchase."""
@@ -235,6 +243,12 @@ def _(t: Tables) -> DataFrame:
     return J.not_in(t.page.select("id", "url"), t.page.where("id % 2 = 0").select("url"), "url", "url")
 
 
+@query("j35_new_alerts_all", "SELECT c.id, c.url FROM contribution c WHERE c.url IS NOT NULL AND NOT EXISTS (SELECT 1 FROM contribution a WHERE a.stance = 'R' AND a.url = c.url)")
+def _(t: Tables) -> DataFrame:
+    """Contributions whose address is none of those already alerted, which a data column tells."""
+    return J.not_in(t.contribution.where("url IS NOT NULL").select("id", "url"), t.contribution.where("stance = 'R'").select("url"), "url", "url")
+
+
 # Aggregates
 
 

@@ -42,6 +42,13 @@ def _(t: Tables) -> DataFrame:
     return landed.completed(t.question.select("id", "answer_text"), full, "id", "answer_text", 20)
 
 
+@query("s39_full_answers_all", "SELECT q.id, CASE WHEN length(q.answer_text) < 20 THEN coalesce(f.full_text, q.answer_text) ELSE q.answer_text END AS answer_text FROM question q LEFT JOIN (SELECT o_orderkey AS id, o_orderpriority || ' in full' AS full_text FROM orders) f ON f.id = q.id")
+def _(t: Tables) -> DataFrame:
+    """S39 with the full texts of another table, for every question."""
+    full = t.raw("orders").select(F.col("o_orderkey").alias("id"), F.concat("o_orderpriority", F.lit(" in full")).alias("answer_text"))
+    return landed.completed(t.question.select("id", "answer_text"), full, "id", "answer_text", 20)
+
+
 @query("s10_s11_s23_pruned_scans", "SELECT id, uin FROM question WHERE tabled_date BETWEEN DATE '1997-03-01' AND DATE '1997-03-31' AND department = 'HM Treasury' UNION ALL SELECT id, ext_id FROM session WHERE date BETWEEN DATE '1997-03-01' AND DATE '1997-03-31' AND title LIKE '%Bill%'")
 def _(t: Tables) -> DataFrame:
     """A month's questions of a department and sections by title; the filters reach the scans."""
