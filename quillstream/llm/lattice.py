@@ -1,29 +1,32 @@
 """Language-model scoring by a subword lattice.
 
-The pieces of a published byte-level vocabulary are the arcs of a word's lattice; their unigram scores come from expectation
-maximisation over the corpus's own distinct words. A word's lattice probability is the sum over all its segmentations, by a
-forward recursion in log space. A word that was seen in training has its whole form as one more arc, whose discounted share
-goes to the lattice (discounts by the counts of words seen once and twice). Training documents form up to CLASSES groups by
-language, each with piece scores and word counts of its own, and a text's probability is the mixture over the groups: the
-marginal over all segmentations and groups. Language names are used on training documents alone.
-
-Jobs: texts are dealt into blocks of about BLOCK_BYTES; each block yields its distinct words with their training counts, which
-are summed by word, along with the places (block, number in it) where the word stands; each distinct word's lattices are run
-once; the scores go back to the places, where each text's sums are taken. What is shuffled grows with the corpus; what reaches
-the driver is a row per piece and group.
+The arcs of a word's lattice are the pieces of a published subword vocabulary; the file's scores are the arcs' first weights. A
+word's probability is the sum over all its segmentations, by a forward recursion in log space; a text's is the product over its
+words and the end token. No word has an arc of its own: seen or not, it is worth what its segmentations are.
+
+A piece has one score as a whole word, as a word's first piece, in its middle and at its end; scores of the first two kinds sum
+to one, and those of the last two, so that the probabilities of all words do. Training documents move the scores from the
+file's: rounds of expected counts over all segmentations of all training words (each as often as it occurs), to which the
+scores before are added with the weight of PRIOR pieces. This gives a class of scores for all training documents, and one for
+each of their CLASSES most frequent languages; a text's probability is the marginal over segmentations and classes, and the
+language of the text that is scored is not used.
+
+Jobs: texts are dealt into blocks of about BLOCK_BYTES; each block yields its distinct words with their training counts and
+places (numbers within the block); counts are summed by word; each distinct word's lattice is run once; an equality join by
+word takes the results back to the places, of which a word has one a block, so that Spark can split it; each text's sums are
+taken there. What is shuffled grows with the corpus; what reaches the driver is a row per language class, piece and kind.
 
 Defined cases: null text counts as empty, with the end token alone; repeated rows and null ids stay (all null ids share one
-fold); other columns but lang are ignored; without training documents the counts are zero and N and V too, and words have
-their lattice probability under equal scores; an empty table gives no rows.
+fold); other columns but lang are ignored; documents of further languages teach the class of all documents alone; without
+training documents N and V are zero and the file's scores stand; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from functools import cache
 from itertools import chain
-from math import exp, log
+from math import log
 from typing import NamedTuple
 
 import numpy as np
@@ -33,36 +36,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._bpe import public_tokenizer
-from ._common import fold, slices, staged, table, utf8
+from ._common import fold, shuffle_partitions, slices, staged, table, utf8
 from ._text import Rows
 
-BLOCK_BYTES, CLASSES = 24_000_000, 6
-#: Share of what a class's seen words give up that goes to words of other classes; the rest goes to its lattice.
-OTHERS = 0.1
-#: Longest piece in bytes.
-PIECE = 16
+BLOCK_BYTES, CLASSES = 12_000_000, 7
+#: Rounds over all training words before the one that is split by class; pieces that the scores before count for.
+ROUNDS, PRIOR = 2, 100.0
+#: Kinds of arcs: a whole word, its first piece, one inside, its last piece.
+WHOLE, FIRST, INNER, LAST = range(4)
 #: Bytes of text that a worker turns into words at once; words of which it runs the lattices at once; longest word for which numpy runs along words.
-PART_BYTES, PART_WORDS, LONG = 2_000_000, 50_000, 40
+PART_BYTES, PART_WORDS, LONG = 2_000_000, 20_000, 40
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
 @cache
-def vocabulary(path: str) -> list[bytes]:
-    """The pieces of a byte-level tokenizer file as bytes, of up to PIECE bytes, without those with capitals or with white space after the first byte."""
-    kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    of = {chr(b): b for b in kept} | {chr(256 + n): b for n, b in enumerate(b for b in range(256) if b not in set(kept))}
-    with open(path, encoding="utf-8") as f:
-        pieces = json.load(f)["model"]["vocab"]
-    raw = (bytes(of[c] for c in p) for p in pieces if all(c in of for c in p))
-    return sorted({p for p in raw if 0 < len(p) <= PIECE and not set(p[1:]) & set(b" \t\n\r\v\f") and p == p.lower()})
+def vocabulary(path: str) -> tuple[list[bytes], np.ndarray]:
+    """Of a sentencepiece file: the pieces as bytes (a word begins with a space), without capitals and white space inside, and their probabilities.
+
+    The file is of the byte-pair kind, whose score is minus the rank of a piece; by Zipf's law its probability is in proportion to 1 / (rank + 3). Single bytes that
+    have no score get the smallest one, so every word has a segmentation.
+    """
+    import sentencepiece
+
+    file = sentencepiece.SentencePieceProcessor(model_file=path)
+    found = {bytes([b]): 0.0 for b in range(256)}
+    for i in range(file.get_piece_size()):
+        if not (file.is_unknown(i) or file.is_control(i) or file.is_byte(i) or file.is_unused(i)):
+            piece = file.id_to_piece(i).replace("▁", " ").encode()
+            if piece == piece.lower() and not set(piece[1:]) & set(b" \t\n\r\v\f"):
+                found[piece] = 1 / (3 - file.get_score(i))
+    pieces = sorted(p for p in found if p not in (b"\t", b"\n", b"\r", b"\v", b"\f") and not 65 <= p[0] <= 90)
+    weight = np.array([found[p] for p in pieces])
+    weight[weight == 0] = weight[weight > 0].min(initial=1.0)
+    return pieces, weight / weight.sum()
+
+
+def normal(counts: np.ndarray) -> np.ndarray:
+    """Natural logs of counts (.. x 4 x pieces): the first two kinds of arcs sum to one, and so do the other two."""
+    with np.errstate(divide="ignore"):
+        return np.log(np.concatenate([x / x.sum(axis=(-2, -1), keepdims=True) for x in (counts[..., :INNER, :], counts[..., INNER:, :])], axis=-2))
+
+
+def first_scores(pieces: list[bytes], weight: np.ndarray) -> np.ndarray:
+    """Scores (4 x pieces) from the file's alone: pieces that begin with a space begin words; an arc ends its word or not, equally likely."""
+    begins = np.array([p[:1] == b" " for p in pieces])
+    return normal(np.where(begins, weight, 0) * np.array([1, 1, 0, 0])[:, None] + np.where(begins, 0, weight) * np.array([0, 0, 1, 1])[:, None])
+
+
+def kind(begin: int, end: int, n: int) -> int:
+    return (WHOLE if end == n else FIRST) if begin == 0 else (LAST if end == n else INNER)
 
 
 class Lattice:
-    """Forward and backward sums over words; each word is read with a leading space."""
+    """Forward and backward sums over words; each word is read with a leading space. scores: classes x 4 x pieces, natural logs."""
 
     def __init__(self, pieces: list[bytes], scores: np.ndarray):
-        scores = np.atleast_2d(scores)
-        self.scores = np.column_stack([scores, np.full(len(scores), -np.inf)])  # natural logarithms; the last column for what is no piece
+        self.scores = np.concatenate([scores, np.full((*scores.shape[:2], 1), -np.inf)], axis=2)  # the last column for what is no piece
         self.rows = {p: i for i, p in enumerate(pieces)}
         self.longest = max(map(len, pieces))
         size = 1 << 20
@@ -112,64 +141,66 @@ class Lattice:
                 if (found != len(self.codes) - 1).any():
                     yield i, j, found
 
-    def forward(self, words: list[bytes], expected: np.ndarray | None = None, of: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
-        """Natural log of each word's probability under each row of scores. With `expected` (classes x pieces and one more), instead adds each piece's expected count, by the first scores, for pairs `of` (word, class)."""
-        out = np.zeros((len(words), len(self.scores)))
+    def _by_length(self, words: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+        """(length with the space, numbers of the words) of words short enough for numpy."""
         size = np.fromiter(map(len, words), np.int64, len(words))
-        for n in np.unique(size).tolist():
-            own = np.flatnonzero(size == n)
-            if not n:
-                out[own] = -log(len(self.rows) + 1)  # the end token, as likely as a piece
-                continue
-            if n > LONG:
-                for i in own.tolist():
-                    out[i] = self._long(words[i], expected, () if of is None else of[1][of[0] == i])
-                continue
-            arcs = list(self._arcs([words[i] for i in own]))
-            if expected is not None:
-                within = np.full(len(words), -1)
-                within[own] = np.arange(len(own))
-                pair = np.flatnonzero(within[of[0]] >= 0)
-                word, row = within[of[0][pair]], of[1][pair] * expected.shape[1]
-            for k, scores in enumerate(self.scores):
-                ahead = np.full((n + 2, len(own)), -np.inf)
-                ahead[0] = 0
-                for i, j, found in arcs:
-                    np.logaddexp(ahead[j], ahead[i] + scores[found], out=ahead[j])
-                out[own, k] = ahead[n + 1]
-                if expected is not None:
-                    behind = np.full((n + 2, len(own)), -np.inf)
-                    behind[n + 1] = 0
-                    for i, j, found in sorted(arcs, key=lambda a: -a[0]):
-                        reached = behind[j] + scores[found]
-                        share = np.exp(ahead[i] + reached - np.where(ahead[n + 1] > -np.inf, ahead[n + 1], np.inf))
-                        np.add.at(expected.reshape(-1), row + found[word], share[word])
-                        np.logaddexp(behind[i], reached, out=behind[i])
-                    break
+        for n in np.unique(size[(size > 0) & (size <= LONG)]).tolist():
+            yield n + 1, np.flatnonzero(size == n)
+
+    def forward(self, words: list[bytes]) -> np.ndarray:
+        """Natural log of each word's probability in each class; of the empty word 0."""
+        out = np.zeros((len(words), len(self.scores)))
+        for n, own in self._by_length(words):
+            ahead = np.full((n + 1, len(self.scores), len(own)), -np.inf)
+            ahead[0] = 0
+            for i, j, found in self._arcs([words[k] for k in own]):
+                np.logaddexp(ahead[j], ahead[i] + self.scores[:, kind(i, j, n), :].take(found, axis=1), out=ahead[j])
+            out[own] = ahead[n].T
+        for k, word in enumerate(words):
+            if len(word) > LONG:
+                out[k] = self._long(b" " + word)[1][-1]
         return out
 
-    def _long(self, word: bytes, expected: np.ndarray | None, classes: Sequence[int]) -> list[float]:
-        word = b" " + word
-        n = len(word)
+    def expect(self, words: list[bytes], word: np.ndarray, class_: np.ndarray, times: np.ndarray, expected: np.ndarray) -> None:
+        """Adds to expected (classes x 4 x pieces and one more) the pieces' expected counts by the first class's scores, over words that occur so many times in a class."""
+        flat, row = expected.reshape(-1), expected.shape[2]
+        for n, own in self._by_length(words):
+            arcs = list(self._arcs([words[k] for k in own]))
+            within = np.full(len(words), -1)
+            within[own] = np.arange(len(own))
+            pair = np.flatnonzero(within[word] >= 0)
+            at, first, weight = within[word[pair]], class_[pair] * 4 * row, times[pair]
+            ahead, behind = np.full((2, n + 1, len(own)), -np.inf)
+            ahead[0] = behind[n] = 0
+            for i, j, found in arcs:
+                np.logaddexp(ahead[j], ahead[i] + self.scores[0, kind(i, j, n)][found], out=ahead[j])
+            whole = np.where(ahead[n] > -np.inf, ahead[n], np.inf)  # a word without a segmentation counts for nothing
+            for i, j, found in sorted(arcs, key=lambda a: -a[0]):
+                reached = behind[j] + self.scores[0, kind(i, j, n)][found]
+                share = np.exp(ahead[i] + reached - whole)
+                np.add.at(flat, first + kind(i, j, n) * row + found[at], share[at] * weight)
+                np.logaddexp(behind[i], reached, out=behind[i])
+        for k in np.flatnonzero(np.fromiter((len(w) > LONG for w in words), bool, len(words))).tolist():
+            arcs, ahead = self._long(b" " + words[k], 1)
+            n = len(arcs)
+            own, behind = np.flatnonzero(word == k), np.full(n + 1, -np.inf)
+            behind[n] = 0
+            for j in range(n, 0, -1):
+                for i, piece in arcs[j - 1]:
+                    reached = behind[j] + self.scores[0, kind(i, j, n), piece]
+                    np.add.at(expected, (class_[own], kind(i, j, n), piece), np.exp(ahead[i, 0] + reached - ahead[n, 0]) * times[own])
+                    behind[i] = np.logaddexp(behind[i], reached)
+
+    def _long(self, word: bytes, classes: int | None = None) -> tuple[list, np.ndarray]:
+        """The arcs that end at each place of one word, and the forward sums (places x classes)."""
+        n, scores = len(word), self.scores[:classes]
         arcs = [[(i, r) for i in range(max(0, j - self.longest), j) if (r := self.rows.get(word[i:j])) is not None] for j in range(1, n + 1)]
-        out = []
-        for scores in self.scores:
-            ahead = [0.0] + [-np.inf] * n
-            for j, spans in enumerate(arcs, 1):
-                values = [ahead[i] + scores[r] for i, r in spans]
-                most = max(values, default=-np.inf)
-                if most > -np.inf:
-                    ahead[j] = most + log(sum(exp(v - most) for v in values))
-            out.append(ahead[n])
-            if expected is not None:
-                behind = [-np.inf] * n + [0.0]
-                for j in range(n, 0, -1):
-                    for i, r in arcs[j - 1]:
-                        reached = behind[j] + scores[r]
-                        expected[classes, r] += exp(ahead[i] + reached - ahead[n])
-                        behind[i] = float(np.logaddexp(behind[i], reached))
-                break
-        return out
+        ahead = np.full((n + 1, len(scores)), -np.inf)
+        ahead[0] = 0
+        for j, spans in enumerate(arcs, 1):
+            for i, r in spans:
+                ahead[j] = np.logaddexp(ahead[j], ahead[i] + scores[:, kind(i, j, n), r])
+        return arcs, ahead
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -184,9 +215,6 @@ def _numbered(texts: list[bytes], rows: Rows) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(rows.__getitem__, chain.from_iterable(own)), np.int64, int(sizes.sum())), sizes
 
 
-COUNTS = [f"c{k}" for k in range(CLASSES)]
-
-
 def dealt(docs: DataFrame, blocks: int) -> DataFrame:
     """docs: doc_id, text, class. Adds the block and packs the text, which is shuffled twice."""
 
@@ -216,148 +244,139 @@ def _ordered(group: pa.Table) -> pa.Table:
     return group.take(sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, rows[i][1])))
 
 
-def block_words(rows: DataFrame) -> DataFrame:
+def block_words(rows: DataFrame, classes: int) -> DataFrame:
     """Of each block its distinct words: block, place (the word's number in order of appearance), word, and its training counts by class (class null: not for training)."""
+    names = _counts_of(classes)
 
     def count(group: pa.Table) -> pa.Table:
-        words, found, group = Rows(), np.zeros((CLASSES, 1 << 12), np.int64), _ordered(group)
-        classes = group.column("class").fill_null(-1).to_numpy()
+        words, found, group = Rows(), np.zeros((classes, 1 << 12), np.int32), _ordered(group)
+        own = group.column("class").fill_null(-1).to_numpy()
         for a, b, texts in _parts(group.column("text").to_pylist()):
             row, sizes = _numbered(texts, words)
             while len(words) > found.shape[1]:
                 found = np.concatenate([found, np.zeros_like(found)], axis=1)
-            of = np.repeat(classes[a:b], sizes)
+            of = np.repeat(own[a:b], sizes)
             for k in np.unique(of[of >= 0]).tolist():
-                found[k] += np.bincount(row[of == k], minlength=found.shape[1])
+                found[k] += np.bincount(row[of == k], minlength=found.shape[1]).astype(np.int32)
         n = len(words)
         block = np.full(n, group.column("block")[0].as_py(), np.int32)
-        return pa.Table.from_arrays([pa.array(block), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(words), pa.binary()), *(pa.array(found[k, :n]) for k in range(CLASSES))], names=["block", "place", "word", *COUNTS])
+        return pa.Table.from_arrays([pa.array(block), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(words), pa.binary()), *(pa.array(found[k, :n]) for k in range(classes))], names=["block", "place", "word", *names])
 
-    return rows.groupBy("block").applyInArrow(count, "block int, place int, word binary, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.groupBy("block").applyInArrow(count, "block int, place int, word binary, " + ", ".join(f"{c} int" for c in names))
 
 
-def _counts(batch: pa.RecordBatch) -> np.ndarray:
-    return np.stack([batch.column(c).to_numpy() for c in COUNTS], axis=1)
+def _counts_of(classes: int) -> list[str]:
+    return [f"c{k}" for k in range(classes)]
 
 
-def train_scores(totals: DataFrame, pieces: list[bytes], classes: int) -> np.ndarray:
-    """Natural logs of the pieces' probabilities in each class, by expectation maximisation over distinct training words: a round over all of them from equal scores, then one over each class's own."""
-    context = totals.sparkSession.sparkContext
-    scores = np.full((1, len(pieces)), -np.log(len(pieces)))
-    trained = totals.where((F.octet_length("word") > 0) & F.greatest(*COUNTS).cast("boolean")).select("word", *COUNTS)
-    for n in (1, classes):
-        shared = context.broadcast(scores)  # as many numbers as the vocabulary has pieces
+class Model(NamedTuple):
+    """Sums over the training documents (tokens, distinct tokens), pieces, and by class scores, probability of the end token and share of the documents (natural logs). Class 0 is that of all documents."""
 
-        def expect(batches: Iterator[pa.RecordBatch], n=n, shared=shared) -> Iterator[pa.RecordBatch]:
-            lattice, expected = Lattice(pieces, shared.value), np.zeros((n, len(pieces) + 1))
-            for batch in batches:
-                words, seen = batch.column("word").to_pylist(), _counts(batch)[:, :n] > 0 if n > 1 else np.ones((batch.num_rows, 1), bool)
-                for at in range(0, len(words), PART_WORDS):
-                    lattice.forward(words[at : at + PART_WORDS], expected, np.nonzero(seen[at : at + PART_WORDS]))
-            expected = expected[:, :-1]
-            class_, piece = np.nonzero(expected)
-            yield pa.RecordBatch.from_arrays([pa.array(class_), pa.array(piece), pa.array(expected[class_, piece])], names=["class", "piece", "n"])
-
-        found = trained.mapInArrow(expect, "class long, piece long, n double").groupBy("class", "piece").agg(F.sum("n").alias("n")).collect()  # a row per class and piece
-        count = np.full((n, len(pieces)), 0.01)
-        for r in found:
-            count[r["class"], r["piece"]] += r["n"]
-        scores = np.log(count / count.sum(axis=1, keepdims=True))
-    return scores
+    total: int
+    distinct: int
+    pieces: list[bytes]
+    scores: np.ndarray
+    end: np.ndarray
+    prior: np.ndarray
 
+    def base(self, count: np.ndarray) -> np.ndarray:
+        """log10 of the add-one probability of words of these counts."""
+        return np.log10((count + 1) / (self.total + self.distinct + 1))
 
-def score(docs: DataFrame, train: str, tokenizer: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs: doc_id, text, lang and a boolean column named by `train`. Returns doc_id, n_tokens, n_known, train_tokens, base_score, score."""
+    def words(self, lattice: Lattice, words: list[bytes]) -> np.ndarray:
+        """Natural log of each token's probability in each class; the empty word is the end token."""
+        ends = np.fromiter((not w for w in words), bool, len(words))[:, None]
+        return lattice.forward(words) + np.where(ends, self.end, np.log1p(-np.exp(self.end)))
+
+
+def train(totals: DataFrame, tokenizer: str, classes: int) -> Model:
+    """totals: word, and its counts in training documents by class (the first: languages without a class of their own)."""
+    pieces, weight = vocabulary(tokenizer)
+    names = _counts_of(classes)
+    n = sum((F.col(c) for c in names), F.lit(0))
+    ends = F.octet_length("word") == 0
+    sums = totals.agg(F.count_if(n > 0).alias("v"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names), *(F.coalesce(F.sum(F.when(ends, F.col(c))), F.lit(0)).alias(f"e{k}") for k, c in enumerate(names))).first()
+    trained = totals.where(~ends & (n > 0)).select("word", *names)
+    scores = first_scores(pieces, weight)[None]
+    for round_ in range(ROUNDS + 1):
+        split = classes if round_ == ROUNDS else 1
+        shared = totals.sparkSession.sparkContext.broadcast(scores[:1])  # four numbers a piece of the vocabulary
+
+        def expect(batches: Iterator[pa.RecordBatch], split=split, shared=shared) -> Iterator[pa.RecordBatch]:
+            lattice, expected = Lattice(pieces, shared.value), np.zeros((split, 4, len(pieces) + 1))
+            for batch in batches:
+                words, times = batch.column("word").to_pylist(), np.stack([batch.column(c).to_numpy() for c in names], axis=1)
+                times = times if split > 1 else times.sum(axis=1, keepdims=True)
+                for at in range(0, len(words), PART_WORDS):
+                    own = times[at : at + PART_WORDS]
+                    word, class_ = np.nonzero(own)
+                    lattice.expect(words[at : at + PART_WORDS], word, class_, own[word, class_], expected)
+            place = np.nonzero(expected[:, :, :-1])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, place), pa.array(expected[:, :, :-1][place])], names=["class", "kind", "piece", "n"])
+
+        found = trained.mapInArrow(expect, "class long, kind long, piece long, n double").groupBy("class", "kind", "piece").agg(F.sum("n").alias("n")).toArrow()  # a row per class, kind and piece
+        count = np.zeros((split, 4, len(pieces)))
+        count[tuple(found.column(c).to_numpy() for c in ("class", "kind", "piece"))] = found.column("n").to_numpy()
+        before = np.exp(scores[0])
+        count = np.concatenate([count.sum(axis=0, keepdims=True), count[1:]]) if split > 1 else count  # the first is that of all documents
+        scores = normal(count + PRIOR * before)
+    per = np.array([[sums[c] for c in names], [sums[f"e{k}"] for k in range(classes)]], float)
+    docs = per[1].copy()
+    per[:, 0] = per.sum(axis=1)
+    end = np.log((per[1] + 1) / (per[0] + 2))
+    docs[0] += 1
+    with np.errstate(divide="ignore"):
+        return Model(int(per[0, 0]), sums["v"], pieces, scores, end, np.log(docs / docs.sum()))
+
+
+def score(docs: DataFrame, train_column: str, tokenizer: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs: doc_id, text, lang and a boolean column named by `train_column`. Returns doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    pieces = vocabulary(tokenizer or public_tokenizer())
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col(train).alias("train"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col(train_column).alias("train"))
     groups = [r["lang"] for r in rows.where("train").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(CLASSES).collect()]
-    class_ = F.lit(min(len(groups), CLASSES) - 1)  # further languages join the last
-    for k, lang in reversed(list(enumerate(groups))):
+    class_ = F.lit(0)
+    for k, lang in enumerate(groups, 1):
         class_ = F.when(F.col("lang") == lang, F.lit(k)).otherwise(class_)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    packed = dealt(rows.withColumn("class", F.when(F.col("train"), class_).cast("int")), max(1, -(-size // block_bytes)))
-    words = block_words(packed).groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS), F.collect_list(F.struct("block", "place")).alias("places"))
-    totals = staged(words, "word-counts")
-    n = sum((F.col(c) for c in COUNTS), F.lit(0))
-    per = lambda name, x: (F.count_if(x > 0).alias(f"v{name}"), F.count_if(x == 1).alias(f"once{name}"), F.count_if(x == 2).alias(f"twice{name}"), F.sum(x).alias(f"n{name}"), F.sum(F.when(F.octet_length("word") == 0, x)).alias(f"end{name}"))
-    sums = totals.agg(*(x for name, c in [("", n), *((c, F.col(c)) for c in COUNTS)] for x in per(name, c))).first()
-    known = Known.of([{k: sums[f"{k}{name}"] or 0 for k in ("n", "v", "once", "twice", "end")} for name in ("", *COUNTS[: max(1, len(groups))])])
-    shared = spark.sparkContext.broadcast((pieces, train_scores(totals, pieces, max(1, len(groups)))))  # as large as the vocabulary
+    n = shuffle_partitions(spark)  # asked for by number, as few bytes are much work here: Spark would put them into fewer tasks
+    packed = dealt(rows.withColumn("class", F.when(F.col("train"), class_).cast("int")), max(n, -(-size // block_bytes))).repartition(n, "block")
+    names = _counts_of(1 + len(groups))
+    places = staged(block_words(packed, len(names)), "word-places")
+    totals = staged(places.repartition(n, "word").groupBy("word").agg(*(F.sum(c).alias(c) for c in names)), "word-counts")
+    model = train(totals, tokenizer or public_tokenizer("piece_bpe_32k.model"), len(names))
+    shared = spark.sparkContext.broadcast(model)  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice = Lattice(*shared.value)
+        model = shared.value
+        lattice = Lattice(model.pieces, model.scores)
         for batch in batches:
-            own, counts = batch.column("word").to_pylist(), _counts(batch)
-            for at in range(0, len(own), PART_WORDS):
+            for at in range(0, batch.num_rows, PART_WORDS):
                 part = batch.slice(at, PART_WORDS)
-                found = known.by_class(counts[at : at + PART_WORDS, : len(known.n)], lattice.forward(own[at : at + PART_WORDS])).astype("<f4")
-                yield pa.RecordBatch.from_arrays([part.column("places"), pa.array(counts[at : at + PART_WORDS].sum(axis=1)), pa.array([x.tobytes() for x in found], pa.binary())], names=["places", "n", "logs"])
+                found = model.words(lattice, part.column("word").to_pylist()).astype("<f4")
+                yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(sum(part.column(c).to_numpy() for c in names)), pa.array([x.tobytes() for x in found], pa.binary())], names=["word", "n", "logs"])
 
-    scored = totals.select("word", "places", *COUNTS).mapInArrow(run, "places array<struct<block: int, place: int>>, n long, logs binary")
-    back = scored.select(F.explode("places").alias("_"), "n", "logs").select("_.block", "_.place", "n", "logs")
-    names = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    scored = totals.mapInArrow(run, "word binary, n long, logs binary")
+    back = places.select("word", "block", "place").join(scored, "word").select("block", "place", "n", "logs").repartition(n, "block")
+    out = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def sum_up(left: pa.Table, right: pa.Table) -> pa.Table:
+        model = shared.value
         left, order = _ordered(left), np.argsort(right.column("place").to_numpy())
         total = right.column("n").to_numpy()[order]
-        logs = right.column("logs").combine_chunks()
-        by_class = np.frombuffer(b"".join(logs.to_pylist()), "<f4").reshape(len(order), -1)[order].astype(float)
-        base, words, out = known.base(total), Rows(), [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2]
+        by_class = np.frombuffer(b"".join(right.column("logs").to_pylist()), "<f4").reshape(len(order), -1)[order]
+        base, words, parts = model.base(total), Rows(), [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2]
         for _, _, texts in _parts(left.column("text").to_pylist()):
             row, sizes = _numbered(texts, words)  # the same numbers as in block_words
             first = np.cumsum(sizes) - sizes
-            mixed = np.add.reduceat(by_class[row], first, axis=0) + known.prior()
+            mixed = np.add.reduceat(by_class[row], first, axis=0, dtype=np.float64) + model.prior
             most = mixed.max(axis=1)
-            out.append((sizes, np.add.reduceat((total[row] > 0).astype(np.int64), first), np.add.reduceat(base[row], first), (most + np.log(np.exp(mixed - most[:, None]).sum(axis=1))) / np.log(10)))
-        sizes, seen, base_score, own = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.Table.from_arrays([left.column("doc_id"), pa.array(sizes), pa.array(seen), pa.array(np.full(len(sizes), int(known.total))), pa.array(base_score), pa.array(own)], names=names)
+            parts.append((sizes, np.add.reduceat((total[row] > 0).astype(np.int64), first), np.add.reduceat(base[row], first), (most + np.log(np.exp(mixed - most[:, None]).sum(axis=1))) / log(10)))
+        sizes, seen, base_score, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return pa.Table.from_arrays([left.column("doc_id"), pa.array(sizes), pa.array(seen), pa.array(np.full(len(sizes), model.total)), pa.array(base_score), pa.array(own)], names=out)
 
     return packed.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(sum_up, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-class Known(NamedTuple):
-    """Sums over the training documents: all tokens, distinct tokens, and by class tokens, distinct tokens, documents, discounts."""
-
-    total: int
-    distinct: int
-    discount: float
-    n: np.ndarray
-    v: np.ndarray
-    docs: np.ndarray
-    discounts: np.ndarray
-
-    @staticmethod
-    def of(sums: list[dict]) -> "Known":
-        """First the sums of all, then of each class. An absolute discount of once / (once + 2 twice)."""
-        discount = [min(0.9, max(0.1, s["once"] / (s["once"] + 2 * s["twice"]))) if s["once"] else 0.5 for s in sums]
-        column = lambda k: np.array([s[k] for s in sums[1:]], float)
-        return Known(sums[0]["n"], sums[0]["v"], discount[0], column("n"), column("v"), column("end"), np.array(discount[1:]))
-
-    def base(self, count: np.ndarray) -> np.ndarray:
-        """log10 of the add-one probability of words of these counts."""
-        return np.log10((count + 1) / (self.total + self.distinct + 1))
-
-    def prior(self) -> np.ndarray:
-        """Natural logs of the classes' shares of the training documents."""
-        with np.errstate(divide="ignore"):
-            return np.log(self.docs / self.docs.sum()) if self.docs.sum() else np.where(np.arange(len(self.docs)) == 0, 0.0, -np.inf)
-
-    def by_class(self, counts: np.ndarray, lattice: np.ndarray) -> np.ndarray:
-        """Natural logs of words' probabilities in each class, from their counts there and their lattice's in each class."""
-        if not self.total:
-            return lattice
-        with np.errstate(divide="ignore", under="ignore"):
-            spelled = np.exp(lattice)
-            count = counts.sum(axis=1, keepdims=True)
-            whole = np.maximum(count - self.discount, 0) / self.total + self.discount * self.distinct / self.total * spelled
-            n = np.maximum(self.n, 1)
-            free = np.where(self.n > 0, self.discounts * self.v / n, 1.0)
-            seen = np.maximum(counts - self.discounts, 0) / n + free * (OTHERS * whole + (1 - OTHERS) * spelled)
-            # The lattice alone where exp() would be too small.
-            return np.maximum(np.log(seen), np.log(free * (1 - OTHERS)) + lattice)
-
-
 def op6_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold("doc_id", 7) == 2
     found = score(table(spark, sf_dir, "documents").withColumn("_train", ~held_out), "_train")

@@ -1,5 +1,6 @@
 import math
 import re
+import zlib
 from collections import Counter
 from itertools import product
 
@@ -11,6 +12,8 @@ from quillstream.llm._bpe import public_tokenizer
 
 from .conftest import ROWS
 
+PIECES = sorted({b" ", b"a", b"b", b" a", b"ab", b"ba", b"aba", b" ab", b"bb", b" abab"})
+
 
 def segmentations(word, pieces):
     if not word:
@@ -18,42 +21,77 @@ def segmentations(word, pieces):
     return [[p, *rest] for n in range(1, len(word) + 1) if (p := word[:n]) in pieces for rest in segmentations(word[n:], pieces)]
 
 
+def paths(word):
+    """Of each segmentation its (kind, piece number) pairs."""
+    for path in segmentations(b" " + word, set(PIECES)):
+        kinds = [L.WHOLE] if len(path) == 1 else [L.FIRST, *[L.INNER] * (len(path) - 2), L.LAST]
+        yield [(k, PIECES.index(p)) for k, p in zip(kinds, path, strict=True)]
+
+
+def expected_by_enumeration(counts, scores):
+    """Log probability of each word, and expected counts of the pieces, over all segmentations."""
+    found, expected = {}, np.zeros((4, len(PIECES)))
+    for word, n in counts.items():
+        weights = [(path, math.exp(sum(scores[k][p] for k, p in path))) for path in paths(word)]
+        total = sum(x for _, x in weights)
+        found[word] = math.log(total) if total else -math.inf
+        for path, x in weights:
+            for k, p in path if total else ():
+                expected[k, p] += n * x / total
+    return found, expected
+
+
+def random_scores(classes):
+    begins = np.array([p[:1] == b" " for p in PIECES])
+    x = np.random.default_rng(0).random((classes, 4, len(PIECES)))
+    return L.normal(x * np.where(begins, np.array([1, 1, 0, 0])[:, None], np.array([0, 0, 1, 1])[:, None]))
+
+
 @pytest.mark.parametrize("long", [40, 2])
 def test_forward_sums_all_segmentations(long, monkeypatch):
     monkeypatch.setattr(L, "LONG", long)
-    pieces = sorted({b" ", b"a", b"b", b" a", b"ab", b"ba", b"aba", b" ab", b"bb"})
-    scores = np.log(np.random.default_rng(0).dirichlet(np.ones(len(pieces)), 2))
+    scores = random_scores(2)
     words = [bytes(w) for n in range(1, 6) for w in product(b"ab", repeat=n)] + [b"c", b""]
-    found = L.Lattice(pieces, scores).forward(words)
-    expected, wanted = np.zeros((2, len(pieces) + 1)), np.zeros((2, len(pieces)))
-    pairs = (np.arange(len(words) - 2), np.arange(len(words) - 2) % 2)
-    L.Lattice(pieces, scores).forward(words, expected, pairs)
-    for i, w in enumerate(words[:-2]):
-        paths = segmentations(b" " + w, set(pieces))
-        for k in range(2):
-            weights = [math.exp(sum(scores[k][pieces.index(p)] for p in path)) for path in paths]
-            assert found[i, k] == pytest.approx(math.log(sum(weights)))
-            if k == 0:
-                for path, x in zip(paths, weights, strict=True):
-                    for p in path:
-                        wanted[i % 2, pieces.index(p)] += x / sum(weights)
-    assert np.allclose(expected[:, :-1], wanted) and np.isneginf(found[len(words) - 2]).all()
+    lattice = L.Lattice(PIECES, scores)
+    found = lattice.forward(words)
+    for k in range(2):
+        wanted, _ = expected_by_enumeration(dict.fromkeys(words[:-1], 1), scores[k])
+        assert np.allclose(found[:-1, k], [wanted[w] for w in words[:-1]])
+    assert np.isneginf(found[-2]).all() and (found[-1] == 0).all()
+    word, class_, times = np.arange(len(words) - 1), np.arange(len(words) - 1) % 2, np.arange(1.0, len(words))  # one of them has no segmentation
+    expected = np.zeros((2, 4, len(PIECES) + 1))
+    lattice.expect(words, word, class_, times, expected)
+    for k in range(2):
+        _, wanted = expected_by_enumeration({words[i]: times[i] for i in word[class_ == k]}, scores[0])
+        assert np.allclose(expected[k, :, :-1], wanted)
+
+
+def test_probabilities_of_words_sum_to_one():
+    pieces = [b" ", b" a", b"a", b"b", b"ab"]
+    lattice = L.Lattice(pieces, L.first_scores(pieces, np.array([0.1, 0.5, 0.2, 0.1, 0.1]))[None])
+    mass = [np.exp(lattice.forward([bytes(w) for w in product(b"ab", repeat=n)])).sum() for n in range(1, 13)]
+    assert 0.97 < sum(mass) + np.exp(lattice.scores[0, L.WHOLE, 0]) <= 1 + 1e-9  # the space alone is the word without letters; longer words hold the rest
 
 
 def test_vocabulary_covers_all_bytes():
-    pieces = L.vocabulary(public_tokenizer())
-    lattice = L.Lattice(pieces, np.zeros(len(pieces)))
+    pieces, weight = L.vocabulary(public_tokenizer("piece_bpe_32k.model"))
+    assert weight.min() > 0 and weight.sum() == pytest.approx(1) and len(pieces) == len(set(pieces)) == len(weight)
+    assert weight[pieces.index(b" the")] > weight[pieces.index(b" therefore")]
+    lattice = L.Lattice(pieces, L.first_scores(pieces, weight)[None])
     letters = [bytes([b]) for b in range(256) if not 65 <= b <= 90 and b not in b" \t\n\r\v\f"]
-    assert np.isfinite(lattice.forward(letters)).all() and np.isfinite(lattice.forward([b"".join(letters)])).all()
+    assert np.isfinite(lattice.forward(letters)).all() and np.isfinite(lattice.forward([b"".join(letters), b"\xff" * 5000])).all()
+
+
+def low(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
 
 
-def test_scores_against_plain_sums(spark, odd_docs, no_docs):
+def test_base_columns_and_defined_cases(spark, odd_docs, no_docs):
     from pyspark.sql import functions as F
 
     docs = odd_docs.withColumn("t", F.col("doc_id").isNull() | (F.col("doc_id") != 6))
     rows = L.score(docs, "t", block_bytes=20_000).collect()
     assert len(rows) == len(ROWS)
-    low = lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s or "")
     tokens = {(i, t): [*re.findall(r"[^\x20\x09-\x0D]+", low(t)), None] for i, t, _ in ROWS}
     count = Counter(x for i, t, _ in ROWS if i != 6 for x in tokens[i, t])
     total, distinct = sum(count.values()), len(count)
@@ -69,8 +107,31 @@ def test_scores_against_plain_sums(spark, odd_docs, no_docs):
     assert len(unseen) == len(ROWS) and {(r["n_known"], r["train_tokens"]) for r in unseen} == {(0, 0)} and all(math.isfinite(r["score"]) for r in unseen)
 
 
-def test_words_of_a_class_sum_to_one_at_most():
-    known = L.Known.of([{"n": 10, "v": 3, "once": 1, "twice": 1, "end": 2}, {"n": 6, "v": 2, "once": 1, "twice": 1, "end": 1}, {"n": 4, "v": 2, "once": 1, "twice": 1, "end": 1}])
-    counts = np.array([[4, 0], [2, 3], [0, 1], [0, 0]])  # three seen words and all that is spelled otherwise
-    spelled = np.log(np.array([[0.2, 0.2], [0.1, 0.1], [0.1, 0.1], [0.6, 0.6]]))
-    assert (np.exp(known.by_class(counts, spelled)).sum(axis=0) <= 1 + 1e-9).all()
+def test_query_against_enumeration(spark, tmp_path, monkeypatch):
+    """op6's scores from the enumeration of all segmentations: training, classes and the mixture included."""
+    weight = np.arange(1.0, len(PIECES) + 1) / (len(PIECES) * (len(PIECES) + 1) / 2)
+    monkeypatch.setattr(L, "vocabulary", lambda path: (PIECES, weight))
+    monkeypatch.setattr(L, "CLASSES", 2)  # a third language teaches the class of all documents alone
+    rng = np.random.default_rng(5)
+    rows = [(i, " ".join("".join("ab"[x] for x in rng.integers(0, 2, rng.integers(1, 5))) for _ in range(rng.integers(0, 9))), ["x", "x", "y", "x", "z", "y"][i % 6]) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in L.op6_subword_lattice(spark, str(tmp_path)).collect()}
+    training = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    assert {i for i, r in got.items() if not r["held_out"]} == {r[0] for r in training} and len(got) == len(rows) > len(training)
+    langs = [x for x, _ in sorted(Counter(r[2] for r in training).items(), key=lambda x: (-x[1], x[0]))][:2]
+    words = lambda rows: Counter(w.encode() for r in rows for w in r[1].split())
+    parts = [training, *([r for r in training if r[2] == x] for x in langs)]
+    scores = [L.first_scores(PIECES, weight)]
+    for _ in range(L.ROUNDS):
+        scores = [L.normal(expected_by_enumeration(words(training), scores[0])[1] + L.PRIOR * np.exp(scores[0]))]
+    scores = [L.normal(expected_by_enumeration(words(p), scores[0])[1] + L.PRIOR * np.exp(scores[0])) for p in parts]
+    size = [sum(words(p).values()) + len(p) for p in parts]
+    end = [(len(p) + 1) / (n + 2) for p, n in zip(parts, size, strict=True)]
+    share = [len(training) - len(parts[1]) - len(parts[2]) + 1, len(parts[1]), len(parts[2])]
+    for i, text, _ in rows:
+        total = 0.0
+        for k in range(3):
+            own = expected_by_enumeration(words([(i, text)]), scores[k])[0]
+            total += share[k] / sum(share) * end[k] * math.prod((1 - end[k]) * math.exp(own[w.encode()]) for w in text.split())
+        assert got[i]["score"] == pytest.approx(math.log10(total), rel=1e-5)
+        assert (got[i]["train_tokens"], got[i]["n_tokens"]) == (size[0], len(text.split()) + 1)
