@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fold, labelled_sample, slices, table, utf8
+from ._common import fold, labelled_sample, slices, table, unused, utf8
 from ._text import Rows, newest, windows
 
 #: Labelled rows that training takes at most.
@@ -126,18 +126,20 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.3, keep: list[str]
     """doc_id, score and predicted of every row; with `keep`, instead these columns of the rows that are predicted 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some hundred numbers
 
+    text = unused(docs, "utf8")
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages()
-        for batch, texts in slices(batches, "__utf8__"):
+        for batch, texts in slices(batches, text):
             found = forward(shared.value, *passages(texts))[0]
             if keep is not None:
-                yield batch.filter(pa.array(found >= threshold)).drop_columns(["__utf8__"])
+                yield batch.filter(pa.array(found >= threshold)).drop_columns([text])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.astype(np.float64)), pa.array((found >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     if keep is not None:
-        return docs.select(*keep, utf8("text").alias("__utf8__")).mapInArrow(of, docs.select(*keep).schema)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("__utf8__")).mapInArrow(of, "doc_id long, score double, predicted int")
+        return docs.select(*keep, utf8("text").alias(text)).mapInArrow(of, docs.select(*keep).schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias(text)).mapInArrow(of, "doc_id long, score double, predicted int")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> dict:

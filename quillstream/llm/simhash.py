@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import shuffle_partitions, slices, staged, table, utf8
+from ._common import shuffle_partitions, slices, staged, table, unused, utf8
 
 SEED = 42
 #: Reference fingerprints: fixed, from a seeded generator.
@@ -207,10 +207,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, limit: int = 3) -> DataFram
 def first_of_each(docs: DataFrame, width: int = 3, limit: int = 3) -> DataFrame:
     """docs without all but one document of each component: the one with the smallest id, a null id last; of rows that repeat id and text, one."""
     found = near_duplicates(docs, width, limit)
-    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("_")).select(F.col("_.doc_id").alias("__id__"), F.col("_.text_hash").alias("__hash__"))
-    hashed = docs.withColumn("__text_hash__", F.xxhash64(utf8("text")))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id__")) & (F.col("__text_hash__") == F.col("__hash__"))
-    return hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__text_hash__"]).select(*docs.columns)
+    own, id_, hash_ = (unused(docs, name) for name in ("text_hash", "kept_id", "kept_hash"))
+    kept = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("_")).select(F.col("_.doc_id").alias(id_), F.col("_.text_hash").alias(hash_))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(hash_))
+    return docs.withColumn(own, F.xxhash64(utf8("text"))).join(kept, same, "left_semi").dropDuplicates(["doc_id", own]).select(*docs.columns)
 
 
 def op10_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fold, labelled_sample, slices, table, utf8
+from ._common import fold, labelled_sample, slices, table, unused, utf8
 from ._text import Rows, newest, windows
 
 #: Labelled rows that training takes at most.
@@ -201,19 +201,21 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, keep: list[str]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size
     scorers: dict = {}
 
+    text = unused(docs, "utf8")
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = scorers.setdefault(0, Scorer(shared.value))
-        for batch, texts in slices(batches, "__utf8__"):
+        for batch, texts in slices(batches, text):
             found = scorer(texts)
             if keep is not None:
-                yield batch.filter(pa.array(found < threshold)).drop_columns(["__utf8__"])
+                yield batch.filter(pa.array(found < threshold)).drop_columns([text])
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found), pa.array((found >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     if keep is not None:
-        rows = docs.select(*keep, utf8("text").alias("__utf8__"))
+        rows = docs.select(*keep, utf8("text").alias(text))
         return rows.mapInArrow(of, docs.select(*keep).schema)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("__utf8__")).mapInArrow(of, "doc_id long, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias(text)).mapInArrow(of, "doc_id long, score double, predicted int")
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Model:

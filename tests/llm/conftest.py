@@ -9,8 +9,9 @@ ROWS = [
 
 @pytest.fixture(scope="session")
 def odd_docs(spark):
-    rows = [(i, t, s, "en", 0, 1.0, "clash", 5) for i, t, s in ROWS]
-    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, score double, fp string, length int")
+    clashes = ["utf8", "hash", "hash_of_text", "text_hash", "kept_id", "kept_hash", "root", "block", "class", "__utf8__", "_y", "_text"]
+    rows = [(i, t, s, "en", 0, 1.0, "clash", 5, *["clash"] * len(clashes)) for i, t, s in ROWS]
+    return spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long, score double, fp string, length int, " + ", ".join(f"{c} string" for c in clashes))
 
 
 @pytest.fixture(scope="session")
