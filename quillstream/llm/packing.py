@@ -137,7 +137,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024,
     found = spark.sparkContext.broadcast(places(best_two_fit(histogram, capacity)))  # bounded by capacity as well
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("task", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    ranked = cut.join(bases, ["task", "length"]).withColumn("rank", F.col("base") + F.col("task_rank")).drop("task", "task_rank", "base")
+    # The bases are a row per task and length, which grows with the corpus: both sides are shuffled, as pieces are short rows.
+    ranked = cut.join(bases.hint("shuffle_hash"), ["task", "length"]).withColumn("rank", F.col("base") + F.col("task_rank")).drop("task", "task_rank", "base")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids + ", sequence_id long, offset long"
 
