@@ -1,4 +1,7 @@
 import json
+import random
+
+import duckdb
 
 from quillstream.llm import tool_calls as T
 
@@ -45,7 +48,61 @@ def test_order_follows_dependencies_and_finds_cycles(spark):
     order = sorted((x for x in got.values() if x["conv_id"] == 1), key=lambda x: (x["level"], x["turn"], x["index"]))
     assert [x["call_id"] for x in order] == [f"c{t}" for t in range(6, -1, -1)]
     assert all(got[2, k]["errors"] == ["cyclic"] and got[2, k]["level"] is None for k in "xyz") and got[2, "free"]["level"] == 0 and got[3, "s"]["errors"] == ["cyclic"]
-    assert got[4, "p"]["level"] == got[4, "q"]["level"] == 0
+    assert (got[4, "p"]["level"], got[4, "q"]["level"]) == (0, 1)
+
+
+def test_levels_against_recursion(spark):
+    """Random graphs with several dependencies, unknown ones and cycles, and a chain of 300 calls."""
+    rng, graphs = random.Random(3), {}
+    for conv in range(40):
+        n = rng.randint(1, 12)
+        graphs[conv] = {i: sorted({rng.randrange(n + 1) for _ in range(rng.randint(0, 3)) if rng.random() < 0.6} if conv % 4 == 0 else {rng.randrange(i) for _ in range(rng.randint(0, 3)) if i}) for i in range(n)}
+    graphs[100] = {i: [i + 1] if i < 299 else [] for i in range(300)}
+    rows = [(conv, str(i), [str(x) for x in needs]) for conv, graph in graphs.items() for i, needs in graph.items()]
+
+    def level(graph, i, above=()):
+        if i in above:
+            return None
+        below = [level(graph, x, (*above, i)) for x in graph[i] if x in graph]
+        return None if None in below else max(below, default=-1) + 1
+
+    rounds = []
+    staged, T.staged = T.staged, lambda df, name: rounds.append(name) or staged(df, name)
+    try:
+        got = {(r["conv_id"], int(r["call_id"])): r["level"] for r in T.levels(spark.createDataFrame(rows, "conv_id long, call_id string, depends_on array<string>")).collect()}
+    finally:
+        T.staged = staged
+    assert len(got) == len(rows) and rounds.count("levels") <= 14
+    chain = {(100, i): 299 - i for i in range(300)}
+    assert got == {(conv, i): level(graph, i) for conv, graph in graphs.items() for i in graph if conv < 100} | chain
+
+
+def test_query_against_sql(spark, sf_dir):
+    own = T.op1_tool_calls(spark, sf_dir)
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "Python" not in plan and "Arrow" not in plan
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
+    found = duck.sql(T.OP1_SQL)
+    rows = [tuple(r[c] for c in found.columns) for r in own.collect()]
+    assert sorted(rows, key=repr) == sorted(found.fetchall(), key=repr) and max(r[3] or 0 for r in rows) > 1
+    assert any(r[3] and "call-2" == r[1] for r in rows)  # it needs a later call
+
+
+def test_nested_schema(spark):
+    schema = {"type": "object", "required": ["who"], "properties": {
+        "who": {"type": "object", "required": ["name"], "additionalProperties": False, "properties": {"name": {"type": ["string", "null"], "pattern": "^[a-z]+$"}, "age": {"type": "integer", "minimum": 0}}},
+        "tags": {"type": "array", "minItems": 1, "maxItems": 3, "items": {"type": "object", "properties": {"k": {"enum": ["x", "y"]}}, "required": ["k"]}}, "it's": {"type": "boolean"},
+    }}
+    cases = {
+        '{"who":{"name":"ann","age":3},"tags":[{"k":"x"},{"k":"y"}],"it\'s":true}': [], '{"who":{"name":null}}': [], "{}": ["who: required"], '{"who":[]}': ["who: not object"],
+        '{"who":{"name":"Ann","age":-1,"more":1}}': ["who.age: minimum", "who.additional properties", "who.name: pattern"], '{"who":{"age":"x"}}': ["who.age: not integer", "who.name: required"],
+        '{"who":{"name":"a"},"tags":[]}': ["tags: minItems"], '{"who":{"name":"a"},"tags":[{"k":"x"},{"k":"z"},{},1]}': ["tags: maxItems", "tags[1].k: enum", "tags[2].k: required", "tags[3]: not object"],
+        '{"who":{"name":5},"it\'s":1}': ["it's: not boolean", "who.name: not string or null"],
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "t string")
+    for r in df.select("t", T.schema_errors(T.F.try_parse_json("t"), schema).alias("e")).collect():
+        assert sorted(r["e"]) == sorted(cases[r["t"]]), r["t"]
 
 
 def test_empty_and_turns(spark, sf_dir):
