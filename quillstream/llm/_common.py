@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -13,6 +12,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import root
+
 #: Bytes of text that a Python worker turns into words at once.
 SLICE_BYTES = 2_000_000
 
@@ -22,13 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, one machine) a new local one, which is then set."""
-    context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='quillstream-')}"
-        context.setCheckpointDir(root)
-    return root.rstrip("/") if ":/" in root else f"file://{root.rstrip('/')}"
+    """The folder of spark.checkpoint.dir as a URI."""
+    found = root(spark)
+    return found if ":/" in found else f"file://{found}"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
