@@ -26,10 +26,16 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column], limit: Column |
 
 
 def collision_free(df: DataFrame, slug: Column, longer: Column, longest: Column) -> DataFrame:
-    """A slug; where several rows share it the longer form for all of them, and once more."""
-    seen = lambda c: F.count(F.lit(1)).over(Window.partitionBy(c)) > 1
-    once = df.withColumn("_s", slug).withColumn("_t", F.when(seen("_s"), longer).otherwise(F.col("_s")))
-    return once.withColumn("slug", F.when(seen("_t"), longest).otherwise(F.col("_t"))).drop("_s", "_t")
+    """A slug; where several rows share it the longer form for all of them, and once more. Shared slugs are counted first, so no slug's rows meet in one task."""
+
+    def shared(rows: DataFrame, c: str) -> DataFrame:
+        return rows.groupBy(F.col(c).alias("_c")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_c", F.lit(True).alias("_twice"))
+
+    def replaced(rows: DataFrame, c: str, by: Column, name: str) -> DataFrame:
+        return rows.join(shared(rows, c), F.col(c).eqNullSafe(F.col("_c")), "left").withColumn(name, F.when(F.col("_twice"), by).otherwise(F.col(c))).drop("_c", "_twice")
+
+    once = replaced(df.withColumn("_s", slug), "_s", longer, "_t")
+    return replaced(once, "_t", longest, "slug").drop("_s", "_t")
 
 
 def page_of_groups(df: DataFrame, keys: list[str], order: list[Column], page: int, size: int = 7) -> DataFrame:

@@ -73,17 +73,7 @@ def _(t: Tables) -> DataFrame:
     return resolve.resolve(names(t, 1), known, aliases)
 
 
-@query("er_exact_tier", "WITH o AS (SELECT lower(canonical_name) AS key, max(id) AS id FROM organisation GROUP BY 1), a AS (SELECT lower(alias_name) AS key, max(organisation_id) AS id FROM alias GROUP BY 1) SELECT s.id, coalesce(o.id, a.id) AS match FROM (SELECT id, lower(canonical_name) AS key FROM organisation WHERE id % 3 = 0) s LEFT JOIN o USING (key) LEFT JOIN a USING (key)")
-def _(t: Tables) -> DataFrame:
-    """ER1."""
-    from ..operators.joins import first_of_lookups
-
-    key = F.lower("canonical_name").alias("key")
-    staged = t.organisation.where("id % 3 = 0").select("id", key)
-    return first_of_lookups(staged, [(t.organisation.select(key, "id"), "key", "id"), (t.alias.select(F.lower("alias_name").alias("key"), F.col("organisation_id").alias("id")), "key", "id")], "key", "match").select("id", "match")
-
-
-@query("er_exact_tier_all", "WITH o AS (SELECT lower(canonical_name) AS key, max(id) AS id FROM organisation GROUP BY 1), a AS (SELECT lower(alias_name) AS key, max(organisation_id) AS id FROM alias GROUP BY 1) SELECT s.id, coalesce(o.id, a.id) AS match FROM (SELECT id, lower(canonical_name) AS key FROM organisation) s LEFT JOIN o USING (key) LEFT JOIN a USING (key)")
+@query(["er_exact_tier", "er_exact_tier_all"], "WITH o AS (SELECT lower(canonical_name) AS key, max(id) AS id FROM organisation GROUP BY 1), a AS (SELECT lower(alias_name) AS key, max(organisation_id) AS id FROM alias GROUP BY 1) SELECT s.id, coalesce(o.id, a.id) AS match FROM (SELECT id, lower(canonical_name) AS key FROM organisation) s LEFT JOIN o USING (key) LEFT JOIN a USING (key)")
 def _(t: Tables) -> DataFrame:
     """ER1 over all organisations."""
     from ..operators.joins import first_of_lookups

@@ -12,13 +12,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable:
-    """Registers a function of Tables. sql may use the domain's views."""
+def query(names: str | list[str], sql: str | None = None) -> Callable:
+    """Registers a function of Tables, under each of several names if it has them. sql may use the domain's views."""
 
     def register(f: Callable[[Tables], DataFrame]) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql is not None:
-            SQL[name] = SQL_VIEWS(sql)
+        for name in [names] if isinstance(names, str) else names:
+            QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+            if sql is not None:
+                SQL[name] = SQL_VIEWS(sql)
         return f
 
     return register

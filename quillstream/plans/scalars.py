@@ -366,7 +366,7 @@ def _(t: Tables) -> DataFrame:
     return t.session.where(P.like_any(F.col("title"), ["%bill%", "draft_%"], ["%lords%"]) & F.col("ext_id").like("S_1%")).select("id")
 
 
-@query("p32_s22_long_speeches", "SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY member_id, session_id ORDER BY speech_order, id) AS n FROM contribution WHERE member_id IS NOT NULL) WHERE n = 1 AND word_count >= 50 ORDER BY spoken_at DESC, id LIMIT 25")
+@query("p32_s22_long_speeches", "SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY member_id, session_id ORDER BY speech_order, id, word_count, spoken_at) AS n FROM contribution WHERE member_id IS NOT NULL) WHERE n = 1 AND word_count >= 50 ORDER BY spoken_at DESC, id LIMIT 25")
 def _(t: Tables) -> DataFrame:
     """The first speech of each section, then the word floor, then the newest."""
     from ..operators.windows import first_per

@@ -36,13 +36,7 @@ def _(t: Tables) -> DataFrame:
     return landed.named_dimension(ids, t.member.where("id % 7 > 0").select("id", "name"), "id", "name", "Committee").select(F.col("id").cast("int").alias("id"), "name")
 
 
-@query("s39_full_answers", "SELECT q.id, CASE WHEN length(q.answer_text) < 20 THEN coalesce(f.full_text, q.answer_text) ELSE q.answer_text END AS answer_text FROM question q LEFT JOIN (SELECT id, answer_text || ' in full' AS full_text FROM question WHERE id % 2 = 0) f ON f.id = q.id")
-def _(t: Tables) -> DataFrame:
-    full = t.question.where("id % 2 = 0").select("id", F.concat("answer_text", F.lit(" in full")).alias("answer_text"))
-    return landed.completed(t.question.select("id", "answer_text"), full, "id", "answer_text", 20)
-
-
-@query("s39_full_answers_all", "SELECT q.id, CASE WHEN length(q.answer_text) < 20 THEN coalesce(f.full_text, q.answer_text) ELSE q.answer_text END AS answer_text FROM question q LEFT JOIN (SELECT o_orderkey AS id, o_orderpriority || ' in full' AS full_text FROM orders) f ON f.id = q.id")
+@query(["s39_full_answers", "s39_full_answers_all"], "SELECT q.id, CASE WHEN length(q.answer_text) < 20 THEN coalesce(f.full_text, q.answer_text) ELSE q.answer_text END AS answer_text FROM question q LEFT JOIN (SELECT o_orderkey AS id, o_orderpriority || ' in full' AS full_text FROM orders) f ON f.id = q.id")
 def _(t: Tables) -> DataFrame:
     """S39 with the full texts of another table, for every question."""
     full = t.raw("orders").select(F.col("o_orderkey").alias("id"), F.concat("o_orderpriority", F.lit(" in full")).alias("answer_text"))
@@ -56,15 +50,7 @@ def _(t: Tables) -> DataFrame:
     return t.question.where(of_month("tabled_date") & (F.col("department") == "HM Treasury")).select("id", "uin").union(t.session.where(of_month("date") & F.col("title").contains("Bill")).select("id", "ext_id"))
 
 
-@query("s32_first_feed", "SELECT site, arg_min(url, i) AS feed FROM (SELECT DISTINCT 'https://x' || (c_custkey % 40) || '.org' AS site, unnest(['/feed', '/rss', '/rss.xml']) AS p, unnest([0, 1, 2]) AS i FROM customer) s JOIN (SELECT DISTINCT 'https://x' || (c_custkey % 40) || '.org' || CASE WHEN c_custkey % 3 = 0 THEN '/rss' ELSE '/rss.xml' END AS url FROM customer WHERE c_custkey < 60) f ON f.url = s.site || s.p GROUP BY site")
-def _(t: Tables) -> DataFrame:
-    site = F.concat(F.lit("https://x"), F.col("c_custkey") % 40, F.lit(".org"))
-    c = t.raw("customer")
-    feeds = c.where("c_custkey < 60").select(F.concat(site, F.when(F.col("c_custkey") % 3 == 0, "/rss").otherwise("/rss.xml")).alias("url"))
-    return landed.first_feed(c.select(site.alias("site")).distinct(), ["/feed", "/rss", "/rss.xml"], feeds)
-
-
-@query("s32_first_feed_all", "SELECT site, arg_min(url, i) AS feed FROM (SELECT DISTINCT 'https://x' || (c_custkey % 40) || '.org' AS site, unnest(['/feed', '/rss', '/rss.xml']) AS p, unnest([0, 1, 2]) AS i FROM customer) s JOIN (SELECT DISTINCT 'https://x' || (c_custkey % 40) || '.org' || CASE WHEN c_custkey % 3 = 0 THEN '/rss' ELSE '/rss.xml' END AS url FROM customer) f ON f.url = s.site || s.p GROUP BY site")
+@query(["s32_first_feed", "s32_first_feed_all"], "SELECT site, arg_min(url, i) AS feed FROM (SELECT DISTINCT 'https://x' || (c_custkey % 40) || '.org' AS site, unnest(['/feed', '/rss', '/rss.xml']) AS p, unnest([0, 1, 2]) AS i FROM customer) s JOIN (SELECT DISTINCT 'https://x' || (c_custkey % 40) || '.org' || CASE WHEN c_custkey % 3 = 0 THEN '/rss' ELSE '/rss.xml' END AS url FROM customer) f ON f.url = s.site || s.p GROUP BY site")
 def _(t: Tables) -> DataFrame:
     """S32 with the feeds of all customers."""
     site = F.concat(F.lit("https://x"), F.col("c_custkey") % 40, F.lit(".org"))

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests, one machine) a new local one, which is then set."""
+    """The folder of spark.checkpoint.dir; where that is unset and Spark runs in this process alone (tests), a new local one, which is then set."""
     context = spark.sparkContext
     found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='quillstream-')}"
         context.setCheckpointDir(found)
     return found.rstrip("/")
