@@ -1,13 +1,17 @@
 """Entity resolution: names to organisations in tiers of exact, close and new.
 
-Candidates for a close match come from two equality joins that lose no pair of similarity 0.9 or more. A name whose words are
-all among another's meets it by its rarest word. Otherwise at most two ninths of one name's characters have no match in the
-other. Each touches two bigrams, so one of the rarest of that name's bigrams, as many as that allows and one more, is the
-other's too, and so are all but that many. Similarity itself is computed on these pairs alone, in Arrow batches.
+Candidates for a close match come from two equality joins that lose no pair of similarity 0.9 or more. Either a name's words,
+but for two elevenths of its characters, are all the other's: then one of its rarest words (as many as are longer than that
+together) is. Or the names differ by at most a tenth of their joint length in characters. Of the shorter one's bigrams at most
+three tenths as many as it has characters are missing then, so one of its rarest bigrams (so many and one more) is the other's;
+numbers whose bits stand for a name's letters and bigrams leave out the pairs of that join that differ by more. Similarity
+itself is computed on what is left, in Arrow batches.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,23 +70,49 @@ def _rare_first(names: DataFrame, parts: Column) -> DataFrame:
     return each.join(often, "part").groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda x: x["part"]).alias("parts"))
 
 
+#: A name's numbered letters, and its parts, as bits.
+LETTERS, BIGRAMS = ["letters_0", "letters_1"], ["bigrams_0", "bigrams_1"]
+
+
+def numbered_letters(c: Column) -> Column:
+    """The letters of a name's distinct words; the n-th of equal ones has number n."""
+    letters = F.array_sort(F.filter(F.split(F.array_join(F.array_distinct(F.split(c, " ")), ""), ""), lambda x: x != ""))
+    return F.transform(letters, lambda x, i: F.concat(x, F.lit(":"), i - F.array_position(letters, x)))
+
+
+def signed(grams: DataFrame) -> DataFrame:
+    """Adds the bits of a name's letters and parts. What another name lacks shows in bits that are set here alone, if it shows at all."""
+
+    def bits(items: Column, k: int) -> Column:
+        places = F.filter(F.transform(items, lambda g: F.pmod(F.xxhash64(g), F.lit(128)).cast("int")), lambda b: F.floor(b / 64) == k)
+        return F.aggregate(places, F.lit(0).cast("long"), lambda x, b: x.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b % 64)))
+
+    return grams.withColumns({c: bits(items, k) for names, items in ((LETTERS, numbered_letters(F.col("key"))), (BIGRAMS, F.col("parts"))) for k, c in enumerate(names)})
+
+
 def candidates(names: DataFrame, others: DataFrame) -> DataFrame:
     """Pairs key, other of distinct normal names that may be 0.9 alike. names, others: key."""
     every = kept(names.select("key").union(others.select("key")).distinct(), "names")
-    words = _rare_first(every, F.array_distinct(F.split("key", " ")))
-    rarest, all_ = words.select("key", F.element_at("parts", 1).alias("part")), words.select(F.col("key").alias("other"), F.explode("parts").alias("part"))
-    within = rarest.join(all_, "part").select("key", "other")
-    subset = within.union(within.select(F.col("other"), F.col("key")))
-    grams = kept(_rare_first(every, bigrams(F.col("key"))), "bigrams")
-    allowed = F.floor(2 * F.length("key") / 9)  # characters in or out, whichever name is compared
-    short = grams.select("key", "parts", F.explode(F.slice("parts", 1, (2 * allowed + 1).cast("int"))).alias("part"))
-    long = grams.select(F.col("key").alias("other"), F.col("parts").alias("theirs"), F.explode("parts").alias("part"))
-    enough = F.size(F.array_intersect("parts", "theirs")) >= F.size("parts") - 2 * allowed
+    size = F.length(F.array_join(F.array_distinct(F.split("key", " ")), " "))
+    words = kept(_rare_first(every, F.array_distinct(F.split("key", " "))), "words")
+    before = lambda i: F.aggregate(F.slice("parts", 1, i), F.lit(0), lambda n, w: n + F.length(w) + 1)
+    rarest = words.select("key", F.explode(F.filter("parts", lambda w, i: 11 * before(i) <= 2 * size)).alias("part"))
+    within = rarest.join(words.select(F.col("key").alias("other"), F.explode("parts").alias("part")), "part").select("key", "other").distinct()
+    subset = within.union(within.select("other", "key"))
+    grams = kept(signed(_rare_first(every, bigrams(F.col("key")))).withColumn("size", size), "bigrams")
+    short = grams.select("key", "size", *LETTERS, *BIGRAMS, F.explode(F.slice("parts", 1, F.floor(3 * F.col("size") / 10).cast("int") + 1)).alias("part"))
+    long = grams.select(F.col("key").alias("other"), *(F.col(c).alias(f"their_{c}") for c in ("size", *LETTERS, *BIGRAMS)), F.explode("parts").alias("part"))
+    lacks = lambda bits, a, b: sum((F.bit_count(F.col(f"{a}{c}").bitwiseAND(F.bitwise_not(F.col(f"{b}{c}")))) for c in bits), F.lit(0))
+    in_all = F.floor((F.col("size") + F.col("their_size")) / 10)
+    here, there = F.floor((in_all + F.col("size") - F.col("their_size")) / 2), F.floor((in_all + F.col("their_size") - F.col("size")) / 2)  # characters of either that have no match
+    near = (F.col("size") <= F.col("their_size")) & (F.col("their_size") - F.col("size") <= in_all)
+    near &= (lacks(LETTERS, "", "their_") <= here) & (lacks(LETTERS, "their_", "") <= there)
+    near &= (lacks(BIGRAMS, "", "their_") <= 2 * here + there) & (lacks(BIGRAMS, "their_", "") <= 2 * there + here)
     n = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # kept as it is: few bytes in, many pairs out
-    one = short.repartition(n, "part").join(long.repartition(n, "part"), "part").where((F.col("key") != F.col("other")) & enough).select("key", "other")
+    one = short.repartition(n, "part").join(long.repartition(n, "part"), "part").where((F.col("key") != F.col("other")) & near).select("key", "other").distinct()
     close = one.union(one.select("other", "key"))
-    near = subset.union(close).where("key <> other").distinct()
-    return near.join(names.select("key"), "key", "left_semi").join(others.select(F.col("key").alias("other")), "other", "left_semi").select("key", "other")
+    pairs = subset.union(close).where("key <> other").distinct()
+    return pairs.join(names.select("key"), "key", "left_semi").join(others.select(F.col("key").alias("other")), "other", "left_semi").select("key", "other")
 
 
 def resolve(staging: DataFrame, organisations: DataFrame, aliases: DataFrame, distinct_pairs: DataFrame | None = None) -> DataFrame:
@@ -91,6 +121,7 @@ def resolve(staging: DataFrame, organisations: DataFrame, aliases: DataFrame, di
     Returns id, key, tier (1 exact, 3 new but flagged as close, 4 new), match (organisation, for tier 1), close_to and similarity (tier 3).
     Rows that are new and of one name make one organisation, and later names are held against earlier new ones too: exactly what row after row gives.
     """
+    staging = kept(staging.select("id", "key"), "staging")
     first = staging.groupBy("key").agg(F.min("id").alias("first"))
     by_name = organisations.groupBy("key").agg(F.max("id").alias("_o"))
     by_alias = aliases.groupBy("key").agg(F.max("organisation_id").alias("_a"))
@@ -109,6 +140,54 @@ def resolve(staging: DataFrame, organisations: DataFrame, aliases: DataFrame, di
     return staging.select("id", "key").join(decided, "key").select("id", "key", "tier", "match", "close_to", "similarity")
 
 
+def _errors(key: str) -> Column:
+    return F.when(F.col(key).isNull() | (F.trim(key) == ""), F.lit("no name"))
+
+
+def process(staging: DataFrame, organisations: DataFrame, aliases: DataFrame, distinct_pairs: DataFrame | None = None) -> DataFrame:
+    """ER0, ER9, T06, M09: staging: id, key, status. Rows that are pending become committed, or errored with a note; a row that fails fails alone, and others keep their status.
+
+    Returns id, status, note, and what `resolve` says of committed rows.
+    """
+    rows = staging.withColumn("note", F.when(F.col("status") == "pending", _errors("key")))
+    decided = resolve(rows.where("status = 'pending' AND note IS NULL").select("id", "key"), organisations, aliases, distinct_pairs)
+    status = F.when(F.col("status") != "pending", F.col("status")).when(F.col("note").isNotNull(), "errored").otherwise("committed")
+    return rows.select("id", status.alias("status"), "note").join(decided, "id", "left")
+
+
+def dry_run(staging: DataFrame) -> DataFrame:
+    """The number of pending rows that would take each status."""
+    return staging.where("status = 'pending'").groupBy(F.when(_errors("key").isNotNull(), "errored").otherwise("committed").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Names that are held against all organisations at once.
+QUERIES = 4096
+
+
+def closest(wanted: DataFrame, organisations: DataFrame, limit: int = 3, cutoff: float = 45.0) -> DataFrame:
+    """Wanted: name: a stated set of names, in blocks of at most QUERIES, against all organisations (id, name). Returns name, rank, id, other, score (0 to 100).
+
+    Each batch keeps its own best rows per name, so that few rows are shuffled. Equal scores go by name and id.
+    """
+    names = sorted({r["name"] for r in wanted.select("name").where("name IS NOT NULL").distinct().toLocalIterator()})
+    spark, out = organisations.sparkSession, None
+    for at in range(0, len(names), QUERIES):
+        shared = spark.sparkContext.broadcast(names[at : at + QUERIES])
+
+        def best(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for name in shared.value:
+                    own = frame.assign(name=name, score=[100 * token_set_similarity(name, x) for x in frame["other"]])
+                    yield own[own["score"] >= cutoff].sort_values(["score", "other", "id"], ascending=[False, True, True]).head(limit)[["name", "id", "other", "score"]]
+
+        found = organisations.where("name IS NOT NULL").select("id", F.col("name").alias("other")).mapInPandas(best, "name string, id long, other string, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], "name string, rank int, id long, other string, score double")
+    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "other", "id")))  # `limit` rows per name and batch
+    return ranked.where(F.col("rank") <= limit).select("name", "rank", "id", "other", "score")
+
+
 def corroborated(organisations: DataFrame) -> DataFrame:
     """ER4 between organisations: pairs a < b of one host or one registration number."""
     def pairs(column: str) -> DataFrame:

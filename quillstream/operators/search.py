@@ -43,24 +43,53 @@ def matches(found: Column, query: str) -> Column:
 
 
 def rank(found: Column, query: str) -> Column:
-    """Occurrences of the query's stems, damped by length: n / (1 + ln(1 + words)); 0 without a match."""
-    wanted = sorted(set(query_stems(query_mode(query)[1]))) or [""]
-    n = F.size(F.filter(found, lambda w: w.isin(wanted)))
-    return F.when(matches(found, query), n / (F.lit(1.0) + F.log1p(F.size(found).cast("double")))).otherwise(F.lit(0.0))
+    """Occurrences of the query's stems, damped by length: n / (1 + ln(1 + words)); 0 without a match. The stems are made once, in one pass over them."""
+    phrase, text = query_mode(query)
+    wanted = sorted(set(query_stems(text)))
+    if not wanted:
+        return F.lit(0.0)
+    place = lambda w: F.array_position(F.array(*map(F.lit, wanted)), w)
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("words"), F.lit(0).cast("long").alias("seen"))
+    more = lambda x, w: F.struct((x["n"] + F.when(place(w) > 0, 1).otherwise(0)).alias("n"), (x["words"] + 1).alias("words"), x["seen"].bitwiseOR(F.when(place(w) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), (place(w) - 1).cast("int"))).otherwise(F.lit(0).cast("long"))).alias("seen"))
+    value = F.aggregate(found, start, more, lambda x: F.when(x["seen"] == (1 << len(wanted)) - 1, x["n"] / (F.lit(1.0) + F.log1p(x["words"].cast("double")))).otherwise(F.lit(0.0)))
+    return F.when(matches(found, query), value).otherwise(F.lit(0.0)) if phrase else value
+
+
+def may_match(text: Column, query: str) -> Column:
+    """False for texts without one of the query's stems: a word begins with its stem, so the letters must be there."""
+    out = F.lit(True)
+    for stem in sorted(set(query_stems(query_mode(query)[1]))):
+        out = out & F.contains(F.lower(text), F.lit(stem))
+    return out
 
 
-def search(sections: DataFrame, speeches: DataFrame, query: str, title_only: bool = False) -> DataFrame:
-    """FT3-FT5. sections: id, title. speeches: session_id, id, text. Returns id, title, rank, speech_id of what matches: three times the title's rank and that of the best speech.
+def search(sections: DataFrame, speeches: DataFrame, query: str, title_only: bool = False, house: str | None = None, debate_type: str | None = None, department: str | None = None, since: str | None = None, until: str | None = None, policy: DataFrame | None = None) -> DataFrame:
+    """FT3-FT6. sections: id, title, and what the filters name (is_container, house, debate_type, department, date); speeches: session_id, id, text; policy: session_id of the sections of a policy area.
 
-    Speeches are matched and reduced to one per section before anything is joined.
+    Returns id, title, rank, speech_id of what matches: three times the title's rank and that of the best speech. Containers never match.
+    The department is a part of the name in any case, dates are inclusive. Sections are filtered first, and speeches are matched and reduced to one per
+    section before anything is joined.
     """
-    titled = sections.withColumn("_t", rank(stems(F.col("title")), query))
+    for column, wanted in (("house", house), ("debate_type", debate_type)):
+        if wanted is not None:
+            sections = sections.where(F.col(column) == wanted)
+    if department is not None:
+        sections = sections.where(F.contains(F.lower("department"), F.lit(department.lower())))
+    if since is not None:
+        sections = sections.where(F.col("date") >= F.lit(since).cast("date"))
+    if until is not None:
+        sections = sections.where(F.col("date") <= F.lit(until).cast("date"))
+    if "is_container" in sections.columns:
+        sections = sections.where(~F.col("is_container"))
+    if policy is not None:
+        sections = sections.join(policy.select(F.col("session_id").alias("id")), "id", "left_semi")
+    titled = sections.select("id", "title", F.when(may_match(F.col("title"), query), rank(stems(F.col("title")), query)).otherwise(F.lit(0.0)).alias("_t"))
+    if title_only:
+        return titled.where("_t > 0").select("id", "title", (TITLE_WEIGHT * F.col("_t")).alias("rank"), F.lit(None).cast("long").alias("speech_id"))
     best = (
-        speeches.select("session_id", F.col("id").alias("_speech"), rank(stems(F.col("text")), query).alias("_r")).where("_r > 0")
+        speeches.where(may_match(F.col("text"), query)).select("session_id", F.col("id").alias("_speech"), rank(stems(F.col("text")), query).alias("_r")).where("_r > 0")
         .groupBy("session_id").agg(F.max(F.struct("_r", "_speech")).alias("_b"))
     )
-    if title_only:
-        return titled.where("_t > 0").select("id", "title", (TITLE_WEIGHT * F.col("_t")).alias("rank"), F.lit(None).cast("long").alias("speech_id"))
     both = titled.join(best, F.col("id") == F.col("session_id"), "left")
     return both.where("_t > 0 OR _b IS NOT NULL").select("id", "title", (TITLE_WEIGHT * F.col("_t") + F.coalesce("_b._r", F.lit(0.0))).alias("rank"), F.col("_b._speech").alias("speech_id"))
 

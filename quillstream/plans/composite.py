@@ -41,6 +41,27 @@ def _(t: Tables) -> DataFrame:
     return found.select("id", F.round("rank", 6).alias("rank"), "speech_id").orderBy(F.desc("rank"), "id").limit(100)
 
 
+FILTERS = "NOT is_container AND house = 'Commons' AND contains(lower(department), 'education') AND date BETWEEN DATE '1994-01-01' AND DATE '1999-06-30' AND id IN (SELECT session_id FROM theme WHERE theme = 'theme 3' AND theme_type = 'policy_area')"
+
+
+def sql_filtered(wanted: str) -> str:
+    stems = search.query_stems(wanted)
+    return f"""SELECT '{wanted}' AS query, s.id, round(3.0 * t + coalesce(r, 0), 6) AS rank, speech_id FROM (SELECT id, {sql_rank("a", stems)} AS t FROM (SELECT id, {sql_stems("title")} AS a FROM session WHERE {FILTERS})) s
+    LEFT JOIN (SELECT session_id, max(r) AS r, max_by(id, {{'r': r, 'i': id}}) AS speech_id FROM (SELECT session_id, id, {sql_rank("b", stems)} AS r FROM (SELECT session_id, id, {sql_stems("speech_text")} AS b FROM contribution)) WHERE r > 0 GROUP BY 1) c ON c.session_id = s.id WHERE t > 0 OR r > 0"""
+
+
+@query("ft_filtered", " UNION ALL ".join(map(sql_filtered, ["the reform of schools", "schools bill", "flooding and repayments"])))
+def _(t: Tables) -> DataFrame:
+    """FT3, FT4, FT6: the best of a section's speeches, several terms, no containers, and the filters: house, department, dates and policy area."""
+    speeches = t.contribution.select("session_id", "id", F.col("speech_text").alias("text"))
+    policy = t.theme.where("theme = 'theme 3' AND theme_type = 'policy_area'")
+    found = None
+    for wanted in ("the reform of schools", "schools bill", "flooding and repayments"):
+        own = search.search(t.session, speeches, wanted, house="Commons", department="education", since="1994-01-01", until="1999-06-30", policy=policy).select(F.lit(wanted).alias("query"), "id", F.round("rank", 6).alias("rank"), "speech_id")
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
 @query("ft_phrase", f"SELECT id FROM (SELECT id, ' ' || array_to_string({sql_stems('text')}, ' ') || ' ' AS s FROM speech) WHERE contains(s, ' {' '.join(search.query_stems('une le'))} ')")
 def _(t: Tables) -> DataFrame:
     """FT1: a phrase in quotes."""
@@ -53,24 +74,42 @@ def _(t: Tables) -> DataFrame:
     return t.speech.where(search.matches(search.stems(F.col("text")), "tion")).select("id", search.headline(F.col("text"), "tion").alias("headline"))
 
 
-@query("ft_postings", f"SELECT stem, count(*) AS docs, CAST(sum(n) AS BIGINT) AS n FROM (SELECT id, stem, count(*) AS n FROM (SELECT id, unnest({sql_stems('text')}) AS stem FROM turnless) GROUP BY ALL) GROUP BY stem".replace("turnless", "(SELECT item_id AS id, text FROM benchmark)"))
+@query("ft_postings", f"SELECT stem, count(*) AS docs, CAST(sum(n) AS BIGINT) AS n FROM (SELECT id, stem, count(*) AS n FROM (SELECT id, unnest({sql_stems('text')}) AS stem FROM speech) GROUP BY ALL) GROUP BY stem")
 def _(t: Tables) -> DataFrame:
-    """FT2: the posting list of the benchmark's items, summed by stem."""
-    return search.postings(t.raw("benchmark"), "item_id", "text").groupBy("stem").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
+    """FT2: the posting list of all documents, summed by stem."""
+    return search.postings(t.speech, "id", "text").groupBy("stem").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
 
 
-def names(t: Tables, odd: int) -> DataFrame:
-    """Organisation names made of the documents' first words."""
+def names(t: Tables) -> DataFrame:
+    """Organisation names made of the documents' first words, and whether the document's source counts as a register of known ones."""
     words = F.slice(F.filter(F.split(F.substring_index("text", "\n", 1), " "), lambda w: F.length(w) > 3), 1, 3)
-    return t.speech.where(F.col("id") % 2 == odd).select("id", T.organisation_key(F.array_join(words, " ")).alias("key")).where("key <> ''")
+    return t.speech.select("id", "source", T.organisation_key(F.array_join(words, " ")).alias("key"))
+
+
+def registered(t: Tables) -> DataFrame:
+    return names(t).where("source RLIKE '[02468]$' AND key <> ''").select("id", "key")
 
 
 @query("er_resolve")
 def _(t: Tables) -> DataFrame:
-    """ER0-ER8: names of half of the documents held against those of the other half."""
-    known = names(t, 0)
+    """ER0-ER9, T06, M09: names of the documents of some sources held against those of the others; rows that have no name fail alone."""
     aliases = t.alias.select("organisation_id", T.organisation_key(F.col("alias_name")).alias("key"))
-    return resolve.resolve(names(t, 1), known, aliases)
+    staging = names(t).where("source NOT RLIKE '[02468]$'").select("id", "key", F.lit("pending").alias("status"))
+    return resolve.process(staging, registered(t), aliases)
+
+
+@query("er_status_counts", f"SELECT CASE WHEN key IS NULL OR key = '' THEN 'errored' ELSE 'committed' END AS status, count(*) AS n FROM (SELECT array_to_string(list_filter(string_split(split_part(text, chr(10), 1), ' '), lambda w: length(w) > 3)[1:3], ' ') AS key, source FROM speech) WHERE NOT regexp_matches(source, '[02468]$') GROUP BY 1")
+def _(t: Tables) -> DataFrame:
+    """How many rows would take each status, without writing them."""
+    staging = names(t).where("source NOT RLIKE '[02468]$'").select("id", "key", F.lit("pending").alias("status"))
+    return resolve.dry_run(staging)
+
+
+@query("o13_did_you_mean")
+def _(t: Tables) -> DataFrame:
+    """The three most similar of all organisations' names, at 45 of 100 or more, for a stated set of names that none has."""
+    wanted = t.spark.createDataFrame([("custmer#000000042 trust",), ("customers 7",), ("zzz",), ("customer#00000001 plc",)], "name string")
+    return resolve.closest(wanted, t.organisation.select("id", F.lower("canonical_name").alias("name")))
 
 
 @query(["er_exact_tier", "er_exact_tier_all"], "WITH o AS (SELECT lower(canonical_name) AS key, max(id) AS id FROM organisation GROUP BY 1), a AS (SELECT lower(alias_name) AS key, max(organisation_id) AS id FROM alias GROUP BY 1) SELECT s.id, coalesce(o.id, a.id) AS match FROM (SELECT id, lower(canonical_name) AS key FROM organisation) s LEFT JOIN o USING (key) LEFT JOIN a USING (key)")

@@ -205,30 +205,33 @@ def evidence(pages: DataFrame, oral: bool, committee: str, internal: list[str])
     return each.where(P.whole_word(F.col("raw_organisation_name"), internal).isNull()).select(F.col("id").alias("publication_id"), "raw_organisation_name", "role", "publication_date", "inquiry_id", "inquiry_title", F.lit(committee).alias("committee"), url.alias("source_url"))
 
 
-#: Levels of nested sections that a document may have.
+#: Levels of nested sections that are read at once; what lies deeper is read in further passes.
 DEPTH = 6
 
 
 def debate_schema(depth: int = DEPTH) -> str:
-    inner = f"struct<Overview {DEBATE}, Items array<{ITEM}>>" if depth == 0 else f"struct<Overview {DEBATE}, Items array<{ITEM}>, ChildDebates array<{debate_schema(depth - 1)}>>"
-    return inner
+    """Sections within sections; the children of the deepest are left as text."""
+    return f"struct<Overview {DEBATE}, Items array<{ITEM}>, ChildDebates array<{'string' if depth == 0 else debate_schema(depth - 1)}>>"
 
 
 def debates(documents: DataFrame, column: str, depth: int = DEPTH) -> DataFrame:
     """Sections (ext_id, parent_ext_id, title, date, house, location, hrs_tag, next, previous) with their speeches in document order.
 
-    Children come before the items of what follows them, at any of the levels; a document nested deeper is an error when it is read.
+    Children come before the items of what follows them. Sections may be nested to any depth: a pass reads `depth` further levels and keeps what lies below as text for the next.
     """
     from ..functions.classify import is_speech_item
+    from ..storage import kept
 
-    level = documents.select(F.from_json(column, debate_schema(depth)).alias("d")).select("d.*").withColumn("root", F.col("Overview.ExtId")).withColumn("parent", F.lit(None).cast("string")).withColumn("path", F.array().cast("array<int>"))
+    below = documents.select(F.col(column).alias("text"), F.lit(None).cast("string").alias("root"), F.lit(None).cast("string").alias("parent"), F.array().cast("array<int>").alias("path"))
     out = None
-    for k in range(depth + 1):
-        items = level.select("root", "parent", "path", "Overview", F.posexplode_outer("Items").alias("at", "item"))
-        out = items if out is None else out.unionByName(items)
-        if k < depth:
-            child = level.select("root", F.col("Overview.ExtId").alias("parent"), "path", F.posexplode("ChildDebates").alias("n", "d"))
-            level = child.select("d.*", "root", "parent", F.concat("path", F.array("n")).alias("path"))
+    while out is None or not below.isEmpty():
+        level = below.select(F.from_json("text", debate_schema(depth)).alias("d"), "root", "parent", "path").select("d.*", F.coalesce("root", "d.Overview.ExtId").alias("root"), "parent", "path")
+        for k in range(depth + 1):
+            items = level.select("root", "parent", "path", "Overview", F.posexplode_outer("Items").alias("at", "item"))
+            out = items if out is None else out.unionByName(items)
+            child = level.select("root", F.col("Overview.ExtId").alias("parent"), "path", F.posexplode("ChildDebates").alias("n", "d")).select("d", "root", "parent", F.concat("path", F.array("n")).alias("path"))
+            level = child.select("d.*", "root", "parent", "path") if k < depth else None
+        below = kept(child.where("d IS NOT NULL").withColumnRenamed("d", "text"), "deeper-sections")
     spoken = is_speech_item(F.col("item.ItemType"), F.col("item.HRSTag"), F.col("item.Value"))
     o = "Overview"
     return out.select(
@@ -249,9 +252,10 @@ def speeches(sections: DataFrame) -> DataFrame:
 
 
 def feed(spark: SparkSession, path: str, topic: str, most: int = 15, first: int = 40) -> DataFrame:
-    """Of a landed RSS feed's first entries, those that hold a word of the topic."""
+    """Of a landed RSS feed's first entries, in the order in which they stand there, those that hold a word of the topic."""
     df = spark.read.format("xml").option("rowTag", "item").schema("title string, link string, description string, pubDate string").load(path)
-    return df.limit(first).where(P.any_word(F.concat_ws(" ", "title", "description"), topic)).limit(most)
+    placed = df.withColumn("_at", F.monotonically_increasing_id()).orderBy("_at").limit(first)
+    return placed.where(P.any_word(F.concat_ws(" ", "title", "description"), topic)).orderBy("_at").limit(most).drop("_at")
 
 
 def posts(spark: SparkSession, path: str, topic: str, most: int = 10) -> DataFrame:

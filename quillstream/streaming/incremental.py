@@ -27,16 +27,16 @@ def stream(spark: SparkSession, path: str, at: str, files_at_once: int = 1000) -
 
 
 def finished(df: DataFrame, name: str, mode: str, write: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
-    """Runs a stream over what is there. Whole results (complete) replace the ones before; others append."""
+    """Runs a stream over what is there. Whole results (complete) replace the ones before; others add a folder by the batch's number, which a batch that runs again overwrites."""
     spark = df.sparkSession
     out = new_path(spark, name)
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(f"{out}/rows")
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/rows" + (f"/batch={number}" if mode != "complete" else ""))
 
     run = df.writeStream.outputMode(mode).option("checkpointLocation", f"{out}/state").foreachBatch(write or put).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{out}/rows") if write is None else df
+    return spark.read.schema(df.schema).parquet(f"{out}/rows").select(*df.columns) if write is None else df
 
 
 def windowed(events: DataFrame, at: str, keys: list[Column], width: str, slide: str | None = None, late: str = "1 day") -> DataFrame:

@@ -80,3 +80,36 @@ def test_new_ids_are_dense_and_ordered(spark):
     rows = spark.createDataFrame([(f"n{i:03d}",) for i in random.Random(4).sample(range(200), 200)], "name string")
     got = sorted((r["new_id"], r["name"]) for r in R.new_ids(rows, "name", 1000).collect())
     assert [i for i, _ in got] == list(range(1001, 1201)) and [n for _, n in got] == sorted(n for _, n in got)
+
+
+def test_rows_fail_alone_and_keep_other_statuses(spark):
+    staging = spark.createDataFrame([(1, "russell group", "pending"), (2, "", "pending"), (3, None, "pending"), (4, "royal college", "rejected"), (5, "russel group", "pending")], "id long, key string, status string")
+    orgs = spark.createDataFrame([(7, "russell group")], "id long, key string")
+    aliases = spark.createDataFrame([], "organisation_id long, key string")
+    got = {r["id"]: (r["status"], r["note"], r["tier"], r["match"]) for r in R.process(staging, orgs, aliases).collect()}
+    assert got == {1: ("committed", None, 1, 7), 2: ("errored", "no name", None, None), 3: ("errored", "no name", None, None), 4: ("rejected", None, None, None), 5: ("committed", None, 3, None)}
+    assert {tuple(r) for r in R.dry_run(staging).collect()} == {("committed", 2), ("errored", 2)}
+
+
+def test_closest_names_against_all_pairs(spark):
+    names = near_names(120, 5)
+    orgs = spark.createDataFrame(list(enumerate(names)), "id long, name string").repartition(5)
+    wanted = [*near_names(6, 9), "qqqq"]
+    for block in (4096, 2):
+        R.QUERIES, before = block, R.QUERIES
+        got = {(r["name"], r["rank"]): (r["id"], r["other"], r["score"]) for r in R.closest(spark.createDataFrame([(x,) for x in wanted], "name string"), orgs).collect()}
+        R.QUERIES = before
+        expected = {}
+        for name in set(wanted):
+            best = sorted(((-100 * R.token_set_similarity(name, x), x, i) for i, x in enumerate(names)))[:3]
+            expected |= {(name, k): (i, x, -score) for k, (score, x, i) in enumerate(best, 1) if -score >= 45}
+        assert got == expected
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_candidates_where_one_name_goes_on(spark, seed):
+    """Common words that are nine elevenths of one name, whatever else the other has."""
+    names = sorted(set(near_names(60, seed)) | {f"{n} of the national union" for n in near_names(20, seed)} | {f"x {n}" for n in near_names(20, seed + 10)})
+    df = spark.createDataFrame([(n,) for n in names], "key string")
+    found = {(r["key"], r["other"]) for r in R.candidates(df, df).collect()}
+    assert {(a, b) for a in names for b in names if a != b and R.token_set_similarity(a, b) >= R.CLOSE} <= found

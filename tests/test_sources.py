@@ -111,3 +111,25 @@ def test_sinks(spark, tmp_path):
     assert lines == ['﻿"Report","x"', "", '"k","d","v"', '"a","2024-01-01","1"', '"q""x","","2"']
     K.sitemap(spark.createDataFrame([("http://x", day)], "loc string, lastmod date"), f"file://{tmp_path}/xml")
     assert any("<loc>http://x</loc>" in p.read_text() for p in (tmp_path / "xml").glob("part-*"))
+
+
+def test_debates_nested_to_any_depth(spark):
+    doc = None
+    for k in range(19, -1, -1):
+        doc = {"Overview": {"ExtId": f"e{k}", "Title": f"level {k}", "Date": "2024-05-01"}, "Items": [{"ItemType": "Contribution", "Value": f"<p>speech {k}</p>", "AttributedTo": "A"}], "ChildDebates": [doc] if doc else []}
+    sections = R.debates(spark.createDataFrame([(json.dumps(doc),), (json.dumps({"Overview": {"ExtId": "flat"}, "Items": []}),), (None,)], "doc string"), "doc").collect()
+    got = {r["ext_id"]: r for r in sections if r["ext_id"]}
+    assert sorted(got) == sorted([*(f"e{k}" for k in range(20)), "flat"])
+    assert all(got[f"e{k}"]["parent_ext_id"] == (f"e{k - 1}" if k else None) and got[f"e{k}"]["root"] == "e0" and len(got[f"e{k}"]["path"]) == k and got[f"e{k}"]["item"]["Value"] == f"<p>speech {k}</p>" for k in range(20))
+
+
+def test_a_batch_that_runs_again_writes_its_rows_once(spark, tmp_path, monkeypatch):
+    from quillstream.streaming import incremental as I
+
+    spark.range(10).write.parquet(f"{tmp_path}/in")
+    rows = spark.readStream.schema("id long").parquet(f"{tmp_path}/in")
+    monkeypatch.setattr(I, "new_path", lambda spark, name: f"{tmp_path}/out")
+    assert I.finished(rows, "x", "append").count() == 10
+    monkeypatch.setattr(I, "new_path", lambda spark, name: f"{tmp_path}/out")
+    (tmp_path / "out" / "state").rename(tmp_path / "lost")  # the state is lost, so the batch runs again
+    assert I.finished(rows, "x", "append").count() == 10
