@@ -4,8 +4,9 @@
 the UTF-8 bytes, padded with 0 to a positive multiple of 64. Nothing is expanded on the way, so the payload is kept as it is.
 ``load`` reads such a table back, takes the samples out of the container, and decodes them three ways: mu-law and A-law by
 lookup tables, and as IMA ADPCM blocks of 64 bytes (4 of header, 120 samples of 4 bits), where numpy works across all blocks
-of a slice, one sample position after the other. With ``pcm`` it also returns the mu-law signal resampled to 16 kHz, as 16-bit
-little-endian PCM; ``feature`` always holds that signal's crc32.
+of a slice, one sample position after the other. With ``pcm`` (a rate in Hz) it also returns the mu-law signal resampled to that
+rate, as 16-bit little-endian PCM, for the table that the caller stores; ``feature`` always holds the crc32 of the signal at
+PCM_RATE. Rates are multiples or fractions of the telephone's: 16 kHz is four times the payload's bytes, 4 kHz as many.
 
 Defined cases: null text counts as empty, whose payload is 64 zero bytes; equal texts give equal values; repeated and null
 ids stay; other columns are ignored; an empty table gives no rows.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ._common import shared_path, slices, table, utf8
 
-BLOCK, RATE = 64, 8000
+BLOCK, RATE, PCM_RATE = 64, 8000, 4000
 #: Fixed values of IMA ADPCM: the quantiser's steps, and how a sample's magnitude moves the step index.
 STEPS = np.array([
     7, 8, 9, 10, 11, 12, 13, 14, 16, 17, 19, 21, 23, 25, 28, 31, 34, 37, 41, 45, 50, 55, 60, 66, 73, 80, 88, 97, 107, 118, 130, 143, 157, 173, 190, 209, 230, 253, 279, 307, 337, 371, 408, 449, 494,
@@ -83,9 +84,16 @@ def decode_adpcm(blocks: np.ndarray) -> np.ndarray:
     return out.T
 
 
-def resample(pcm: np.ndarray, ends: np.ndarray, factor: int = 2) -> np.ndarray:
-    """Joined signals (that end at `ends`) at `factor` times their rate, by integer linear interpolation; the last sample of each is held."""
+def resample(pcm: np.ndarray, ends: np.ndarray, rate: int = PCM_RATE) -> np.ndarray:
+    """Joined signals (that end at `ends`) at another rate, in integers. A multiple: linear interpolation, the last sample of each is held. A fraction: means of so many samples, of which every signal is a multiple."""
     here = pcm.astype(np.int32)
+    if rate < RATE:
+        if RATE % rate or (np.diff(ends, prepend=0) % (RATE // rate)).any():
+            raise ValueError(f"{rate} Hz is no fraction of {RATE} Hz that divides the signals")
+        return (here.reshape(-1, RATE // rate).sum(axis=1) // (RATE // rate)).astype("<i2")
+    if rate % RATE:
+        raise ValueError(f"{rate} Hz is no multiple of {RATE} Hz")
+    factor = rate // RATE
     after = np.append(here[1:], 0)
     after[ends - 1] = here[ends - 1]
     return np.stack([(here * (factor - k) + after * k) // factor for k in range(factor)], axis=1).astype("<i2").ravel()
@@ -134,9 +142,13 @@ def _measure(pcm: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.add.reduceat(wide * wide, starts) // n, np.maximum.reduceat(np.abs(wide), starts), np.add.reduceat(change, starts)
 
 
-def load(spark: SparkSession, path: str, pcm: bool = False) -> DataFrame:
-    """Reads a folder of ``store`` and decodes each row's samples."""
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", pcm binary" * pcm
+def load(spark: SparkSession, path: str, pcm: int | None = None) -> DataFrame:
+    """Reads a folder of ``store`` and decodes each row's samples; with a rate also returns them as PCM."""
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", pcm binary" * bool(pcm)
+
+    def resampled(mu: np.ndarray, bounds: np.ndarray, rate: int) -> list[np.ndarray]:
+        wave = resample(mu, bounds[1:], rate).view(np.uint8)
+        return [wave[a:b] for a, b in zip((bounds[:-1] * 2 * rate // RATE).tolist(), (bounds[1:] * 2 * rate // RATE).tolist(), strict=True)]
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, media in slices(batches, "media", 1_000_000):
@@ -147,17 +159,16 @@ def load(spark: SparkSession, path: str, pcm: bool = False) -> DataFrame:
             mu = MU_LAW[code]
             adpcm = decode_adpcm(code.reshape(-1, BLOCK)).ravel()
             found = [_measure(x, b) for x, b in ((mu, bounds), (A_LAW[code], bounds), (adpcm, bounds // BLOCK * (2 * (BLOCK - 4) + 1)))]
-            wave = resample(mu, bounds[1:]).view(np.uint8)
-            waves = [wave[4 * a : 4 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            waves = resampled(mu, bounds, PCM_RATE)
             measured = zip(*(x.tolist() for kind in found for x in kind), size.tolist(), map(zlib.crc32, waves), strict=True)
-            feature = ["mulaw=%d/%d/%d;alaw=%d/%d/%d;adpcm=%d/%d/%d;pcm16k=%d/%08x" % (*m[:9], 2 * m[9], m[10]) for m in measured]
+            feature = ["mulaw=%d/%d/%d;alaw=%d/%d/%d;adpcm=%d/%d/%d;pcm4k=%d/%08x" % (*m[:9], m[9] * PCM_RATE // RATE, m[10]) for m in measured]
             columns = [
                 batch.column(0), batch.column(1), pa.array(size), pa.array([hashlib.sha256(p).hexdigest() for p in payloads]), pa.array([zlib.crc32(p[-BLOCK:]) for p in payloads], pa.int64()),
                 pa.array(list(map(len, media)), pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(feature),
             ]
             names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
             if pcm:
-                columns.append(pa.array([w.tobytes() for w in waves], pa.binary()))
+                columns.append(pa.array([w.tobytes() for w in (waves if pcm == PCM_RATE else resampled(mu, bounds, pcm))], pa.binary()))
                 names.append("pcm")
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
@@ -167,4 +178,4 @@ def load(spark: SparkSession, path: str, pcm: bool = False) -> DataFrame:
 def op5_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "audio")
     store(table(spark, sf_dir, "documents"), path)
-    return load(spark, path)
+    return load(spark, path, pcm=PCM_RATE)

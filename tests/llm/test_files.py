@@ -119,13 +119,18 @@ def test_audio_tables_and_blocks():
     assert audio.MU_LAW[[0, 127, 128, 255]].tolist() == [-32124, 0, 32124, 0] and audio.A_LAW[[0xD5, 0x55, 0x2A, 0xAA]].tolist() == [8, -8, -32256, 32256]
     blocks = np.random.default_rng(1).integers(0, 256, (50, 64)).astype(np.uint8)
     assert audio.decode_adpcm(blocks).tolist() == [decoded(bytes(b)) for b in blocks]
-    assert audio.resample(np.array([0, 10, 4], np.int16), np.array([2, 3])).tolist() == [0, 5, 10, 10, 4, 4]
+    assert audio.resample(np.array([0, 10, 4], np.int16), np.array([2, 3]), 16000).tolist() == [0, 5, 10, 10, 4, 4]
+    assert audio.resample(np.array([0, 10, 4, -7], np.int16), np.array([2, 4])).tolist() == [5, -2]
+    for rate in (3000, 12000, 500):
+        with pytest.raises(ValueError):
+            audio.resample(np.zeros(8, np.int16), np.array([2, 8]), rate)
 
 
 def test_audio_round_trip(spark, odd_docs, no_docs):
     path = shared_path(spark, "test")
     audio.store(odd_docs, path)
-    rows = audio.load(spark, path, pcm=True).collect()
+    rows = audio.load(spark, path, pcm=16000).collect()
+    stored = {str(r["doc_id"]): r for r in audio.load(spark, path, pcm=4000).collect()}
     wanted = defaultdict(list)
     for i, t, _ in ROWS:
         wanted[i].append((t or "").encode())
@@ -136,7 +141,10 @@ def test_audio_round_trip(spark, odd_docs, no_docs):
         media = audio.container(payload)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
-        assert len(r["pcm"]) == 4 * len(payload) and r["feature"].endswith(f"{zlib.crc32(r['pcm']):08x}")
+        samples = audio.MU_LAW[np.frombuffer(payload, np.uint8)].astype(int)
+        slow = ((samples[::2] + samples[1::2]) // 2).astype("<i2").tobytes()
+        assert len(r["pcm"]) == 4 * len(payload) and np.frombuffer(r["pcm"], "<i2")[::2].tolist() == samples.tolist()
+        assert bytes(stored[str(r["doc_id"])]["pcm"]) == slow and r["feature"].endswith(f"pcm4k={len(payload) // 2}/{zlib.crc32(slow):08x}")
     assert len({r["feature"] for r in rows if r["doc_id"] in (6, 7)}) == 1 == len({r["feature"] for r in rows if r["doc_id"] in (2, 3)})
     empty = shared_path(spark, "test")
     audio.store(no_docs, empty)
