@@ -1,7 +1,7 @@
 """Quality: attention-based multiple-instance learning over a text's passages.
 
-A passage of WIDTH words is encoded from what its words look like (lengths, cases, digits, symbols, words that repeat) by one
-tanh layer. Gated attention weighs the encoded passages of a text, and a logistic unit scores their weighted mean. All weights
+A passage of WIDTH words is encoded by one tanh layer from its words' subwords (character 3- to 5-grams, hashed with a sign into
+SUBWORDS numbers, the mean over the passage) and from what the words look like (lengths, cases, digits, symbols, words that repeat). Gated attention weighs the encoded passages of a text, and a logistic unit scores their weighted mean. All weights
 are learned together, by gradient descent in numpy, from document labels alone. The driver trains on at most SAMPLE labelled
 rows, whatever the corpus; tasks score every whole text.
 
@@ -26,14 +26,16 @@ from ._text import Rows, newest, windows
 #: Labelled rows that training takes at most.
 SAMPLE = 6000
 WIDTH, HIDDEN, GATE, STEPS, RATE = 64, 16, 8, 100, 0.05
+#: Numbers that hold a word's subwords; how much steeper weights of theirs are drawn to zero than the others (1e-5).
+SUBWORDS, DECAY = 32, 100.0
 #: Words that a worker remembers; beyond it starts anew.
-MOST_WORDS = 400_000
+MOST_WORDS = 250_000
 #: Distances at which a word is compared with earlier ones.
 LAGS = (1, 2, 3, 5, 8)
 _KINDS = np.zeros((256, 8), np.float32)
 for _kind, _bytes in enumerate((range(97, 123), range(65, 91), range(48, 58), b".,;:", b"!?", b"|", [*b"#$%&*+/<=>@\\^_`{}~"], range(128, 256))):
     _KINDS[list(_bytes), _kind] = 1
-WORD_FEATURES, FEATURES = 20, 20 + len(LAGS)
+WORD_FEATURES, FEATURES = 20 + SUBWORDS, 20 + SUBWORDS + len(LAGS)
 
 
 def word_features(words: list[bytes]) -> np.ndarray:
@@ -45,7 +47,25 @@ def word_features(words: list[bytes]) -> np.ndarray:
     share = kinds / size[:, None]
     capitals = (kinds[:, 1] > 1) & (kinds[:, 0] == 0)
     title = (kinds[:, 1] == 1) & (kinds[:, 0] > 0)
-    return np.column_stack([np.minimum(size, 40) / 10, size > 30, share, capitals, title, _KINDS[code[ends - 1]]]).astype(np.float32)
+    return np.column_stack([np.minimum(size, 40) / 10, size > 30, share, capitals, title, _KINDS[code[ends - 1]], subwords(words)]).astype(np.float32)
+
+
+def subwords(words: list[bytes]) -> np.ndarray:
+    """Of each word, A-Z in lower case and with its bounds: the mean over its n-grams, each one of SUBWORDS numbers with a sign, by a hash."""
+    held = [b"<" + w.lower() + b">" for w in words]
+    size = np.fromiter(map(len, held), np.int64, len(held))
+    code = np.frombuffer(b"".join(held), np.uint8).astype(np.uint64)
+    ends, of = np.repeat(np.cumsum(size), size), np.repeat(np.arange(len(held)), size)
+    out = np.zeros(len(held) * SUBWORDS)
+    for n in (3, 4, 5):
+        at = np.flatnonzero(np.arange(len(code)) + n <= ends)
+        h = np.full(len(at), 1469598103934665603 + n, np.uint64)
+        for k in range(n):
+            h = (h ^ code[at + k]) * np.uint64(1099511628211)
+        h ^= h >> np.uint64(29)
+        out += np.bincount(of[at] * SUBWORDS + (h % np.uint64(SUBWORDS)).astype(np.int64), 1.0 - 2.0 * ((h >> np.uint64(40)) & np.uint64(1)).astype(np.float64), len(out))
+    grams = sum(np.maximum(size - n + 1, 0) for n in (3, 4, 5))
+    return out.reshape(-1, SUBWORDS) / grams[:, None]
 
 
 class Passages:
@@ -89,6 +109,19 @@ def forward(model: dict, x: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray,
     return sigmoid(z @ model["c"] + model["d"]), (h, t, s, attention, z, first)
 
 
+def gradients(model: dict, x: np.ndarray, counts: np.ndarray, labels: np.ndarray, weight: np.ndarray) -> dict:
+    """Of the weighted cross entropy of the texts' labels, by each array that is learned."""
+    inputs, of = (x - model["mean"]) / model["scale"], np.repeat(np.arange(len(counts)), counts)
+    p, (h, t, s, attention, z, first) = forward(model, x, counts)
+    g = (p - labels) * weight
+    d_z = g[:, None] * model["c"]
+    inner = (h * d_z[of]).sum(axis=1)
+    d_e = attention * (inner - np.repeat(np.add.reduceat(attention * inner, first), counts))
+    d_t, d_s = d_e[:, None] * model["a"] * s * (1 - t * t), d_e[:, None] * model["a"] * t * s * (1 - s)
+    d_h = (attention[:, None] * d_z[of] + d_t @ model["v"].T + d_s @ model["u"].T) * (1 - h * h)
+    return {"w": inputs.T @ d_h, "b": d_h.sum(axis=0), "v": h.T @ d_t, "u": h.T @ d_s, "a": (t * s).T @ d_e, "c": z.T @ g, "d": np.array([g.sum()])}
+
+
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 0) -> dict:
     rng = np.random.default_rng(seed)
     model = {"w": rng.normal(0, 0.3, (FEATURES, HIDDEN)), "b": np.zeros(HIDDEN), "v": rng.normal(0, 0.3, (HIDDEN, GATE)), "u": rng.normal(0, 0.3, (HIDDEN, GATE)), "a": rng.normal(0, 0.3, GATE), "c": rng.normal(0, 0.3, HIDDEN), "d": np.zeros(1), "mean": np.zeros(FEATURES), "scale": np.ones(FEATURES)}
@@ -99,23 +132,15 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 0) -> dict:
     x, counts = (np.concatenate(x) for x in zip(*(passages(texts[k : k + 200]) for k in range(0, len(texts), 200)), strict=True))
     del passages
     model["mean"], model["scale"] = x.mean(axis=0), x.std(axis=0) + 1e-3
-    inputs = (x - model["mean"]) / model["scale"]
-    of = np.repeat(np.arange(len(counts)), counts)
     weight = np.where(labels == 1, 0.5 / (labels == 1).sum(), 0.5 / (labels == 0).sum())
     learned = ["w", "b", "v", "u", "a", "c", "d"]
+    decay = np.where((np.arange(FEATURES) >= 20) & (np.arange(FEATURES) < WORD_FEATURES), DECAY, 1.0)[:, None]
     moments = {k: (np.zeros_like(model[k]), np.zeros_like(model[k])) for k in learned}
     for step in range(1, STEPS + 1):
-        p, (h, t, s, attention, z, first) = forward(model, x, counts)
-        g = (p - labels) * weight
-        d_z = g[:, None] * model["c"]
-        inner = (h * d_z[of]).sum(axis=1)
-        d_e = attention * (inner - np.repeat(np.add.reduceat(attention * inner, first), counts))
-        d_t, d_s = d_e[:, None] * model["a"] * s * (1 - t * t), d_e[:, None] * model["a"] * t * s * (1 - s)
-        d_h = (attention[:, None] * d_z[of] + d_t @ model["v"].T + d_s @ model["u"].T) * (1 - h * h)
-        gradient = {"w": inputs.T @ d_h, "b": d_h.sum(axis=0), "v": h.T @ d_t, "u": h.T @ d_s, "a": (t * s).T @ d_e, "c": z.T @ g, "d": np.array([g.sum()])}
+        gradient = gradients(model, x, counts, labels, weight)
         for k in learned:
             m, v = moments[k]
-            d = gradient[k] + 1e-5 * model[k]
+            d = gradient[k] + 1e-5 * model[k] * (decay if k == "w" else 1.0)
             m += 0.1 * (d - m)
             v += 0.01 * (d * d - v)
             model[k] = model[k] - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)

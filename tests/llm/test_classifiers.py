@@ -89,6 +89,34 @@ def test_quality_finds_the_bad_passage(prose):
     assert ((quality.forward(model, *quality.Passages()(texts))[0] >= 0.3) == labels).mean() > 0.95
 
 
+def test_quality_gradients_against_differences(prose):
+    rng, words = prose
+    texts = [" ".join(words(int(rng.integers(1, 300)))).encode() for _ in range(9)]
+    x, counts = quality.Passages()(texts)
+    labels, weight = rng.integers(0, 2, 9).astype(float), rng.random(9)
+    model = {k: rng.normal(0, 0.5, n) for k, n in (("w", (quality.FEATURES, 16)), ("b", 16), ("v", (16, 8)), ("u", (16, 8)), ("a", 8), ("c", 16), ("d", 1))} | {"mean": x.mean(axis=0), "scale": x.std(axis=0) + 1e-3}
+
+    def loss():
+        p = quality.forward(model, x, counts)[0]
+        return -(weight * (labels * np.log(p) + (1 - labels) * np.log(1 - p))).sum()
+
+    found = quality.gradients(model, x, counts, labels, weight)
+    for k, gradient in found.items():
+        for at in {tuple(int(rng.integers(n)) for n in gradient.shape) for _ in range(6)}:
+            before = model[k][at]
+            model[k][at] = before + 1e-5
+            more = loss()
+            model[k][at] = before - 1e-5
+            less = loss()
+            model[k][at] = before
+            assert gradient[at] == pytest.approx((more - less) / 2e-5, rel=1e-3, abs=1e-7)
+
+
+def test_quality_subwords():
+    found = quality.subwords([b"Word", b"word", b"words", b"\xff", b"a"])
+    assert (found[0] == found[1]).all() and 0 < np.abs(found[1] - found[2]).sum() < np.abs(found[1]).sum() + np.abs(found[2]).sum() and np.isfinite(found).all()
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_odd_rows(spark, odd_docs, no_docs, module):
     column = "toxic" if module is toxicity else "quality"
