@@ -29,7 +29,9 @@ WIDTH, HIDDEN, GATE, STEPS, RATE = 64, 16, 8, 100, 0.05
 #: Numbers that hold a word's subwords; how much steeper weights of theirs are drawn to zero than the others (1e-5).
 SUBWORDS, DECAY = 32, 100.0
 #: Words that a worker remembers; beyond it starts anew.
-MOST_WORDS = 250_000
+MOST_WORDS = 200_000
+#: Bytes of text that become passages at once; words whose features are made at once.
+SLICE_BYTES, PART = 500_000, 10_000
 #: Distances at which a word is compared with earlier ones.
 LAGS = (1, 2, 3, 5, 8)
 _KINDS = np.zeros((256, 8), np.float32)
@@ -83,7 +85,7 @@ class Passages:
         row = np.fromiter(map(self.rows.__getitem__, chain.from_iterable(own)), np.int64, int(sizes.sum()))
         while len(self.rows) > len(self.features):
             self.features = np.concatenate([self.features, np.empty_like(self.features)])
-        for part in (new[k : k + 50_000] for new in [newest(self.rows, self.known)] for k in range(0, len(new), 50_000)):
+        for part in (new[k : k + PART] for new in [newest(self.rows, self.known)] for k in range(0, len(new), PART)):
             self.features[self.known : self.known + len(part)] = word_features(part)
             self.known += len(part)
         starts, text = windows(sizes, WIDTH)
@@ -155,7 +157,7 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.3, keep: list[str]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passages = Passages()
-        for batch, texts in slices(batches, text):
+        for batch, texts in slices(batches, text, SLICE_BYTES):
             found = forward(shared.value, *passages(texts))[0]
             if keep is not None:
                 yield batch.filter(pa.array(found >= threshold)).drop_columns([text])
