@@ -102,6 +102,39 @@ def test_best_two_fit_uses_each_piece_once_and_beats_greedy():
     assert sorted(packing.best_two_fit({6: 1, 3: 1, 2: 2}, 10)[0][0]) == [2, 2, 6]
 
 
+def one_at_a_time(sizes, capacity):
+    """Best-two-fit, sequence after sequence, by looking at every piece and every pair."""
+    left, out = sorted(sizes), []
+    while left:
+        own, gap = [], capacity
+        while (fit := [x for x in left if x <= gap]):
+            own.append(fit[-1])
+            left.remove(fit[-1])
+            gap -= fit[-1]
+        if gap and len(own) > 1:
+            room = gap + own[-1]
+            pairs = [(left[i] + left[j], i, j) for i in range(len(left)) for j in range(i) if left[i] + left[j] <= room]
+            best = max(pairs, default=(0, 0, 0))
+            if best[0] > own[-1]:
+                two = [left[best[1]], left[best[2]]]
+                for x in two:
+                    left.remove(x)
+                left = sorted([*left, own.pop()])
+                own += two
+        out.append(sum(own))
+    return out
+
+
+def test_best_two_fit_against_one_sequence_at_a_time():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        capacity = int(rng.integers(6, 40))
+        sizes = rng.integers(1, capacity + 1, int(rng.integers(1, 60))).tolist()
+        histogram = dict(zip(*map(np.ndarray.tolist, np.unique(sizes, return_counts=True)), strict=True))
+        found = [sum(pattern) for pattern, n in packing.best_two_fit(histogram, capacity) for _ in range(n)]
+        assert found == one_at_a_time(sizes, capacity)
+
+
 def decoded(block):
     value, index, out = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88), []
     out.append(value)
