@@ -5,9 +5,10 @@
    12-bit blocks, two fingerprints within 3 bits agree in one block of either level, so every link has a key in common.
 3. Within a key a task computes the Hamming distances of each fingerprint to the pivots, discards pairs whose distances to
    any pivot differ by more than the limit (the triangle inequality), and verifies the others. It returns links that join the
-   same fingerprints as all links do, at most one less than the key has fingerprints. Keys of over BUCKET fingerprints are dealt
-   out as pairs of chunks, so no task holds a large one and no pair is left out.
-4. Components come from large-star and small-star rounds over the links.
+   same fingerprints as all links do, at most one less than the key has fingerprints. Fingerprints of a key of over BUCKET are
+   keyed again, four ways by 9-bit blocks of the 36 bits left, where near ones agree in a block again; what is still over BUCKET
+   is dealt out as pairs of chunks, so no task holds a large one and no pair is left out.
+4. Components come from large-star and small-star rounds over the links, until every component is a star.
 
 Defined cases: null text counts as empty, and texts without words have fingerprint zero, linked like any other; null ids take
 part but never name a component unless all its ids are null; repeated rows stay; other columns are ignored.
@@ -31,6 +32,8 @@ SEED = 42
 PIVOTS = np.random.default_rng(64).integers(0, 1 << 63, 24, np.uint64) * np.uint64(2) + np.random.default_rng(65).integers(0, 2, 24, np.uint64)
 #: Fingerprints of one key that a task compares at once.
 BUCKET = 2048
+#: Pairs whose pivot distances a task compares at once.
+PAIRS = 4_000_000
 
 
 def fingerprint(text: bytes, width: int = 3) -> int:
@@ -77,23 +80,40 @@ def keys(fp: Column) -> Column:
     return F.array(*out)
 
 
+def further_keys(fp: str, key: str) -> Column:
+    """Four keys within a key of keys(): 2 bits of their number, 9 bits of a block of the 36 bits that the key leaves."""
+    without = lambda x, at, n: f"({x} & (shiftleft(1L, {at}) - 1L) | shiftleft(shiftrightunsigned(shiftrightunsigned({x}, {at}), {n}), {at}))"
+    i, j = f"cast(16 * ({key} >> 30) AS INT)", f"cast(12 * ({key} >> 28 & 3) AS INT)"
+    rest = without(without(fp, i, 16), j, 12)
+    return F.array(*(F.expr(f"{m << 9}L | shiftrightunsigned({rest}, {9 * m}) & 511L") for m in range(4)))
+
+
 def near_pairs(fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs a < b of fingerprints within limit bits, by the pivot distances."""
+    """Index pairs a < b of fingerprints within limit bits, by the pivot distances: each is met with those alone whose distance to the pivot that tells most apart is near its own."""
     tables = np.bitwise_count(fps[:, None] ^ PIVOTS[None, :]).astype(np.int8)
-    out_a, out_b = [], []
-    step = max(1, 4_000_000 // max(1, len(fps)))
-    for begin in range(0, len(fps), step):
-        rows = tables[begin : begin + step]
-        a, b = np.nonzero(np.abs(rows[:, 0, None] - tables[None, :, 0]) <= limit)
-        keep = a + begin < b
-        a, b = a[keep] + begin, b[keep]
-        for k in range(1, len(PIVOTS)):
-            keep = np.abs(tables[a, k] - tables[b, k]) <= limit
-            a, b = a[keep], b[keep]
-        keep = np.bitwise_count(fps[a] ^ fps[b]) <= limit
-        out_a.append(a[keep])
-        out_b.append(b[keep])
-    return np.concatenate(out_a), np.concatenate(out_b)
+    first = int(tables.std(axis=0).argmax()) if len(fps) else 0
+    order = np.argsort(tables[:, first], kind="stable")
+    tables, sorted_ = tables[order], fps[order]
+    at = np.arange(len(fps))
+    widths = np.searchsorted(tables[:, first], tables[:, first] + limit, "right") - at - 1  # later ones within the limit
+    sums = np.cumsum(widths)
+    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    begin = 0
+    while begin < len(fps):
+        end = max(begin + 1, int(np.searchsorted(sums, (sums[begin - 1] if begin else 0) + PAIRS, "right")))
+        width = widths[begin:end]
+        a = np.repeat(at[begin:end], width)
+        b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(width) - width, width)
+        for k in range(len(PIVOTS)):
+            if k != first and len(a):
+                keep = np.abs(tables[a, k] - tables[b, k]) <= limit
+                a, b = a[keep], b[keep]
+        keep = np.bitwise_count(sorted_[a] ^ sorted_[b]) <= limit
+        out_a.append(order[a[keep]])
+        out_b.append(order[b[keep]])
+        begin = end
+    a, b = np.concatenate(out_a), np.concatenate(out_b)
+    return np.minimum(a, b), np.maximum(a, b)
 
 
 def spanning(n: int, a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -121,31 +141,35 @@ def links(classes: DataFrame, limit: int = 3, bucket: int = BUCKET) -> DataFrame
         raise ValueError("the sixteen keys find pairs within 3 bits")
     spark = classes.sparkSession
     keyed = classes.select("fp", F.explode(keys(F.col("fp"))).alias("key"))
-    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket)
-    chunks = F.ceil(F.col("n") / F.lit(bucket // 2)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    # A row of a large key goes to a group with each other chunk of it; all other rows have the group 0, 0.
+    large = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > bucket).select("key")
+    small = keyed.join(large, "key", "left_anti").select("key", F.lit(-1).cast("long").alias("part"), F.lit(0).alias("low"), F.lit(0).alias("high"), "fp")
+    parted = keyed.join(large, "key", "left_semi").select("key", F.explode(further_keys("fp", "key")).alias("part"), "fp")
+    chunked = parted.groupBy("key", "part").agg(F.ceil(F.count(F.lit(1)) / F.lit(bucket // 2)).cast("int").alias("chunks")).where(F.col("chunks") > 2)
+    # A row of a large part goes to a group with each other chunk of it; all other rows have the group 0, 0.
+    own, chunks = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int"), F.col("chunks")
+    others = F.when(chunks > 2, F.filter(F.sequence(F.lit(0), chunks - 1), lambda x: x != F.col("own"))).otherwise(F.array(F.lit(0)))
     dealt = (
-        keyed.join(large, "key", "left").withColumn("chunks", F.coalesce(chunks, F.lit(1))).withColumn("own", own)
-        .withColumn("other", F.explode(F.when(F.col("chunks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda x: x != F.col("own")))))
-        .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp")
+        parted.join(chunked, ["key", "part"], "left").withColumn("own", F.when(chunks > 2, own).otherwise(0))
+        .withColumn("other", F.explode(others))
+        .select("key", "part", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "fp")
     )
-    sorted_ = dealt.repartition(shuffle_partitions(spark), "key", "low", "high").sortWithinPartitions("key", "low", "high")
+    groups = ["key", "part", "low", "high"]
+    sorted_ = small.unionByName(dealt).repartition(shuffle_partitions(spark), *groups).sortWithinPartitions(*groups)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = np.empty((0, 4), np.int64)  # the last group so far, which may go on in the next batch
+        rest = np.empty((0, 5), np.int64)  # the last group so far, which may go on in the next batch
         for batch in _then_none(batches):
             rows = rest if batch is None else np.concatenate([rest, np.stack([c.to_numpy() for c in batch.columns], axis=1).astype(np.int64)])
             if not len(rows):
                 continue
-            starts = np.flatnonzero(np.concatenate([[True], (rows[1:, :3] != rows[:-1, :3]).any(axis=1)]))
+            starts = np.flatnonzero(np.concatenate([[True], (rows[1:, :4] != rows[:-1, :4]).any(axis=1)]))
             last = len(rows) if batch is None else starts[-1]
             rest = rows[last:]
             bounds = np.append(starts, len(rows))
             out = []
             for k in np.flatnonzero(np.diff(bounds) > 1):
                 if bounds[k + 1] <= last:
-                    fps = np.unique(rows[bounds[k] : bounds[k + 1], 3].view(np.uint64))
+                    fps = np.unique(rows[bounds[k] : bounds[k + 1], 4].view(np.uint64))
                     a, b = near_pairs(fps, limit)
                     if len(a):
                         signed = fps.view(np.int64)
@@ -162,30 +186,22 @@ def _then_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | N
     yield None
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """edges: a, b (of one type that sorts). Returns node, root: the smallest node of its component. Each round is written to the shared folder."""
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one link to a smaller node, which has none itself, or none."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up = 1 AND down = 1").isEmpty()
 
-    def state(df: DataFrame) -> tuple:
-        r = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % (1 << 31))).first()
-        return tuple(r)
 
+def components(edges: DataFrame) -> DataFrame:
+    """edges: a, b (of one type that sorts). Returns node, root: the smallest node of its component. Each round is written to the shared folder; rounds go on until all components are stars."""
     edges = staged(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
-    before = state(edges)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).where("a != b").distinct()
         edges = staged(small, "edges")
-        after = state(edges)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components need more than {rounds} rounds")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
 
 

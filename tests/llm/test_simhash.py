@@ -1,5 +1,6 @@
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from quillstream.llm import simhash
 
@@ -67,3 +68,23 @@ def test_pivots_lose_no_pair():
     fps = np.random.default_rng(2).integers(0, 64, 200).astype(np.uint64)
     a, b = simhash.near_pairs(fps, 3)
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(i, j) for j in range(200) for i in range(j) if (int(fps[i]) ^ int(fps[j])).bit_count() <= 3}
+
+
+def test_further_keys_keep_near_pairs(spark):
+    """Two fingerprints within 3 bits that share a key agree in one of its four further keys."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for x in rng.integers(-(1 << 63), 1 << 63, 300).tolist():
+        flips = sum(1 << int(k) for k in set(rng.integers(0, 64, 3).tolist()))
+        rows.append((x, (x ^ flips) if (x ^ flips) < 1 << 63 and flips < 1 << 63 else x ^ 1))
+    both = spark.createDataFrame(rows, "a long, b long").select(
+        F.posexplode(F.arrays_zip(simhash.keys(F.col("a")).alias("x"), simhash.keys(F.col("b")).alias("y"))).alias("n", "k"), "a", "b"
+    ).where("k.x = k.y").withColumn("key", F.col("k.x"))
+    shared = F.arrays_overlap(simhash.further_keys("a", "key"), simhash.further_keys("b", "key"))
+    assert both.where(~shared).isEmpty() and both.select("a").distinct().count() == len({a for a, _ in rows})
+
+
+def test_components_of_a_chain(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    assert {r["node"]: r["root"] for r in simhash.components(edges).collect()} == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+    assert simhash.components(edges.limit(0)).count() == 0
