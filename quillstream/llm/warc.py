@@ -8,9 +8,12 @@ header block, whose Content-Length is the full payload's.
 Files are .warc.gz, a gzip member per record; its header's extra field "sl" holds the member's length, so that a reader which
 has seen the first lines of a record can seek to the next one without inflating or even fetching the rest.
 
-``spark.read.format("warc")`` reads .warc.gz files of any writer and plain .warc. It plans one partition per file, takes filters on the record header's columns (record_type,
-record_id, target_uri, date, payload_digest, refers_to), reads a record's header first, and seeks past the blocks of records
-that the filters reject or whose payload nobody asked for (option ``payload``: bytes, digest or skip).
+The last member of a large file is empty and holds in its extra field "ix" where a member begins in about each MARK bytes.
+
+``spark.read.format("warc")`` reads .warc.gz files of any writer and plain .warc. It plans a partition per file, and several
+for files of over ``split`` bytes (an option) that have such an index. It takes filters on the record header's columns
+(record_type, record_id, target_uri, date, payload_digest, refers_to), reads a record's header first, and seeks past the blocks
+of records that the filters reject or whose payload nobody asked for (option ``payload``: bytes, digest or skip).
 
 Defined cases: null html counts as empty; a null page id is written as "null", never refers or is referred to by number, and
 revisits as any other page; rows that repeat the largest id are all responses; other columns are ignored; an empty table
@@ -81,9 +84,39 @@ def member(data: bytes, level: int = 1) -> bytes:
 
 #: Bytes of such a member's header.
 MEMBER = 24
-
-
-def write(pages: DataFrame, path: str, least: int = 1000) -> DataFrame:
+#: Bytes between places of an index, and how many places fit in an extra field.
+MARK, PLACES = 16 << 20, 8000
+#: A gzip member's bytes after its header if it holds nothing.
+NOTHING = b"\x03\x00" + bytes(8)
+
+
+def index(places: list[int]) -> bytes:
+    """An empty gzip member with the places, and their number last, in the extra field "ix"."""
+    while len(places) > PLACES:
+        places = places[::2]
+    data = struct.pack(f"<{len(places) + 1}Q", *places, len(places))
+    return b"\x1f\x8b\x08\x04" + struct.pack("<IBBH2sH", 0, 4, 255, len(data) + 4, b"ix", len(data)) + data + NOTHING
+
+
+def indexed(file: pa.NativeFile) -> list[int]:
+    """The places in a file's index; none if it has no index."""
+    size = file.size()
+    tail = len(NOTHING) + 8
+    if size < tail:
+        return []
+    file.seek(size - tail)
+    last = file.read(tail)
+    n = struct.unpack_from("<Q", last)[0]
+    at = size - tail - 8 * n - 16
+    if last[8:] != NOTHING or n > PLACES or at < 0:
+        return []
+    file.seek(at)
+    whole = file.read(size - at)
+    places = list(struct.unpack_from(f"<{n}Q", whole, 16))
+    return places if whole == index(places) else []
+
+
+def write(pages: DataFrame, path: str, least: int = 1000, mark: int = MARK) -> DataFrame:
     """Writes part-N.warc.gz files; returns file, records and bytes. pages: page_id, url, html."""
     files, folder = files_of(path)
     files.create_dir(folder, recursive=True)
@@ -91,13 +124,17 @@ def write(pages: DataFrame, path: str, least: int = 1000) -> DataFrame:
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = files_of(path)
         name, own = f"part-{TaskContext.get().partitionId():07d}.warc.gz", uuid.uuid4().hex
-        out, n = None, 0
+        out, n, at, places = None, 0, 0, []
         for batch in batches:
             out = out or files.open_output_stream(f"{folder}/.{name}.{own}")
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out.write(member(b"".join(record(*row))))
+                if at >= (places[-1] if places else 0) + mark:
+                    places.append(at)
+                at += out.write(member(b"".join(record(*row))))
                 n += 1
         if out:
+            if places:
+                out.write(index(places))
             size = out.tell()
             out.close()
             files.move(f"{folder}/.{name}.{own}", f"{folder}/{name}")
@@ -108,13 +145,14 @@ def write(pages: DataFrame, path: str, least: int = 1000) -> DataFrame:
 
 
 class WarcFile(InputPartition):
-    def __init__(self, uri: str, name: str):
-        self.uri, self.name = uri, name
+    def __init__(self, uri: str, name: str, begin: int = 0, end: int | None = None):
+        self.uri, self.name, self.begin, self.end = uri, name, begin, end
 
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.payload = options["path"], options.get("payload", "bytes")
+        self.split = int(options.get("split", 128 << 20))
         if self.payload not in ("bytes", "digest", "skip"):
             raise ValueError("payload: bytes, digest or skip")
         self.wanted: list = []
@@ -129,7 +167,18 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[WarcFile]:
         files, folder = files_of(self.path)
         found = files.get_file_info(pafs.FileSelector(folder, allow_not_found=True))
-        return [WarcFile(self.path, x.base_name) for x in sorted(found, key=lambda x: x.base_name) if x.base_name.endswith((".warc", ".warc.gz")) and not x.base_name.startswith(".")] or [WarcFile(self.path, "")]
+        out = []
+        for x in sorted(found, key=lambda x: x.base_name):
+            if not x.base_name.endswith((".warc", ".warc.gz")) or x.base_name.startswith("."):
+                continue
+            ends = []
+            if x.size > self.split:
+                with files.open_input_file(f"{folder}/{x.base_name}") as raw:
+                    for place in indexed(raw):
+                        if place >= (ends[-1] if ends else 0) + self.split:
+                            ends.append(place)
+            out += [WarcFile(self.path, x.base_name, begin, end) for begin, end in zip([0, *ends], [*ends, None], strict=True)]
+        return out or [WarcFile(self.path, "")]
 
     def accepts(self, head: dict) -> bool:
         for f in self.wanted:
@@ -146,7 +195,7 @@ class WarcReader(DataSourceReader):
         kinds = pa.schema([(n, pa.int64() if n == "payload_bytes" else pa.binary() if n == "payload" else pa.string()) for n in names])
         rows, held = [], 0
         with files.open_input_file(f"{folder}/{partition.name}") as raw:
-            for head, size, block in records(raw):
+            for head, size, block in records(raw, partition.begin, partition.end):
                 if not self.accepts(head):
                     block.skip()
                     continue
@@ -255,9 +304,9 @@ def inflated(file: pa.NativeFile, end: int | None = None, size: int | None = Non
     return Lines(more, size=size)
 
 
-def sources(file: pa.NativeFile) -> Iterator[Lines]:
-    """Runs of records: each member by itself where its length is told, else all that is left."""
-    at, size = 0, file.size()
+def sources(file: pa.NativeFile, begin: int = 0, end: int | None = None) -> Iterator[Lines]:
+    """Runs of records that begin in a range of the file: each member by itself where its length is told, else all that is left."""
+    at, size = begin, file.size() if end is None else end
     while at < size:
         file.seek(at)
         start = file.read(MEMBER)
@@ -268,15 +317,15 @@ def sources(file: pa.NativeFile) -> Iterator[Lines]:
             yield lines
             return
         known = len(start) == MEMBER and start[3] & 4 and start[12:14] == b"sl"
-        end = at + struct.unpack_from("<I", start, 16)[0] if known else size
+        after = at + struct.unpack_from("<I", start, 16)[0] if known else size
         file.seek(at)
-        yield inflated(file, end, struct.unpack_from("<I", start, 20)[0]) if known else inflated(file)
-        at = end
+        yield inflated(file, after, struct.unpack_from("<I", start, 20)[0]) if known else inflated(file)
+        at = after
 
 
-def records(file: pa.NativeFile) -> Iterator[tuple[dict, int, Block]]:
+def records(file: pa.NativeFile, begin: int = 0, end: int | None = None) -> Iterator[tuple[dict, int, Block]]:
     """Header columns, block size and block of each record; what is left of a block is skipped when the next one is asked for."""
-    for source in sources(file):
+    for source in sources(file, begin, end):
         while line := source.line():
             if not line.strip():
                 continue
@@ -318,10 +367,10 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
 
-def read(spark: SparkSession, path: str, payload: str = "bytes") -> DataFrame:
+def read(spark: SparkSession, path: str, payload: str = "bytes", split: int = 128 << 20) -> DataFrame:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcDataSource)
-    return spark.read.format("warc").option("payload", payload).load(path)
+    return spark.read.format("warc").option("payload", payload).option("split", split).load(path)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

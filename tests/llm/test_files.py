@@ -9,6 +9,8 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
+from pyspark.sql import functions as F
+
 from quillstream.llm import _bpe, audio, packing, token_files, warc
 from quillstream.llm._common import shared_path
 
@@ -221,6 +223,29 @@ def test_warc_round_trip_and_filters(spark, tmp_path):
     assert warc.read(spark, empty).count() == 0
 
 
+def test_warc_files_are_read_in_parts(spark):
+    """Ranges of a file hold each record once; other readers see nothing of the index."""
+    path = shared_path(spark, "test")
+    pages = spark.range(400).select(F.col("id").alias("page_id"), F.lit("http://x").alias("url"), F.repeat(F.md5(F.col("id").cast("string")), (F.col("id") % 50).cast("int")).alias("html")).coalesce(1)
+    warc.write(pages, path, mark=500)
+    ranges = warc.WarcReader({"path": path, "split": "3000"}).partitions()
+    assert len(ranges) > 10 > len({r.name for r in ranges}) and {r.begin for r in ranges} == {0, *(r.end for r in ranges if r.end)}
+    want = sorted((f"urn:page:{r['page_id']}", r["html"].encode()) for r in pages.collect())
+    for split in (3000, 1 << 30):
+        assert sorted((r["record_id"], r["payload"]) for r in warc.read(spark, path, split=split).collect()) == want
+    files, folder = warc.files_of(path)
+    name = ranges[0].name
+    with files.open_input_file(f"{folder}/{name}") as raw:
+        places = warc.indexed(raw)
+        raw.seek(0)
+        text = gzip.decompress(raw.read())
+        assert places and text.endswith(b"\r\n\r\n")
+        for at in places:
+            raw.seek(at)
+            assert raw.read(4) == b"\x1f\x8b\x08\x04"
+    assert len(warc.index(list(range(20_000)))) < 65_536 + 64
+
+
 def test_word_encoder_forgets_and_learns_anew(plain, monkeypatch):
     monkeypatch.setattr(_bpe, "MOST_WORDS", 40)
     encoder, rng = _bpe.WordEncoder(_bpe.public_tokenizer()), np.random.default_rng(6)
