@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 
 def not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
@@ -40,15 +41,25 @@ def during(events: DataFrame, spans: DataFrame, key: str, at: str, start: str, e
     return events.join(s, (F.col(key) == F.col(f"span_{key}")) & (F.col(f"span_{start}") <= F.col(at)) & (F.col(f"span_{end}").isNull() | (F.col(f"span_{end}") >= F.col(at))))
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, values: list[str]) -> DataFrame:
-    """The latest row of the other table at or before each row's time. One shuffle by key: both tables in one sequence, last value carried forward, so that a hot key needs no pairs."""
+def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, values: list[str], width: int = 1) -> DataFrame:
+    """The latest row of the other table at or before each row's time; null keys and times find none.
+
+    Both tables are one sequence, without pairs, in slots of a key's time (`width` days, or units where time is a number): the last value is carried
+    forward within a slot, and from the slots before by a window over one row a slot, so that a hot key's rows are many tasks' work.
+    """
     from pyspark.sql import Window
 
-    marked = left.select(F.col(key).alias("_key"), F.col(left_at).alias("_at"), F.lit(1).alias("_kind"), F.struct(*left.columns).alias("_row"), *(F.lit(None).cast(right.schema[v].dataType).alias(f"asof_{v}") for v in values), F.lit(None).cast(right.schema[right_at].dataType).alias("asof_at"))
-    facts = right.select(F.col(key).alias("_key"), F.col(right_at).alias("_at"), F.lit(0).alias("_kind"), F.lit(None).cast(marked.schema["_row"].dataType).alias("_row"), *(F.col(v).alias(f"asof_{v}") for v in values), F.col(right_at).alias("asof_at"))
-    w = Window.partitionBy("_key").orderBy("_at", "_kind", *(f"asof_{v}" for v in values)).rowsBetween(Window.unboundedPreceding, 0)
-    carried = marked.unionByName(facts).select("_row", "_kind", F.last(F.when(F.col("_kind") == 0, F.struct("asof_at", *(f"asof_{v}" for v in values))), ignorenulls=True).over(w).alias("_found"))
-    return carried.where("_kind = 1").select("_row.*", "_found.asof_at", *(f"_found.asof_{v}" for v in values))
+    kind = right.schema[right_at].dataType
+    slot = F.floor((F.col("_at") if isinstance(kind, NumericType) else F.unix_date(F.col("_at").cast("date"))) / width)
+    facts = right.where(F.col(key).isNotNull() & F.col(right_at).isNotNull()).select(F.col(key).alias("_key"), F.col(right_at).alias("_at"), F.lit(0).alias("_kind"), F.struct(F.col(right_at).alias("at"), *(F.col(v).alias(f"v_{v}") for v in values)).alias("_found"))
+    marked = left.select(F.col(key).alias("_key"), F.col(left_at).alias("_at"), F.lit(1).alias("_kind"), F.lit(None).cast(facts.schema["_found"].dataType).alias("_found"), F.struct(*left.columns).alias("_row"))
+    both = marked.unionByName(facts, allowMissingColumns=True).withColumn("_slot", slot)
+    within = Window.partitionBy("_key", "_slot").orderBy("_at", "_kind", "_found").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("_key").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy("_key", "_slot").agg(F.max("_found").alias("_found")).select("_key", "_slot", F.last("_found", ignorenulls=True).over(earlier).alias("_before"))
+    own = both.withColumn("_found", F.last("_found", ignorenulls=True).over(within)).where("_kind = 1")
+    found = own.join(carried, ["_key", "_slot"], "left").select("_row", F.coalesce("_found", "_before").alias("_found"))
+    return found.select("_row.*", F.col("_found.at").alias("asof_at"), *(F.col(f"_found.v_{v}").alias(f"asof_{v}") for v in values))
 
 
 def related(sessions: DataFrame, title_key: Column, days: int = 365) -> DataFrame:

@@ -1,7 +1,8 @@
 """Writers that may run again: new rows by key, upserts, run logs, CSV with a preamble, XML.
 
-A target is a folder of versions; the newest complete one is the table. A writer that dies leaves the old version in place,
-and a second run of the same rows changes nothing.
+A target is a folder of numbered steps: whole versions (v-N) and rows added since (d-N). The newest complete version and the
+complete additions after it are the table. A writer that dies leaves the table as it was, and a second run of the same rows
+changes nothing. There is one writer at a time.
 """
 
 from __future__ import annotations
@@ -10,25 +11,46 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _versions(spark: SparkSession, target: str) -> list[int]:
+#: Additions after which the next one writes a whole version.
+ADDITIONS = 64
+
+
+def _steps(spark: SparkSession, target: str) -> list[tuple[int, str]]:
+    """Number and kind (v, d) of the complete steps, in order."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(target)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return []
     names = [s.getPath() for s in fs.listStatus(path)]
-    return sorted(int(p.getName()[2:]) for p in names if p.getName().startswith("v-") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    return sorted((int(p.getName()[2:]), p.getName()[0]) for p in names if p.getName()[:2] in ("v-", "d-") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def _live(steps: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """The newest version and the additions after it."""
+    whole = max((n for n, kind in steps if kind == "v"), default=0)
+    return [(n, kind) for n, kind in steps if n >= whole]
 
 
 def current(spark: SparkSession, target: str) -> DataFrame | None:
-    found = _versions(spark, target)
-    return spark.read.parquet(f"{target}/v-{found[-1]}") if found else None
+    """The table, or None if there is none. Columns that only additions have are null elsewhere."""
+    paths = [f"{target}/{kind}-{n}" for n, kind in _live(_steps(spark, target))]
+    return spark.read.option("mergeSchema", len(paths) > 1).parquet(*paths) if paths else None
 
 
 def replace(df: DataFrame, target: str) -> None:
     """The next version."""
-    found = _versions(df.sparkSession, target)
-    df.write.mode("overwrite").parquet(f"{target}/v-{(found or [0])[-1] + 1}")
+    steps = _steps(df.sparkSession, target)
+    df.write.mode("overwrite").parquet(f"{target}/v-{(steps[-1][0] if steps else 0) + 1}")
+
+
+def _add(df: DataFrame, target: str, old: DataFrame) -> None:
+    """Rows beside those that are there; a whole version after many additions."""
+    steps = _steps(df.sparkSession, target)
+    if len(_live(steps)) > ADDITIONS:
+        return replace(old.unionByName(df, allowMissingColumns=True), target)
+    of = {f.name: f.dataType for f in old.schema}
+    df.select(*(F.col(c).cast(of[c]).alias(c) if c in of else F.col(c) for c in df.columns)).write.mode("overwrite").parquet(f"{target}/d-{steps[-1][0] + 1}")
 
 
 def _same(keys: list[str]) -> Column:
@@ -39,13 +61,24 @@ def _same(keys: list[str]) -> Column:
 
 
 def insert_new(df: DataFrame, target: str, keys: list[str]) -> None:
-    """Adds rows whose keys (nulls alike) are new, each once."""
+    """Adds rows whose keys (nulls alike) are new, each once. Of what is there only the keys are read, and nothing is written again."""
     rows = df.dropDuplicates(keys)
     old = current(df.sparkSession, target)
     if old is None:
         return replace(rows, target)
     fresh = rows.join(old.select(*(F.col(k).alias(f"_old_{k}") for k in keys)), _same(keys), "left_anti")
-    replace(old.unionByName(fresh, allowMissingColumns=True), target)
+    _add(fresh, target, old)
+
+
+def load(df: DataFrame, target: str, keys: list[str]) -> dict[str, int]:
+    """insert_new, then the count after it: the source's keys, the target's rows, and the source's keys that the target still lacks, which is an error."""
+    insert_new(df, target, keys)
+    there = current(df.sparkSession, target)
+    own = df.select(*keys).distinct()
+    lost = own.join(there.select(*(F.col(k).alias(f"_old_{k}") for k in keys)), _same(keys), "left_anti").count()
+    if lost:
+        raise RuntimeError(f"{lost} keys are not in {target}")
+    return {"keys": own.count(), "rows": there.count()}
 
 
 def upsert(df: DataFrame, target: str, keys: list[str], columns: list[str] | None = None, only_if: str | None = None, newer_by: str | None = None) -> None:
@@ -72,7 +105,9 @@ def log_run(spark: SparkSession, target: str, name: str, counters: DataFrame) ->
     """A row with a run's name, time and counters (outcome, n) as a map."""
     row = counters.agg(F.map_from_entries(F.collect_list(F.struct("outcome", "n"))).alias("counters")).select(F.lit(name).alias("service"), F.current_timestamp().alias("finished_at"), "counters")
     old = current(spark, target)
-    replace(row if old is None else old.unionByName(row), target)
+    if old is None:
+        return replace(row, target)
+    _add(row, target, old)
 
 
 def csv_report(df: DataFrame, path: str, preamble: list[tuple[str, str]]) -> None:

@@ -64,6 +64,13 @@ def test_joins_and_windows(spark):
     left = spark.createDataFrame([(1, 5), (1, 1), (2, 7), (None, 3)], "k int, at int")
     right = spark.createDataFrame([(1, 2, "a"), (1, 5, "b"), (2, 8, "c")], "k int, since int, v string")
     assert sorted((r["k"] or 0, r["at"], r["asof_v"]) for r in joins.as_of(left, right, "k", "at", "since", ["v"]).collect()) == [(0, 3, None), (1, 1, None), (1, 5, "b"), (2, 7, None)]
+    far = spark.createDataFrame([(k, n) for k in (1, 2) for n in (0, 4, 17, 40, 90)], "k int, at int").withColumn("time", F.timestamp_seconds(F.col("at") * 20_000))
+    seen = spark.createDataFrame([(1, 3, "a"), (1, 3, "c"), (1, 17, "b"), (1, 39, None), (2, 41, "d"), (None, 0, "n"), (2, None, "n")], "k int, since int, v string").withColumn("time", F.timestamp_seconds(F.col("since") * 20_000))
+    plain = [(k, n, max(((s, v or "") for j, s, v in [(1, 3, "a"), (1, 3, "c"), (1, 17, "b"), (1, 39, None), (2, 41, "d")] if j == k and s <= n), default=(None, ""))) for k in (1, 2) for n in (0, 4, 17, 40, 90)]
+    for width in (1, 5, 1000):
+        got = joins.as_of(far.drop("time"), seen.drop("time"), "k", "at", "since", ["v"], width)
+        assert sorted((r["k"], r["at"], (r["asof_at"], r["asof_v"] or "")) for r in got.collect()) == plain
+        assert sorted((r["k"], r["at"], r["asof_v"] or "") for r in joins.as_of(far, seen.drop("since"), "k", "time", "time", ["v"], width).collect()) == [(k, n, v) for k, n, (_, v) in plain]
     s = spark.createDataFrame([(i, datetime.date(2020, 1, 1) + datetime.timedelta(days=d), k) for i, d, k in [(1, 0, "x"), (2, 364, "x"), (3, 365, "x"), (4, 731, "x"), (5, 0, "y")]], "id int, date date, k string")
     assert {(r["id"], r["other_id"]) for r in joins.related(s, F.col("k")).collect()} == {(1, 2), (2, 1), (1, 3), (3, 1), (2, 3), (3, 2)}
     more = s.union(spark.createDataFrame([(6, datetime.date(2020, 1, 1), "x"), (7, None, "x"), (8, datetime.date(2020, 1, 1), "x")], "id int, date date, k string"))

@@ -97,9 +97,13 @@ def test_sinks(spark, tmp_path):
     K.insert_new(frame([("a", day, 1), ("a", day, 1), ("b", None, 2)]), target, ["k", "d"])
     K.insert_new(frame([("a", day, 9), ("b", None, 9), ("c", None, 3)]), target, ["k", "d"])
     assert sorted(tuple(r)[::2] for r in K.current(spark, target).collect()) == [("a", 1), ("b", 2), ("c", 3)]
+    assert [kind for _, kind in K._steps(spark, target)] == ["v", "d"]
+    assert K.load(frame([("a", day, 9), ("c", None, 3), ("c", None, 3)]), target, ["k", "d"]) == {"keys": 2, "rows": 3}
     K.upsert(frame([("a", day, 5), ("z", day, 6)]), target, ["k"], columns=["v"])
     K.upsert(frame([("b", day, 7), ("c", day, 1)]), target, ["k"], only_if="o.v < 3")
     assert {r["k"]: (r["v"], r["d"]) for r in K.current(spark, target).collect()} == {"a": (5, day), "b": (7, day), "c": (3, None), "z": (6, day)}
+    K.insert_new(frame([("y", day, 8)]).withColumn("more", F.lit("m")), target, ["k"])
+    assert {r["k"]: r["more"] for r in K.current(spark, target).collect()} == {"a": None, "b": None, "c": None, "z": None, "y": "m"}
     K.delete(spark, target, F.col("v") > 5)
     assert {r["k"] for r in K.current(spark, target).collect()} == {"a", "c"}
     log = f"file://{tmp_path}/log"
