@@ -1,8 +1,11 @@
 """Writers that may run again: new rows by key, upserts, run logs, CSV with a preamble, XML.
 
-A target is a folder of numbered steps: whole versions (v-N) and rows added since (d-N). The newest complete version and the
-complete additions after it are the table. A writer that dies leaves the table as it was, and a second run of the same rows
-changes nothing. There is one writer at a time.
+A target is a folder of numbered steps: whole versions (v-N), partitions written anew (p-N) and rows added (d-N). The newest
+complete version, with what later steps say, is the table. A writer that dies leaves the table as it was, and a second run of
+the same rows changes nothing. There is one writer at a time.
+
+Where a writer is given `part`, a column that never changes for a key (a date, say), steps are folders of its values, and an
+update reads and writes only the values that its rows have.
 """
 
 from __future__ import annotations
@@ -11,46 +14,78 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Additions after which the next one writes a whole version.
-ADDITIONS = 64
+#: Steps after which the next one writes a whole version.
+STEPS = 64
+#: Column that names a step's folders.
+PART = "quillstream_part"
 
 
 def _steps(spark: SparkSession, target: str) -> list[tuple[int, str]]:
-    """Number and kind (v, d) of the complete steps, in order."""
+    """Number and kind (v, p, d) of the complete steps, in order."""
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(target)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(path):
         return []
     names = [s.getPath() for s in fs.listStatus(path)]
-    return sorted((int(p.getName()[2:]), p.getName()[0]) for p in names if p.getName()[:2] in ("v-", "d-") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+    return sorted((int(p.getName()[2:]), p.getName()[0]) for p in names if p.getName()[:2] in ("v-", "p-", "d-") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
-def _live(steps: list[tuple[int, str]]) -> list[tuple[int, str]]:
-    """The newest version and the additions after it."""
-    whole = max((n for n, kind in steps if kind == "v"), default=0)
-    return [(n, kind) for n, kind in steps if n >= whole]
+def _live(spark: SparkSession, target: str, steps: list[tuple[int, str]]) -> list[tuple[str, str | None]]:
+    """The folders that hold the table, oldest first, each with the name of its value of `part` (None: all values)."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out, hidden = [], set()
+    for n, kind in reversed(steps):
+        step = f"{target}/{kind}-{n}"
+        names = [s.getPath().getName() for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(step)) if s.isDirectory() and s.getPath().getName().startswith(f"{PART}=")]
+        out += [(f"{step}/{name}", name) for name in names if name not in hidden] or ([] if names else [(step, None)])
+        if kind == "p":
+            hidden |= set(names)
+        if kind == "v":
+            break
+    return out[::-1]
+
+
+def _read(spark: SparkSession, paths: list[str]) -> DataFrame:
+    return spark.read.option("mergeSchema", len(paths) > 1).parquet(*paths)
 
 
 def current(spark: SparkSession, target: str) -> DataFrame | None:
-    """The table, or None if there is none. Columns that only additions have are null elsewhere."""
-    paths = [f"{target}/{kind}-{n}" for n, kind in _live(_steps(spark, target))]
-    return spark.read.option("mergeSchema", len(paths) > 1).parquet(*paths) if paths else None
+    """The table, or None if there is none. Columns that only later steps have are null elsewhere."""
+    found = _live(spark, target, _steps(spark, target))
+    return _read(spark, [path for path, _ in found]) if found else None
 
 
-def replace(df: DataFrame, target: str) -> None:
-    """The next version."""
-    steps = _steps(df.sparkSession, target)
-    df.write.mode("overwrite").parquet(f"{target}/v-{(steps[-1][0] if steps else 0) + 1}")
+def _folder(part: str) -> Column:
+    """The name of a value's folder, which needs no escapes."""
+    return F.coalesce(F.md5(F.col(part).cast("string")), F.lit("null"))
 
 
-def _add(df: DataFrame, target: str, old: DataFrame) -> None:
-    """Rows beside those that are there; a whole version after many additions."""
+def _put(df: DataFrame, target: str, kind: str, part: str | None) -> None:
     steps = _steps(df.sparkSession, target)
-    if len(_live(steps)) > ADDITIONS:
-        return replace(old.unionByName(df, allowMissingColumns=True), target)
+    out = df.withColumn(PART, _folder(part)).write.partitionBy(PART) if part else df.write
+    out.mode("overwrite").parquet(f"{target}/{kind}-{(steps[-1][0] if steps else 0) + 1}")
+
+
+def replace(df: DataFrame, target: str, part: str | None = None) -> None:
+    """The next version."""
+    _put(df, target, "v", part)
+
+
+def _add(df: DataFrame, target: str, old: DataFrame, part: str | None = None) -> None:
+    """Rows beside those that are there; a whole version after many steps."""
+    if len(_steps_since(df.sparkSession, target)) > STEPS:
+        return replace(old.unionByName(df, allowMissingColumns=True), target, part)
     of = {f.name: f.dataType for f in old.schema}
-    df.select(*(F.col(c).cast(of[c]).alias(c) if c in of else F.col(c) for c in df.columns)).write.mode("overwrite").parquet(f"{target}/d-{steps[-1][0] + 1}")
+    _put(df.select(*(F.col(c).cast(of[c]).alias(c) if c in of else F.col(c) for c in df.columns)), target, "d", part)
+
+
+def _steps_since(spark: SparkSession, target: str) -> list[tuple[int, str]]:
+    """The newest version and the steps after it."""
+    steps = _steps(spark, target)
+    whole = max((n for n, kind in steps if kind == "v"), default=0)
+    return [(n, kind) for n, kind in steps if n >= whole]
 
 
 def _same(keys: list[str]) -> Column:
@@ -60,14 +95,14 @@ def _same(keys: list[str]) -> Column:
     return out
 
 
-def insert_new(df: DataFrame, target: str, keys: list[str]) -> None:
+def insert_new(df: DataFrame, target: str, keys: list[str], part: str | None = None) -> None:
     """Adds rows whose keys (nulls alike) are new, each once. Of what is there only the keys are read, and nothing is written again."""
     rows = df.dropDuplicates(keys)
     old = current(df.sparkSession, target)
     if old is None:
-        return replace(rows, target)
+        return replace(rows, target, part)
     fresh = rows.join(old.select(*(F.col(k).alias(f"_old_{k}") for k in keys)), _same(keys), "left_anti")
-    _add(fresh, target, old)
+    _add(fresh, target, old, part)
 
 
 def load(df: DataFrame, target: str, keys: list[str]) -> dict[str, int]:
@@ -81,11 +116,20 @@ def load(df: DataFrame, target: str, keys: list[str]) -> dict[str, int]:
     return {"keys": own.count(), "rows": there.count()}
 
 
-def upsert(df: DataFrame, target: str, keys: list[str], columns: list[str] | None = None, only_if: str | None = None, newer_by: str | None = None) -> None:
-    """Adds new keys and updates the others: all columns or those named, where `only_if` (over the old row as o) holds, and not by an older row. df: one row per key."""
-    old = current(df.sparkSession, target)
-    if old is None:
-        return replace(df, target)
+def upsert(df: DataFrame, target: str, keys: list[str], columns: list[str] | None = None, only_if: str | None = None, newer_by: str | None = None, part: str | None = None) -> None:
+    """Adds new keys and updates the others: all columns or those named, where `only_if` (over the old row as o) holds, and not by an older row. df: one row per key. With `part` only its values in df are read and written again."""
+    spark = df.sparkSession
+    found = _live(spark, target, _steps(spark, target))
+    if not found:
+        return replace(df, target, part)
+    whole = part is None or any(name is None for _, name in found) or len(_steps_since(spark, target)) > STEPS
+    if whole:
+        old = _read(spark, [path for path, _ in found])
+    else:
+        touched = {f"{PART}={r[0]}" for r in df.select(_folder(part)).distinct().collect()}  # a row per value of `part`
+        schema = _read(spark, [path for path, _ in found]).schema
+        here = [path for path, name in found if name in touched]
+        old = spark.read.schema(schema).parquet(*here) if here else spark.createDataFrame([], schema)
     fresh = df.select(*(F.col(c).alias(f"_new_{c}") for c in df.columns), F.lit(True).alias("_is_new"))
     on = F.lit(True)
     for k in keys:
@@ -93,7 +137,7 @@ def upsert(df: DataFrame, target: str, keys: list[str], columns: list[str] | Non
     both = old.withColumn("_is_old", F.lit(True)).alias("o").join(fresh, on, "full")
     take = F.col("_is_new").isNotNull() & (F.col("_is_old").isNull() | ((F.expr(only_if) if only_if else F.lit(True)) & (F.coalesce(F.col(f"_new_{newer_by}") >= F.col(f"o.{newer_by}"), F.lit(True)) if newer_by else F.lit(True))))
     value = lambda c: F.when(take & (F.lit(columns is None or c in columns) | F.col("_is_old").isNull()), F.col(f"_new_{c}")).otherwise(F.col(f"o.{c}")).alias(c)
-    replace(both.select(*(value(c) for c in old.columns)), target)
+    _put(both.select(*(value(c) for c in old.columns)), target, "v" if whole else "p", part)
 
 
 def delete(spark: SparkSession, target: str, condition: Column) -> None:

@@ -55,12 +55,12 @@ def deduplicated(events: DataFrame, at: str, keys: list[str], late: str = "14 da
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def upserts(events: DataFrame, target: str, keys: list[str], order: str, name: str) -> DataFrame:
-    """Keeps a target table at the latest row of each key, batch by batch."""
+def upserts(events: DataFrame, target: str, keys: list[str], order: str, name: str, part: str | None = None) -> DataFrame:
+    """Keeps a target table at the latest row of each key, batch by batch; with `part`, a column that never changes for a key, a batch writes only its values."""
     from ..operators.windows import first_per
 
     def put(batch: DataFrame, _: int) -> None:
-        sinks.upsert(first_per(batch, keys, [order], descending=True), target, keys, newer_by=order)
+        sinks.upsert(first_per(batch, keys, [order], descending=True), target, keys, newer_by=order, part=part)
 
     finished(events, name, "append", put)
     return sinks.current(events.sparkSession, target)

@@ -137,3 +137,23 @@ def test_a_batch_that_runs_again_writes_its_rows_once(spark, tmp_path, monkeypat
     monkeypatch.setattr(I, "new_path", lambda spark, name: f"{tmp_path}/out")
     (tmp_path / "out" / "state").rename(tmp_path / "lost")  # the state is lost, so the batch runs again
     assert I.finished(rows, "x", "append").count() == 10
+
+
+def test_updates_touch_only_their_partitions(spark, tmp_path):
+    target = f"file://{tmp_path}/p"
+    days = [datetime.date(2024, 1, d) for d in (1, 2, 3)]
+    frame = lambda rows: spark.createDataFrame(rows, "k int, d date, v int")
+    K.upsert(frame([(i, days[i % 3] if i else None, i) for i in range(9)]), target, ["k"], part="d")
+    K.upsert(frame([(1, days[1], 10), (9, days[1], 9), (0, None, 7)]), target, ["k"], newer_by="v", part="d")
+    K.insert_new(frame([(1, days[1], 0), (10, days[2], 1)]), target, ["k"], part="d")
+    K.upsert(frame([(10, days[2], 2), (2, days[2], 1), (11, datetime.date(2024, 2, 1), 3)]), target, ["k"], newer_by="v", part="d")
+    want = {0: 7, 1: 10, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8, 9: 9, 10: 2, 11: 3}
+    for _ in range(2):
+        found = K.current(spark, target)
+        assert found.columns == ["k", "d", "v"] and sorted((r["k"], r["v"]) for r in found.collect()) == sorted(want.items())
+        assert {r["k"]: r["d"] for r in found.collect()} == {i: (days[i % 3] if i else None) for i in range(9)} | {9: days[1], 10: days[2], 11: datetime.date(2024, 2, 1)}
+        K.upsert(frame([(11, datetime.date(2024, 2, 1), 3)]), target, ["k"], part="d")
+    assert [kind for _, kind in K._steps(spark, target)] == ["v", "p", "d", "p", "p", "p"]
+    K.insert_new(frame([(12, days[0], 5)]), target, ["k"])
+    K.upsert(frame([(12, days[0], 6)]), target, ["k"], part="d")
+    assert {r["k"]: r["v"] for r in K.current(spark, target).collect()} == want | {12: 6} and K.current(spark, target).count() == 13
