@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import kept
+
 #: Topics of one broadcast block.
 BLOCK = 4096
 
 
 def matches(items: DataFrame, topics: DataFrame, threshold: float = 0.62) -> DataFrame:
-    """J20, AL: pairs topic, id, similarity of at least the threshold. items: id, vector. topics: topic, vector: the query set, broadcast in blocks of bounded size."""
+    """J20, AL: pairs topic, id, similarity of at least the threshold. items: id, vector. topics: topic, vector: the query set, broadcast in blocks of bounded size. Of several blocks one is held at a time, and its pairs are written to the shared folder."""
     spark, out = items.sparkSession, None
     n = topics.count()
     for k in range(max(1, -(-n // BLOCK))):
@@ -36,5 +38,8 @@ def matches(items: DataFrame, topics: DataFrame, threshold: float = 0.62) -> Dat
                 yield pd.DataFrame({"topic": np.array(names)[j], "id": frame["id"].to_numpy()[i], "similarity": score[i, j]})
 
         found = items.select("id", "vector").where("vector IS NOT NULL").mapInPandas(compare, "topic long, id long, similarity double")
+        if n > BLOCK:
+            found = kept(found, "matches")
+            shared.unpersist()
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], "topic long, id long, similarity double") if out is None else out
