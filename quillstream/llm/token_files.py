@@ -1,4 +1,5 @@
-"""Token-ID / binary output: flat unsigned integer files with 64-bit document offsets, read back by memory map.
+"""Token-ID / binary output: flat unsigned integer files with 64-bit document offsets, read back by memory map, or by ranges where
+the folder is remote.
 
 A folder holds, per partition p of the documents in ascending id order:
 
@@ -33,8 +34,8 @@ from ._common import files_of, shared_path, shuffle_partitions, slices, table, u
 
 MANIFEST = "part int, file string, n_docs long, n_tokens long, base long, width int"
 NO_ID = np.iinfo(np.int64).min
-#: Documents of which the reader makes rows at once.
-ROWS = 20_000
+#: Documents of which the reader makes rows at once, and their ids (one document at least).
+ROWS, IDS = 20_000, 8_000_000
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, partitions: int | None = None) -> DataFrame:
@@ -86,11 +87,21 @@ def _mapped(path: str, name: str, dtype: str) -> np.ndarray:
 
 
 def documents(path: str, name: str, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Runs of documents of one file: ids of the documents, offsets (one more), and the mapped array they point into."""
-    tokens, offsets, ids = _mapped(path, f"{name}.bin", f"<u{width}"), _mapped(path, f"{name}.idx", "<i8"), _mapped(path, f"{name}.doc", "<i8")
-    for a in range(0, len(ids), ROWS):
-        b = min(a + ROWS, len(ids))
-        yield ids[a:b], offsets[a : b + 1], tokens
+    """Runs of documents of one file: ids of the documents, offsets (one more), and the token ids from the first offset to the last."""
+    offsets, ids = _mapped(path, f"{name}.idx", "<i8"), _mapped(path, f"{name}.doc", "<i8")
+    files, folder = files_of(path)
+    tokens = _mapped(path, f"{name}.bin", f"<u{width}") if files.type_name == "local" else None
+    a = 0
+    while a < len(ids):
+        b = min(a + ROWS, max(a + 1, int(np.searchsorted(offsets, offsets[a] + IDS, "right")) - 1), len(ids))
+        first, last = int(offsets[a]), int(offsets[b])
+        if tokens is not None:
+            yield ids[a:b], offsets[a : b + 1], tokens[first:last]
+        else:
+            with files.open_input_file(f"{folder}/{name}.bin") as f:
+                f.seek(first * width)
+                yield ids[a:b], offsets[a : b + 1], np.frombuffer(f.read_buffer((last - first) * width), f"<u{width}")
+        a = b
 
 
 def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
@@ -102,7 +113,8 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
         for frame in frames:
             for file in frame.itertuples():
                 for ids, offsets, tokens in documents(path, file.file, file.width):
-                    each = [np.asarray(tokens[a:b], "<u4") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+                    at = (offsets - offsets[0]).tolist()
+                    each = [np.asarray(tokens[a:b], "<u4") for a, b in zip(at[:-1], at[1:], strict=True)]
                     out = pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "start": file.base + offsets[:-1], "n_tokens": np.diff(offsets), "ids_crc32": [zlib.crc32(x) for x in each]})
                     out.loc[ids == NO_ID, "doc_id"] = pd.NA
                     if with_ids:

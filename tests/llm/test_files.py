@@ -7,9 +7,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
-from tokenizers import Tokenizer
-
+from pyarrow import fs
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from quillstream.llm import _bpe, audio, packing, token_files, warc
 from quillstream.llm._common import shared_path
@@ -63,6 +63,26 @@ def test_token_files_round_trip(spark, odd_docs, no_docs, plain):
     assert token_files.read(spark, empty).count() == 0
 
 
+def test_token_files_in_runs(tmp_path, monkeypatch):
+    """Runs of few documents and ids, mapped and, as on remote storage, read by ranges."""
+    rng = np.random.default_rng(4)
+    tokens, sizes = rng.integers(0, 60_000, 500).astype("<u2"), rng.multinomial(500, np.ones(40) / 40)
+    offsets = np.append(0, np.cumsum(sizes))
+    for end, data in (("bin", tokens), ("idx", offsets.astype("<i8")), ("doc", np.arange(40).astype("<i8"))):
+        (tmp_path / f"x.{end}").write_bytes(data.tobytes())
+    remote = fs.SubTreeFileSystem("/", fs.LocalFileSystem())
+    for most_rows, most_ids in ((7, 8_000_000), (20_000, 3), (20_000, 60), (20_000, 8_000_000)):
+        monkeypatch.setattr(token_files, "ROWS", most_rows)
+        monkeypatch.setattr(token_files, "IDS", most_ids)
+        for files in (fs.LocalFileSystem(), remote):
+            monkeypatch.setattr(token_files, "files_of", lambda path, files=files: (files, path))
+            runs = list(token_files.documents(str(tmp_path), "x", 2))
+            assert np.concatenate([r[0] for r in runs]).tolist() == list(range(40)) and np.array_equal(np.concatenate([r[2] for r in runs]), tokens)
+            for ids, at, part in runs:
+                assert len(ids) == len(at) - 1 <= most_rows and len(part) == at[-1] - at[0] and (len(ids) == 1 or len(part) <= most_ids)
+                assert np.array_equal(part, tokens[at[0] : at[-1]])
+
+
 def test_packing_whole_and_gapless(spark, odd_docs, no_docs, plain):
     rows = packing.pack(odd_docs, _bpe.public_tokenizer(), 2, 64, with_ids=True).collect()
     texts = defaultdict(list)
