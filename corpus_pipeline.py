@@ -2,6 +2,10 @@
 
 Each stage works on all that its predecessor kept, as Parquet in the shared folder, and all but the last return the columns
 they were given.
+
+Defined cases: null text counts as empty everywhere, and such documents are scored, linked and packed (as the end id alone) like
+any other; null ids pass every stage; of documents whose texts are near copies the one with the smallest id stays, a null id last,
+and of rows that repeat id and text one; an empty table gives no rows; other columns pass all stages but the last.
 """
 
 from __future__ import annotations
