@@ -6,78 +6,113 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.stemming import sql_stemmed
 from ..operators import audit, graph, pipelines, resolve, search, vectors
+from ..storage import kept
 from ..streaming import incremental as I
 from .domain import Tables
 from .registry import query
-from .scalars import ROOT
 
-STEMS = f"list_transform(list_filter(regexp_split_to_array(lower({{0}}), '[^\\p{{{{L}}}}\\p{{{{N}}}}]+'), lambda w: w <> '' AND w NOT IN ({', '.join(repr(w) for w in search.STOP_WORDS)})), lambda w: {ROOT})".replace("{{", "{").replace("}}", "}")
+BREAK = search.WORD_BREAK
+STOPS = ", ".join(map(repr, search.STOP_WORDS))
 
 
-def sql_stems(c: str) -> str:
-    return STEMS.replace("{0}", c)
+def sql_words(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower(coalesce({text}, '')), '{BREAK}'), lambda w: w <> '' AND w NOT IN ({STOPS}))"
 
 
-def sql_rank(stems: str, wanted: list[str]) -> str:
-    listed = "[" + ", ".join(map(repr, wanted)) + "]"
-    return f"CASE WHEN len(list_intersect({stems}, {listed})) = {len(wanted)} THEN len(list_filter({stems}, lambda x: list_contains({listed}, x))) / (1.0 + ln(1 + len({stems}))) ELSE 0.0 END"
+def sql_index(docs: str, query: str) -> str:
+    """CTEs: the docs' words (key, owner, field, place, word), their stems, and the query's."""
+    words = ", ".join(map(repr, search.query_words(query)))
+    return f"""doc AS ({docs}), tok AS MATERIALIZED (SELECT key, owner, field, unnest(ws) AS word, unnest(range(len(ws))) AS place FROM (SELECT key, owner, field, {sql_words("text")} AS ws FROM doc)),
+    voc AS MATERIALIZED ({sql_stemmed("(SELECT DISTINCT word FROM tok)", "word")}), q AS MATERIALIZED ({sql_stemmed(f"(SELECT unnest([{words}]) AS word, unnest(range({len(search.query_words(query))})) AS i)", "word")}),
+    hit AS (SELECT key, owner, field, count(DISTINCT stem) AS s, count(*) AS n FROM tok JOIN voc USING (word) WHERE stem IN (SELECT stem FROM q) GROUP BY ALL),
+    rank AS (SELECT key, owner, field, n / (1.0 + ln(1 + words)) AS r FROM hit JOIN (SELECT key, owner, field, count(*) AS words FROM tok GROUP BY ALL) USING (key, owner, field) WHERE s = (SELECT count(DISTINCT stem) FROM q))"""
 
 
-def sections(t: Tables) -> DataFrame:
-    """The documents as sections titled by their first line."""
-    return t.speech.select("id", F.substring_index("text", "\n", 1).alias("title"))
+BOTH = """SELECT id, round(3.0 * coalesce(t, 0) + coalesce(b, 0), 6) AS rank, speech_id FROM
+    (SELECT owner AS id, max(CASE WHEN field = 't' THEN r END) AS t, max(CASE WHEN field = 'b' THEN r END) AS b, max_by(key, CASE WHEN field = 'b' THEN {'r': r, 'k': key} END) AS speech_id FROM rank GROUP BY 1)"""
+SPEECHES = "SELECT id AS key, id AS owner, 't' AS field, split_part(text, chr(10), 1) AS text FROM speech UNION ALL SELECT id, id, 'b', text FROM speech"
+BODIES = "SELECT id AS key, id AS owner, 'b' AS field, text FROM speech"
 
 
-@query(
-    "ft_search",
-    f"""WITH s AS (SELECT id, {sql_stems("split_part(text, chr(10), 1)")} AS a, {sql_stems("text")} AS b FROM speech),
-    r AS (SELECT id, {sql_rank("a", search.query_stems("tion and"))} AS t, {sql_rank("b", search.query_stems("tion and"))} AS r FROM s)
-    SELECT id, round(3.0 * t + r, 6) AS rank, CASE WHEN r > 0 THEN id END AS speech_id FROM r WHERE t > 0 OR r > 0 ORDER BY round(3.0 * t + r, 6) DESC, id LIMIT 100""",
-)
+def documents_index(t: Tables, field: str) -> search.Index:
+    """The documents as sections titled by their first line: the index of the titles or of the texts."""
+    text = F.substring_index("text", "\n", 1) if field == "titles" else F.col("text")
+    return search.stored(t.speech.select(F.col("id").alias("key"), F.col("id").alias("owner"), text.alias("text")), f"documents-{field}")
+
+
+@query("ft_search", f"WITH {sql_index(SPEECHES, 'tion and')} SELECT * FROM ({BOTH}) ORDER BY rank DESC, id LIMIT 100")
 def _(t: Tables) -> DataFrame:
-    """FT1-FT7: all terms, best speech per section, titles three times."""
-    found = search.search(sections(t), t.speech.select(F.col("id").alias("session_id"), "id", "text"), "tion and")
-    return found.select("id", F.round("rank", 6).alias("rank"), "speech_id").orderBy(F.desc("rank"), "id").limit(100)
+    """FT1-FT7: all terms, best speech per section, titles three times, the first hundred by bounds of blocks."""
+    return search.top("tion and", 100, documents_index(t, "titles"), documents_index(t, "texts"))
+
+
+@query("ft_count", f"WITH {sql_index(SPEECHES, 'tion')} SELECT count(DISTINCT owner) AS n FROM rank")
+def _(t: Tables) -> DataFrame:
+    """FT7: how many sections match."""
+    return search.count("tion", documents_index(t, "titles"), documents_index(t, "texts"))
 
 
 FILTERS = "NOT is_container AND house = 'Commons' AND contains(lower(department), 'education') AND date BETWEEN DATE '1994-01-01' AND DATE '1999-06-30' AND id IN (SELECT session_id FROM theme WHERE theme = 'theme 3' AND theme_type = 'policy_area')"
+WANTED = ["the reforming of school", "schools bills", "flooded and repayment", '"reforms of the schools"', "schools reform"]
+SECTIONS = "SELECT id AS key, id AS owner, 't' AS field, title AS text FROM session UNION ALL SELECT id, session_id, 'b', speech_text FROM contribution"
+
+
+def sql_phrase(query: str) -> str:
+    """Of rank, the rows whose text has the query's stems one after the other."""
+    if not search.query_mode(query)[0]:
+        return ""
+    return """, ordered AS (SELECT key, owner, field, ' ' || string_agg(stem, ' ' ORDER BY place) || ' ' AS stems FROM tok JOIN voc USING (word) GROUP BY ALL),
+    phrase AS (SELECT r.* FROM rank r JOIN ordered USING (key, owner, field) WHERE contains(stems, (SELECT ' ' || string_agg(stem, ' ' ORDER BY i) || ' ' FROM q)))"""
 
 
 def sql_filtered(wanted: str) -> str:
-    stems = search.query_stems(wanted)
-    return f"""SELECT '{wanted}' AS query, s.id, round(3.0 * t + coalesce(r, 0), 6) AS rank, speech_id FROM (SELECT id, {sql_rank("a", stems)} AS t FROM (SELECT id, {sql_stems("title")} AS a FROM session WHERE {FILTERS})) s
-    LEFT JOIN (SELECT session_id, max(r) AS r, max_by(id, {{'r': r, 'i': id}}) AS speech_id FROM (SELECT session_id, id, {sql_rank("b", stems)} AS r FROM (SELECT session_id, id, {sql_stems("speech_text")} AS b FROM contribution)) WHERE r > 0 GROUP BY 1) c ON c.session_id = s.id WHERE t > 0 OR r > 0"""
+    found = BOTH.replace("FROM rank", "FROM phrase") if search.query_mode(wanted)[0] else BOTH
+    return f"SELECT '{wanted}' AS query, * FROM (WITH {sql_index(SECTIONS, wanted)}{sql_phrase(wanted)} {found}) WHERE id IN (SELECT id FROM session WHERE {FILTERS})"
 
 
-@query("ft_filtered", " UNION ALL ".join(map(sql_filtered, ["the reform of schools", "schools bill", "flooding and repayments"])))
+@query("ft_filtered", " UNION ALL ".join(map(sql_filtered, WANTED)))
 def _(t: Tables) -> DataFrame:
-    """FT3, FT4, FT6: the best of a section's speeches, several terms, no containers, and the filters: house, department, dates and policy area."""
-    speeches = t.contribution.select("session_id", "id", F.col("speech_text").alias("text"))
+    """FT1, FT3, FT4, FT6: the best of a section's speeches, several terms in other forms than the texts', a phrase, no containers, and the filters: house, department, dates and policy area."""
+    titles = search.stored(t.session.select(F.col("id").alias("key"), F.col("id").alias("owner"), F.col("title").alias("text")), "sections-titles")
+    speeches = search.stored(t.contribution.select(F.col("id").alias("key"), F.col("session_id").alias("owner"), F.col("speech_text").alias("text")), "sections-speeches")
     policy = t.theme.where("theme = 'theme 3' AND theme_type = 'policy_area'")
+    wanted = kept(search.allowed(t.session, house="Commons", department="education", since="1994-01-01", until="1999-06-30", policy=policy).select("id"), "allowed")
     found = None
-    for wanted in ("the reform of schools", "schools bill", "flooding and repayments"):
-        own = search.search(t.session, speeches, wanted, house="Commons", department="education", since="1994-01-01", until="1999-06-30", policy=policy).select(F.lit(wanted).alias("query"), "id", F.round("rank", 6).alias("rank"), "speech_id")
+    for text in WANTED:
+        own = search.search(text, titles, speeches, wanted).select(F.lit(text).alias("query"), "id", "rank", "speech_id")
         found = own if found is None else found.unionByName(own)
     return found
 
 
-@query("ft_phrase", f"SELECT id FROM (SELECT id, ' ' || array_to_string({sql_stems('text')}, ' ') || ' ' AS s FROM speech) WHERE contains(s, ' {' '.join(search.query_stems('une le'))} ')")
+@query("ft_phrase", f"WITH {sql_index(BODIES, chr(34) + 'une le' + chr(34))}{sql_phrase(chr(34) + 'une le' + chr(34))} SELECT owner AS id FROM phrase")
 def _(t: Tables) -> DataFrame:
     """FT1: a phrase in quotes."""
-    return t.speech.where(search.matches(search.stems(F.col("text")), '"une le"')).select("id")
+    return search.search('"une le"', documents_index(t, "texts"), None).select("id")
 
 
-@query("ft_headlines")
+@query(
+    "ft_headlines",
+    f"""WITH {sql_index(BODIES, "tion")}, wanted AS (SELECT list(DISTINCT word) AS ws FROM voc WHERE stem IN (SELECT stem FROM q)),
+    parts AS (SELECT id, list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '') AS p FROM speech WHERE id IN (SELECT owner FROM rank)),
+    flags AS (SELECT id, p, list_transform(p, lambda w: list_has_any(regexp_split_to_array(lower(w), '{BREAK}'), ws)) AS h FROM parts, wanted),
+    cut AS (SELECT id, p, h, greatest(list_position(h, true) - 10, 1) AS b FROM flags)
+    SELECT id, array_to_string(list_transform(range(b, least(b + 35, len(p) + 1)), lambda i: CASE WHEN h[i] THEN '<mark>' || p[i] || '</mark>' ELSE p[i] END), ' ') AS headline FROM cut""",
+)
 def _(t: Tables) -> DataFrame:
-    """FT8, FT9: fragments around the first hit."""
-    return t.speech.where(search.matches(search.stems(F.col("text")), "tion")).select("id", search.headline(F.col("text"), "tion").alias("headline"))
+    """FT8: fragments around the first hit, of all that match."""
+    texts = documents_index(t, "texts")
+    found = search.search("tion", texts, None).select("id")
+    return t.speech.join(found, "id", "left_semi").select("id", search.headline(F.col("text"), search.inflections(texts, "tion")).alias("headline"))
 
 
-@query("ft_postings", f"SELECT stem, count(*) AS docs, CAST(sum(n) AS BIGINT) AS n FROM (SELECT id, stem, count(*) AS n FROM (SELECT id, unnest({sql_stems('text')}) AS stem FROM speech) GROUP BY ALL) GROUP BY stem")
+@query("ft_postings", f"WITH {sql_index(BODIES, 'tion')} SELECT stem, count(DISTINCT key) AS docs, count(*) AS n FROM tok JOIN voc USING (word) GROUP BY stem")
 def _(t: Tables) -> DataFrame:
-    """FT2: the posting list of all documents, summed by stem."""
-    return search.postings(t.speech, "id", "text").groupBy("stem").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
+    """FT2: the index of all documents, summed by stem."""
+    lists = t.spark.read.parquet(f"{documents_index(t, 'texts').path}/postings")
+    each = lists.select("stem", F.explode("docs").alias("d")).groupBy("stem", "d.key").agg(F.sum("d.n").alias("n"))
+    return each.groupBy("stem").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("n"))
 
 
 def names(t: Tables) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -24,6 +25,17 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def version(df: DataFrame) -> str:
+    """A name for the files that df reads, as they are now: their names, sizes and times."""
+    spark = df.sparkSession
+    state, conf = [], spark._jsc.hadoopConfiguration()
+    for file in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        state.append((file, status.getLen(), status.getModificationTime()))
+    return hashlib.sha256(repr(state).encode()).hexdigest()[:32]
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df as Parquet in that folder, read again: the plan ends there."""
     path = new_path(df.sparkSession, name)

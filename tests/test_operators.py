@@ -10,6 +10,7 @@ from quillstream.functions import scoring as S
 from quillstream.functions import text as T
 from quillstream.operators import audit, graph, joins, predicates, search, vectors, windows
 from quillstream.sources import sinks
+from quillstream.storage import new_path
 from quillstream.streaming import incremental
 
 
@@ -86,9 +87,11 @@ def test_joins_and_windows(spark):
 def test_search(spark):
     t = F.col("t")
     rows = [("Student loans and the repayment of loans",), ("Loan for a student",), ("nothing",), (None,)]
-    hits = lambda q: [r[0] for r in values(spark, rows, "t string", F.coalesce(search.matches(search.stems(t), q), F.lit(False)))]
+    index = search.build(spark.createDataFrame([(i, i, *r) for i, r in enumerate(rows)], "key long, owner long, text string"), new_path(spark, "search"))
+    found = lambda q: {r["id"] for r in search.search(q, index, None).collect()}
+    hits = lambda q: [i in found(q) for i in range(4)]
     assert hits("loans student") == [True, True, False, False] and hits('"student loans"') == [True, False, False, False] and hits("the") == [False] * 4
-    assert values(spark, rows[:1], "t string", search.headline(t, "repayment", 4, 1))[0][0] == "the <mark>repayment</mark> of loans"
+    assert values(spark, rows[:1], "t string", search.headline(t, search.inflections(index, "repayment"), 4, 1))[0][0] == "the <mark>repayment</mark> of loans"
 
 
 def test_graph_and_vectors(spark):
