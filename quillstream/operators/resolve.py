@@ -2,22 +2,23 @@
 
 Candidates for a close match come from two equality joins that lose no pair of similarity 0.9 or more. Either a name's words,
 but for two elevenths of its characters, are all the other's: then one of its rarest words (as many as are longer than that
-together) is. Or the names differ by at most a tenth of their joint length in characters. Of the shorter one's bigrams at most
-three tenths as many as it has characters are missing then, so one of its rarest bigrams (so many and one more) is the other's;
-numbers whose bits stand for a name's letters and bigrams leave out the pairs of that join that differ by more. Similarity
-itself is computed on what is left, in Arrow batches.
+together) is. Or the names differ by at most a tenth of their joint length in characters: then they meet by a pair of their
+rarest bigrams and a band of lengths (`_edited`), and numbers whose bits stand for a name's letters and bigrams leave out the pairs
+of that join that differ by more. Both are plain joins of numbers by a key, so Spark splits the partition of a frequent key.
+Similarity itself is computed on what is left, in Arrow batches.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from ..storage import kept
+from .similarity import codes, common_lengths, similarity, words
 
 CLOSE = 0.90
 
@@ -51,11 +52,6 @@ def token_set_similarity(a: str, b: str) -> float:
     return max([ratio(one, two), *([ratio(common, one), ratio(common, two)] if common else [])])
 
 
-@F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([token_set_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-
 def bigrams(c: Column) -> Column:
     """Numbered bigrams inside a name's distinct words: the n-th of equal ones has number n."""
     words = F.array_distinct(F.split(c, " "))
@@ -64,10 +60,10 @@ def bigrams(c: Column) -> Column:
 
 
 def _rare_first(names: DataFrame, parts: Column) -> DataFrame:
-    """key, and its parts from the rarest on. names: key."""
-    each = names.select("key", F.explode(parts).alias("part"))
+    """id, and its parts from the rarest on. names: id, key."""
+    each = names.select("id", F.explode(parts).alias("part"))
     often = each.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    return each.join(often, "part").groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda x: x["part"]).alias("parts"))
+    return each.join(often, "part").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "part"))), lambda x: x["part"]).alias("parts"))
 
 
 #: A name's numbered letters, and its parts, as bits.
@@ -90,29 +86,66 @@ def signed(grams: DataFrame) -> DataFrame:
     return grams.withColumns({c: bits(items, k) for names, items in ((LETTERS, numbered_letters(F.col("key"))), (BIGRAMS, F.col("parts"))) for k, c in enumerate(names)})
 
 
-def candidates(names: DataFrame, others: DataFrame) -> DataFrame:
-    """Pairs key, other of distinct normal names that may be 0.9 alike. names, others: key."""
-    every = kept(names.select("key").union(others.select("key")).distinct(), "names")
-    size = F.length(F.array_join(F.array_distinct(F.split("key", " ")), " "))
-    words = kept(_rare_first(every, F.array_distinct(F.split("key", " "))), "words")
+def _within(every: DataFrame) -> DataFrame:
+    """Pairs of ids: the second has all words of the first but for two elevenths of its characters. A plain join by word, which Spark may split."""
+    known = every.join(_rare_first(every, words(F.col("key"))), "id")
     before = lambda i: F.aggregate(F.slice("parts", 1, i), F.lit(0), lambda n, w: n + F.length(w) + 1)
-    rarest = words.select("key", F.explode(F.filter("parts", lambda w, i: 11 * before(i) <= 2 * size)).alias("part"))
-    within = rarest.join(words.select(F.col("key").alias("other"), F.explode("parts").alias("part")), "part").select("key", "other").distinct()
-    subset = within.union(within.select("other", "key"))
-    grams = kept(signed(_rare_first(every, bigrams(F.col("key")))).withColumn("size", size), "bigrams")
-    short = grams.select("key", "size", *LETTERS, *BIGRAMS, F.explode(F.slice("parts", 1, F.floor(3 * F.col("size") / 10).cast("int") + 1)).alias("part"))
-    long = grams.select(F.col("key").alias("other"), *(F.col(c).alias(f"their_{c}") for c in ("size", *LETTERS, *BIGRAMS)), F.explode("parts").alias("part"))
+    rarest = known.select("id", "size", "sides", "parts", F.explode(F.filter("parts", lambda w, i: 11 * before(i) <= 2 * F.col("size"))).alias("part"))
+    theirs = known.select(F.col("id").alias("other"), F.col("sides").alias("their_sides"), F.col("parts").alias("their_parts"), F.explode("parts").alias("part"))
+    left = F.aggregate(F.array_except("parts", "their_parts"), F.lit(0), lambda n, w: n + F.length(w) + 1)
+    return rarest.join(theirs, "part").where((F.col("id") != F.col("other")) & _wanted() & (11 * left <= 2 * F.col("size"))).select("id", "other").distinct()
+
+
+def _wanted() -> Column:
+    """One is of the names, the other of those that they are held against (bits 1 and 2 of sides)."""
+    a, b = F.col("sides"), F.col("their_sides")
+    return (a.bitwiseAND(1) + b.bitwiseAND(2) == 3) | (b.bitwiseAND(1) + a.bitwiseAND(2) == 3)
+
+
+def _pairs_of(parts: Column, n: Column) -> Column:
+    """Hashes of the pairs among the first n parts."""
+    return F.flatten(F.transform(F.slice(parts, 1, n), lambda x, i: F.transform(F.slice(parts, i + 2, F.greatest(n - i - 1, F.lit(0))), lambda y: F.xxhash64(x, y))))
+
+
+def _edited(every: DataFrame) -> DataFrame:
+    """Pairs of ids that may differ by at most a tenth of their joint length.
+
+    Of such a pair the shorter name lacks at most three tenths, and the longer four elevenths, as many of its bigrams in the other as it has characters. If two
+    bigrams are common, then the two rarest of them are among the so many and two rarest of either, so names meet by hashes of pairs of these; a name of so few
+    bigrams that only one may be common gives single ones too. Lengths differ by two elevenths at most: keys carry a band of lengths, and a
+    shorter name looks into its own and the next.
+    """
+    grams = kept(signed(every.join(_rare_first(every, bigrams(F.col("key"))), "id")), "bigrams")
+    band = F.floor(F.log(F.greatest(F.col("size"), F.lit(1)).cast("double")) / F.log(F.lit(11 / 9)))
+
+    def keyed(lacking: Column, bands: list[Column]) -> DataFrame:
+        few = F.size("parts") - lacking < 2
+        keys = F.concat(_pairs_of(F.col("parts"), lacking + 2), F.when(few, F.transform(F.slice("parts", 1, lacking + 1), lambda x: F.xxhash64(x))).otherwise(F.array().cast("array<bigint>")))
+        each = grams.select("id", "size", "sides", *LETTERS, *BIGRAMS, F.explode(keys).alias("part"), F.array(*bands).alias("bands"))
+        return each.select("*", F.explode("bands").alias("band")).drop("bands")
+
+    short = keyed(F.floor(3 * F.col("size") / 10).cast("int"), [band, band + 1])
+    long = keyed(F.floor(4 * F.col("size") / 11).cast("int"), [band])
+    long = long.select(F.col("id").alias("other"), *(F.col(c).alias(f"their_{c}") for c in ("size", "sides", *LETTERS, *BIGRAMS)), "part", "band")
     lacks = lambda bits, a, b: sum((F.bit_count(F.col(f"{a}{c}").bitwiseAND(F.bitwise_not(F.col(f"{b}{c}")))) for c in bits), F.lit(0))
     in_all = F.floor((F.col("size") + F.col("their_size")) / 10)
     here, there = F.floor((in_all + F.col("size") - F.col("their_size")) / 2), F.floor((in_all + F.col("their_size") - F.col("size")) / 2)  # characters of either that have no match
     near = (F.col("size") <= F.col("their_size")) & (F.col("their_size") - F.col("size") <= in_all)
     near &= (lacks(LETTERS, "", "their_") <= here) & (lacks(LETTERS, "their_", "") <= there)
     near &= (lacks(BIGRAMS, "", "their_") <= 2 * here + there) & (lacks(BIGRAMS, "their_", "") <= 2 * there + here)
-    n = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # kept as it is: few bytes in, many pairs out
-    one = short.repartition(n, "part").join(long.repartition(n, "part"), "part").where((F.col("key") != F.col("other")) & near).select("key", "other").distinct()
-    close = one.union(one.select("other", "key"))
-    pairs = subset.union(close).where("key <> other").distinct()
-    return pairs.join(names.select("key"), "key", "left_semi").join(others.select(F.col("key").alias("other")), "other", "left_semi").select("key", "other")
+    return short.join(long, ["part", "band"]).where((F.col("id") != F.col("other")) & _wanted() & near).select("id", "other").distinct()
+
+
+def candidates(names: DataFrame, others: DataFrame) -> DataFrame:
+    """Pairs key, other of distinct normal names that may be 0.9 alike. names, others: key. Pairs are of numbers until they are final."""
+    sides = names.select("key", F.lit(1).alias("side")).union(others.select("key", F.lit(2).alias("side"))).groupBy("key").agg(F.bit_or("side").alias("sides"))
+    size = F.length(F.array_join(words(F.col("key")), " "))
+    every = kept(sides.where("key IS NOT NULL").select(F.monotonically_increasing_id().alias("id"), "key", "sides", size.alias("size")), "names")
+    found = _within(every).union(_edited(every))
+    pairs = found.union(found.select("other", "id")).distinct()
+    left = every.where("sides & 1 = 1").select("id", "key")
+    right = every.where("sides & 2 = 2").select(F.col("id").alias("other"), F.col("key").alias("_other"))
+    return pairs.join(left, "id").join(right, "other").select("key", F.col("_other").alias("other"))
 
 
 def resolve(staging: DataFrame, organisations: DataFrame, aliases: DataFrame, distinct_pairs: DataFrame | None = None) -> DataFrame:
@@ -160,31 +193,78 @@ def dry_run(staging: DataFrame) -> DataFrame:
     return staging.where("status = 'pending'").groupBy(F.when(_errors("key").isNotNull(), "errored").otherwise("committed").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Names that are held against all organisations at once.
-QUERIES = 4096
+#: Names that are held against all organisations at once, and organisations that a step looks at.
+QUERIES, ROWS = 4096, 8192
+#: Letters are counted by their code points modulo this.
+COUNTED = 64
+
+
+class _Counts:
+    """What bounds the similarity of names from above: letters and words."""
+
+    def __init__(self, names: list[str]) -> None:
+        own = [sorted(set(n.split())) for n in names]
+        self.texts = [" ".join(w) for w in own]
+        flat, self.sizes = codes(self.texts, 0)
+        here = np.arange(flat.shape[1])[None, :] < self.sizes[:, None]
+        rows = np.broadcast_to(np.arange(len(names))[:, None], flat.shape)[here]
+        self.letters = np.bincount(rows * COUNTED + flat[here] % COUNTED, minlength=len(names) * COUNTED).reshape(-1, COUNTED).astype(np.int16)
+        self.by_word: dict[str, list[int]] = {}
+        self.words = own
+        for i, ws in enumerate(own):
+            for w in ws:
+                self.by_word.setdefault(w, []).append(i)
+
+    def bounds(self, words: list[str], size: int, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of a name, given by its distinct words, and each of these: a similarity they have at least, and at most."""
+        common = np.full(len(self.sizes), -1, np.int64)
+        for w in words:
+            common[self.by_word.get(w, [])] += len(w) + 1
+        shared = common >= 0
+        c = np.maximum(common, 0)
+        least = np.where(shared, 2 * np.maximum.reduce([c / np.maximum(c + size, 1), c / np.maximum(c + self.sizes, 1), c / np.maximum(size + self.sizes, 1)]), 0.0)
+        letters_in_common = np.minimum(self.letters, letters).sum(axis=1, dtype=np.int64)
+        most = np.maximum(least, 2 * letters_in_common / np.maximum(size + self.sizes, 1))
+        return least, np.where(self.sizes > 0, most, 0.0)
 
 
 def closest(wanted: DataFrame, organisations: DataFrame, limit: int = 3, cutoff: float = 45.0) -> DataFrame:
     """Wanted: name: a stated set of names, in blocks of at most QUERIES, against all organisations (id, name). Returns name, rank, id, other, score (0 to 100).
 
-    Each batch keeps its own best rows per name, so that few rows are shuffled. Equal scores go by name and id.
+    A task gives each name those of its organisations that can be among the best by their letters and words: an organisation is left out if `limit` others of the
+    task are surely more alike. Similarity itself is computed on what is left. Equal scores go by name and id.
     """
     names = sorted({r["name"] for r in wanted.select("name").where("name IS NOT NULL").distinct().toLocalIterator()})
     spark, out = organisations.sparkSession, None
     for at in range(0, len(names), QUERIES):
         shared = spark.sparkContext.broadcast(names[at : at + QUERIES])
 
-        def best(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for name in shared.value:
-                    own = frame.assign(name=name, score=[100 * token_set_similarity(name, x) for x in frame["other"]])
-                    yield own[own["score"] >= cutoff].sort_values(["score", "other", "id"], ascending=[False, True, True]).head(limit)[["name", "id", "other", "score"]]
-
-        found = organisations.where("name IS NOT NULL").select("id", F.col("name").alias("other")).mapInPandas(best, "name string, id long, other string, score double")
+        def possible(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            block = _Counts(shared.value)
+            floor = np.full((len(shared.value), limit), cutoff / 100 - 1e-9)  # the best sure similarities so far, ascending
+            for whole in frames:
+                for begin in range(0, len(whole), ROWS):
+                    frame = whole.iloc[begin : begin + ROWS]
+                    theirs, found = _Counts(frame["other"].tolist()), []
+                    for i, name in enumerate(shared.value):
+                        least, most = theirs.bounds(block.words[i], int(block.sizes[i]), block.letters[i])
+                        # Those that promise most are looked at, so that the others have something to reach.
+                        top = np.argsort(-most, kind="stable")[: 4 * limit]
+                        alone, sure = top[least[top] == 0], least.copy()
+                        sure[alone] = 2 * common_lengths([block.texts[i]] * len(alone), [theirs.texts[k] for k in alone]) / np.maximum(block.sizes[i] + theirs.sizes[alone], 1)
+                        floor[i] = np.sort(np.concatenate([floor[i], sure[top], np.sort(np.delete(sure, top))[-limit:]]))[-limit:]
+                        first = np.flatnonzero(most >= floor[i, 0] - 1e-9)
+                        if len(first):
+                            found.append(frame.iloc[first].assign(name=name))
+                    if found:
+                        yield pd.concat(found)[["name", "id", "other"]]
+
+        found = organisations.where("name IS NOT NULL").select("id", F.col("name").alias("other")).mapInPandas(possible, "name string, id long, other string")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "name string, rank int, id long, other string, score double")
-    ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "other", "id")))  # `limit` rows per name and batch
+    scored = out.withColumn("score", 100 * similarity("name", "other")).where(F.col("score") >= cutoff)
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("name").orderBy(F.desc("score"), "other", "id")))  # few rows per name and task
     return ranked.where(F.col("rank") <= limit).select("name", "rank", "id", "other", "score")
 
 

@@ -3,6 +3,7 @@ import random
 import pytest
 
 from quillstream.operators import resolve as R
+from quillstream.operators import similarity as S
 
 
 def sequential(staging, organisations, aliases, distinct=()):
@@ -113,3 +114,71 @@ def test_candidates_where_one_name_goes_on(spark, seed):
     df = spark.createDataFrame([(n,) for n in names], "key string")
     found = {(r["key"], r["other"]) for r in R.candidates(df, df).collect()}
     assert {(a, b) for a in names for b in names if a != b and R.token_set_similarity(a, b) >= R.CLOSE} <= found
+
+
+def test_lanes_against_the_plain_version(spark):
+    rng = random.Random(8)
+    text = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    pairs = [(text(rng.randint(0, 90), "ab c"), text(rng.randint(0, 90), "abc d")) for _ in range(300)] + [("", ""), ("é日🙂", "日é🙂"), (text(300, "abcde"), text(700, "abcde")), (text(64, "ab"), text(65, "ab")), ("a" * 128, "a" * 127)]
+    wanted = [R.common_length(a, b) for a, b in pairs]
+    for cells in (S.CELLS, 50):
+        S.CELLS, before = cells, S.CELLS
+        assert S.common_lengths([a for a, _ in pairs], [b for _, b in pairs]).tolist() == wanted
+        S.CELLS = before
+    assert S.common_lengths([], []).tolist() == []
+    names = near_names(80, 6)
+    pairs = [(a, b) for a in names[:30] for b in names] + [("", "x"), ("x", ""), ("", ""), ("a", "a"), ("b a", "a b"), ("  a  b ", "a b c")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert [r[2] for r in df.select("a", "b", R.similarity("a", "b")).collect()] == [R.token_set_similarity(a, b) for a, b in pairs]
+
+
+@pytest.mark.parametrize("words", [["ab", "cd", "ef", "gh", "ij", "kl"], ["a", "b", "c", "d", "e", "f", "aa"], ["abcde", "abcdf", "abcdefghij", "xbcdefghij", "abcdefghi"]])
+def test_candidates_of_short_words(spark, words):
+    """Few bigrams a name, so that names meet by single ones too."""
+    rng = random.Random(2)
+    names = sorted({" ".join(rng.choice(words)[: rng.choice([9, 9, 9, 4, 1])] for _ in range(rng.randint(1, 7))) for _ in range(260)})
+    df = spark.createDataFrame([(n,) for n in names], "key string")
+    found = {(r["key"], r["other"]) for r in R.candidates(df, df).collect()}
+    assert {(a, b) for a in names for b in names if a != b and R.token_set_similarity(a, b) >= R.CLOSE} <= found
+
+
+def test_pairs_of_five_thousand_names(spark):
+    """All pairs of 5,000 names at 0.9: the plain comparison is made for those that letters do not rule out."""
+    rng = random.Random(11)
+    pool = ["".join(rng.choice("aeioubcdfglmnprst") for _ in range(rng.randint(2, 9))) for _ in range(700)]
+    names = [" ".join(rng.choice(pool) for _ in range(rng.randint(1, 4))) for _ in range(3500)]
+    for n in rng.sample(names, 1500):
+        k = rng.randrange(len(n))
+        names.append((n[:k] + rng.choice(["", "x", n[k] * 2]) + n[k + 1 :]).strip() or "x")
+    names = sorted({" ".join(n.split()) for n in names})
+    counts = R._Counts(names)
+    wanted = set()
+    for i, a in enumerate(names):
+        _, most = counts.bounds(counts.words[i], int(counts.sizes[i]), counts.letters[i])
+        near = [k for k in (most >= R.CLOSE - 1e-9).nonzero()[0].tolist() if k != i]
+        wanted |= {(a, names[k]) for k in near if R.token_set_similarity(a, names[k]) >= R.CLOSE}
+    df = spark.createDataFrame([(n,) for n in names], "key string").repartition(8)
+    found = R.candidates(df, df).where(R.similarity("key", "other") >= R.CLOSE)
+    assert len(wanted) > 1000 and {tuple(r) for r in found.collect()} == wanted
+
+
+def test_the_queries_against_row_after_row(spark, sf_dir):
+    from quillstream.plans import composite
+    from quillstream.plans.catalog import QUERIES
+    from quillstream.plans.domain import Tables
+
+    t = Tables(spark, sf_dir)
+    staged = [(r["id"], r["key"]) for r in composite.names(t).where("source NOT RLIKE '[02468]$'").collect()]
+    known = [(r["id"], r["key"]) for r in composite.registered(t).collect()]
+    aliases = [(r["organisation_id"], r["key"]) for r in t.alias.select("organisation_id", composite.T.organisation_key(composite.F.col("alias_name")).alias("key")).collect()]
+    wanted = sequential([x for x in staged if (x[1] or "").strip()], known, aliases)
+    found = {r["id"]: r for r in QUERIES["er_resolve"](spark, sf_dir).collect()}
+    assert set(found) == {i for i, _ in staged} and {r["status"] for r in found.values()} <= {"committed", "errored"}
+    assert {i: (r["tier"], r["match"], r["close_to"]) for i, r in found.items() if r["status"] == "committed"} == wanted
+    organisations = [(r["id"], r["canonical_name"].lower()) for r in t.organisation.collect()]
+    got = sorted((r["name"], r["rank"], r["id"], r["other"], r["score"]) for r in QUERIES["o13_did_you_mean"](spark, sf_dir).collect())
+    expected = []
+    for name in ("custmer#000000042 trust", "customers 7", "zzz", "customer#00000001 plc"):
+        best = sorted((-100 * R.token_set_similarity(name, x), x, i) for i, x in organisations)[:3]
+        expected += [(name, k, i, x, -s) for k, (s, x, i) in enumerate(best, 1) if -s >= 45]
+    assert got == sorted(expected) and got
