@@ -10,6 +10,7 @@ from ..functions.stemming import sql_stemmed
 from ..operators import audit, graph, pipelines, resolve, search, vectors
 from ..storage import kept
 from ..streaming import incremental as I
+from ..streaming import state
 from .domain import Tables
 from .registry import query
 
@@ -301,5 +302,29 @@ def _(t: Tables) -> DataFrame:
     """A target kept at the latest row per key."""
     from ..storage import new_path
 
+    keys = ["user_id", "event_type"]
+    rows = event_stream(t).select(*keys, "ts", "event_id", "value", I.bucket(keys).alias("bucket"))
+    return I.upserts(rows, new_path(t.spark, "latest"), keys, ["ts", "event_id"], "latest-run", part="bucket").select(*keys, F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
+
+
+@query("t04_latest_state", "SELECT user_id, event_type, max(ts) AS ts, arg_max(value, {'t': ts, 'e': event_id}) AS value FROM events GROUP BY 1, 2")
+def _(t: Tables) -> DataFrame:
+    """The same by keyed state, which holds the latest row of a key."""
     rows = event_stream(t).select("user_id", "event_type", "ts", "event_id", "value")
-    return I.upserts(rows, new_path(t.spark, "latest"), ["user_id", "event_type"], "ts", "latest-run").select("user_id", "event_type", F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
+    return plain(state.latest(rows, ["user_id", "event_type"], ["ts", "event_id"], "latest-state"), "ts").select("user_id", "event_type", "ts", "value")
+
+
+@query(
+    "t06_staged_states",
+    """WITH e AS (SELECT event_id // 10 AS id, list({'at': ts, 'to': CASE event_type WHEN 'purchase' THEN 'committed' WHEN 'error' THEN 'errored' WHEN 'signup' THEN 'rejected' ELSE 'pending' END, 's': NULL::VARCHAR, 'since': NULL::TIMESTAMP, 'n': 0::BIGINT} ORDER BY ts, event_id) AS l
+        FROM events GROUP BY 1),
+    f AS (SELECT id, list_reduce(list_prepend({'at': NULL::TIMESTAMP, 'to': NULL::VARCHAR, 's': NULL::VARCHAR, 'since': NULL::TIMESTAMP, 'n': 0::BIGINT}, l), lambda a, x:
+        CASE WHEN (a.s IS NULL OR a.s = 'errored') AND x.to = 'pending' OR a.s = 'pending' AND x.to <> 'pending' THEN {'at': x.at, 'to': x.to, 's': x.to, 'since': x.at, 'n': a.n} ELSE {'at': x.at, 'to': x.to, 's': a.s, 'since': a.since, 'n': a.n + 1} END) AS r FROM e)
+    SELECT id, r.s AS status, r.since AS since, r.n AS refused FROM f""",
+)
+def _(t: Tables) -> DataFrame:
+    """Ten events each move a staged row between pending, committed, rejected and errored; what is not legal is refused and counted. None is pending for long enough to expire."""
+    to = F.when(F.col("event_type") == "purchase", "committed").when(F.col("event_type") == "error", "errored").when(F.col("event_type") == "signup", "rejected").otherwise("pending")
+    rows = event_stream(t).select(F.expr("event_id div 10").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("id"), to.alias("to"))
+    found = state.staged_once(rows, "key", 3650)
+    return plain(found, "since").select(F.col("key").alias("id"), "status", "since", "refused")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,10 +27,10 @@ def files_of(uri: str) -> tuple[pafs.FileSystem, str]:
     return (pafs.LocalFileSystem(), uri) if ":/" not in uri else pafs.FileSystem.from_uri(uri)
 
 
-def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8 if all files' bytes are, else Windows-1252 (read as Latin-1, whose codes it extends). The files are tried where they lie."""
-    bad = spark.read.format("binaryFile").load(path).where(~F.is_valid_utf8(F.col("content").cast("string"))).limit(1)
-    return "ISO-8859-1" if not bad.isEmpty() else "UTF-8"
+def not_utf8(spark: SparkSession, path: str) -> list[str]:
+    """The files whose bytes are no UTF-8. They are tried line by line, in pieces as Spark splits them: no character's bytes hold a line's end. One name a file comes to the driver."""
+    lines = spark.read.text(path)
+    return sorted(unquote(r[0]) for r in lines.where(~F.is_valid_utf8("value")).select(F.input_file_name()).distinct().collect())
 
 
 def _windows_1252() -> tuple[str, str]:
@@ -39,14 +40,21 @@ def _windows_1252() -> tuple[str, str]:
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Text columns by header; a byte-order mark is no part of the first name."""
-    encoding = encoding_of(spark, path)
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(path)
-    if encoding != "UTF-8":
+    """Text columns by header; a byte-order mark is no part of the first name. Each file has its own encoding: UTF-8 if its bytes are, else Windows-1252
+    (read as Latin-1, whose codes it extends). A column that the files of one encoding alone have is null in the others."""
+    other = not_utf8(spark, path)
+    every = [unquote(f) for f in spark.read.text(path).inputFiles()]
+    plain = [f for f in every if f not in set(other)] if other else [path]
+    reader = lambda encoding, files: spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("encoding", encoding).csv(files)
+    bare = lambda df: df.toDF(*(c.lstrip("\ufeff").removeprefix("\u00ef\u00bb\u00bf").strip() for c in df.columns))
+    found = bare(reader("UTF-8", plain)) if plain else None
+    if other:
         theirs, meant = _windows_1252()
+        df = reader("ISO-8859-1", other)
         names = [c.translate(str.maketrans(theirs, meant)) for c in df.columns]
-        df = df.select(*(F.translate(F.col(f"`{c}`"), theirs, meant).alias(n) for c, n in zip(df.columns, names, strict=True)))
-    return df.toDF(*(c.lstrip("﻿").removeprefix("ï»¿").strip() for c in df.columns))
+        df = bare(df.select(*(F.translate(F.col(f"`{c}`"), theirs, meant).alias(n) for c, n in zip(df.columns, names, strict=True))))
+        found = df if found is None else found.unionByName(df, allowMissingColumns=True)
+    return found
 
 
 def roles(columns: list[str]) -> dict[str, str]:

@@ -116,8 +116,8 @@ def load(df: DataFrame, target: str, keys: list[str]) -> dict[str, int]:
     return {"keys": own.count(), "rows": there.count()}
 
 
-def upsert(df: DataFrame, target: str, keys: list[str], columns: list[str] | None = None, only_if: str | None = None, newer_by: str | None = None, part: str | None = None) -> None:
-    """Adds new keys and updates the others: all columns or those named, where `only_if` (over the old row as o) holds, and not by an older row. df: one row per key. With `part` only its values in df are read and written again."""
+def upsert(df: DataFrame, target: str, keys: list[str], columns: list[str] | None = None, only_if: str | None = None, newer_by: str | list[str] | None = None, part: str | None = None) -> None:
+    """Adds new keys and updates the others: all columns or those named, where `only_if` (over the old row as o) holds, and not by an older row (by the columns `newer_by`, then all others: of rows of equal time the larger one stays, whichever comes first). df: one row per key. With `part` only its values in df are read and written again."""
     spark = df.sparkSession
     found = _live(spark, target, _steps(spark, target))
     if not found:
@@ -135,7 +135,11 @@ def upsert(df: DataFrame, target: str, keys: list[str], columns: list[str] | Non
     for k in keys:
         on = on & F.col(f"o.{k}").eqNullSafe(F.col(f"_new_{k}"))
     both = old.withColumn("_is_old", F.lit(True)).alias("o").join(fresh, on, "full")
-    take = F.col("_is_new").isNotNull() & (F.col("_is_old").isNull() | ((F.expr(only_if) if only_if else F.lit(True)) & (F.coalesce(F.col(f"_new_{newer_by}") >= F.col(f"o.{newer_by}"), F.lit(True)) if newer_by else F.lit(True))))
+    first = [newer_by] if isinstance(newer_by, str) else newer_by or []
+    ranked = [*first, *sorted(c for c in old.columns if c not in [*first, *keys])]
+    # As structs, which sort nulls first: the same order as that of first_per within a batch.
+    newer = F.struct(*(F.col(f"_new_{c}").alias(c) for c in ranked)) >= F.struct(*(F.col(f"o.{c}").alias(c) for c in ranked)) if first else F.lit(True)
+    take = F.col("_is_new").isNotNull() & (F.col("_is_old").isNull() | ((F.expr(only_if) if only_if else F.lit(True)) & newer))
     value = lambda c: F.when(take & (F.lit(columns is None or c in columns) | F.col("_is_old").isNull()), F.col(f"_new_{c}")).otherwise(F.col(f"o.{c}")).alias(c)
     _put(both.select(*(value(c) for c in old.columns)), target, "v" if whole else "p", part)
 

@@ -55,17 +55,24 @@ def deduplicated(events: DataFrame, at: str, keys: list[str], late: str = "14 da
     return events.withWatermark(at, late).dropDuplicatesWithinWatermark(keys)
 
 
-def upserts(events: DataFrame, target: str, keys: list[str], order: str, name: str, part: str | None = None) -> DataFrame:
-    """Keeps a target table at the latest row of each key, batch by batch; with `part`, a column that never changes for a key, a batch writes only its values."""
+def upserts(events: DataFrame, target: str, keys: list[str], order: list[str], name: str, part: str | None = None) -> DataFrame:
+    """Keeps a target table at the latest row of each key, batch by batch. The latest has the largest values of `order`, then of the other columns by name, so batches
+    may be cut anywhere. With `part`, a column that never changes for a key (such as `bucket`), a batch reads and writes only the values it touches."""
     from ..operators.windows import first_per
 
     def put(batch: DataFrame, _: int) -> None:
-        sinks.upsert(first_per(batch, keys, [order], descending=True), target, keys, newer_by=order, part=part)
+        columns = [*keys, *order, *sorted(c for c in batch.columns if c not in [*keys, *order])]
+        sinks.upsert(first_per(batch.select(*columns), keys, order, descending=True).select(*batch.columns), target, keys, newer_by=order, part=part)
 
     finished(events, name, "append", put)
     return sinks.current(events.sparkSession, target)
 
 
+def bucket(keys: list[str], n: int = 64) -> Column:
+    """A number below n that never changes for a key: what a target is partitioned by."""
+    return F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+
+
 def since(high_water: DataFrame, at: str, buffer_days: int, fallback: str) -> Column:
     """From when to read again, as a scalar subquery's value."""
     row = high_water.agg(F.date_sub(F.max(at), buffer_days)).first()[0]

@@ -132,7 +132,7 @@ def test_streams_restart_from_their_state(spark, tmp_path):
     df = incremental.stream(spark, folder, "ts")
     one = incremental.finished(incremental.windowed(df, "ts", [], "1 day").select("n"), "w", "complete")
     assert sorted(r["n"] for r in one.collect()) == [1, 1]
-    latest = incremental.upserts(df, f"file://{tmp_path}/t", ["user"], "ts", "u")
+    latest = incremental.upserts(df, f"file://{tmp_path}/t", ["user"], ["ts"], "u")
     assert [r["ts"].day for r in latest.collect()] == [5]
     row = spark.createDataFrame([("1990-01-01",)], "x string")
     assert row.select(incremental.since(spark.createDataFrame([(datetime.date(2024, 2, 1),)], "d date"), "d", 14, "1990-01-01")).first()[0] == datetime.date(2024, 1, 18)

@@ -34,6 +34,12 @@ def test_meetings(spark, tmp_path):
     assert old.first()[2] == "Café £"
     with pytest.raises(ValueError, match="organisation"):
         R.roles(["Minister", "Date"])
+    (tmp_path / "mixed é").mkdir()
+    write(tmp_path / "mixed é" / "a.csv", HEAD + "M,8 January 2025,Caf\xe9 \xa3 \u20ac,p\n", "cp1252")
+    write(tmp_path / "mixed é" / "b.csv", HEAD + "M,9 January 2025,Caf\xe9 Ltd,p\n", "utf-8-sig")
+    write(tmp_path / "mixed é" / "c.csv", HEAD + 'M,10 January 2025,"two\nlines \u65e5",p\n', "utf-8")
+    mixed = R.read_csv(spark, f"file://{tmp_path}/mixed é")
+    assert mixed.columns == HEAD.strip().split(",") and {r[2] for r in mixed.collect()} == {"Café £ €", "Café Ltd", "two\nlines 日"}
 
 
 def xlsx(path, rows):
