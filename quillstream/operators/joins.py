@@ -35,10 +35,54 @@ def first_of_lookups(left: DataFrame, lookups: list[tuple[DataFrame, str, str]],
     return out.select(*left.columns, F.coalesce(*(F.col(f"_v{i}") for i in range(len(lookups)))).alias(name))
 
 
+#: Days are counted from the first of the year 0 so that they are positive, and are below 2 ** DEPTH.
+YEAR_0, DEPTH = 719_528, 22
+
+
+def _day(c: Column) -> Column:
+    return F.unix_date(c.cast("date")) + YEAR_0
+
+
+def dyadic(start: Column, end: Column) -> Column:
+    """The days from start to end (inclusive, null: no end) as an array of disjoint ranges (level, place): the days from place * 2 ** level on, so many. At most two a level."""
+    low, high = _day(start).cast("long"), F.coalesce(_day(end).cast("long") + 1, F.lit(1 << DEPTH))
+    pieces = []
+    for level in range(DEPTH + 1):
+        a, b = F.floor((low + ((1 << level) - 1)) / (1 << level)), F.floor(high / (1 << level))
+        some = a < b
+        piece = lambda place, level=level: F.struct(F.lit(level).alias("level"), place.cast("long").alias("place"))
+        pieces += [F.when(some & (a % 2 == 1), piece(a)), F.when(some & (b % 2 == 1), piece(b - 1))]
+    return F.array_compact(F.array(*pieces))
+
+
+def _ranges_of(at: Column) -> Column:
+    """The ranges of all levels that hold a day."""
+    day = _day(at).cast("long")
+    return F.array(*(F.struct(F.lit(level).alias("level"), F.floor(day / (1 << level)).cast("long").alias("place")) for level in range(DEPTH + 1)))
+
+
 def during(events: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
-    """Each event with the spans of its key that cover it; an open end covers all that follows. An equality join with the range as its rest."""
+    """Each event with the spans of its key that cover it; an open end covers all that follows.
+
+    Spans are cut into dyadic ranges of days, of which a day lies in one at most, so cover is an equality of key, level and place: a hot key's
+    rows are spread over its ranges, and no pair is looked at that the days rule out. Times within a day are compared last.
+    """
     s = spans.withColumnsRenamed({c: f"span_{c}" for c in spans.columns})
-    return events.join(s, (F.col(key) == F.col(f"span_{key}")) & (F.col(f"span_{start}") <= F.col(at)) & (F.col(f"span_{end}").isNull() | (F.col(f"span_{end}") >= F.col(at))))
+    cut = s.where(F.col(f"span_{start}").isNotNull()).withColumn("_range", F.explode(dyadic(F.col(f"span_{start}"), F.col(f"span_{end}"))))
+    placed = events.withColumn("_at", F.explode(_ranges_of(F.col(at))))
+    exact = (F.col(f"span_{start}") <= F.col(at)) & (F.col(f"span_{end}").isNull() | (F.col(f"span_{end}") >= F.col(at)))
+    on = (F.col(key) == F.col(f"span_{key}")) & (F.col("_at.level") == F.col("_range.level")) & (F.col("_at.place") == F.col("_range.place"))
+    return placed.join(cut, on & exact).drop("_at", "_range")
+
+
+def covers(events: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, name: str = "spans") -> DataFrame:
+    """J22 without pairs: events with the number of spans of their key that cover their day. Spans are counted per range first, so a key with very many is as many rows as it has ranges."""
+    cut = spans.where(F.col(start).isNotNull()).select(F.col(key).alias("_k"), F.explode(dyadic(F.col(start), F.col(end))).alias("_range"))
+    counted = cut.groupBy("_k", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    days = events.select(F.col(key).alias("_key"), F.col(at).cast("date").alias("_day")).where("_key IS NOT NULL AND _day IS NOT NULL").distinct()
+    placed = days.withColumn("_at", F.explode(_ranges_of(F.col("_day"))))
+    found = placed.join(counted, (F.col("_key") == F.col("_k")) & (F.col("_at") == F.col("_range"))).groupBy("_key", "_day").agg(F.sum("_n").alias("_spans"))
+    return events.join(found, (F.col(key) == F.col("_key")) & (F.col(at).cast("date") == F.col("_day")), "left").select(*events.columns, F.coalesce("_spans", F.lit(0)).alias(name))
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, values: list[str], width: int = 1) -> DataFrame:

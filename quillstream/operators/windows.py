@@ -38,10 +38,21 @@ def collision_free(df: DataFrame, slug: Column, longer: Column, longest: Column)
     return replaced(once, "_t", longest, "slug").drop("_s", "_t")
 
 
+def placed_in_groups(df: DataFrame, keys: list[str], order: str = "id") -> DataFrame:
+    """Each row with its position (from 1) in its group, by a number that rows are ordered by. No group's rows meet in one task or cell."""
+    group = df.withColumn("_group", F.struct(*keys))
+    return with_total_before(group, "_group", [order], F.lit(1), "_before").select(*df.columns, (F.col("_before") + 1).alias("position"))
+
+
 def page_of_groups(df: DataFrame, keys: list[str], order: list[Column], page: int, size: int = 7) -> DataFrame:
-    """A page of groups, each with its ids in order. Groups are made first, then the page is a top-k."""
-    groups = df.groupBy(*keys).agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    return groups.orderBy(*order).offset((page - 1) * size).limit(size)
+    """The rows of a page of groups, each with its position in its group. The page's keys are a top-k of the groups; only their rows go on."""
+    groups = df.select(*keys).distinct().orderBy(*order).offset((page - 1) * size).limit(size)
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_page_{k}"))
+    # `size` rows: a proven bound for the broadcast.
+    mine = df.join(F.broadcast(groups.select(*(F.col(k).alias(f"_page_{k}") for k in keys))), on, "left_semi")
+    return placed_in_groups(mine, keys)
 
 
 def one_per_week(df: DataFrame, at: str, key: str) -> DataFrame:

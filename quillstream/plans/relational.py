@@ -141,6 +141,14 @@ def _(t: Tables) -> DataFrame:
     return J.during(t.engagement.select("id", "organisation_id", "engagement_date"), spans, "organisation_id", "engagement_date", "a", "b").select("id", "span_id")
 
 
+@query("j22_covering_spans", "WITH p AS (SELECT organisation_id, CAST(date_trunc('month', engagement_date) AS DATE) AS a, CASE WHEN id % 3 > 0 THEN CAST(date_trunc('month', engagement_date) + INTERVAL 60 DAY AS DATE) END AS b FROM engagement) SELECT e.id, (SELECT count(*) FROM p WHERE p.organisation_id = e.organisation_id AND p.a <= e.engagement_date AND (p.b IS NULL OR p.b >= e.engagement_date)) AS spans FROM engagement e")
+def _(t: Tables) -> DataFrame:
+    """How many spans cover each engagement, without pairs."""
+    start = F.date_trunc("month", "engagement_date").cast("date")
+    spans = t.engagement.select("organisation_id", start.alias("a"), F.when(F.col("id") % 3 > 0, F.date_add(start, 60)).alias("b"))
+    return J.covers(t.engagement.select("id", "organisation_id", "engagement_date"), spans, "organisation_id", "engagement_date", "a", "b").select("id", "spans")
+
+
 @query("x01_as_of_join", "WITH v AS (SELECT user_id, max(value) AS value, ts FROM events WHERE event_type = 'view' GROUP BY user_id, ts), p AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'purchase') SELECT p.event_id, v.value, v.ts AS seen_at FROM p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.ts")
 def _(t: Tables) -> DataFrame:
     """An extension of J22: the last view before each purchase."""
@@ -333,9 +341,10 @@ def _(t: Tables) -> DataFrame:
     return t.question.groupBy("tabled_date", F.coalesce(F.substring_index("heading", " - ", 1), F.lit("Uncategorized")).alias("theme")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("a24_session_groups", "SELECT date, house, department, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM session GROUP BY ALL")
+@query("a24_session_groups", "SELECT date, house, department, id, row_number() OVER (PARTITION BY date, house, department ORDER BY id) AS position FROM session")
 def _(t: Tables) -> DataFrame:
-    return t.session.groupBy("date", "house", "department").agg(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("ids"))
+    """The sessions of each group, a row each."""
+    return W.placed_in_groups(t.session.select("date", "house", "department", "id"), ["date", "house", "department"])
 
 
 @query("a25_frequent_speakers", "SELECT member_id, count(*) AS n, max({'relevance': relevance, 'id': id}).id AS best FROM contribution WHERE member_id IS NOT NULL AND word_count < 200 GROUP BY 1 HAVING count(*) >= 2")
@@ -429,11 +438,10 @@ def _(t: Tables) -> DataFrame:
     return t.contribution.groupBy(key.alias("key")).agg(F.min("id").alias("id")).select("id")
 
 
-@query("w09_o05_group_page", "SELECT date, house, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM session GROUP BY date, house ORDER BY date DESC, house LIMIT 7 OFFSET 7")
+@query("w09_o05_group_page", "WITH p AS (SELECT DISTINCT date, house FROM session ORDER BY date DESC, house LIMIT 7 OFFSET 7) SELECT date, house, id, row_number() OVER (PARTITION BY date, house ORDER BY id) AS position FROM session JOIN p USING (date, house)")
 def _(t: Tables) -> DataFrame:
     """The second page of seven groups."""
-    page = W.page_of_groups(t.session.select("id", "date", "house"), ["date", "house"], [F.desc("date"), F.col("house")], 2)
-    return page.select("date", "house", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+    return W.page_of_groups(t.session.select("date", "house", "id"), ["date", "house"], [F.desc("date"), F.col("house")], 2)
 
 
 @query("w11_br_weekly_backups", "SELECT CAST(date_trunc('week', tabled_date) AS DATE) AS week, min(uin) AS uin FROM question WHERE isodow(tabled_date) = 1 GROUP BY 1")

@@ -158,3 +158,23 @@ def test_csv_report_of_many_rows_is_in_several_ordered_files(spark, tmp_path):
     parts = sorted((tmp_path / "csv").glob("part-*"))
     lines = [x for p in parts for x in p.read_text(encoding="utf-8").splitlines()]
     assert len(parts) > 1 and lines[:3] == ['\ufeff"Report","x"', "", '"n"'] and lines[3:] == [f'"{n}"' for n in range(1, 20001)]
+
+
+def test_spans_that_cover_a_day(spark):
+    """Ranges against every pair, days long ago and far ahead, times within a day, and a key with very many spans."""
+    rng = np.random.default_rng(7)
+    day = lambda n: datetime.date(1970, 1, 1) + datetime.timedelta(days=int(n))
+    spans = [(i, int(rng.integers(3)), day(a := rng.integers(-400, 400)), day(a + rng.integers(-3, 200)) if rng.random() < 0.8 else None) for i in range(150)]
+    spans += [(900, 1, datetime.date(1, 1, 1), datetime.date(9999, 12, 31)), (901, None, day(0), None), (902, 1, None, day(5)), (903, 1, day(10), day(9))]
+    events = [(i, int(rng.integers(3)), day(rng.integers(-500, 700))) for i in range(200)] + [(900, 1, datetime.date(1, 1, 1)), (901, 1, datetime.date(9999, 12, 31)), (902, None, day(1)), (903, 2, None)]
+    s, e = spark.createDataFrame(spans, "id long, k int, a date, b date"), spark.createDataFrame(events, "id long, k int, at date")
+    wanted = sorted((i, j) for i, k, at in events for j, own, a, b in spans if None not in (k, own, at, a) and k == own and a <= at and (b is None or at <= b))
+    assert sorted(tuple(r) for r in joins.during(e, s, "k", "at", "a", "b").select("id", "span_id").collect()) == wanted
+    counts = {i: sum(x == i for x, _ in wanted) for i, _, _ in events}
+    assert {r["id"]: r["spans"] for r in joins.covers(e, s, "k", "at", "a", "b").collect()} == counts
+    at = lambda h: datetime.datetime(2024, 1, 1, h)
+    hours, of = spark.createDataFrame([(1, 1, at(5)), (2, 1, at(9))], "id long, k int, at timestamp_ntz"), spark.createDataFrame([(7, 1, at(6), at(10))], "id long, k int, a timestamp_ntz, b timestamp_ntz")
+    assert [(r["id"], r["span_id"]) for r in joins.during(hours, of, "k", "at", "a", "b").collect()] == [(2, 7)]
+    hot = spark.range(100_000).select("id", F.lit(1).alias("k"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 1000).cast("int")).alias("a"))
+    found = joins.covers(hot, hot.withColumn("b", F.lit(None).cast("date")), "k", "a", "a", "b").groupBy("a").agg(F.min("spans").alias("n"), F.max("spans").alias("m"))
+    assert all(r["n"] == r["m"] == 100 * ((r["a"] - datetime.date(2020, 1, 1)).days + 1) for r in found.collect())
