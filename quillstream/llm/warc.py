@@ -12,9 +12,12 @@ The last member of a large file is empty and holds in its extra field "ix" where
 
 ``spark.read.format("warc")`` reads .warc.gz files of any writer and plain .warc. It plans a partition per file, and several
 for files of over ``split`` bytes (an option) that have such an index. It takes filters on the record header's columns
-(record_type, record_id, target_uri, date, payload_digest, refers_to), reads a record's header first, and seeks past the blocks
+(record_type, record_id, target_uri, date, payload_digest, refers_to, content_type), reads a record's header first, and seeks past the blocks
 of records that the filters reject or whose payload nobody asked for (option ``payload``: bytes, digest or skip).
 
+The payload of a record is its block without the HTTP header, if its type is application/http, and the whole block of any other
+(resource, conversion, metadata, warcinfo). A record that its file ends in has the column `truncated` true and what there is of it.
+
 Defined cases: null html counts as empty; a null page id is written as "null", never refers or is referred to by number, and
 revisits as any other page; rows that repeat the largest id are all responses; other columns are ignored; an empty table
 gives no files and no rows.
@@ -41,11 +44,11 @@ RECORD = "urn:page:"
 DATE = "2024-01-01T00:00:00Z"
 #: Parts into which the join deals the pages of one payload.
 SALTS = 32
-SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, refers_to string, payload_bytes long, payload binary"
-HEADER = ("record_type", "record_id", "target_uri", "date", "payload_digest", "refers_to")
+SCHEMA = "record_type string, record_id string, target_uri string, date string, payload_digest string, refers_to string, payload_bytes long, payload binary, content_type string, truncated boolean"
+HEADER = ("record_type", "record_id", "target_uri", "date", "payload_digest", "refers_to", "content_type")
 #: Fixed values of WARC 1.1: the profile of a revisit with an equal payload, and header fields by column.
 SAME_PAYLOAD = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-FIELDS = {"warc-type": "record_type", "warc-record-id": "record_id", "warc-target-uri": "target_uri", "warc-date": "date", "warc-payload-digest": "payload_digest", "warc-refers-to": "refers_to"}
+FIELDS = {"warc-type": "record_type", "warc-record-id": "record_id", "warc-target-uri": "target_uri", "warc-date": "date", "warc-payload-digest": "payload_digest", "warc-refers-to": "refers_to", "content-type": "content_type"}
 
 
 def with_references(pages: DataFrame, least: int = 1000) -> DataFrame:
@@ -192,20 +195,22 @@ class WarcReader(DataSourceReader):
             return
         files, folder = files_of(partition.uri)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
-        kinds = pa.schema([(n, pa.int64() if n == "payload_bytes" else pa.binary() if n == "payload" else pa.string()) for n in names])
+        kinds = pa.schema([(n, {"payload_bytes": pa.int64(), "payload": pa.binary(), "truncated": pa.bool_()}.get(n, pa.string())) for n in names])
         rows, held = [], 0
         with files.open_input_file(f"{folder}/{partition.name}") as raw:
             for head, size, block in records(raw, partition.begin, partition.end):
                 if not self.accepts(head):
                     block.skip()
                     continue
+                # A block holds an HTTP header only where its type says so; the payload of other records is the block.
+                http = http_header(block) if (head["content_type"] or "").lower().startswith("application/http") else None
                 if self.payload == "skip" or head["record_type"] == "revisit":
-                    http = http_header(block)
-                    row = head | {"payload_bytes": int(http.get("content-length", size)), "payload": None}
+                    row = head | {"payload_bytes": int(http["content-length"]) if http and http.get("content-length", "").isdigit() else block.left(), "payload": None}
+                    block.skip()
+                    row["truncated"] = block.cut()
                 else:
-                    http_header(block)
                     data = block.rest()
-                    row = head | {"payload_bytes": len(data), "payload": data if self.payload == "bytes" else None}
+                    row = head | {"payload_bytes": len(data), "payload": data if self.payload == "bytes" else None, "truncated": block.cut()}
                     if self.payload == "digest":
                         row["payload_digest"] = hashlib.sha1(data).hexdigest()
                 rows.append(row)
@@ -226,8 +231,16 @@ class Block:
     def line(self) -> bytes:
         return self.source.line() if self.source.tell() < self.end else b""
 
+    def left(self) -> int:
+        """Bytes that should follow."""
+        return self.end - self.source.tell()
+
     def rest(self) -> bytes:
-        return self.source.take(self.end - self.source.tell())
+        return self.source.take(self.left())
+
+    def cut(self) -> bool:
+        """After rest() or skip(): whether the file ended first."""
+        return self.source.tell() < self.end or self.source.limit is not None and self.source.limit < self.end
 
     def skip(self) -> None:
         self.source.seek(self.end)
@@ -238,8 +251,8 @@ class Lines:
 
     PART = 1 << 18
 
-    def __init__(self, more: Callable[[int], bytes], jump: Callable[[int], None] | None = None, size: int | None = None):
-        self.more, self.jump, self.size, self.data, self.base, self.at = more, jump, size, b"", 0, 0
+    def __init__(self, more: Callable[[int], bytes], jump: Callable[[int], None] | None = None, size: int | None = None, limit: int | None = None):
+        self.more, self.jump, self.size, self.limit, self.data, self.base, self.at = more, jump, size, limit, b"", 0, 0
 
     def tell(self) -> int:
         return self.base + self.at
@@ -281,7 +294,7 @@ class Lines:
 
 
 def plain(file: pa.NativeFile) -> Lines:
-    return Lines(lambda n: file.read(max(n, Lines.PART)), file.seek)
+    return Lines(lambda n: file.read(max(n, Lines.PART)), file.seek, limit=file.size())
 
 
 def inflated(file: pa.NativeFile, end: int | None = None, size: int | None = None) -> Lines:

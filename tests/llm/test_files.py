@@ -243,6 +243,37 @@ def test_warc_round_trip_and_filters(spark, tmp_path):
     assert warc.read(spark, empty).count() == 0
 
 
+def test_warc_records_of_every_kind_and_cut_files(spark, tmp_path):
+    """Blocks that are no HTTP are payloads as they are, empty lines and all; a record that its file ends in is marked."""
+
+    def other(kind, type_, block):
+        head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{kind}>\r\n" + (f"Content-Type: {type_}\r\n" if type_ else "") + f"Content-Length: {len(block)}\r\n\r\n"
+        return head.encode() + block + b"\r\n\r\n"
+
+    blocks = {"warcinfo": ("application/warc-fields", b"software: x\r\nformat: WARC\r\n\r\n"), "conversion": ("text/plain", b'{"a":1}\n\nsecond part'), "resource": (None, b"\n\nlines\n\n"), "metadata": ("application/warc-fields", b""), "response": ("application/http; msgtype=response", b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nbody\r\n\r\nmore")}
+    payloads = {k: b"body\r\n\r\nmore" if k == "response" else block for k, (_, block) in blocks.items()}
+    whole = b"".join(other(k, *x) for k, x in blocks.items())
+    folder = tmp_path / "kinds"
+    folder.mkdir()
+    for name, data in (("a.warc", whole), ("b.warc.gz", gzip.compress(whole)), ("c.warc.gz", b"".join(warc.member(other(k, *x)) for k, x in blocks.items()))):
+        (folder / name).write_bytes(data)
+        for kind in ("bytes", "digest", "skip"):
+            got = {r["record_type"]: r for r in warc.read(spark, f"file://{folder}", kind).collect()}
+            assert set(got) == set(blocks) and not any(r["truncated"] for r in got.values())
+            for k, r in got.items():
+                assert r["payload_bytes"] == len(payloads[k]) and r["content_type"] == blocks[k][0]
+                assert kind != "bytes" or r["payload"] == payloads[k]
+                assert kind != "digest" or r["payload_digest"] == hashlib.sha1(payloads[k]).hexdigest()
+        assert warc.read(spark, f"file://{folder}").where("content_type = 'text/plain'").count() == 1
+        (folder / name).unlink()
+    long = other("conversion", "text/plain", b"x" * 2_000_000)
+    for name, data in (("a.warc", whole + long[:-900_000]), ("b.warc.gz", gzip.compress(whole + long)[:-700]), ("c.warc.gz", gzip.compress(whole + long[:-900_000]))):
+        (folder / name).write_bytes(data)
+        got = warc.read(spark, f"file://{folder}").orderBy("payload_bytes").collect()
+        assert len(got) == 6 and [r["truncated"] for r in got] == [False] * 5 + [True] and 100_000 < got[-1]["payload_bytes"] < 2_000_000
+        (folder / name).unlink()
+
+
 def test_warc_files_are_read_in_parts(spark):
     """Ranges of a file hold each record once; other readers see nothing of the index."""
     path = shared_path(spark, "test")
