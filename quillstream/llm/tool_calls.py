@@ -2,8 +2,8 @@
 depends on, validated against the tools' schemas, and written as canonical JSON. DataFrame functions alone.
 
 Calls and results are each reduced to one row per (conversation, identifier) before the hash join, so repeated identifiers meet
-pre-aggregated. JSON becomes canonical by way of the variant type, which keeps object keys in order and numbers and escapes
-in one form. A call's level is the length of its longest chain of dependencies. Levels come from rounds in which calls without
+pre-aggregated. JSON becomes canonical by way of the variant type, which keeps object keys in order and escapes in one form; numbers
+of equal value get one form (`canonical`). A call's level is the length of its longest chain of dependencies. Levels come from rounds in which calls without
 open dependencies settle and chains are halved (a dependency on a call that itself waits for one other becomes one on that
 other), so a chain of n calls takes about log2(n) rounds; where calls wait for several others each, a round settles a level.
 
@@ -18,6 +18,7 @@ table gives no rows.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from ._common import staged, table
 
 #: JSON Schema types as the variant's types (Spark names them in capitals).
-TYPES = {"string": "STRING", "integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*|FLOAT", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
+TYPES = {"string": "STRING", "integer": "BIGINT|DOUBLE|DECIMAL.*|FLOAT", "number": "BIGINT|DOUBLE|DECIMAL.*|FLOAT", "boolean": "BOOLEAN", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
 
 
 def _problem(bad: Column, name: Column, text: str) -> Column:
@@ -37,6 +38,37 @@ def _names(values: list[str]) -> Column:
     return F.array(*map(F.lit, values)) if values else _none()
 
 
+def _whole(value: Column, kind: Column) -> Column:
+    """Whether a number is an integer, however it is written: 3, 3.0 and 3e0 are, and so are integers of any length."""
+    return F.when(kind.rlike("^(DOUBLE|FLOAT)"), F.try_variant_get(value, "$", "double") % 1 == 0).otherwise(~F.contains(F.to_json(value), F.lit(".")))
+
+
+#: A string in JSON (loops that never go back, so of any length), and a number as to_json writes it.
+STRING, NUMBER = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', r"-?[0-9]+(?:\.[0-9]+)?(?:E-?[0-9]+)?"
+
+
+def _one_form(number: Column) -> Column:
+    """A number without an exponent and without zeros after its digits, if 38 digits can hold it exactly."""
+    d = number.try_cast("double")
+    exact = F.when(F.abs(d) < 1e8, number.try_cast("decimal(38,30)").cast("string")).when(F.abs(d) < 1e28, number.try_cast("decimal(38,10)").cast("string")).otherwise(number.try_cast("decimal(38,0)").cast("string"))
+    plain = F.when(F.contains(exact, F.lit(".")), F.regexp_replace(exact, r"\.?0+$", "")).otherwise(exact)
+    return F.when(~F.contains(number, F.lit("E")) & ~number.endswith(".0"), number).when(plain.try_cast("double") == d, plain).otherwise(number)
+
+
+def _woven(between: Column, found: Column, each: Callable[[Column], Column]) -> Column:
+    """The pieces between what was found, and each of what was found, in turn."""
+    return F.array_join(F.zip_with(between, found, lambda a, b: F.concat(a, F.coalesce(each(b), F.lit("")))), "")
+
+
+def canonical(value: Column) -> Column:
+    """A variant as JSON: keys in order, no spaces, and one form for equal numbers (1.0, 1e0 and 1 are 1). Only doubles need more than to_json; what it writes for them is mended outside of strings."""
+    text = F.to_json(value)
+    numbers = lambda piece: _woven(F.split(piece, NUMBER, -1), F.regexp_extract_all(piece, F.lit(NUMBER), F.lit(0)), _one_form)
+    pieces = F.transform(F.split(text, STRING, -1), numbers)
+    mended = _woven(pieces, F.regexp_extract_all(text, F.lit(STRING), F.lit(0)), lambda s: s)
+    return F.when(text.rlike(r"[0-9]E-?[0-9]|[0-9]\.0(?![0-9])"), mended).otherwise(text)
+
+
 def _none() -> Column:
     return F.array().cast("array<string>")
 
@@ -49,7 +81,10 @@ def schema_errors(value: Column, schema: dict, name: Column | None = None) -> Co
     deeper = []
     if "type" in schema:
         types = [schema["type"]] if isinstance(schema["type"], str) else list(schema["type"])
-        out.append(_problem(value.isNotNull() & ~kind.rlike(f"^({'|'.join(TYPES[x] for x in types)})"), name, f"not {' or '.join(types)}"))
+        fits = kind.rlike(f"^({'|'.join(TYPES[x] for x in types)})")
+        if "integer" in types and "number" not in types:
+            fits &= ~kind.rlike(f"^({TYPES['integer']})") | _whole(value, kind)
+        out.append(_problem(value.isNotNull() & ~fits, name, f"not {' or '.join(types)}"))
     if "enum" in schema:
         out.append(_problem(~F.to_json(value).isin(*(F.to_json(F.parse_json(F.lit(json.dumps(x)))) for x in schema["enum"])), name, "enum"))
     number = F.when(kind.rlike(f"^({TYPES['number']})"), F.try_variant_get(value, "$", "double"))
@@ -147,10 +182,12 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
         .withColumnRenamed("_level", "level")
     )
     status = F.when(F.col("_call").isNull(), "orphan").when(F.size("errors") > 0, "invalid").when(F.col("n_results").isNull(), "unanswered").otherwise("linked")
-    canonical = F.to_json(F.struct(
-        F.when(is_object, parsed).alias("arguments"), F.coalesce("call_id", "r_call").alias("call_id"), F.coalesce("conv_id", "r_conv").alias("conv_id"), "depends_on", "errors", "level", "name", "result", "status",
+    rest = F.to_json(F.struct(
+        F.coalesce("call_id", "r_call").alias("call_id"), F.coalesce("conv_id", "r_conv").alias("conv_id"), "depends_on", "errors", "level", "name", "result", "status",
     ), {"ignoreNullFields": "false"})
-    return whole.withColumn("status", status).withColumn("json", canonical).select(
+    # "arguments" is the first key.
+    written = F.concat(F.lit('{"arguments":'), F.coalesce(F.when(is_object, canonical(parsed)), F.lit("null")), F.lit(","), F.substr(rest, F.lit(2)))
+    return whole.withColumn("status", status).withColumn("json", written).select(
         F.coalesce("conv_id", "r_conv").alias("conv_id"), F.coalesce("call_id", "r_call").alias("call_id"), F.coalesce("turn", "r_turn").alias("turn"), "index", "level", "name", "status", "errors",
         F.coalesce("n_calls", F.lit(0)).alias("n_calls"), F.coalesce("n_results", F.lit(0)).alias("n_results"), "json",
     )
@@ -189,7 +226,7 @@ def from_turns(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 def op1_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = from_turns(table(spark, sf_dir, "conversations"))
     found = link(calls, results, {"reply": REPLY})
-    return found.select("conv_id", "call_id", "turn", "level", "name", "status", F.array_join("errors", "; ").alias("errors"), "n_calls", "n_results", F.md5("json").alias("json_md5"))
+    return found.select("conv_id", "call_id", "turn", "level", "name", "status", F.array_join("errors", "; ").alias("errors"), "n_calls", "n_results", "json")
 
 
 #: op1's rows by SQL.
@@ -214,9 +251,9 @@ WITH RECURSIVE
      t AS (SELECT *, CASE WHEN s IS NULL THEN 'orphan' WHEN len(errors) > 0 THEN 'invalid' WHEN n_results = 0 THEN 'unanswered' ELSE 'linked' END AS status FROM e)
 SELECT conv_id, call_id, coalesce(s.turn, r.turn) AS turn, CAST(level AS INTEGER) AS level,
        CASE WHEN s IS NOT NULL THEN 'reply' END AS name, status, array_to_string(errors, '; ') AS errors, n_calls, n_results,
-       md5('{"arguments":' || CASE WHEN s IS NULL THEN 'null' ELSE '{"text":' || to_json(s.text) || ',"turn":' || s.turn || ',"words":' || s.words || '}' END
+       '{"arguments":' || CASE WHEN s IS NULL THEN 'null' ELSE '{"text":' || to_json(s.text) || ',"turn":' || s.turn || ',"words":' || s.words || '}' END
            || ',"call_id":"' || call_id || '","conv_id":' || conv_id || ',"depends_on":' || CASE WHEN s IS NULL THEN 'null' WHEN s.needs IS NULL THEN '[]' ELSE '["' || s.needs || '"]' END
            || ',"errors":' || to_json(errors) || ',"level":' || coalesce(CAST(level AS VARCHAR), 'null') || ',"name":' || CASE WHEN s IS NULL THEN 'null' ELSE '"reply"' END
-           || ',"result":' || coalesce(CAST(to_json(r.content) AS VARCHAR), 'null') || ',"status":"' || status || '"}') AS json_md5
+           || ',"result":' || coalesce(CAST(to_json(r.content) AS VARCHAR), 'null') || ',"status":"' || status || '"}' AS json
 FROM t
 """

@@ -40,6 +40,23 @@ def test_schema(spark):
         assert got[1, str(i)]["errors"] == errors, text
 
 
+def test_integers_and_numbers_in_one_form(spark):
+    """However an integer is written it is one; equal numbers are written alike, and strings stay as they are."""
+    big, text = "12345678901234567890123", r'1e5, 2.0,[3.0E7] \" :4e2,' + r"\n" * 20_000
+    ok = {"3": "3", "3.0": "3", "3e0": "3", "0.5e1": "5", "5": "5"}
+    got = linked(spark, [(1, i, 0, k, "find", f'{{"q":"x","n":{k}}}', []) for i, k in enumerate(ok)] + [(2, i, 0, k, "find", f'{{"q":"x","n":{k}}}', []) for i, k in enumerate(["3.5", "35e-1", "45e-1", '"3"'])])
+    for k, want in ok.items():
+        assert got[1, k]["errors"] == [] and got[1, k]["json"].startswith(f'{{"arguments":{{"n":{want},"q":"x"}},'), k
+    assert all(got[2, k]["errors"] == ["n: not integer"] for k in ("3.5", "35e-1", "45e-1", '"3"'))
+    many = {"1e2": "100", "1.50": "1.5", "-1.5E3": "-1500", "1e30": "1" + "0" * 30, "1" + "0" * 30: "1" + "0" * 30, "1.25e-3": "0.00125", "0.00125": "0.00125", "1e300": "1.0E300", big: big, "-0.0": "0", "0e0": "0", "1e21": "1" + "0" * 21}
+    frame = spark.createDataFrame([(k, f'{{"a":[{k},{{"b":{k}}}],"s":"{text}"}}') for k in many], "k string, j string")
+    from pyspark.sql import functions as F
+
+    for r in frame.select("k", T.canonical(F.parse_json("j")).alias("c"), F.size(T.schema_errors(F.parse_json("k"), {"type": "integer"})).alias("e")).collect():
+        assert r["c"] == f'{{"a":[{many[r["k"]]},{{"b":{many[r["k"]]}}}],"s":"{text}"}}', r["k"]
+        assert (r["e"] == 0) == ("." not in many[r["k"]] or "E" in many[r["k"]])
+
+
 def test_order_follows_dependencies_and_finds_cycles(spark):
     args = '{"q":"x"}'
     calls = [(1, t, 0, f"c{t}", "find", args, [f"c{t + 1}"] if t < 6 else []) for t in range(7)]  # each needs a later one
