@@ -1,24 +1,23 @@
 """Language-model scoring by a subword lattice.
 
-The arcs of a word's lattice are the pieces of a published subword vocabulary; the file's scores are the arcs' first weights. A
+The arcs of a word's lattice are the pieces of a published subword vocabulary, weighted by the scores that its file gives them. A
 word's probability is the sum over all its segmentations, by a forward recursion in log space; a text's is the product over its
 words and the end token. No word has an arc of its own: seen or not, it is worth what its segmentations are.
 
 A piece has one score as a whole word, as a word's first piece, in its middle and at its end; scores of the first two kinds sum
-to one, and those of the last two, so that the probabilities of all words do. Training documents move the scores from the
-file's: rounds of expected counts over all segmentations of all training words (each as often as it occurs), to which the
-scores before are added with the weight of PRIOR pieces. This gives a class of scores for all training documents, and one for
-each of their CLASSES most frequent languages; a text's probability is the marginal over segmentations and classes, and the
-language of the text that is scored is not used.
+to one, and those of the last two, so that the probabilities of all words do. The order of pieces by their scores stays the file's: training
+documents set a few hundred numbers (`features`: the power to which the file's probabilities are raised, and factors for an arc's kind, a
+piece's length, and its first and last byte), by rounds of expected counts over all segmentations of all training words, each as often as it occurs.
 
 Jobs: texts are dealt into blocks of about BLOCK_BYTES; each block yields its distinct words with their training counts and
 places (numbers within the block); counts are summed by word; each distinct word's lattice is run once; an equality join by
 word takes the results back to the places, of which a word has one a block, so that Spark can split it; each text's sums are
-taken there. What is shuffled grows with the corpus; what reaches the driver is a row per language class, piece and kind.
+taken there. What is shuffled grows with the corpus; what reaches the driver is a row per piece and kind.
+A word of over LONG bytes is run in pieces of CHUNK bytes with a window of the sums before, so memory doesn't grow with its length.
 
 Defined cases: null text counts as empty, with the end token alone; repeated rows and null ids stay (all null ids share one
-fold); other columns but lang are ignored; documents of further languages teach the class of all documents alone; without
-training documents N and V are zero and the file's scores stand; an empty table gives no rows.
+fold); other columns are ignored; without training documents N and V are zero and the file's scores stand; an empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +25,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 from itertools import chain
-from math import log
+from math import exp, inf, log
 from typing import NamedTuple
 
 import numpy as np
@@ -39,13 +38,15 @@ from ._bpe import public_tokenizer
 from ._common import fold, shuffle_partitions, slices, staged, table, utf8
 from ._text import Rows
 
-BLOCK_BYTES, CLASSES = 12_000_000, 7
-#: Rounds over all training words before the one that is split by class; pieces that the scores before count for.
-ROUNDS, PRIOR = 2, 100.0
+BLOCK_BYTES = 12_000_000
+#: Rounds of expected counts over all training words; how firmly the numbers that are learned are held to those of the file's own scores.
+ROUNDS, RIDGE = 3, 1.0
 #: Kinds of arcs: a whole word, its first piece, one inside, its last piece.
 WHOLE, FIRST, INNER, LAST = range(4)
 #: Bytes of text that a worker turns into words at once; words of which it runs the lattices at once; longest word for which numpy runs along words.
 PART_BYTES, PART_WORDS, LONG = 2_000_000, 20_000, 40
+#: Bytes of a longer word whose arcs are held at once; lengths of pieces that are told apart.
+CHUNK, LENGTHS = 1 << 14, 12
 _P = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,16 +84,56 @@ def first_scores(pieces: list[bytes], weight: np.ndarray) -> np.ndarray:
     return normal(np.where(begins, weight, 0) * np.array([1, 1, 0, 0])[:, None] + np.where(begins, 0, weight) * np.array([0, 0, 1, 1])[:, None])
 
 
+def features(pieces: list[bytes]) -> np.ndarray:
+    """What a piece's weight may depend on besides the file's: its length in bytes (LENGTHS or more are one), first and last byte, as ones among zeros."""
+    bare = [p.lstrip(b" ") or b" " for p in pieces]
+    columns = []
+    for values in (np.array([min(len(p), LENGTHS) for p in pieces]), np.array([p[0] for p in bare]), np.array([p[-1] for p in bare])):
+        columns.append(values[:, None] == np.unique(values)[None, :])
+    return np.concatenate(columns, axis=1).astype(float)
+
+
+def fitted(pieces: list[bytes], weight: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Scores (4 x pieces) by the numbers that make the expected counts likeliest: a log-linear model of either two kinds of arcs over the file's probabilities, by Newton's method."""
+    begins, own, out = np.array([p[:1] == b" " for p in pieces]), features(pieces), np.full((4, len(pieces)), -np.inf)
+    for kinds, which in (((WHOLE, FIRST), np.flatnonzero(begins)), ((INNER, LAST), np.flatnonzero(~begins))):
+        n, m = np.concatenate([expected[k, which] for k in kinds]), len(which)
+        x = np.column_stack([np.tile(np.log(weight[which]), 2), np.repeat([0.0, 1.0], m), np.tile(own[which], (2, 1))])
+        start = np.zeros(x.shape[1])
+        start[0] = 1.0  # the file's probabilities as they are
+
+        def value(theta: np.ndarray, x=x, n=n, start=start) -> tuple[float, np.ndarray]:
+            z = x @ theta
+            log_p = z - (top := z.max()) - np.log(np.exp(z - top).sum())
+            return float(n @ log_p - RIDGE / 2 * ((theta - start) ** 2).sum()), log_p
+
+        theta, (best, log_p) = start, value(start)
+        for _ in range(50):
+            p = np.exp(log_p)
+            mean = p @ x
+            gradient = x.T @ n - n.sum() * mean - RIDGE * (theta - start)
+            curve = n.sum() * ((x * p[:, None]).T @ x - np.outer(mean, mean)) + RIDGE * np.eye(len(theta))
+            move = np.linalg.solve(curve, gradient)
+            while (found := value(theta + move))[0] < best and np.abs(move).max() > 1e-9:
+                move = move / 2
+            gain, theta = found[0] - best, theta + move
+            best, log_p = found
+            if gain <= 1e-9 * max(1.0, n.sum()):
+                break
+        for k, part in zip(kinds, (log_p[:m], log_p[m:]), strict=True):
+            out[k, which] = part
+    return out
+
+
 def kind(begin: int, end: int, n: int) -> int:
     return (WHOLE if end == n else FIRST) if begin == 0 else (LAST if end == n else INNER)
 
 
 class Lattice:
-    """Forward and backward sums over words; each word is read with a leading space. scores: classes x 4 x pieces, natural logs."""
+    """Forward and backward sums over words; each word is read with a leading space. scores: 4 x pieces, natural logs."""
 
     def __init__(self, pieces: list[bytes], scores: np.ndarray):
-        self.scores = np.concatenate([scores, np.full((*scores.shape[:2], 1), -np.inf)], axis=2)  # the last column for what is no piece
-        self.rows = {p: i for i, p in enumerate(pieces)}
+        self.scores = np.column_stack([scores, np.full(4, -np.inf)])  # the last column for what is no piece
         self.longest = max(map(len, pieces))
         size = 1 << 20
         self.slots = np.full(size, len(pieces), np.int64)
@@ -101,8 +142,9 @@ class Lattice:
             own = [i for i, p in enumerate(pieces) if len(p) == n]
             if own:
                 code = np.zeros(len(own), np.uint64)
-                for column in np.array([list(pieces[i]) for i in own], np.uint64).T:
-                    code = code * _P + column + np.uint64(1)
+                with np.errstate(over="ignore"):
+                    for column in np.array([list(pieces[i]) for i in own], np.uint64).T:
+                        code = code * _P + column + np.uint64(1)
                 self.codes[own] = code
         for i, at in enumerate(self._slot(self.codes[:-1]).tolist()):
             while self.slots[at] != len(pieces):
@@ -148,59 +190,91 @@ class Lattice:
             yield n + 1, np.flatnonzero(size == n)
 
     def forward(self, words: list[bytes]) -> np.ndarray:
-        """Natural log of each word's probability in each class; of the empty word 0."""
-        out = np.zeros((len(words), len(self.scores)))
+        """Natural log of each word's probability; of the empty word 0."""
+        out = np.zeros(len(words))
         for n, own in self._by_length(words):
-            ahead = np.full((n + 1, len(self.scores), len(own)), -np.inf)
+            ahead = np.full((n + 1, len(own)), -np.inf)
             ahead[0] = 0
             for i, j, found in self._arcs([words[k] for k in own]):
-                np.logaddexp(ahead[j], ahead[i] + self.scores[:, kind(i, j, n), :].take(found, axis=1), out=ahead[j])
-            out[own] = ahead[n].T
+                np.logaddexp(ahead[j], ahead[i] + self.scores[kind(i, j, n)][found], out=ahead[j])
+            out[own] = ahead[n]
         for k, word in enumerate(words):
             if len(word) > LONG:
-                out[k] = self._long(b" " + word)[1][-1]
+                for _, _, sums in self._ahead(b" " + word):
+                    out[k] = sums[-1]
         return out
 
-    def expect(self, words: list[bytes], word: np.ndarray, class_: np.ndarray, times: np.ndarray, expected: np.ndarray) -> None:
-        """Adds to expected (classes x 4 x pieces and one more) the pieces' expected counts by the first class's scores, over words that occur so many times in a class."""
-        flat, row = expected.reshape(-1), expected.shape[2]
+    def expect(self, words: list[bytes], times: np.ndarray, expected: np.ndarray) -> None:
+        """Adds to expected (4 x pieces and one more) the pieces' expected counts over words that occur so many times."""
         for n, own in self._by_length(words):
-            arcs = list(self._arcs([words[k] for k in own]))
-            within = np.full(len(words), -1)
-            within[own] = np.arange(len(own))
-            pair = np.flatnonzero(within[word] >= 0)
-            at, first, weight = within[word[pair]], class_[pair] * 4 * row, times[pair]
+            arcs, weight = list(self._arcs([words[k] for k in own])), times[own]
             ahead, behind = np.full((2, n + 1, len(own)), -np.inf)
             ahead[0] = behind[n] = 0
             for i, j, found in arcs:
-                np.logaddexp(ahead[j], ahead[i] + self.scores[0, kind(i, j, n)][found], out=ahead[j])
+                np.logaddexp(ahead[j], ahead[i] + self.scores[kind(i, j, n)][found], out=ahead[j])
             whole = np.where(ahead[n] > -np.inf, ahead[n], np.inf)  # a word without a segmentation counts for nothing
             for i, j, found in sorted(arcs, key=lambda a: -a[0]):
-                reached = behind[j] + self.scores[0, kind(i, j, n)][found]
-                share = np.exp(ahead[i] + reached - whole)
-                np.add.at(flat, first + kind(i, j, n) * row + found[at], share[at] * weight)
+                reached = behind[j] + self.scores[kind(i, j, n)][found]
+                np.add.at(expected[kind(i, j, n)], found, np.exp(ahead[i] + reached - whole) * weight)
                 np.logaddexp(behind[i], reached, out=behind[i])
-        for k in np.flatnonzero(np.fromiter((len(w) > LONG for w in words), bool, len(words))).tolist():
-            arcs, ahead = self._long(b" " + words[k], 1)
-            n = len(arcs)
-            own, behind = np.flatnonzero(word == k), np.full(n + 1, -np.inf)
-            behind[n] = 0
-            for j in range(n, 0, -1):
-                for i, piece in arcs[j - 1]:
-                    reached = behind[j] + self.scores[0, kind(i, j, n), piece]
-                    np.add.at(expected, (class_[own], kind(i, j, n), piece), np.exp(ahead[i, 0] + reached - ahead[n, 0]) * times[own])
-                    behind[i] = np.logaddexp(behind[i], reached)
-
-    def _long(self, word: bytes, classes: int | None = None) -> tuple[list, np.ndarray]:
-        """The arcs that end at each place of one word, and the forward sums (places x classes)."""
-        n, scores = len(word), self.scores[:classes]
-        arcs = [[(i, r) for i in range(max(0, j - self.longest), j) if (r := self.rows.get(word[i:j])) is not None] for j in range(1, n + 1)]
-        ahead = np.full((n + 1, len(scores)), -np.inf)
-        ahead[0] = 0
-        for j, spans in enumerate(arcs, 1):
-            for i, r in spans:
-                ahead[j] = np.logaddexp(ahead[j], ahead[i] + scores[:, kind(i, j, n), r])
-        return arcs, ahead
+        for k, word in enumerate(words):
+            if len(word) > LONG and times[k]:
+                self._expect_long(b" " + word, float(times[k]), expected)
+
+    def _spans(self, letters: np.ndarray, begin: int, end: int) -> list[list[tuple[int, int, int]]]:
+        """Of each place from begin + 1 to end of a word the arcs that end there: (kind, first place, piece)."""
+        n, first = len(letters), max(0, begin - self.longest)
+        code, powers = np.zeros(end - first + 1, np.uint64), np.ones(self.longest + 1, np.uint64)
+        out: list[list[tuple[int, int, int]]] = [[] for _ in range(end - begin)]
+        with np.errstate(over="ignore"):
+            # Hashes of the last so many bytes before each place, a byte more each time.
+            for size in range(1, min(self.longest, end) + 1):
+                code[size:] += (letters[first : end - size + 1].astype(np.uint64) + np.uint64(1)) * powers[size - 1]
+                powers[size] = powers[size - 1] * _P
+                places = np.arange(max(begin + 1, first + size), end + 1)
+                found = self.find(code[places - first])
+                for at in np.flatnonzero(found != len(self.codes) - 1).tolist():
+                    j = int(places[at])
+                    out[j - begin - 1].append((kind(j - size, j, n), j - size, int(found[at])))
+        return out
+
+    def _ahead(self, word: bytes, begins: list[int] | None = None, known: list[float] | None = None) -> Iterator[tuple[int, list, list[float]]]:
+        """The forward sums of one word, chunk after chunk: the chunk's begin, its arcs, and sums from `longest` places before it (or the word's begin) on."""
+        letters, n = np.frombuffer(word, np.uint8), len(word)
+        window = known or [0.0]
+        for begin in begins if begins is not None else range(0, n, CHUNK):
+            arcs, first, sums = self._spans(letters, begin, min(begin + CHUNK, n)), begin - len(window) + 1, list(window)
+            for spans in arcs:
+                terms = [sums[i - first] + self.scores[k, r] for k, i, r in spans]
+                top = max(terms, default=-inf)
+                sums.append(top + log(sum(exp(t - top) for t in terms)) if top > -inf else -inf)
+            yield begin, arcs, sums
+            window = sums[-min(len(sums), self.longest) :]
+
+    def _expect_long(self, word: bytes, times: float, expected: np.ndarray) -> None:
+        """Forward once, keeping what each chunk begins with; then chunk by chunk from the last one, forward again and backward."""
+        held, whole, n = [], -inf, len(word)
+        window = [0.0]
+        for begin, _, sums in self._ahead(word):
+            held.append((begin, window))
+            window, whole = sums[-min(len(sums), self.longest) :], sums[-1]
+        if whole == -inf:
+            return
+        behind = {n: 0.0}  # backward sums of the places that arcs may still begin or end at
+        for begin, window in reversed(held):
+            _, arcs, sums = next(self._ahead(word, [begin], window))
+            first, kinds, rows, shares = begin - len(window) + 1, [], [], []
+            for at in range(len(arcs) - 1, -1, -1):
+                after = behind.pop(begin + at + 1, -inf)
+                for k, i, r in arcs[at]:
+                    reached = after + self.scores[k, r]
+                    kinds.append(k)
+                    rows.append(r)
+                    shares.append(sums[i - first] + reached - whole)
+                    before = behind.get(i, -inf)
+                    top = max(before, reached)
+                    behind[i] = top + log(exp(before - top) + exp(reached - top)) if top > -inf else -inf
+            np.add.at(expected, (np.array(kinds, np.int64), np.array(rows, np.int64)), np.exp(shares) * times)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -216,15 +290,15 @@ def _numbered(texts: list[bytes], rows: Rows) -> tuple[np.ndarray, np.ndarray]:
 
 
 def dealt(docs: DataFrame, blocks: int) -> DataFrame:
-    """docs: doc_id, text, class. Adds the block and packs the text, which is shuffled twice."""
+    """docs: doc_id, text, train. Adds the block and packs the text, which is shuffled twice."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(1).compress
         for batch, texts in slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(press, texts), pa.binary()), batch.column(2), batch.column(3)], names=["doc_id", "text", "class", "block"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(press, texts), pa.binary()), batch.column(2), batch.column(3)], names=["doc_id", "text", "train", "block"])
 
-    rows = docs.select("doc_id", "text", "class", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
-    return rows.mapInArrow(pack, "doc_id long, text binary, class int, block int")
+    rows = docs.select("doc_id", "text", "train", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
+    return rows.mapInArrow(pack, "doc_id long, text binary, train boolean, block int")
 
 
 def _parts(packed: list[bytes]) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -244,106 +318,79 @@ def _ordered(group: pa.Table) -> pa.Table:
     return group.take(sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0, rows[i][1])))
 
 
-def block_words(rows: DataFrame, classes: int) -> DataFrame:
-    """Of each block its distinct words: block, place (the word's number in order of appearance), word, and its training counts by class (class null: not for training)."""
-    names = _counts_of(classes)
+def block_words(rows: DataFrame) -> DataFrame:
+    """Of each block its distinct words: block, place (the word's number in order of appearance), word, and how often it is in the block's training texts."""
 
     def count(group: pa.Table) -> pa.Table:
-        words, found, group = Rows(), np.zeros((classes, 1 << 12), np.int32), _ordered(group)
-        own = group.column("class").fill_null(-1).to_numpy()
+        words, found, group = Rows(), np.zeros(1 << 12, np.int64), _ordered(group)
+        train = group.column("train").to_numpy()
         for a, b, texts in _parts(group.column("text").to_pylist()):
             row, sizes = _numbered(texts, words)
-            while len(words) > found.shape[1]:
-                found = np.concatenate([found, np.zeros_like(found)], axis=1)
-            of = np.repeat(own[a:b], sizes)
-            for k in np.unique(of[of >= 0]).tolist():
-                found[k] += np.bincount(row[of == k], minlength=found.shape[1]).astype(np.int32)
+            while len(words) > len(found):
+                found = np.concatenate([found, np.zeros_like(found)])
+            found += np.bincount(row[np.repeat(train[a:b], sizes)], minlength=len(found))
         n = len(words)
         block = np.full(n, group.column("block")[0].as_py(), np.int32)
-        return pa.Table.from_arrays([pa.array(block), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(words), pa.binary()), *(pa.array(found[k, :n]) for k in range(classes))], names=["block", "place", "word", *names])
-
-    return rows.groupBy("block").applyInArrow(count, "block int, place int, word binary, " + ", ".join(f"{c} int" for c in names))
-
+        return pa.Table.from_arrays([pa.array(block), pa.array(np.arange(n, dtype=np.int32)), pa.array(list(words), pa.binary()), pa.array(found[:n])], names=["block", "place", "word", "n"])
 
-def _counts_of(classes: int) -> list[str]:
-    return [f"c{k}" for k in range(classes)]
+    return rows.groupBy("block").applyInArrow(count, "block int, place int, word binary, n long")
 
 
 class Model(NamedTuple):
-    """Sums over the training documents (tokens, distinct tokens), pieces, and by class scores, probability of the end token and share of the documents (natural logs). Class 0 is that of all documents."""
+    """Sums over the training documents (tokens, distinct tokens), pieces, their scores, and the end token's probability (natural logs)."""
 
     total: int
     distinct: int
     pieces: list[bytes]
     scores: np.ndarray
-    end: np.ndarray
-    prior: np.ndarray
+    end: float
 
     def base(self, count: np.ndarray) -> np.ndarray:
         """log10 of the add-one probability of words of these counts."""
         return np.log10((count + 1) / (self.total + self.distinct + 1))
 
     def words(self, lattice: Lattice, words: list[bytes]) -> np.ndarray:
-        """Natural log of each token's probability in each class; the empty word is the end token."""
-        ends = np.fromiter((not w for w in words), bool, len(words))[:, None]
+        """Natural log of each token's probability; the empty word is the end token."""
+        ends = np.fromiter((not w for w in words), bool, len(words))
         return lattice.forward(words) + np.where(ends, self.end, np.log1p(-np.exp(self.end)))
 
 
-def train(totals: DataFrame, tokenizer: str, classes: int) -> Model:
-    """totals: word, and its counts in training documents by class (the first: languages without a class of their own)."""
+def train(totals: DataFrame, tokenizer: str) -> Model:
+    """totals: word, and its count n in training documents."""
     pieces, weight = vocabulary(tokenizer)
-    names = _counts_of(classes)
-    n = sum((F.col(c) for c in names), F.lit(0))
     ends = F.octet_length("word") == 0
-    sums = totals.agg(F.count_if(n > 0).alias("v"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names), *(F.coalesce(F.sum(F.when(ends, F.col(c))), F.lit(0)).alias(f"e{k}") for k, c in enumerate(names))).first()
-    trained = totals.where(~ends & (n > 0)).select("word", *names)
-    scores = first_scores(pieces, weight)[None]
-    for round_ in range(ROUNDS + 1):
-        split = classes if round_ == ROUNDS else 1
-        shared = totals.sparkSession.sparkContext.broadcast(scores[:1])  # four numbers a piece of the vocabulary
-
-        def expect(batches: Iterator[pa.RecordBatch], split=split, shared=shared) -> Iterator[pa.RecordBatch]:
-            lattice, expected = Lattice(pieces, shared.value), np.zeros((split, 4, len(pieces) + 1))
+    sums = totals.agg(F.count_if(F.col("n") > 0).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(ends, F.col("n"))), F.lit(0)).alias("docs")).first()
+    trained = totals.where(~ends & (F.col("n") > 0)).select("word", "n")
+    scores = first_scores(pieces, weight)
+    for _ in range(ROUNDS if sums["n"] else 0):
+        shared = totals.sparkSession.sparkContext.broadcast(scores)  # four numbers a piece of the vocabulary
+
+        def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            lattice, expected = Lattice(pieces, shared.value), np.zeros((4, len(pieces) + 1))
             for batch in batches:
-                words, times = batch.column("word").to_pylist(), np.stack([batch.column(c).to_numpy() for c in names], axis=1)
-                times = times if split > 1 else times.sum(axis=1, keepdims=True)
+                words, times = batch.column("word").to_pylist(), batch.column("n").to_numpy()
                 for at in range(0, len(words), PART_WORDS):
-                    own = times[at : at + PART_WORDS]
-                    word, class_ = np.nonzero(own)
-                    lattice.expect(words[at : at + PART_WORDS], word, class_, own[word, class_], expected)
-            place = np.nonzero(expected[:, :, :-1])
-            yield pa.RecordBatch.from_arrays([*map(pa.array, place), pa.array(expected[:, :, :-1][place])], names=["class", "kind", "piece", "n"])
-
-        found = trained.mapInArrow(expect, "class long, kind long, piece long, n double").groupBy("class", "kind", "piece").agg(F.sum("n").alias("n")).toArrow()  # a row per class, kind and piece
-        count = np.zeros((split, 4, len(pieces)))
-        count[tuple(found.column(c).to_numpy() for c in ("class", "kind", "piece"))] = found.column("n").to_numpy()
-        before = np.exp(scores[0])
-        count = np.concatenate([count.sum(axis=0, keepdims=True), count[1:]]) if split > 1 else count  # the first is that of all documents
-        scores = normal(count + PRIOR * before)
-    per = np.array([[sums[c] for c in names], [sums[f"e{k}"] for k in range(classes)]], float)
-    docs = per[1].copy()
-    per[:, 0] = per.sum(axis=1)
-    end = np.log((per[1] + 1) / (per[0] + 2))
-    docs[0] += 1
-    with np.errstate(divide="ignore"):
-        return Model(int(per[0, 0]), sums["v"], pieces, scores, end, np.log(docs / docs.sum()))
+                    lattice.expect(words[at : at + PART_WORDS], times[at : at + PART_WORDS], expected)
+            place = np.nonzero(expected[:, :-1])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, place), pa.array(expected[:, :-1][place])], names=["kind", "piece", "n"])
+
+        found = trained.mapInArrow(expect, "kind long, piece long, n double").groupBy("kind", "piece").agg(F.sum("n").alias("n")).toArrow()  # a row per kind and piece
+        count = np.zeros((4, len(pieces)))
+        count[tuple(found.column(c).to_numpy() for c in ("kind", "piece"))] = found.column("n").to_numpy()
+        scores = fitted(pieces, weight, count)
+    return Model(sums["n"], sums["v"], pieces, scores, log((sums["docs"] + 1) / (sums["n"] + 2)))
 
 
 def score(docs: DataFrame, train_column: str, tokenizer: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs: doc_id, text, lang and a boolean column named by `train_column`. Returns doc_id, n_tokens, n_known, train_tokens, base_score, score."""
+    """docs: doc_id, text and a boolean column named by `train_column`. Returns doc_id, n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col(train_column).alias("train"))
-    groups = [r["lang"] for r in rows.where("train").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(CLASSES).collect()]
-    class_ = F.lit(0)
-    for k, lang in enumerate(groups, 1):
-        class_ = F.when(F.col("lang") == lang, F.lit(k)).otherwise(class_)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8("text").alias("text"), F.coalesce(F.col(train_column), F.lit(False)).alias("train"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = shuffle_partitions(spark)  # asked for by number, as few bytes are much work here: Spark would put them into fewer tasks
-    packed = dealt(rows.withColumn("class", F.when(F.col("train"), class_).cast("int")), max(n, -(-size // block_bytes))).repartition(n, "block")
-    names = _counts_of(1 + len(groups))
-    places = staged(block_words(packed, len(names)), "word-places")
-    totals = staged(places.repartition(n, "word").groupBy("word").agg(*(F.sum(c).alias(c) for c in names)), "word-counts")
-    model = train(totals, tokenizer or public_tokenizer("piece_bpe_32k.model"), len(names))
+    packed = dealt(rows, max(n, -(-size // block_bytes))).repartition(n, "block")
+    places = staged(block_words(packed), "word-places")
+    totals = staged(places.repartition(n, "word").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    model = train(totals, tokenizer or public_tokenizer("piece_bpe_32k.model"))
     shared = spark.sparkContext.broadcast(model)  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,25 +399,21 @@ def score(docs: DataFrame, train_column: str, tokenizer: str | None = None, bloc
         for batch in batches:
             for at in range(0, batch.num_rows, PART_WORDS):
                 part = batch.slice(at, PART_WORDS)
-                found = model.words(lattice, part.column("word").to_pylist()).astype("<f4")
-                yield pa.RecordBatch.from_arrays([part.column("word"), pa.array(sum(part.column(c).to_numpy() for c in names)), pa.array([x.tobytes() for x in found], pa.binary())], names=["word", "n", "logs"])
+                yield pa.RecordBatch.from_arrays([part.column("word"), part.column("n"), pa.array(model.words(lattice, part.column("word").to_pylist()))], names=["word", "n", "log"])
 
-    scored = totals.mapInArrow(run, "word binary, n long, logs binary")
-    back = places.select("word", "block", "place").join(scored, "word").select("block", "place", "n", "logs").repartition(n, "block")
+    scored = totals.mapInArrow(run, "word binary, n long, log double")
+    back = places.select("word", "block", "place").join(scored, "word").select("block", "place", "n", "log").repartition(n, "block")
     out = ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
     def sum_up(left: pa.Table, right: pa.Table) -> pa.Table:
         model = shared.value
         left, order = _ordered(left), np.argsort(right.column("place").to_numpy())
-        total = right.column("n").to_numpy()[order]
-        by_class = np.frombuffer(b"".join(right.column("logs").to_pylist()), "<f4").reshape(len(order), -1)[order]
+        total, logs = right.column("n").to_numpy()[order], right.column("log").to_numpy()[order]
         base, words, parts = model.base(total), Rows(), [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),) * 2]
         for _, _, texts in _parts(left.column("text").to_pylist()):
             row, sizes = _numbered(texts, words)  # the same numbers as in block_words
             first = np.cumsum(sizes) - sizes
-            mixed = np.add.reduceat(by_class[row], first, axis=0, dtype=np.float64) + model.prior
-            most = mixed.max(axis=1)
-            parts.append((sizes, np.add.reduceat((total[row] > 0).astype(np.int64), first), np.add.reduceat(base[row], first), (most + np.log(np.exp(mixed - most[:, None]).sum(axis=1))) / log(10)))
+            parts.append((sizes, np.add.reduceat((total[row] > 0).astype(np.int64), first), np.add.reduceat(base[row], first), np.add.reduceat(logs[row], first) / log(10)))
         sizes, seen, base_score, own = (np.concatenate(x) for x in zip(*parts, strict=True))
         return pa.Table.from_arrays([left.column("doc_id"), pa.array(sizes), pa.array(seen), pa.array(np.full(len(sizes), model.total)), pa.array(base_score), pa.array(own)], names=out)
 

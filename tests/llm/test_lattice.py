@@ -1,5 +1,6 @@
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import product
@@ -41,43 +42,71 @@ def expected_by_enumeration(counts, scores):
     return found, expected
 
 
-def random_scores(classes):
+def random_scores():
     begins = np.array([p[:1] == b" " for p in PIECES])
-    x = np.random.default_rng(0).random((classes, 4, len(PIECES)))
+    x = np.random.default_rng(0).random((4, len(PIECES)))
     return L.normal(x * np.where(begins, np.array([1, 1, 0, 0])[:, None], np.array([0, 0, 1, 1])[:, None]))
 
 
-@pytest.mark.parametrize("long", [40, 2])
-def test_forward_sums_all_segmentations(long, monkeypatch):
+@pytest.mark.parametrize("long, chunk", [(40, 1 << 14), (2, 1 << 14), (0, 3), (0, 1)])
+def test_forward_sums_all_segmentations(long, chunk, monkeypatch):
     monkeypatch.setattr(L, "LONG", long)
-    scores = random_scores(2)
-    words = [bytes(w) for n in range(1, 6) for w in product(b"ab", repeat=n)] + [b"c", b""]
+    monkeypatch.setattr(L, "CHUNK", chunk)
+    scores = random_scores()
+    words = [bytes(w) for n in range(1, 8) for w in product(b"ab", repeat=n)] + [b"c", b""]
     lattice = L.Lattice(PIECES, scores)
     found = lattice.forward(words)
-    for k in range(2):
-        wanted, _ = expected_by_enumeration(dict.fromkeys(words[:-1], 1), scores[k])
-        assert np.allclose(found[:-1, k], [wanted[w] for w in words[:-1]])
-    assert np.isneginf(found[-2]).all() and (found[-1] == 0).all()
-    word, class_, times = np.arange(len(words) - 1), np.arange(len(words) - 1) % 2, np.arange(1.0, len(words))  # one of them has no segmentation
-    expected = np.zeros((2, 4, len(PIECES) + 1))
-    lattice.expect(words, word, class_, times, expected)
-    for k in range(2):
-        _, wanted = expected_by_enumeration({words[i]: times[i] for i in word[class_ == k]}, scores[0])
-        assert np.allclose(expected[k, :, :-1], wanted)
+    times = np.arange(1.0, len(words) + 1)
+    wanted, counts = expected_by_enumeration(dict(zip(words[:-1], times, strict=False)), scores)
+    assert np.allclose(found[:-1], [wanted[w] for w in words[:-1]])
+    assert np.isneginf(found[-2]) and found[-1] == 0
+    expected = np.zeros((4, len(PIECES) + 1))
+    lattice.expect(words, times, expected)
+    assert np.allclose(expected[:, :-1], counts)
+
+
+def test_a_very_long_word_in_bounded_memory(monkeypatch):
+    pieces, weight = L.vocabulary(public_tokenizer("piece_bpe_32k.model"))
+    lattice = L.Lattice(pieces, L.first_scores(pieces, weight))
+    word = (b"thequickbrownfoxjumpsoverthelazydog" + bytes(range(128, 256))) * 2500  # 0.4 MB
+    tracemalloc.start()
+    whole, expected = lattice.forward([word])[0], np.zeros((4, len(pieces) + 1))
+    lattice.expect([word[:100_000]], np.array([2.0]), expected)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6 and -np.inf < whole < 0
+    lengths = np.array([len(p) for p in pieces])
+    assert (expected[:, :-1].sum(axis=0) * lengths).sum() == pytest.approx(2 * 100_001)  # every byte, and the space, is in one piece of each segmentation
+    monkeypatch.setattr(L, "CHUNK", 999)
+    assert lattice.forward([word])[0] == pytest.approx(whole, rel=1e-12)
+
+
+def test_learned_numbers_keep_the_order_of_the_files_scores():
+    pieces, weight = L.vocabulary(public_tokenizer("piece_bpe_32k.model"))
+    rng = np.random.default_rng(1)
+    begins = np.array([p[:1] == b" " for p in pieces])
+    count = np.where(begins, np.array([1, 1, 0, 0])[:, None], np.array([0, 0, 1, 1])[:, None]) * rng.poisson(weight * 1e5, (4, len(pieces))) * np.array([3, 1, 2, 1])[:, None]
+    got = L.fitted(pieces, weight, count)
+    assert np.exp(got[:2]).sum() == pytest.approx(1) == np.exp(got[2:]).sum()
+    assert np.exp(got[0]).sum() == pytest.approx(0.75, abs=0.03) and (L.features(pieces).sum(axis=1) == 3).all()
+    alike = [i for i, p in enumerate(pieces) if len(p) == 5 and p[:2] == b" s" and p[-1:] == b"e"]
+    assert len(alike) > 5 and (np.diff(got[0, alike][np.argsort(weight[alike])]) >= 0).all()
+    none = L.fitted(pieces, weight, np.zeros_like(count))
+    assert np.allclose(np.exp(none), np.exp(L.first_scores(pieces, weight)))
 
 
 def test_probabilities_of_words_sum_to_one():
     pieces = [b" ", b" a", b"a", b"b", b"ab"]
-    lattice = L.Lattice(pieces, L.first_scores(pieces, np.array([0.1, 0.5, 0.2, 0.1, 0.1]))[None])
+    lattice = L.Lattice(pieces, L.first_scores(pieces, np.array([0.1, 0.5, 0.2, 0.1, 0.1])))
     mass = [np.exp(lattice.forward([bytes(w) for w in product(b"ab", repeat=n)])).sum() for n in range(1, 13)]
-    assert 0.97 < sum(mass) + np.exp(lattice.scores[0, L.WHOLE, 0]) <= 1 + 1e-9  # the space alone is the word without letters; longer words hold the rest
+    assert 0.97 < sum(mass) + np.exp(lattice.scores[L.WHOLE, 0]) <= 1 + 1e-9  # the space alone is the word without letters; longer words hold the rest
 
 
 def test_vocabulary_covers_all_bytes():
     pieces, weight = L.vocabulary(public_tokenizer("piece_bpe_32k.model"))
     assert weight.min() > 0 and weight.sum() == pytest.approx(1) and len(pieces) == len(set(pieces)) == len(weight)
     assert weight[pieces.index(b" the")] > weight[pieces.index(b" therefore")]
-    lattice = L.Lattice(pieces, L.first_scores(pieces, weight)[None])
+    lattice = L.Lattice(pieces, L.first_scores(pieces, weight))
     letters = [bytes([b]) for b in range(256) if not 65 <= b <= 90 and b not in b" \t\n\r\v\f"]
     assert np.isfinite(lattice.forward(letters)).all() and np.isfinite(lattice.forward([b"".join(letters), b"\xff" * 5000])).all()
 
@@ -108,30 +137,34 @@ def test_base_columns_and_defined_cases(spark, odd_docs, no_docs):
 
 
 def test_query_against_enumeration(spark, tmp_path, monkeypatch):
-    """op6's scores from the enumeration of all segmentations: training, classes and the mixture included."""
+    """op6's scores from the enumeration of all segmentations, training included."""
     weight = np.arange(1.0, len(PIECES) + 1) / (len(PIECES) * (len(PIECES) + 1) / 2)
     monkeypatch.setattr(L, "vocabulary", lambda path: (PIECES, weight))
-    monkeypatch.setattr(L, "CLASSES", 2)  # a third language teaches the class of all documents alone
     rng = np.random.default_rng(5)
-    rows = [(i, " ".join("".join("ab"[x] for x in rng.integers(0, 2, rng.integers(1, 5))) for _ in range(rng.integers(0, 9))), ["x", "x", "y", "x", "z", "y"][i % 6]) for i in range(60)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(i, " ".join("".join("ab"[x] for x in rng.integers(0, 2, rng.integers(1, 5))) for _ in range(rng.integers(0, 9)))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r["doc_id"]: r for r in L.op6_subword_lattice(spark, str(tmp_path)).collect()}
     training = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
     assert {i for i, r in got.items() if not r["held_out"]} == {r[0] for r in training} and len(got) == len(rows) > len(training)
-    langs = [x for x, _ in sorted(Counter(r[2] for r in training).items(), key=lambda x: (-x[1], x[0]))][:2]
     words = lambda rows: Counter(w.encode() for r in rows for w in r[1].split())
-    parts = [training, *([r for r in training if r[2] == x] for x in langs)]
-    scores = [L.first_scores(PIECES, weight)]
+    scores = L.first_scores(PIECES, weight)
     for _ in range(L.ROUNDS):
-        scores = [L.normal(expected_by_enumeration(words(training), scores[0])[1] + L.PRIOR * np.exp(scores[0]))]
-    scores = [L.normal(expected_by_enumeration(words(p), scores[0])[1] + L.PRIOR * np.exp(scores[0])) for p in parts]
-    size = [sum(words(p).values()) + len(p) for p in parts]
-    end = [(len(p) + 1) / (n + 2) for p, n in zip(parts, size, strict=True)]
-    share = [len(training) - len(parts[1]) - len(parts[2]) + 1, len(parts[1]), len(parts[2])]
-    for i, text, _ in rows:
-        total = 0.0
-        for k in range(3):
-            own = expected_by_enumeration(words([(i, text)]), scores[k])[0]
-            total += share[k] / sum(share) * end[k] * math.prod((1 - end[k]) * math.exp(own[w.encode()]) for w in text.split())
-        assert got[i]["score"] == pytest.approx(math.log10(total), rel=1e-5)
-        assert (got[i]["train_tokens"], got[i]["n_tokens"]) == (size[0], len(text.split()) + 1)
+        scores = L.fitted(PIECES, weight, expected_by_enumeration(words(training), scores)[1])
+    size = sum(words(training).values()) + len(training)
+    end = (len(training) + 1) / (size + 2)
+    for i, text in rows:
+        own = expected_by_enumeration(words([(i, text)]), scores)[0]
+        total = end * math.prod((1 - end) * math.exp(own[w.encode()]) for w in text.split())
+        assert got[i]["score"] == pytest.approx(math.log10(total), rel=1e-6)
+        assert (got[i]["train_tokens"], got[i]["n_tokens"]) == (size, len(text.split()) + 1)
+
+
+def test_the_files_scores_decide(spark, sf_dir, monkeypatch):
+    """With equal scores for all pieces, held-out texts are clearly less probable."""
+    pieces, weight = L.vocabulary(public_tokenizer("piece_bpe_32k.model"))
+    held = []
+    for w in (weight, np.full(len(weight), 1 / len(weight))):
+        monkeypatch.setattr(L, "vocabulary", lambda path, w=w: (pieces, w))
+        rows = [r for r in L.op6_subword_lattice(spark, sf_dir).collect() if r["held_out"]]
+        held.append(sum(r["score"] for r in rows) / sum(r["n_tokens"] for r in rows))
+    assert held[0] > held[1] + 0.1
