@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import landed
+from ..sources import catalogue, landed
 from .domain import Tables
 from .registry import query
 
@@ -64,3 +64,39 @@ def _(t: Tables) -> DataFrame:
     """Expected columns that a table lacks."""
     expected = t.member.withColumn("added", F.lit("x"))
     return landed.columns_of({"member": expected}).subtract(landed.columns_of({"member": t.member}))
+
+
+#: The driver's tables and their columns.
+COLUMNS = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate", "events": "event_id ts user_id event_type value props",
+    "documents": "doc_id text lang source n_chars", "embeddings": "vec_id embedding label", "pages": "page_id url html", "benchmark": "item_id text", "labels": "doc_id quality toxic", "conversations": "conv_id turn role text",
+}
+
+
+def sql_column(name: str, column: str) -> str:
+    number = f"TRY_CAST(CASE WHEN typeof({column}) IN ('INTEGER', 'BIGINT') THEN {column}::VARCHAR END AS BIGINT)"
+    return f"""SELECT '{name}' AS name, '{column}' AS "column", count(*) AS rows, count(*) - count({column}) AS nulls, min({number}) AS low, max({number}) AS high FROM {name}"""
+
+
+@query(
+    "s36_catalogue",
+    f"""SELECT c.name, c."column", i.ordinal_position - 1 AS position, i.data_type AS type, c.rows, c.nulls, c.low, c.high FROM ({" UNION ALL ".join(sql_column(t, c) for t, cs in COLUMNS.items() for c in cs.split())}) c
+    JOIN information_schema.columns i ON i.table_name = c.name AND i.column_name = c."column" """,
+)
+def _(t: Tables) -> DataFrame:
+    """All tables' columns, types, row and null counts and ranges, from the files' footers."""
+    return catalogue.catalogue(t.spark, {name: t.raw(name) for name in COLUMNS}).select("name", "column", "position", "type", "rows", "nulls", "low", "high")
+
+
+@query(
+    "m04_evolution",
+    """WITH i AS (SELECT column_name, data_type FROM information_schema.columns WHERE table_name = 'orders'), e AS (SELECT column_name, CASE WHEN column_name = 'o_custkey' THEN 'VARCHAR' ELSE data_type END AS data_type FROM i WHERE column_name <> 'o_orderpriority' UNION ALL SELECT 'o_note', 'VARCHAR')
+    SELECT 'orders' AS name, column_name AS "column", CASE WHEN i.data_type IS NULL THEN 'add' WHEN e.data_type IS NULL THEN 'extra' ELSE 'retype' END AS change, i.data_type AS found, e.data_type AS expected FROM i FULL JOIN e USING (column_name) WHERE i.data_type IS DISTINCT FROM e.data_type""",
+)
+def _(t: Tables) -> DataFrame:
+    """The orders' files against a later schema, with a column more, one fewer and one of another type."""
+    found = catalogue.catalogue(t.spark, {"orders": t.raw("orders")})
+    later = found.where("column <> 'o_orderpriority'").select("name", "column", F.when(F.col("column") == "o_custkey", "VARCHAR").otherwise(F.col("type")).alias("type"))
+    return catalogue.evolution(found, later.unionByName(t.spark.createDataFrame([("orders", "o_note", "VARCHAR")], "name string, column string, type string")))
