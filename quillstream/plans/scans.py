@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from contextlib import closing
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import catalogue, landed
+from ..sources import catalogue, database, landed
+from ..storage import new_path
 from .domain import Tables
 from .registry import query
 
@@ -100,3 +104,16 @@ def _(t: Tables) -> DataFrame:
     found = catalogue.catalogue(t.spark, {"orders": t.raw("orders")})
     later = found.where("column <> 'o_orderpriority'").select("name", "column", F.when(F.col("column") == "o_custkey", "VARCHAR").otherwise(F.col("type")).alias("type"))
     return catalogue.evolution(found, later.unionByName(t.spark.createDataFrame([("orders", "o_note", "VARCHAR")], "name string, column string, type string")))
+
+
+@query("k16_bulk_load", "SELECT id, CASE WHEN status = 'provisional' THEN 'there before' ELSE canonical_name END AS name FROM organisation")
+def _(t: Tables) -> DataFrame:
+    """Organisations added in bulk to a database's table, which keeps the rows it has, and read back in ranges. The database is a file in the shared folder."""
+    path = new_path(t.spark, "database").removeprefix("file://")
+    arguments = {"database": path + ".db", "timeout": 600}
+    with closing(database.connect({"arguments": json.dumps(arguments)})) as db:
+        db.cursor().execute("CREATE TABLE organisation (id INTEGER, name TEXT)")
+        db.commit()
+    database.load(t.organisation.where("status = 'provisional'").select("id", F.lit("there before").alias("name")), "organisation", ["id"], arguments)
+    database.load(t.organisation.select("id", F.col("canonical_name").alias("name")), "organisation", ["id"], arguments)
+    return database.read_table(t.spark, "organisation", "id long, name string", "id", arguments)
