@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.stemming import sql_stemmed
 from ..operators import audit, graph, pipelines, resolve, search, vectors
-from ..storage import kept
+from ..sources import sinks
+from ..storage import kept, new_path
 from ..streaming import incremental as I
-from ..streaming import state
+from ..streaming import pages, state
 from .domain import Tables
 from .registry import query
 
@@ -300,8 +301,6 @@ def _(t: Tables) -> DataFrame:
 @query("t04_late_updates", "SELECT user_id, event_type, max(ts) AS ts, arg_max(value, {'t': ts, 'e': event_id}) AS value FROM events GROUP BY 1, 2")
 def _(t: Tables) -> DataFrame:
     """A target kept at the latest row per key."""
-    from ..storage import new_path
-
     keys = ["user_id", "event_type"]
     rows = event_stream(t).select(*keys, "ts", "event_id", "value", I.bucket(keys).alias("bucket"))
     return I.upserts(rows, new_path(t.spark, "latest"), keys, ["ts", "event_id"], "latest-run", part="bucket").select(*keys, F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
@@ -328,3 +327,16 @@ def _(t: Tables) -> DataFrame:
     rows = event_stream(t).select(F.expr("event_id div 10").alias("key"), F.col("ts").alias("at"), F.col("event_id").alias("id"), to.alias("to"))
     found = state.staged_once(rows, "key", 3650)
     return plain(found, "since").select(F.col("key").alias("id"), "status", "since", "refused")
+
+
+@query("t01_page_stream", "SELECT uin, max({'u': updated_at, 'i': id}).i AS id, max({'u': updated_at, 'i': id, 'h': heading}).h AS heading, max(updated_at) AS updated_at FROM question GROUP BY uin")
+def _(t: Tables) -> DataFrame:
+    """Questions landed as pages, a folder a year, and read by two runs of a stream, of which the second has only what came in between."""
+    folder, target, run = (new_path(t.spark, x) for x in ("landed", "questions", "pages-run"))
+    rows = t.question.select("uin", "id", "heading", "updated_at", F.trunc("tabled_date", "year").alias("day"))
+    schema = "uin string, id long, heading string, updated_at timestamp_ntz, day date"
+    for part in ("is_odd", "NOT is_odd"):
+        own = rows.withColumn("is_odd", F.col("id") % 2 == 1).where(part).drop("is_odd")
+        pages.land(own, "day", 500, folder)
+        pages.ingest(t.spark, folder, target, run, schema, ["uin"], ["updated_at", "id"], 36_500)
+    return sinks.current(t.spark, target).select("uin", "id", "heading", "updated_at")
