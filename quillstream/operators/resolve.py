@@ -173,24 +173,38 @@ def resolve(staging: DataFrame, organisations: DataFrame, aliases: DataFrame, di
     return staging.select("id", "key").join(decided, "key").select("id", "key", "tier", "match", "close_to", "similarity")
 
 
-def _errors(key: str) -> Column:
-    return F.when(F.col(key).isNull() | (F.trim(key) == ""), F.lit("no name"))
+def is_date(column: str) -> Column:
+    """A check of `process`: a text that is a date."""
+    return F.col(column).try_cast("date").isNotNull()
 
 
-def process(staging: DataFrame, organisations: DataFrame, aliases: DataFrame, distinct_pairs: DataFrame | None = None) -> DataFrame:
+def one_of(column: str, values: list[str]) -> Column:
+    """A check of `process`: a value of a vocabulary; nothing is one of an empty one."""
+    return F.col(column).isin(values) if values else F.lit(False)
+
+
+def _errors(key: str, checks: dict[str, Column] | None = None) -> Column:
+    """What is wrong with a row first: its name, then the first check that doesn't hold (null doesn't)."""
+    out = F.when(F.col(key).isNull() | (F.trim(key) == ""), F.lit("no name"))
+    for note, holds in (checks or {}).items():
+        out = out.when(~F.coalesce(holds, F.lit(False)), F.lit(note))
+    return out
+
+
+def process(staging: DataFrame, organisations: DataFrame, aliases: DataFrame, distinct_pairs: DataFrame | None = None, checks: dict[str, Column] | None = None) -> DataFrame:
     """ER0, ER9, T06, M09: staging: id, key, status. Rows that are pending become committed, or errored with a note; a row that fails fails alone, and others keep their status.
 
-    Returns id, status, note, and what `resolve` says of committed rows.
+    A row fails without a name, or where one of `checks` (a note, and what has to hold) doesn't hold. Returns id, status, note, and what `resolve` says of committed rows.
     """
-    rows = staging.withColumn("note", F.when(F.col("status") == "pending", _errors("key")))
+    rows = staging.withColumn("note", F.when(F.col("status") == "pending", _errors("key", checks)))
     decided = resolve(rows.where("status = 'pending' AND note IS NULL").select("id", "key"), organisations, aliases, distinct_pairs)
     status = F.when(F.col("status") != "pending", F.col("status")).when(F.col("note").isNotNull(), "errored").otherwise("committed")
     return rows.select("id", status.alias("status"), "note").join(decided, "id", "left")
 
 
-def dry_run(staging: DataFrame) -> DataFrame:
+def dry_run(staging: DataFrame, checks: dict[str, Column] | None = None) -> DataFrame:
     """The number of pending rows that would take each status."""
-    return staging.where("status = 'pending'").groupBy(F.when(_errors("key").isNotNull(), "errored").otherwise("committed").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return staging.where("status = 'pending'").groupBy(F.when(_errors("key", checks).isNotNull(), "errored").otherwise("committed").alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
 #: Names that are held against all organisations at once, and organisations that a step looks at.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import kept
+
 
 def first_per(df: DataFrame, keys: list[str], order: list[str], descending: bool = False) -> DataFrame:
     """The first row of each key. An aggregate of one struct: rows are reduced before they are shuffled, and no key's rows are sorted in one task."""
@@ -26,7 +28,7 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column], limit: Column |
 
 
 def collision_free(df: DataFrame, slug: Column, longer: Column, longest: Column) -> DataFrame:
-    """A slug; where several rows share it the longer form for all of them, and once more. Shared slugs are counted first, so no slug's rows meet in one task."""
+    """A slug; where several rows share it the longer form for all of them, and once more. Shared slugs are counted first, so no slug's rows meet in one task; rows are written with their slug, so it is made once."""
 
     def shared(rows: DataFrame, c: str) -> DataFrame:
         return rows.groupBy(F.col(c).alias("_c")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_c", F.lit(True).alias("_twice"))
@@ -34,7 +36,7 @@ def collision_free(df: DataFrame, slug: Column, longer: Column, longest: Column)
     def replaced(rows: DataFrame, c: str, by: Column, name: str) -> DataFrame:
         return rows.join(shared(rows, c), F.col(c).eqNullSafe(F.col("_c")), "left").withColumn(name, F.when(F.col("_twice"), by).otherwise(F.col(c))).drop("_c", "_twice")
 
-    once = replaced(df.withColumn("_s", slug), "_s", longer, "_t")
+    once = replaced(kept(df.withColumn("_s", slug), "slugs"), "_s", longer, "_t")
     return replaced(once, "_t", longest, "slug").drop("_s", "_t")
 
 

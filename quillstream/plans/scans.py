@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from contextlib import closing
 
 from pyspark.sql import DataFrame
@@ -110,6 +111,7 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     """Organisations added in bulk to a database's table, which keeps the rows it has, and read back in ranges. The database is a file in the shared folder."""
     path = new_path(t.spark, "database").removeprefix("file://")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
     arguments = {"database": path + ".db", "timeout": 600}
     with closing(database.connect({"arguments": json.dumps(arguments)})) as db:
         db.cursor().execute("CREATE TABLE organisation (id INTEGER, name TEXT)")

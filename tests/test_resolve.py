@@ -92,6 +92,17 @@ def test_rows_fail_alone_and_keep_other_statuses(spark):
     assert {tuple(r) for r in R.dry_run(staging).collect()} == {("committed", 2), ("errored", 2)}
 
 
+def test_rows_fail_for_several_reasons(spark):
+    rows = [(1, "russell group", "2024-01-05", "oral"), (2, " ", "2024-01-05", "oral"), (3, "royal college", "soon", "unheard"), (4, "royal college", "2024-01-05", "unheard"), (5, "royal college", "2024-01-05", None), (6, "royal college", "2024-02-30", "oral"), (7, "royal college", "2024-01-06", "written")]
+    staging = spark.createDataFrame([(*r, "pending") for r in rows], "id long, key string, day string, source string, status string")
+    checks = {"no date": R.is_date("day"), "unknown source": R.one_of("source", ["oral", "written"])}
+    none = spark.createDataFrame([], "organisation_id long, key string")
+    got = {r["id"]: (r["status"], r["note"], r["tier"]) for r in R.process(staging, spark.createDataFrame([(9, "russell group")], "id long, key string"), none, checks=checks).collect()}
+    assert got == {1: ("committed", None, 1), 2: ("errored", "no name", None), 3: ("errored", "no date", None), 4: ("errored", "unknown source", None), 5: ("errored", "unknown source", None), 6: ("errored", "no date", None), 7: ("committed", None, 4)}
+    assert {tuple(r) for r in R.dry_run(staging, checks).collect()} == {("committed", 2), ("errored", 5)}
+    assert R.dry_run(staging, {"empty": R.one_of("source", [])}).collect()[0]["status"] == "errored"
+
+
 def test_closest_names_against_all_pairs(spark):
     names = near_names(120, 5)
     orgs = spark.createDataFrame(list(enumerate(names)), "id long, name string").repartition(5)
