@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -43,22 +44,38 @@ def _day(c: Column) -> Column:
     return F.unix_date(c.cast("date")) + YEAR_0
 
 
+def _levels(each: Callable[[Column], Column]) -> Column:
+    """An array over all levels: a function of a level, applied row by row, since a term for each would be more code than is compiled."""
+    return F.transform(F.sequence(F.lit(0), F.lit(DEPTH)), each)
+
+
+def _shifted(c: Column, level: Column) -> Column:
+    return F.call_function("shiftright", c, level)
+
+
+def _code(level: Column, place: Column) -> Column:
+    """A range of days as one number."""
+    return F.shiftleft(place, 5) + level
+
+
 def dyadic(start: Column, end: Column) -> Column:
-    """The days from start to end (inclusive, null: no end) as an array of disjoint ranges (level, place): the days from place * 2 ** level on, so many. At most two a level."""
-    low, high = _day(start).cast("long"), F.coalesce(_day(end).cast("long") + 1, F.lit(1 << DEPTH))
-    pieces = []
-    for level in range(DEPTH + 1):
-        a, b = F.floor((low + ((1 << level) - 1)) / (1 << level)), F.floor(high / (1 << level))
-        some = a < b
-        piece = lambda place, level=level: F.struct(F.lit(level).alias("level"), place.cast("long").alias("place"))
-        pieces += [F.when(some & (a % 2 == 1), piece(a)), F.when(some & (b % 2 == 1), piece(b - 1))]
-    return F.array_compact(F.array(*pieces))
+    """The days from start to end (inclusive, null: no end) as an array of disjoint ranges: the days from place * 2 ** level on, so many, at most two a level."""
+    ends = F.array(_day(start).cast("long"), F.coalesce(_day(end).cast("long") + 1, F.lit(1 << DEPTH).cast("long")))
+
+    def pieces(span: Column) -> Column:
+        def at(level: Column) -> Column:
+            a, b = _shifted(span[0] + F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1, level), _shifted(span[1], level)
+            return F.array(F.when((a < b) & (a.bitwiseAND(1) == 1), _code(level, a)), F.when((a < b) & (b.bitwiseAND(1) == 1), _code(level, b - 1)))
+
+        return F.array_compact(F.flatten(_levels(at)))
+
+    return F.element_at(F.transform(F.array(ends), pieces), 1)
 
 
 def _ranges_of(at: Column) -> Column:
-    """The ranges of all levels that hold a day."""
-    day = _day(at).cast("long")
-    return F.array(*(F.struct(F.lit(level).alias("level"), F.floor(day / (1 << level)).cast("long").alias("place")) for level in range(DEPTH + 1)))
+    """The ranges of all levels that hold a day; none of a null day."""
+    day = F.array(_day(at).cast("long"))
+    return F.when(at.isNotNull(), F.element_at(F.transform(day, lambda d: _levels(lambda level: _code(level, _shifted(d, level)))), 1))
 
 
 def during(events: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
@@ -71,7 +88,7 @@ def during(events: DataFrame, spans: DataFrame, key: str, at: str, start: str, e
     cut = s.where(F.col(f"span_{start}").isNotNull()).withColumn("_range", F.explode(dyadic(F.col(f"span_{start}"), F.col(f"span_{end}"))))
     placed = events.withColumn("_at", F.explode(_ranges_of(F.col(at))))
     exact = (F.col(f"span_{start}") <= F.col(at)) & (F.col(f"span_{end}").isNull() | (F.col(f"span_{end}") >= F.col(at)))
-    on = (F.col(key) == F.col(f"span_{key}")) & (F.col("_at.level") == F.col("_range.level")) & (F.col("_at.place") == F.col("_range.place"))
+    on = (F.col(key) == F.col(f"span_{key}")) & (F.col("_at") == F.col("_range"))
     return placed.join(cut, on & exact).drop("_at", "_range")
 
 
