@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -36,70 +35,74 @@ def first_of_lookups(left: DataFrame, lookups: list[tuple[DataFrame, str, str]],
     return out.select(*left.columns, F.coalesce(*(F.col(f"_v{i}") for i in range(len(lookups)))).alias(name))
 
 
-#: Days are counted from the first of the year 0 so that they are positive, and are below 2 ** DEPTH.
-YEAR_0, DEPTH = 719_528, 22
+#: A range of days is 2 ** STEP ranges of the level below; level 0 has the days.
+STEP = 2
 
 
 def _day(c: Column) -> Column:
-    return F.unix_date(c.cast("date")) + YEAR_0
+    return F.unix_date(c.cast("date"))
 
 
-def _levels(each: Callable[[Column], Column]) -> Column:
-    """An array over all levels: a function of a level, applied row by row, since a term for each would be more code than is compiled."""
-    return F.transform(F.sequence(F.lit(0), F.lit(DEPTH)), each)
-
-
-def _shifted(c: Column, level: Column) -> Column:
-    return F.call_function("shiftright", c, level)
-
-
-def _code(level: Column, place: Column) -> Column:
+def _code(level: int | Column, place: Column) -> Column:
     """A range of days as one number."""
     return F.shiftleft(place, 5) + level
 
 
-def dyadic(start: Column, end: Column) -> Column:
-    """The days from start to end (inclusive, null: no end) as an array of disjoint ranges: the days from place * 2 ** level on, so many, at most two a level."""
-    ends = F.array(_day(start).cast("long"), F.coalesce(_day(end).cast("long") + 1, F.lit(1 << DEPTH).cast("long")))
-
-    def pieces(span: Column) -> Column:
-        def at(level: Column) -> Column:
-            a, b = _shifted(span[0] + F.call_function("shiftleft", F.lit(1).cast("long"), level) - 1, level), _shifted(span[1], level)
-            return F.array(F.when((a < b) & (a.bitwiseAND(1) == 1), _code(level, a)), F.when((a < b) & (b.bitwiseAND(1) == 1), _code(level, b - 1)))
-
-        return F.array_compact(F.flatten(_levels(at)))
+def _extent(events: DataFrame, at: str) -> tuple[int, int, int]:
+    """The first day of the events, the number of days up to the last, and how many levels those need."""
+    low, high = events.agg(F.min(_day(F.col(at))), F.max(_day(F.col(at)))).first()
+    days = 0 if low is None else high - low + 1
+    return low or 0, days, max(1, -(-max(0, days - 1).bit_length() // STEP))
 
-    return F.element_at(F.transform(F.array(ends), pieces), 1)
 
-
-def _ranges_of(at: Column) -> Column:
-    """The ranges of all levels that hold a day; none of a null day."""
-    day = F.array(_day(at).cast("long"))
-    return F.when(at.isNotNull(), F.element_at(F.transform(day, lambda d: _levels(lambda level: _code(level, _shifted(d, level)))), 1))
+def cut(spans: DataFrame, start: str, end: str, first: int, days: int, levels: int) -> DataFrame:
+    """Spans with a row for each of the disjoint ranges (`_range`) that their days from start to end (inclusive, null: no end) are made of, of `days` days from `first` on: the days from place * 2 ** (STEP * level) on, so many; at most nine a level."""
+    most, by = (1 << STEP) - 1, F.col("_level") * STEP
+    right = lambda c: F.call_function("shiftright", c, by)
+    whole = lambda c: F.shiftleft(F.shiftright(c, STEP), STEP)
+    within = spans.where(F.col(start).isNotNull()).withColumns({"_a": F.greatest(_day(F.col(start)) - first, F.lit(0)), "_b": F.least(F.coalesce(_day(F.col(end)) - first + 1, F.lit(days)), F.lit(days))}).where("_a < _b")
+    each = within.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))).withColumns({"_lo": right(F.col("_a") + F.call_function("shiftleft", F.lit(1), by) - 1), "_hi": right(F.col("_b"))}).where("_lo < _hi")
+    # What whole ranges of the level above cover is left to it; the last level has none above.
+    up, down = whole(F.col("_lo") + most), whole(F.col("_hi"))
+    above = (F.col("_level") < levels - 1) & (up < down)
+    ends = each.withColumns({"_up": F.when(above, up).otherwise(F.col("_hi")), "_down": F.when(above, down).otherwise(F.col("_hi"))})
+    places = [F.when(F.col("_lo") + i < F.col("_up"), F.col("_lo") + i) for i in range(2 * most)] + [F.when(F.col("_down") + i < F.col("_hi"), F.col("_down") + i) for i in range(most)]
+    return ends.withColumn("_place", F.explode(F.array(*places))).where("_place IS NOT NULL").select(*spans.columns, _code(F.col("_level"), F.col("_place")).alias("_range"))
 
 
 def during(events: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str) -> DataFrame:
     """Each event with the spans of its key that cover it; an open end covers all that follows.
 
-    Spans are cut into dyadic ranges of days, of which a day lies in one at most, so cover is an equality of key, level and place: a hot key's
-    rows are spread over its ranges, and no pair is looked at that the days rule out. Times within a day are compared last.
+    Spans are cut into ranges of days, of which a day lies in one at most, so cover is an equality of key, level and place: a hot key's
+    rows are spread over its ranges, and no pair is looked at that the days rule out. Times within a day are compared last. Levels are as many as
+    the events' days need. Cut spans are many times what Spark takes their table for, so both sides are shuffled and none is broadcast.
     """
+    first, days, levels = _extent(events, at)
     s = spans.withColumnsRenamed({c: f"span_{c}" for c in spans.columns})
-    cut = s.where(F.col(f"span_{start}").isNotNull()).withColumn("_range", F.explode(dyadic(F.col(f"span_{start}"), F.col(f"span_{end}"))))
-    placed = events.withColumn("_at", F.explode(_ranges_of(F.col(at))))
+    parts = cut(s, f"span_{start}", f"span_{end}", first, days, levels)
+    day = _day(F.col(at)) - first
+    placed = events.where(F.col(at).isNotNull()).withColumn("_at", F.explode(F.array(*(_code(level, F.shiftright(day, STEP * level)) for level in range(levels)))))
     exact = (F.col(f"span_{start}") <= F.col(at)) & (F.col(f"span_{end}").isNull() | (F.col(f"span_{end}") >= F.col(at)))
     on = (F.col(key) == F.col(f"span_{key}")) & (F.col("_at") == F.col("_range"))
-    return placed.join(cut, on & exact).drop("_at", "_range")
+    return placed.hint("merge").join(parts.hint("merge"), on & exact).drop("_at", "_range")
 
 
 def covers(events: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, name: str = "spans") -> DataFrame:
-    """J22 without pairs: events with the number of spans of their key that cover their day. Spans are counted per range first, so a key with very many is as many rows as it has ranges."""
-    cut = spans.where(F.col(start).isNotNull()).select(F.col(key).alias("_k"), F.explode(dyadic(F.col(start), F.col(end))).alias("_range"))
-    counted = cut.groupBy("_k", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    days = events.select(F.col(key).alias("_key"), F.col(at).cast("date").alias("_day")).where("_key IS NOT NULL AND _day IS NOT NULL").distinct()
-    placed = days.withColumn("_at", F.explode(_ranges_of(F.col("_day"))))
-    found = placed.join(counted, (F.col("_key") == F.col("_k")) & (F.col("_at") == F.col("_range"))).groupBy("_key", "_day").agg(F.sum("_n").alias("_spans"))
-    return events.join(found, (F.col(key) == F.col("_key")) & (F.col(at).cast("date") == F.col("_day")), "left").select(*events.columns, F.coalesce("_spans", F.lit(0)).alias(name))
+    """J22 without pairs: events with the number of spans of their key that cover their day.
+
+    A day has as many as have begun by then, less those that have ended before. Both are summed by key and day first, so a key's window has a row per
+    day at most, whatever the number of its spans and events.
+    """
+    from pyspark.sql import Window
+
+    real = spans.where(F.col(key).isNotNull() & F.col(start).isNotNull() & (F.col(end).isNull() | (_day(F.col(end)) >= _day(F.col(start)))))
+    begun = real.select(F.col(key).alias("_key"), _day(F.col(start)).alias("_day"), F.lit(1).alias("_n"), F.lit(False).alias("_asked"))
+    ended = real.where(F.col(end).isNotNull()).select(F.col(key).alias("_key"), (_day(F.col(end)) + 1).alias("_day"), F.lit(-1).alias("_n"), F.lit(False).alias("_asked"))
+    asked = events.where(F.col(key).isNotNull() & F.col(at).isNotNull()).select(F.col(key).alias("_key"), _day(F.col(at)).alias("_day"), F.lit(0).alias("_n"), F.lit(True).alias("_asked"))
+    daily = begun.unionByName(ended).unionByName(asked).groupBy("_key", "_day").agg(F.sum("_n").alias("_n"), F.max("_asked").alias("_asked"))
+    so_far = F.sum("_n").over(Window.partitionBy("_key").orderBy("_day").rowsBetween(Window.unboundedPreceding, 0))
+    found = daily.withColumn("_spans", so_far).where("_asked").select("_key", "_day", "_spans")
+    return events.join(found, (F.col(key) == F.col("_key")) & (_day(F.col(at)) == F.col("_day")), "left").select(*events.columns, F.coalesce("_spans", F.lit(0)).alias(name))
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, values: list[str], width: int = 1) -> DataFrame:

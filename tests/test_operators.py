@@ -160,6 +160,22 @@ def test_csv_report_of_many_rows_is_in_several_ordered_files(spark, tmp_path):
     assert len(parts) > 1 and lines[:3] == ['\ufeff"Report","x"', "", '"n"'] and lines[3:] == [f'"{n}"' for n in range(1, 20001)]
 
 
+def test_interval_join_broadcasts_nothing_and_needs_few_rows(spark):
+    """Cut spans are more than their table's size tells, so neither side may be broadcast; an event is a row for each level of its table's days alone."""
+    rows = spark.range(3000).select("id", (F.col("id") % 7).alias("k"), F.date_add(F.lit("1995-01-01").cast("date"), (F.col("id") % 2000).cast("int")).alias("a"))
+    found = joins.during(rows, rows.withColumn("b", F.lit(None).cast("date")), "k", "a", "a", "b")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert found.count() == sum(1 for i in range(3000) for j in range(i % 7, 3000, 7) if j % 2000 <= i % 2000)
+    first, days, levels = joins._extent(rows, "a")
+    assert (days, levels) == (2000, 6)
+    for a, b in ((0, 2000), (3, 3), (5, 1021), (1999, 1999), (-40, 15), (16, 31)):
+        span = spark.range(1).selectExpr(f"date_from_unix_date({first + a}) AS a", f"date_from_unix_date({first + b}) AS b")
+        codes = [r["_range"] for r in joins.cut(span, "a", "b", first, days, levels).collect()]
+        days_of = [d for c in codes for d in range((c >> 5) * 4 ** (c & 31), ((c >> 5) + 1) * 4 ** (c & 31))]
+        assert sorted(days_of) == list(range(max(a, 0), min(b, days - 1) + 1)) and len(codes) <= 9 * levels
+
+
 def test_spans_that_cover_a_day(spark):
     """Ranges against every pair, days long ago and far ahead, times within a day, and a key with very many spans."""
     rng = np.random.default_rng(7)
