@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-#: Rows of one insert.
-BATCH = 500
+#: Rows of one insert; attempts whose rows one statement marks.
+BATCH, LABELS = 500, 500
 COMPARED = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
 
 
@@ -82,11 +82,13 @@ class TableWriter(DataSourceWriter):
         order = ", ".join(map(quoted, [*keys, *(c for c in self.names if c not in keys)]))
         with closing(connect(self.options)) as db:
             cursor = db.cursor()
-            for m in messages:
-                if m is not None and m.rows:
-                    cursor.execute(f"UPDATE {self.staging} SET quillstream_label = 'counts' WHERE quillstream_label = {mark}", (m.label,))
+            counts = [m.label for m in messages if m is not None and m.rows]
+            for at in range(0, len(counts), LABELS):
+                own = counts[at : at + LABELS]
+                cursor.execute(f"UPDATE {self.staging} SET quillstream_label = 'counts' WHERE quillstream_label IN ({', '.join([mark] * len(own))})", tuple(own))
             first = f"SELECT *, row_number() OVER (PARTITION BY {', '.join(map(quoted, keys))} ORDER BY {order}) AS quillstream_n FROM {self.staging} WHERE quillstream_label = 'counts'"
-            cursor.execute(f"INSERT INTO {table} ({self.columns}) SELECT {whole} FROM ({first}) s WHERE s.quillstream_n = 1 AND NOT EXISTS (SELECT 1 FROM {table} t WHERE {same('t', 's')})")
+            # An outer join, which a database without an index on the keys makes one for: an EXISTS would read the table once for each row.
+            cursor.execute(f"INSERT INTO {table} ({self.columns}) SELECT {whole} FROM ({first}) s LEFT JOIN {table} t ON {same('t', 's')} WHERE s.quillstream_n = 1 AND t.{quoted(keys[0])} IS NULL")
             cursor.execute(f"DROP TABLE {self.staging}")
             db.commit()
 

@@ -74,3 +74,29 @@ def test_read_in_ranges_with_filters(spark, file):
     with sqlite3.connect(file["database"]) as db:
         db.execute("DELETE FROM t")
     assert df.count() == 0
+
+
+def test_steps_of_a_commit_grow_with_the_rows(tmp_path, monkeypatch):
+    """A table without an index on its keys isn't read once for each new row."""
+    import json
+
+    from pyspark.sql.types import _parse_datatype_string
+
+    file, steps = {"database": str(tmp_path / "y.db")}, []
+    with sqlite3.connect(file["database"]) as db:
+        db.execute("CREATE TABLE t (id INTEGER, name TEXT)")
+        db.execute("CREATE TABLE s (id INTEGER, name TEXT, quillstream_label TEXT)")
+        db.executemany("INSERT INTO t VALUES (?, 'old')", [(i,) for i in range(5000)])
+        db.executemany("INSERT INTO s VALUES (?, 'new', ?)", [(i, f"l{i % 600}") for i in range(10_000)])
+
+    def connect(options):
+        found = sqlite3.connect(file["database"])
+        found.set_progress_handler(lambda: steps.append(1), 10_000)
+        return found
+
+    monkeypatch.setattr(D, "connect", connect)
+    options = {"table": "t", "keys": '["id"]', "arguments": json.dumps(file), "staging": "s"}
+    D.TableWriter(options, _parse_datatype_string("id long, name string")).commit([D.Loaded(f"l{k}", 17) for k in range(599)])
+    assert len(steps) * 10_000 < 500 * 10_000
+    lost = [(i, "new") for i in range(5000, 10_000) if i % 600 < 599]
+    assert rows(file, "SELECT id, name FROM t ORDER BY id") == [(i, "old") for i in range(5000)] + lost
