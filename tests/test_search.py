@@ -110,3 +110,24 @@ def test_headline_and_filters(spark):
     assert [r["id"] for r in search.allowed(s, house="Lords", department="EDUCATION").collect()] == [1] and search.allowed(s, house="Commons").count() == 0
     empty = search.build(spark.createDataFrame([], "key long, owner long, text string"), new_path(spark, "empty"))
     assert search.search("school", empty, empty).count() == 0 == search.top("school", 3, empty, empty).count()
+
+
+def test_an_index_shuffles_texts_and_lists_once(spark, tmp_path):
+    """Words are not shuffled one by one: what goes through shuffles is a few times the texts, and the index has every word."""
+    store = lambda: spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+
+    def shuffled():
+        found, stages = 0, store().iterator()
+        while stages.hasNext():
+            found += stages.next().shuffleWriteBytes()
+        return found
+
+    rng = random.Random(3)
+    texts = [(i, i, " ".join(f"{rng.choice('abcdefgh')}{rng.randint(0, 3000)}" for _ in range(400))) for i in range(2000)]
+    docs = spark.createDataFrame(texts, "key long, owner long, text string")
+    before = shuffled()
+    index = search.build(docs, new_path(spark, "once"))
+    spread, size = shuffled() - before, sum(len(t) for _, _, t in texts)
+    assert spread < 5 * size
+    lists = spark.read.parquet(f"{index.path}/postings").select(F.explode("docs").alias("d")).agg(F.sum("d.n"), F.count_distinct("d.key")).first()
+    assert tuple(lists) == (800_000, 2000)
