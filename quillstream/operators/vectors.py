@@ -11,8 +11,20 @@ from pyspark.sql import functions as F
 
 from ..storage import kept
 
-#: Topics of one broadcast block.
-BLOCK = 4096
+#: Topics of one broadcast block; similarities that a worker holds at once.
+BLOCK, CELLS = 4096, 1 << 20
+
+
+def near(own: np.ndarray, wanted: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, topic, similarity) of the pairs of at least the threshold, some rows at a time. wanted: unit vectors."""
+    step = max(1, CELLS // max(1, len(wanted)))
+    for at in range(0, len(own), step):
+        part = own[at : at + step]
+        score = part @ wanted.T
+        score /= np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-300)
+        i, j = np.nonzero(score >= threshold)
+        if len(i):
+            yield at + i, j, score[i, j]
 
 
 def matches(items: DataFrame, topics: DataFrame, threshold: float = 0.62) -> DataFrame:
@@ -28,14 +40,13 @@ def matches(items: DataFrame, topics: DataFrame, threshold: float = 0.62) -> Dat
         shared = spark.sparkContext.broadcast(([r["topic"] for r in rows], matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)))
 
         def compare(frames: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, wanted = shared.value
+            names, wanted = np.array(shared.value[0]), shared.value[1]
             for frame in frames:
-                own = np.array(frame["vector"].tolist(), np.float64)
-                if not len(own):
+                if not len(frame):
                     continue
-                score = own @ wanted.T / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-300)
-                i, j = np.nonzero(score >= threshold)
-                yield pd.DataFrame({"topic": np.array(names)[j], "id": frame["id"].to_numpy()[i], "similarity": score[i, j]})
+                own, ids = np.stack(frame["vector"].to_numpy()).astype(np.float64), frame["id"].to_numpy()
+                for i, j, score in near(own, wanted, threshold):
+                    yield pd.DataFrame({"topic": names[j], "id": ids[i], "similarity": score})
 
         found = items.select("id", "vector").where("vector IS NOT NULL").mapInPandas(compare, "topic long, id long, similarity double")
         if n > BLOCK:

@@ -194,3 +194,20 @@ def test_spans_that_cover_a_day(spark):
     hot = spark.range(100_000).select("id", F.lit(1).alias("k"), F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 1000).cast("int")).alias("a"))
     found = joins.covers(hot, hot.withColumn("b", F.lit(None).cast("date")), "k", "a", "a", "b").groupBy("a").agg(F.min("spans").alias("n"), F.max("spans").alias("m"))
     assert all(r["n"] == r["m"] == 100 * ((r["a"] - datetime.date(2020, 1, 1)).days + 1) for r in found.collect())
+
+
+def test_similarities_are_held_in_bounded_memory():
+    """As many topics as a block may have against a whole batch."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    own, wanted = rng.normal(size=(10_000, 8)), rng.normal(size=(vectors.BLOCK, 8))
+    wanted /= np.linalg.norm(wanted, axis=1, keepdims=True)
+    tracemalloc.start()
+    found = [sum(len(i) for i, _, _ in vectors.near(own, wanted, 0.99))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6 and found[0] > 0
+    i, j, score = (np.concatenate(x) for x in zip(*vectors.near(own[:700], wanted, 0.9), strict=True))
+    whole = own[:700] @ wanted.T / np.linalg.norm(own[:700], axis=1, keepdims=True)
+    assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(a.tolist() for a in np.nonzero(whole >= 0.9)), strict=True)) and np.allclose(score, whole[i, j])
