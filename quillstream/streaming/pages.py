@@ -10,6 +10,7 @@ A page (or line) that can't be parsed gives a row with the error instead of item
 from __future__ import annotations
 
 import datetime
+import io
 import json
 from collections.abc import Iterator, Sequence
 
@@ -80,28 +81,45 @@ class PageStream(DataSourceStreamReader):
 
     def read(self, partition: Page) -> Iterator[tuple]:
         day, name = datetime.date.fromisoformat(partition.day), partition.path.rpartition("/")[2]
+        files, _ = files_of(self.uri)
         try:
-            files, _ = files_of(self.uri)
-            with files.open_input_file(partition.path) as f:
-                data = f.read()
+            for n, page in enumerate(_documents(files, partition.path)):
+                try:
+                    page = json.loads(page) if isinstance(page, bytes) else page
+                    items = page.get("items", page.get("results")) if isinstance(page, dict) else page
+                    if not isinstance(items, list):
+                        raise ValueError("no items")
+                    rows = [(day, name, json.dumps(x, ensure_ascii=False), None) for x in items]
+                except ValueError as e:
+                    yield day, name, None, f"page {n}: {e}"[:200]
+                    continue
+                yield from rows
         except OSError as e:
             yield day, name, None, f"not read: {type(e).__name__}"
-            return
+
+
+def _documents(files: pafs.FileSystem, path: str) -> Iterator[object]:
+    """A file's documents: several, a line each as bytes, of which one is held at a time, or one over several lines, parsed."""
+    with files.open_input_file(path) as f, io.BufferedReader(f) as lines:
+        first = next((line for line in lines if line.strip()), b"")
         try:
-            found = [json.loads(data)]
+            json.loads(first)
         except ValueError:
-            found = [line for line in data.split(b"\n") if line.strip()]
-        for n, page in enumerate(found):
-            try:
-                page = json.loads(page) if isinstance(page, bytes) else page
-                items = page.get("items", page.get("results")) if isinstance(page, dict) else page
-                if not isinstance(items, list):
-                    raise ValueError("no items")
-                rows = [(day, name, json.dumps(x, ensure_ascii=False), None) for x in items]
-            except ValueError as e:
-                yield day, name, None, f"page {n}: {e}"[:200]
-                continue
-            yield from rows
+            pass
+        else:
+            yield first
+            yield from (line for line in lines if line.strip())
+            return
+    # The first line is no document: the file is one, or its first line is broken.
+    with files.open_input_file(path) as f:
+        data = f.read()
+    try:
+        found = json.loads(data)
+    except ValueError:
+        with io.BytesIO(data) as lines:
+            yield from (line for line in lines if line.strip())
+    else:
+        yield found
 
 
 class PageStreamSource(DataSource):

@@ -47,3 +47,26 @@ def test_no_pages(spark, tmp_path):
     assert run() == {"pages": 0, "items": 0, "broken": 0} and sinks.current(spark, f"{base}/t") is None
     put(tmp_path / "none", "2024-01-01", "a.json", [{"id": 1, "v": 1, "name": "x"}])
     assert run() == {"pages": 1, "items": 1, "broken": 0}
+
+
+def test_a_large_file_of_pages_is_read_page_by_page(tmp_path):
+    """A file of many lines isn't held whole; one document over several lines is one page, and a broken first line leaves the others."""
+    import tracemalloc
+
+    folder = tmp_path / "day=2024-01-01"
+    folder.mkdir()
+    line = json.dumps({"items": [{"id": i, "text": "x" * 90} for i in range(500)]})
+    (folder / "many").write_text((line + "\n") * 400)
+    (folder / "one").write_text(json.dumps({"items": [1, 2]}, indent=2))
+    (folder / "broken").write_text("{\n" + line + "\n")
+    (folder / "empty").write_text("")
+    read = lambda name: pages.PageStream({"path": str(tmp_path)}).read(pages.Page(str(tmp_path), "2024-01-01", str(folder / name)))
+    tracemalloc.start()
+    n = sum(1 for _ in read("many"))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 200_000 and peak < 5e6
+    assert [r[2] for r in read("one")] == ["1", "2"] and list(read("empty")) == []
+    broken = list(read("broken"))
+    assert len(broken) == 501 and broken[0][3].startswith("page 0") and broken[1][3] is None
+    assert [r[3] for r in read("gone")] == ["not read: FileNotFoundError"]
