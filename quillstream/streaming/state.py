@@ -45,36 +45,11 @@ def _plain(v: object) -> object:
     return v.item() if hasattr(v, "item") else v
 
 
-class _Latest(StatefulProcessor):
-    def __init__(self, keys: list[str], columns: list[str], schema: str):
-        self.keys, self.columns, self.schema = keys, columns, schema
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.best = handle.getValueState("best", self.schema)
-
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        best = tuple(map(_plain, self.best.get())) if self.best.exists() else None
-        before = best
-        for frame in rows:
-            for row in zip(*(frame[c] for c in self.columns), strict=True):
-                row = tuple(map(_plain, row))
-                if best is None or _order(row) > _order(best):
-                    best = row
-        if best is not None and best != before:
-            self.best.update(best)
-            yield pd.DataFrame({**{k: [v] for k, v in zip(self.keys, key, strict=True)}, **{c: pd.Series([v], dtype=object) for c, v in zip(self.columns, best, strict=True)}})
-
-    def close(self) -> None:
-        pass
-
-
 def latest(events: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """The row of each key with the largest values of `order`, then of the other columns by name; a key's state is that row, and a batch gives only the keys that it changes."""
+    """The row of each key with the largest values of `order`, then of the other columns by name; a key's state is that row, which a streaming aggregate holds, and a batch gives only the keys that it has rows of."""
     with_store(events.sparkSession)
     columns = [*order, *sorted(c for c in events.columns if c not in [*keys, *order])]
-    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
-    ddl = lambda names: ", ".join(f"`{c}` {kinds[c]}" for c in names)
-    stream = events.groupBy(*keys).transformWithStateInPandas(_Latest(keys, columns, ddl(columns)), ddl([*keys, *columns]), "Update", "None")
+    stream = first_per(events.select(*keys, *columns), keys, columns, descending=True)
     # Each row that was the latest once, of which the largest stays: reduced before it is shuffled.
     return first_per(finished(stream, name, "update"), keys, columns, descending=True).select(*events.columns)
 

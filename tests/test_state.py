@@ -39,6 +39,16 @@ def test_latest_whatever_the_batches(spark, tmp_path, how):
         assert got == wanted, n
 
 
+def test_latest_keeps_values_as_they_are(spark, tmp_path):
+    """Long numbers beside nulls, and values that are no numbers, are the row's own."""
+    long, nan = (1 << 53) + 1, float("nan")
+    rows = [("a", at(0), None, 1.0), ("a", at(1), long, nan), ("b", at(1), long, None), ("b", at(0), None, 2.0)]
+    for n in (1, 2):
+        folder = in_files(spark, f"file://{tmp_path}/v{n}", rows, "k string, ts timestamp_ntz, id long, value double", n)
+        got = {r["k"]: (r["id"], str(r["value"])) for r in state.latest(incremental.stream(spark, folder, "ts", 1), ["k"], ["ts", "id"], "values").collect()}
+        assert got == {"a": (long, "nan"), "b": (long, "None")}, n
+
+
 def fold(events, ttl, end):
     out = (None, None, None, 0)
     for t, _, to in sorted(events):
