@@ -83,6 +83,22 @@ def test_pending_rows_expire(spark, tmp_path):
         assert got == {1: ("errored", "expired", 0), 2: ("errored", "expired", 1), 3: ("pending", None, 0), 4: ("committed", None, 0)}, n
 
 
+@pytest.mark.parametrize("zone", ["Pacific/Auckland", "America/Lima"])
+def test_rows_expire_in_any_time_zone(spark, tmp_path, zone):
+    """Watermark 54 hours (America/Lima: 46), two days to expire."""
+    last = 78 if zone == "Pacific/Auckland" else 70
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        rows = [(1, at(0), 1, "pending"), (2, at(last), 2, "pending"), (3, at(1), 3, None)]
+        folder = in_files(spark, f"file://{tmp_path}/in", rows, "k long, at timestamp_ntz, id long, to string", 1)
+        found = state.staged_states(incremental.stream(spark, folder, "at", 1), "k", f"file://{tmp_path}/t", "z", 2, "1 day")
+        got = {r["k"]: (r["status"], r["note"], r["refused"]) for r in found.collect()}
+        assert got == {1: ("errored", "expired", 0) if last == 78 else ("pending", None, 0), 2: ("pending", None, 0), 3: (None, None, 1)}
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
 def test_equal_times_in_a_table(spark, tmp_path):
     rows = [("a", 1, 9), ("a", 1, 5), ("b", None, 3), ("b", 2, 1), ("c", None, None)]
     frame = lambda r: spark.createDataFrame(r, "k string, v long, e long")
