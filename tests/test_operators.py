@@ -211,3 +211,19 @@ def test_similarities_are_held_in_bounded_memory():
     i, j, score = (np.concatenate(x) for x in zip(*vectors.near(own[:700], wanted, 0.9), strict=True))
     whole = own[:700] @ wanted.T / np.linalg.norm(own[:700], axis=1, keepdims=True)
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == set(zip(*(a.tolist() for a in np.nonzero(whole >= 0.9)), strict=True)) and np.allclose(score, whole[i, j])
+
+
+def test_links_of_a_walk_are_kept_as_they_are(spark, monkeypatch):
+    """No task holds a table of distinct links; links that occur twice change nothing."""
+    plans = {}
+
+    def kept(df, name, own=graph.kept):
+        plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString())
+        return own(df, name)
+
+    monkeypatch.setattr(graph, "kept", kept)
+    nodes = lambda *ids: spark.createDataFrame([(i,) for i in ids], "node long")
+    edges = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (2, 3)], "a long, b long")
+    found = graph.walk(nodes(1, 1), edges, nodes(1, 2, 3))
+    assert sorted(map(tuple, found.collect())) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    assert "Aggregate" not in plans["links"]
