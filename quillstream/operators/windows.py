@@ -73,20 +73,24 @@ def with_total_before(rows: DataFrame, key: str, order: list[str], amount: Colum
 
     Totals are made by key and bin (`width` numbers of the first column) first, so no task has to hold or sort all rows of a key.
     """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     held = rows.withColumn("_bin", F.coalesce(F.floor(F.col(order[0]) / width), F.lit((1 << 63) - 1))).withColumn("_amount", amount.cast("long"))
     bins = held.groupBy(key, "_bin").agg(F.sum("_amount").alias("_all"))
     bins = bins.select(key, "_bin", (F.sum("_all").over(Window.partitionBy(key).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_all")).alias("_from"))
     if below is not None:
         bins = bins.where(F.col("_from") < below)
     earlier = Window.partitionBy(key, "_bin").orderBy(*(F.col(c).asc_nulls_last() for c in order)).rowsBetween(Window.unboundedPreceding, 0)
-    out = held.join(bins, [key, "_bin"]).withColumn(name, F.col("_from") + F.sum("_amount").over(earlier) - F.col("_amount"))
-    return (out if below is None else out.where(F.col(name) < below)).drop("_bin", "_amount", "_from")
+    # Dealt out by number, as rows that compress well would be put into few tasks; summed before the join, which takes the window's order, so a task sorts its rows once.
+    within = held.repartition(n, key, "_bin").withColumn("_within", F.sum("_amount").over(earlier) - F.col("_amount"))
+    out = within.join(bins, [key, "_bin"]).withColumn(name, F.col("_from") + F.col("_within"))
+    return (out if below is None else out.where(F.col(name) < below)).drop("_bin", "_amount", "_from", "_within")
 
 
 def joined_text(rows: DataFrame, key: str, order: list[str], text: str, most: int) -> DataFrame:
     """A key's texts (null and empty ones left out) in order with a space between, cut at `most` characters; only the texts that begin before are collected."""
     begun = with_total_before(rows.where(F.col(text) != ""), key, order, F.length(text) + 1, "_at", below=most)
     parts = F.array_sort(F.collect_list(F.struct("_at", F.substring(text, 1, most).alias("_t"))))
-    found = begun.groupBy(key).agg(F.substring(F.array_join(F.transform(parts, lambda x: x["_t"]), " "), 1, most).alias("text"))
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = begun.select(key, "_at", text).repartition(n, key).groupBy(key).agg(F.substring(F.array_join(F.transform(parts, lambda x: x["_t"]), " "), 1, most).alias("text"))
     keys = rows.where(F.col(key).isNotNull()).select(key).distinct()
     return keys.join(found, key, "left").select(key, F.coalesce("text", F.lit("")).alias("text"))

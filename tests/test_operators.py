@@ -227,3 +227,11 @@ def test_links_of_a_walk_are_kept_as_they_are(spark, monkeypatch):
     found = graph.walk(nodes(1, 1), edges, nodes(1, 2, 3))
     assert sorted(map(tuple, found.collect())) == [(1, 0), (2, 1), (3, 2), (4, 3)]
     assert "Aggregate" not in plans["links"]
+
+
+def test_joined_texts_are_dealt_out(spark):
+    """Few bytes are many rows where texts compress well: they are not put into few tasks."""
+    rows = spark.range(2000).selectExpr("id % 500 AS k", "id AS place", "concat('t', id) AS t")
+    found = windows.joined_text(rows, "k", ["place"], "t", 9)
+    assert found.where("k = 3").first()["text"] == "t3 t503 t"
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
