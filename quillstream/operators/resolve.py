@@ -250,6 +250,8 @@ def closest(wanted: DataFrame, organisations: DataFrame, limit: int = 3, cutoff:
     """
     names = sorted({r["name"] for r in wanted.select("name").where("name IS NOT NULL").distinct().toLocalIterator()})
     spark, out = organisations.sparkSession, None
+    # Dealt out by number: a name is much work for its few bytes, and a file of many names is one task otherwise.
+    dealt = organisations.where("name IS NOT NULL").select("id", F.col("name").alias("other")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     for at in range(0, len(names), QUERIES):
         shared = spark.sparkContext.broadcast(names[at : at + QUERIES])
 
@@ -273,7 +275,7 @@ def closest(wanted: DataFrame, organisations: DataFrame, limit: int = 3, cutoff:
                     if found:
                         yield pd.concat(found)[["name", "id", "other"]]
 
-        found = organisations.where("name IS NOT NULL").select("id", F.col("name").alias("other")).mapInPandas(possible, "name string, id long, other string")
+        found = dealt.mapInPandas(possible, "name string, id long, other string")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], "name string, rank int, id long, other string, score double")

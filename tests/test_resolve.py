@@ -193,3 +193,11 @@ def test_the_queries_against_row_after_row(spark, sf_dir):
         best = sorted((-100 * R.token_set_similarity(name, x), x, i) for i, x in organisations)[:3]
         expected += [(name, k, i, x, -s) for k, (s, x, i) in enumerate(best, 1) if -s >= 45]
     assert got == sorted(expected) and got
+
+
+def test_closest_names_are_dealt_out(spark, sf_dir):
+    """A small file is one partition; its names are several tasks' work."""
+    names = spark.range(3000).selectExpr("id", "concat('name ', id) AS name").coalesce(1)
+    found = R.closest(spark.createDataFrame([("name 12",)], "name string"), names)
+    assert "RoundRobinPartitioning(8)" in found._jdf.queryExecution().toString()
+    assert [(r["rank"], r["id"], r["score"]) for r in found.collect() if r["rank"] == 1] == [(1, 12, 100.0)]
