@@ -5,14 +5,17 @@ word's probability is the sum over all its segmentations, by a forward recursion
 words and the end token. No word has an arc of its own: seen or not, it is worth what its segmentations are.
 
 A piece has one score as a whole word, as a word's first piece, in its middle and at its end; scores of the first two kinds sum
-to one, and those of the last two, so that the probabilities of all words do. The order of pieces by their scores stays the file's: training
-documents set a few hundred numbers (`features`: the power to which the file's probabilities are raised, and factors for an arc's kind, a
-piece's length, and its first and last byte), by rounds of expected counts over all segmentations of all training words, each as often as it occurs.
+to one, and those of the last two, so that the probabilities of all words do. Training documents set the scores by rounds of expected
+counts over all segmentations of all training words, each as often as it occurs. Among pieces alike (`features`: of one length, first and last byte)
+the order by scores stays the file's: a piece that the file holds likelier never gets a smaller score.
+
+Published vocabularies lack the stems and endings of a corpus of its own kind. So training words that come often are parts of other words too: up to PARTS
+of them, at least SHORTEST bytes long and LEAST times in training texts, begin, continue or end longer words. They are never an arc of their own word.
 
 Jobs: texts are dealt into blocks of about BLOCK_BYTES; each block yields its distinct words with their training counts and
 places (numbers within the block); counts are summed by word; each distinct word's lattice is run once; an equality join by
 word takes the results back to the places, of which a word has one a block, so that Spark can split it; each text's sums are
-taken there. What is shuffled grows with the corpus; what reaches the driver is a row per piece and kind.
+taken there. What is shuffled grows with the corpus; what reaches the driver is a row per piece and kind, and the words that are parts.
 A word of over LONG bytes is run in pieces of CHUNK bytes with a window of the sums before, so memory doesn't grow with its length.
 
 Defined cases: null text counts as empty, with the end token alone; repeated rows and null ids stay (all null ids share one
@@ -39,8 +42,10 @@ from ._common import fold, shuffle_partitions, slices, staged, table, utf8
 from ._text import Rows
 
 BLOCK_BYTES = 12_000_000
-#: Rounds of expected counts over all training words; how firmly the numbers that are learned are held to those of the file's own scores.
-ROUNDS, RIDGE = 3, 1.0
+#: Rounds of expected counts over all training words; pieces of each kind of arcs that are counted beside them, as the file's scores have them.
+ROUNDS, PRIOR = 3, 1000.0
+#: Training words that may be parts of others, their fewest occurrences and bytes (the file has the shorter ones), and their share of arcs before the first round.
+PARTS, LEAST, SHORTEST, SHARE = 4096, 10, 4, 0.5
 #: Kinds of arcs: a whole word, its first piece, one inside, its last piece.
 WHOLE, FIRST, INNER, LAST = range(4)
 #: Bytes of text that a worker turns into words at once; words of which it runs the lattices at once; longest word for which numpy runs along words.
@@ -93,36 +98,60 @@ def features(pieces: list[bytes]) -> np.ndarray:
     return np.concatenate(columns, axis=1).astype(float)
 
 
+def rising(sums: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Rates of levels of so many pieces, whose counts are summed, that don't fall within a group and are the likeliest such: neighbours out of order are pooled."""
+    total, size, levels, own = [], [], [], []
+    for s, n, g in zip(sums.tolist(), sizes.tolist(), group.tolist(), strict=True):
+        total.append(s)
+        size.append(n)
+        levels.append(1)
+        own.append(g)
+        while len(own) > 1 and own[-2] == g and total[-2] * size[-1] >= total[-1] * size[-2]:
+            own.pop()
+            for held in (total, size, levels):
+                last = held.pop()
+                held[-1] += last
+    return np.repeat(np.array(total) / np.array(size), levels)
+
+
 def fitted(pieces: list[bytes], weight: np.ndarray, expected: np.ndarray) -> np.ndarray:
-    """Scores (4 x pieces) by the numbers that make the expected counts likeliest: a log-linear model of either two kinds of arcs over the file's probabilities, by Newton's method."""
-    begins, own, out = np.array([p[:1] == b" " for p in pieces]), features(pieces), np.full((4, len(pieces)), -np.inf)
+    """Scores (4 x pieces) that make the expected counts likeliest, of those that keep the file's order among pieces alike, kind by kind. Without counts they are the file's."""
+    begins, rates = np.array([p[:1] == b" " for p in pieces]), np.zeros((4, len(pieces)))
+    alike = np.unique(features(pieces).nonzero()[1].reshape(len(pieces), -1), axis=0, return_inverse=True)[1].reshape(-1)
     for kinds, which in (((WHOLE, FIRST), np.flatnonzero(begins)), ((INNER, LAST), np.flatnonzero(~begins))):
-        n, m = np.concatenate([expected[k, which] for k in kinds]), len(which)
-        x = np.column_stack([np.tile(np.log(weight[which]), 2), np.repeat([0.0, 1.0], m), np.tile(own[which], (2, 1))])
-        start = np.zeros(x.shape[1])
-        start[0] = 1.0  # the file's probabilities as they are
-
-        def value(theta: np.ndarray, x=x, n=n, start=start) -> tuple[float, np.ndarray]:
-            z = x @ theta
-            log_p = z - (top := z.max()) - np.log(np.exp(z - top).sum())
-            return float(n @ log_p - RIDGE / 2 * ((theta - start) ** 2).sum()), log_p
-
-        theta, (best, log_p) = start, value(start)
-        for _ in range(50):
-            p = np.exp(log_p)
-            mean = p @ x
-            gradient = x.T @ n - n.sum() * mean - RIDGE * (theta - start)
-            curve = n.sum() * ((x * p[:, None]).T @ x - np.outer(mean, mean)) + RIDGE * np.eye(len(theta))
-            move = np.linalg.solve(curve, gradient)
-            while (found := value(theta + move))[0] < best and np.abs(move).max() > 1e-9:
-                move = move / 2
-            gain, theta = found[0] - best, theta + move
-            best, log_p = found
-            if gain <= 1e-9 * max(1.0, n.sum()):
-                break
-        for k, part in zip(kinds, (log_p[:m], log_p[m:]), strict=True):
-            out[k, which] = part
-    return out
+        order = which[np.lexsort((weight[which], alike[which]))]
+        first = np.diff(alike[order], prepend=-1) != 0
+        first |= np.diff(weight[order], prepend=-1) != 0  # pieces alike of one score have one rate
+        level = np.cumsum(first) - 1
+        for k in kinds:
+            sums = np.bincount(level, expected[k, order] + PRIOR * weight[order])
+            rates[k, order] = rising(sums, np.bincount(level), alike[order][first])[level]
+    return normal(rates)
+
+
+def learned_parts(pieces: list[bytes], words: dict[bytes, int]) -> tuple[list[bytes], np.ndarray]:
+    """What words add to the pieces, each after a space (where longer words begin) and without, and first counts by kind (4 x parts)."""
+    have = set(pieces)
+    found = {p: n for word, n in sorted(words.items()) for p in (b" " + word, word) if p not in have}
+    begins = np.array([p[:1] == b" " for p in found], bool)
+    return list(found), np.array(list(found.values()), float) * np.stack([begins & False, begins, ~begins, ~begins])
+
+
+def extended(scores: np.ndarray, parts: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Scores (4 x pieces and parts): the file's pieces' and after them those of parts by their counts, which hold such shares of the first two kinds of arcs and of the other two."""
+    if not parts.shape[1]:
+        return scores
+    sums = parts.reshape(2, -1).sum(axis=1)
+    share = np.where(sums > 0, share, 0)
+    rates = parts * np.repeat(share / np.where(sums > 0, sums, 1), 2)[:, None]
+    with np.errstate(divide="ignore"):
+        return np.concatenate([scores + np.repeat(np.log1p(-share), 2)[:, None], np.log(rates)], axis=1)
+
+
+def refitted(pieces: list[bytes], weight: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Scores by the expected counts of the file's pieces and of the parts after them."""
+    parts = expected[:, len(pieces) :]
+    return extended(fitted(pieces, weight, expected[:, : len(pieces)]), parts, parts.reshape(2, -1).sum(axis=1) / (expected.reshape(2, -1).sum(axis=1) + PRIOR))
 
 
 def kind(begin: int, end: int, n: int) -> int:
@@ -355,18 +384,32 @@ class Model(NamedTuple):
         return lattice.forward(words) + np.where(ends, self.end, np.log1p(-np.exp(self.end)))
 
 
+def frequent(trained: DataFrame, longest: int) -> dict[bytes, int]:
+    """trained: word, n. The words that may be parts, with their counts: all above the lowest level of counts (a 16th of a doubling) down to which they are PARTS at most."""
+    size = F.octet_length("word")
+    able = trained.where((F.col("n") >= LEAST) & (size >= SHORTEST) & (size < longest)).withColumn("level", F.floor(F.log2("n") * 16))
+    cut, held = inf, 0
+    for level, n in sorted(map(tuple, able.groupBy("level").count().collect()), reverse=True):  # a few hundred rows
+        held += n
+        if held > PARTS:
+            break
+        cut = level
+    return {bytes(word): n for word, n in able.where(F.col("level") >= cut).select("word", "n").collect()} if cut < inf else {}
+
+
 def train(totals: DataFrame, tokenizer: str) -> Model:
     """totals: word, and its count n in training documents."""
     pieces, weight = vocabulary(tokenizer)
     ends = F.octet_length("word") == 0
     sums = totals.agg(F.count_if(F.col("n") > 0).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(ends, F.col("n"))), F.lit(0)).alias("docs")).first()
     trained = totals.where(~ends & (F.col("n") > 0)).select("word", "n")
-    scores = first_scores(pieces, weight)
+    parts, count = learned_parts(pieces, frequent(trained, max(map(len, pieces))))
+    every, scores = pieces + parts, extended(first_scores(pieces, weight), count, np.full(2, SHARE))
     for _ in range(ROUNDS if sums["n"] else 0):
-        shared = totals.sparkSession.sparkContext.broadcast(scores)  # four numbers a piece of the vocabulary
+        shared = totals.sparkSession.sparkContext.broadcast((every, scores))  # four numbers a piece of the vocabulary
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            lattice, expected = Lattice(pieces, shared.value), np.zeros((4, len(pieces) + 1))
+            lattice, expected = Lattice(*shared.value), np.zeros((4, len(shared.value[0]) + 1))
             for batch in batches:
                 words, times = batch.column("word").to_pylist(), batch.column("n").to_numpy()
                 for at in range(0, len(words), PART_WORDS):
@@ -375,10 +418,10 @@ def train(totals: DataFrame, tokenizer: str) -> Model:
             yield pa.RecordBatch.from_arrays([*map(pa.array, place), pa.array(expected[:, :-1][place])], names=["kind", "piece", "n"])
 
         found = trained.mapInArrow(expect, "kind long, piece long, n double").groupBy("kind", "piece").agg(F.sum("n").alias("n")).toArrow()  # a row per kind and piece
-        count = np.zeros((4, len(pieces)))
+        count = np.zeros((4, len(every)))
         count[tuple(found.column(c).to_numpy() for c in ("kind", "piece"))] = found.column("n").to_numpy()
-        scores = fitted(pieces, weight, count)
-    return Model(sums["n"], sums["v"], pieces, scores, log((sums["docs"] + 1) / (sums["n"] + 2)))
+        scores = refitted(pieces, weight, count)
+    return Model(sums["n"], sums["v"], every, scores, log((sums["docs"] + 1) / (sums["n"] + 2)))
 
 
 def score(docs: DataFrame, train_column: str, tokenizer: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:

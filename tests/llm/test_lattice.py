@@ -168,3 +168,60 @@ def test_the_files_scores_decide(spark, sf_dir, monkeypatch):
         rows = [r for r in L.op6_subword_lattice(spark, sf_dir).collect() if r["held_out"]]
         held.append(sum(r["score"] for r in rows) / sum(r["n_tokens"] for r in rows))
     assert held[0] > held[1] + 0.1
+
+
+def test_rates_are_the_likeliest_that_keep_the_files_order():
+    """Against the formula by maxima of minima of means, piece by piece; pieces of one score have one rate."""
+    pieces = [b"xaz", b"xbz", b"xcz", b"xdz", b"xez", b"yaz", b"ybz", b" "]
+    weight = np.array([1, 2, 3, 3, 5, 4, 1, 1.0]) / 20
+    count = np.array([40, 10, 90, 30, 50, 7, 9, 5.0]) * np.array([0, 0, 1, 2])[:, None] + np.eye(8)[7] * np.array([5, 5, 0, 0])[:, None]
+    got = np.exp(L.fitted(pieces, weight, count))
+    for k in (L.INNER, L.LAST):
+        wanted = np.zeros(8)
+        for own in ([0, 1, 2, 3, 4], [6, 5]):
+            mean = lambda a, b, k=k, own=own: np.mean([count[k, i] + L.PRIOR * weight[i] for i in own if a <= weight[i] <= b])
+            for i in own:
+                wanted[i] = max(min(mean(a, b) for b in weight[own] if b >= weight[i]) for a in weight[own] if a <= weight[i])
+        assert np.allclose(got[k, :7] / got[k, 4], wanted[:7] / wanted[4])
+    assert got[2, 2] == pytest.approx(got[2, 3])
+
+
+def test_frequent_words_are_parts_of_longer_words_alone(spark, tmp_path, monkeypatch):
+    """The query with learned parts, against the enumeration of all segmentations."""
+    weight = np.arange(1.0, len(PIECES) + 1) / (len(PIECES) * (len(PIECES) + 1) / 2)
+    monkeypatch.setattr(L, "vocabulary", lambda path: (PIECES, weight))
+    monkeypatch.setattr(L, "LEAST", 4)
+    monkeypatch.setattr(L, "SHORTEST", 2)
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join("".join("ab"[x] for x in rng.integers(0, 2, rng.integers(1, 6))) for _ in range(rng.integers(0, 9)))) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = lambda rows: Counter(w.encode() for r in rows for w in r[1].split())
+    training = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 7 != 2]
+    count = words(training)
+    often = {w: n for w, n in count.items() if n >= 4 and 2 <= len(w) <= 4}
+    found = L.frequent(spark.createDataFrame(list(count.items()), "word binary, n long"), 5)
+    assert found == often and len(often) > 3
+    monkeypatch.setattr(L, "PARTS", 2)
+    assert len(few := L.frequent(spark.createDataFrame(list(count.items()), "word binary, n long"), 5)) <= 2 and min(few.values(), default=99) >= max(n for w, n in often.items() if w not in few)
+    monkeypatch.setattr(L, "PARTS", 4096)
+    got = {r["doc_id"]: r["score"] for r in L.op6_subword_lattice(spark, str(tmp_path)).collect()}
+    parts, first = L.learned_parts(PIECES, often)
+    assert sorted(parts) == sorted({p for w in often for p in (w, b" " + w)} - set(PIECES))
+    scores = L.extended(L.first_scores(PIECES, weight), first, np.full(2, L.SHARE))
+    monkeypatch.setitem(globals(), "PIECES", PIECES + parts)
+    own = len(PIECES) - len(parts)
+    for _ in range(L.ROUNDS):
+        assert np.exp(scores[:2]).sum() == pytest.approx(1) == np.exp(scores[2:]).sum() and np.isneginf(scores[L.WHOLE, own:]).all()
+        scores = L.refitted(PIECES[:own], weight, expected_by_enumeration(count, scores)[1])
+    end = (len(training) + 1) / (sum(count.values()) + len(training) + 2)
+    for i, text in rows:
+        probability = expected_by_enumeration(words([(i, text)]), scores)[0]
+        assert got[i] == pytest.approx(math.log10(end * math.prod((1 - end) * math.exp(probability[w.encode()]) for w in text.split())), rel=1e-6)
+
+
+def test_held_out_scores_are_near_the_base(spark, sf_dir):
+    rows = L.op6_subword_lattice(spark, sf_dir).collect()
+    held = [r for r in rows if r["held_out"]]
+    assert all(r["score"] is not None and math.isfinite(r["score"]) for r in rows) and len(held) > 20
+    tokens, base, score = (sum(r[c] for r in held) for c in ("n_tokens", "base_score", "score"))
+    assert score / tokens > base / tokens - 1.1  # log10
